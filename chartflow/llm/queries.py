@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality_rules, simhash, token_codes
+from . import chat, mixing, packing, quality_rules, simhash, token_codes
 from .common import table
 
 
@@ -61,7 +61,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_token_codes, op3_simhash_near_dedup, op4_chat_formatting, op5_packing)
+    f.__name__: f for f in (op1_quality_rules, op2_token_codes, op3_simhash_near_dedup, op4_chat_formatting, op5_packing, op8_source_mixing)
 }
-SQL: dict[str, str] = {"op4_chat_formatting": _op4_sql()}
+SQL: dict[str, str] = {"op4_chat_formatting": _op4_sql(), "op8_source_mixing": mixing.sql()}
