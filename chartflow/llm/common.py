@@ -96,19 +96,21 @@ class Words:
         np.cumsum(flags, out=total[1:])
         return np.diff(total[self.at])
 
-    def hashes(self, start: np.ndarray | None = None, end: np.ndarray | None = None, base: int = _BASE) -> np.ndarray:
-        """A 64-bit hash of the bytes start:end, by default of each word.
-
-        Prefix sums of byte * base ** position give the sum over any piece;
-        dividing by base ** start makes it the same wherever the piece lies.
-        """
-        start = self.start if start is None else start
-        end = self.end if end is None else end
-        n = len(self.body)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.body.astype(np.uint64) + np.uint64(1)) * powers(base, n), out=total[1:])
-        back = powers(_BASE_INVERSE if base == _BASE else pow(base, -1, 1 << 64), n + 1)
-        return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+    def hashes(self, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """A 64-bit hash of the bytes start:end, by default of each word."""
+        return piece_hashes(self.body, self.start if start is None else start, self.end if end is None else end)
+
+
+def piece_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each body[start:end].
+
+    Prefix sums of byte * base ** position give the sum over any piece;
+    dividing by base ** start makes it the same wherever the piece lies.
+    """
+    n = len(body)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=total[1:])
+    return mix((total[end] - total[start]) * powers(_BASE_INVERSE, n + 1)[start] + (end - start).astype(np.uint64))
 
 
 def windows(words: np.ndarray, count: np.ndarray, length: int, factor: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .tokens import encoder
+from .tokens import ENCODE_BYTES, encoder
 
 SIZE, END_ID = 2048, 1
 GRID = 32
@@ -144,7 +144,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
         base, ids = 0, np.zeros(0, np.uint32)
         names: pa.Array | None = None
         begin, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in common.chunks(batches, "text"):
+        for b in common.chunks(batches, "text", ENCODE_BYTES):
             got, n = encoder(tokenizer).encode_all(b.column("text"), end_id)
             begin = np.concatenate([begin, base + len(ids) + np.concatenate([[0], np.cumsum(n)[:-1]])])
             total = np.concatenate([total, n])

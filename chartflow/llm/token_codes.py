@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder
+from .tokens import ENCODE_BYTES, encoder
 
 MAGIC, WIDTH, BLOCK = b"DACTOK01", 8, 512
 END_ID = 2
 #: Bytes of text that one file is made from, about.
-FILE_TEXT_BYTES = 24 << 20
+FILE_TEXT_BYTES = 16 << 20
 
 
 def _bitmap(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,29 +53,52 @@ def _bitmap(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, before
 
 
+class TokenWriter:
+    """Takes documents one chunk after another and keeps them as levels, about two bytes a token."""
+
+    def __init__(self):
+        self.doc_ids: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+        self.levels: list[tuple[list[np.ndarray], list[np.ndarray]]] = []
+
+    def add(self, doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.doc_ids.append(np.asarray(doc_ids, dtype="<i8"))
+        self.lengths.append(np.asarray(lengths, dtype=np.int64))
+        rest, k = np.asarray(ids, dtype=np.uint32), 0
+        while len(rest) or not k:
+            if k == len(self.levels):
+                self.levels.append(([], []))
+            more = rest >> np.uint32(WIDTH)
+            self.levels[k][0].append(rest.astype(np.uint8))
+            self.levels[k][1].append(more > 0)
+            rest, k = more[more > 0], k + 1
+
+    def finish(self) -> tuple[int, int, bytes]:
+        """Documents, tokens and the file."""
+        body = bytearray()
+
+        def put(a: np.ndarray) -> None:
+            body.extend(memoryview(np.ascontiguousarray(a)).cast("B") if a.size else b"")
+            body.extend(bytes(-len(body) % 8))
+
+        doc_ids, ends = np.concatenate(self.doc_ids), np.cumsum(np.concatenate(self.lengths)).astype("<u8")
+        put(np.array([sum(map(len, c)) for c, _ in self.levels], dtype="<u8"))
+        put(doc_ids)
+        put(ends)
+        for chunks, flags in self.levels:
+            put(np.concatenate(chunks))
+            for a in _bitmap(np.concatenate(flags)):
+                put(a)
+        tokens = int(ends[-1]) if len(ends) else 0
+        head = MAGIC + np.array([len(doc_ids), tokens, len(self.levels), WIDTH, zlib.crc32(body)], dtype="<u8").tobytes()
+        return len(doc_ids), tokens, head + body
+
+
 def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """The file for these documents; ids are those of all documents, one after another."""
-    levels, rest = [], ids.astype(np.uint64)
-    while True:
-        more = rest >> np.uint64(WIDTH)
-        words, before = _bitmap(more > 0)
-        levels.append(((rest & np.uint64(255)).astype(np.uint8), words, before))
-        rest = more[more > 0]
-        if not len(rest):
-            break
-    body = bytearray()
-
-    def add(a: np.ndarray) -> None:
-        body.extend(a.tobytes())
-        body.extend(bytes(-len(body) % 8))
-
-    add(np.array([len(c) for c, _, _ in levels], dtype="<u8"))
-    add(np.asarray(doc_ids, dtype="<i8"))
-    add(np.cumsum(lengths).astype("<u8"))
-    for level in levels:
-        for a in level:
-            add(a)
-    return MAGIC + np.array([len(doc_ids), len(ids), len(levels), WIDTH, zlib.crc32(body)], dtype="<u8").tobytes() + bytes(body)
+    w = TokenWriter()
+    w.add(doc_ids, lengths, ids)
+    return w.finish()[2]
 
 
 class TokenFile:
@@ -156,22 +179,20 @@ def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
     ordered = source.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_ids, lengths, ids = [], [], []
-        for b in common.chunks(batches, "text"):
-            got, n = encoder(tokenizer).encode_all(b.column("text"), end_id)
-            doc_ids.append(b.column("id").to_numpy())
-            lengths.append(n)
-            ids.append(got)
-        if not doc_ids:
+        w = TokenWriter()
+        for b in common.chunks(batches, "text", ENCODE_BYTES):
+            ids, n = encoder(tokenizer).encode_all(b.column("text"), end_id)
+            w.add(b.column("id").to_numpy(), n, ids)
+        if not w.doc_ids:
             return
         part = TaskContext.get().partitionId()
-        n, ids = np.concatenate(lengths), np.concatenate(ids)
+        n_docs, n_tokens, data = w.finish()
         to, path = filesystem(folder)
         to.create_dir(path, recursive=True)
         name = f"{part:07d}-{uuid.uuid4().hex}.dac"
         with to.open_output_stream(f"{path}/{name}") as f:
-            f.write(pack(np.concatenate(doc_ids), n, ids))
-        yield pa.record_batch([pa.array([part]), pa.array([name]), pa.array([len(n)]), pa.array([len(ids)])], ["part", "name", "documents", "tokens"])
+            f.write(data)
+        yield pa.record_batch([pa.array([part]), pa.array([name]), pa.array([n_docs]), pa.array([n_tokens])], ["part", "name", "documents", "tokens"])
 
     ordered.mapInArrow(run, "part long, name string, documents long, tokens long").write.parquet(f"{folder}/_files")
     return spark.read.parquet(f"{folder}/_files")

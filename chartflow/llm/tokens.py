@@ -1,26 +1,33 @@
-"""Token ids by the tokenizers library, with a bounded memo of chunks.
+"""Token ids by the tokenizers library, with a bounded memo of pieces.
 
 A byte-level BPE splits a text before each single space that stands between two
-other characters, and around each such line feed, whatever else the text holds.
-Pieces between these places are therefore encoded independently, and a piece
-that was met before needs no second encoding.
+other characters, around each such line feed, and before a mark that follows a
+letter or digit, whatever else the text holds.  Pieces between these places are
+encoded independently, so a piece that was met before needs no second encoding:
+its ids are copied from a pool.  Pieces are found and looked up in numpy, by a
+64-bit hash of their bytes, for a chunk of documents at once.
+Texts with other white space, or with white space that touches white space or
+an end, are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-#: Pieces that one Python worker remembers at most (about 100 bytes each).
-MEMO = 800_000
+from . import common
+
+#: Slots of the memo; half of them are filled at most (about 25 bytes each).
+MEMO_BITS = 21
 #: Longer pieces are not remembered.
-MEMO_CHARS = 64
-#: A mark after a letter or digit begins a piece of its own.
-MARKS = frozenset(".,;:!?")
+MEMO_BYTES = 64
+#: Bytes of text that are encoded at once.
+ENCODE_BYTES = 1 << 20
+#: Pieces that are given to the tokenizer as one text.
+PIECES = 8192
 
 
 def default_tokenizer() -> str:
@@ -39,111 +46,188 @@ def _load(path: str):
     return t
 
 
+class Memo:
+    """From hashes of pieces to ids: a hash table with open addressing in numpy arrays."""
+
+    def __init__(self, bits: int = MEMO_BITS):
+        self.mask = (1 << bits) - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(self.mask + 1, dtype=np.uint64)
+        self.start = np.zeros(self.mask + 1, dtype=np.int64)
+        self.size = np.zeros(self.mask + 1, dtype=np.int32)
+        self.pool = np.zeros(1 << 16, dtype=np.uint32)
+        self.used = self.filled = 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or -1."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        open_ = np.arange(len(h))
+        slot = (h & np.uint64(self.mask)).astype(np.int64)
+        while len(open_):
+            k = self.keys[slot]
+            hit = k == h[open_]
+            out[open_[hit]] = slot[hit]
+            go = ~hit & (k != 0)
+            open_, slot = open_[go], (slot[go] + 1) & self.mask
+        return out
+
+    def add_ids(self, ids: np.ndarray) -> int:
+        """Append ids to the pool; where they begin."""
+        need = self.used + len(ids)
+        if need > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(need, len(self.pool)), dtype=np.uint32)])
+        self.pool[self.used : need] = ids
+        self.used = need
+        return need - len(ids)
+
+    def put(self, h: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Enter distinct hashes that are not there yet."""
+        self.filled += len(h)
+        slot = (h & np.uint64(self.mask)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            free = self.keys[slot] == 0
+            _, one = np.unique(slot[free], return_index=True)  # one newcomer for each slot
+            take = np.flatnonzero(free)[one]
+            at, who = slot[take], left[take]
+            self.keys[at], self.start[at], self.size[at] = h[who], start[who], size[who]
+            stay = np.ones(len(left), dtype=bool)
+            stay[take] = False
+            left, slot = left[stay], (slot[stay] + 1) & self.mask
+
+
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123))] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[list(b".,;:!?")] = True
+_RARE = np.zeros(256, dtype=bool)
+_RARE[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+#: All white space of more than one byte in UTF-8.
+_WIDE = [c.encode() for c in map(chr, range(0x80, 0x3001)) if c.isspace()]
+_LEADS = sorted({w[0] for w in _WIDE})
+
+
+def _count(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(flags) + 1, dtype=np.int64)
+    np.cumsum(flags, out=total[1:])
+    return np.diff(total[at])
+
+
+def pieces(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which documents (body[at[i] : at[i + 1]]) must be encoded whole, and where pieces begin in all of them."""
+    n = len(body)
+    feed = body == 10
+    blank = (body == 32) | feed
+    odd = _RARE[body]
+    for lead in _LEADS:
+        where = np.flatnonzero(body == lead)
+        for w in _WIDE:
+            if w[0] == lead and len(where):
+                hit = where[where + len(w) <= n]
+                for k in range(1, len(w)):
+                    hit = hit[body[hit + k] == w[k]]
+                odd[hit] = True
+    odd[1:] |= blank[1:] & blank[:-1]
+    full = at[1:] > at[:-1]
+    first, last = at[:-1][full], at[1:][full] - 1
+    odd[first] |= blank[first]
+    odd[last] |= blank[last]
+    whole = _count(odd, at) > 0
+    begin = blank.copy()
+    begin[1:] |= feed[:-1]
+    if n > 1:
+        after = _ALNUM[body]
+        if n > 2:
+            after[1:] |= (body[:-1] == 0xC3) & (body[1:] != 0x97) & (body[1:] != 0xB7) & (body[1:] >= 0x80)
+        begin[1:] |= _MARK[body[1:]] & after[:-1]
+    begin[first] = True
+    return whole, np.flatnonzero(begin)
+
+
 class Encoder:
     """encode(text) gives the ids of a whole text as an uint32 array."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, bits: int = MEMO_BITS):
         self.tokenizer = _load(path or default_tokenizer())
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(bits)
         self.feed = self._plain(["\n"])[0]
 
-    def _plain(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece.  Those with no white space but one leading space are encoded as the lines of one text."""
-        lines = [p for p in pieces if p.split() == [p[p[0] == " " :]]]
-        out = dict.fromkeys(lines, b"")
-        if lines and len(self.feed) == 4:
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            cut = np.flatnonzero(ids == np.frombuffer(self.feed, np.uint32)[0]).tolist()
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, and how many each has.  They are encoded as the lines of one text."""
+        if len(lines) > PIECES:
+            parts = [self._encode(lines[i : i + PIECES]) for i in range(0, len(lines), PIECES)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        if len(self.feed) == 1 and "\n" not in lines:
+            ids = self._plain(["\n".join(lines)])[0]
+            cut = np.flatnonzero(ids == self.feed[0])
             if len(cut) == len(lines) - 1:
-                raw, start = ids.tobytes(), 0
-                for p, end in zip(lines, [*cut, len(ids)], strict=True):
-                    out[p] = raw[4 * start : 4 * end]
-                    start = end + 1
-                lines = []
-        out.update(zip(lines, self._plain(lines), strict=True))
-        rest = [p for p in pieces if not out.get(p)]
-        out.update(zip(rest, self._plain(rest), strict=True))
-        return [out[p] for p in pieces]
+                return np.delete(ids, cut), np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+        each = self._plain(lines)
+        return np.concatenate(each), np.array([len(x) for x in each])
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encode_all(pa.array([text]))[0]
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
     def encode_all(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a column in one array, each text followed by ``end``, and how many each has."""
-        memo = self.memo
-        texts = [split(t) if t else [] for t in column.to_pylist()]
-        new = set().union(*texts).difference(memo)
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = set().union(*texts)
-        marked = [p for p in new if p[-1] in MARKS and len(p) > 1 and p[-2].isalnum()]
-        bare = new.difference(marked).union([p[:-1] for p in marked], [p[-1] for p in marked]).difference(memo)
-        bare = list(bare)
-        memo.update(zip(bare, self._ids(bare), strict=True))
-        memo.update((p, memo[p[:-1]] + memo[p[-1]]) for p in marked)
-        tail = [] if end is None else [np.uint32(end).tobytes()]
-        look = memo.__getitem__
-        parts = [b"".join([*map(look, t), *tail]) for t in texts]
-        for p in new:
-            if len(p) > MEMO_CHARS:
-                del memo[p]
-        return np.frombuffer(b"".join(parts), dtype=np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        body, at = common.text_bytes(column)
+        n, memo = len(at) - 1, self.memo
+        whole, begin = pieces(body, at)
+        doc = np.searchsorted(at, begin, "right") - 1
+        keep = ~whole[doc]
+        finish = np.append(begin[1:], len(body))[keep]
+        begin, doc = begin[keep], doc[keep]
+        h = common.piece_hashes(body, begin, finish)
+        h[h == 0] = 1  # 0 marks a free slot
+        slot = memo.find(h)
+        miss = np.flatnonzero(slot < 0)
+        if len(miss):
+            new, one = np.unique(h[miss], return_index=True)
+            if memo.filled + len(new) > memo.mask // 2:
+                memo.clear()
+                slot[:] = -1
+                miss = np.arange(len(h))
+                new, one = np.unique(h, return_index=True)
+        kept = memo.used
+        start, size = memo.start[slot], memo.size[slot].astype(np.int64)
+        if len(miss):
+            one = miss[one]
+            raw = body.tobytes()
+            b, e = begin[one], finish[one]
+            feeds = (e - b == 1) & (body[b] == 10)
+            got = np.zeros(len(one), dtype=np.int64)
+            size_ = np.zeros(len(one), dtype=np.int64)
+            for group in (np.flatnonzero(feeds), np.flatnonzero(~feeds)):
+                if len(group):
+                    ids, many = self._encode([raw[x:y].decode() for x, y in zip(b[group].tolist(), e[group].tolist(), strict=True)])
+                    got[group] = memo.add_ids(ids) + np.cumsum(many) - many
+                    size_[group] = many
+            short = e - b <= MEMO_BYTES
+            memo.put(new[short], got[short], size_[short])
+            kept = memo.used
+            k = np.searchsorted(new, h[miss])
+            start[miss], size[miss] = got[k], size_[k]
+        if whole.any():
+            rows = np.flatnonzero(whole)
+            each = self._plain([bytes(body[at[i] : at[i + 1]]).decode() for i in rows.tolist()])
+            first = np.array([memo.add_ids(x) for x in each])
+            place = np.searchsorted(doc, rows)
+            start, size, doc = np.insert(start, place, first), np.insert(size, place, [len(x) for x in each]), np.insert(doc, place, rows)
+        if end is not None:
+            place = np.searchsorted(doc, np.arange(n), "right")
+            start, size, doc = np.insert(start, place, memo.add_ids(np.array([end], np.uint32))), np.insert(size, place, 1), np.insert(doc, place, np.arange(n))
+        total = np.cumsum(size)
+        ids = memo.pool[np.repeat(start - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
+        memo.used = kept  # texts encoded whole are not remembered
+        return ids, np.bincount(doc, size, minlength=n).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str | None = None) -> Encoder:
     """One encoder for each Python worker, so that later tasks find the memo filled."""
     return Encoder(path)
-
-
-#: All white space but space and line feed; and pairs of these two.
-_ODD = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
-_PAIRS = ("  ", "\n\n", " \n", "\n ")
-
-
-def _odd(text: str) -> bool:
-    """Whether white space of another sort, next to white space or at an edge asks for a closer look."""
-    return not text or text[0] in " \n" or text[-1] in " \n" or any(p in text for p in _PAIRS) or any(c in text for c in _ODD)
-
-
-_PLAIN = re.compile(r" ?[^ \n]+|\n")
-
-
-def split(text: str) -> list[str]:
-    """Pieces that can be encoded one by one; each but the first starts with a space or is what follows a line feed."""
-    return _split(text) if _odd(text) else _PLAIN.findall(text)
-
-
-def _split(text: str) -> list[str]:
-    out: list[str] = []
-    held = ""  # what must stay together with the next line
-    for i, line in enumerate(text.split("\n")):
-        if i:
-            # "\n" stands alone only between two characters that are no white space.
-            before = held or out[-1] if (held or out) else ""
-            if not held and before and line and not before[-1].isspace() and not line[0].isspace():
-                out.append("\n")
-            else:
-                held = (held or (out.pop() if out else "")) + "\n"
-        words = line.split(" ")
-        if held:
-            words[0] = held + words[0]
-            held = ""
-        parts = [words[0]]
-        for w in words[1:]:
-            last = parts[-1]
-            if w and last and not last[-1].isspace() and not w[0].isspace():
-                parts.append(" " + w)
-            else:
-                parts[-1] = last + " " + w
-        if parts[-1] and (parts[-1][-1].isspace()):
-            held = parts.pop()
-        elif parts == [""]:
-            parts = []
-        out += parts
-    if held:
-        out.append(held)
-    return out
