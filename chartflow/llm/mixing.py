@@ -104,7 +104,7 @@ def place(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lead = parts.withColumn("before", before).alias("p").join(goal.alias("g"), F.expr("p.source <=> g.source")).select("p.source", "p.part", "before", "rank", "source_size", "target", "blocks", "slots")
     inside = F.coalesce(F.sum("size").over(Window.partitionBy("source", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = base.withColumn("inside", inside).alias("b").join(lead.alias("l"), F.expr("b.source <=> l.source AND b.part = l.part"))
+    placed = base.withColumn("inside", inside).alias("b").join(lead.alias("l").hint("merge"), F.expr("b.source <=> l.source AND b.part = l.part"))
     return placed.select("doc_id", "size", "b.source", "rank", "source_size", "target", "blocks", "slots", (F.col("before") + F.col("inside")).alias("start"))
 
 
@@ -126,13 +126,15 @@ def mix(placed: DataFrame, *, block: int = BLOCK_WORDS, shard_slots: int = SHARD
     """The mix: shard, round, and which words (from, n) of which document it takes there.
 
     placed comes from place().  Blocks are joined with their slots by number;
-    each block is one key of at most three slots, so no key is hot.
+    each block is one key of at most three slots, so no key is hot.  Both sides
+    grow with the data and the size of exploded rows is guessed too low, so a
+    merge join is asked for.
     """
     goal = placed.where("size > 0").groupBy("rank").agg(F.max("blocks").alias("blocks"), F.max("slots").alias("slots"))
     cut = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     cut = cut.withColumn("from", F.greatest(F.col("block") * block - F.col("start"), F.lit(0)))
     cut = cut.withColumn("n", F.least((F.col("block") + 1) * block - F.col("start"), F.col("size")) - F.col("from"))
-    return cut.select("rank", "block", "doc_id", "start", "size", "from", "n").join(slots(goal, shard_slots), ["rank", "block"])
+    return cut.select("rank", "block", "doc_id", "start", "size", "from", "n").join(slots(goal, shard_slots).hint("merge"), ["rank", "block"])
 
 
 def taken(docs: DataFrame, *, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, **columns) -> DataFrame:
@@ -143,7 +145,7 @@ def taken(docs: DataFrame, *, block: int = BLOCK_WORDS, shard_slots: int = SHARD
     """
     placed = common.written(place(docs, block=block, **columns), "placed")
     used = mix(placed, block=block, shard_slots=shard_slots).groupBy("rank", "start").agg(F.sum("n").alias("taken"))
-    full = placed.where("size > 0").join(used, ["rank", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    full = placed.where("size > 0").join(used.hint("merge"), ["rank", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     return full.union(placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long")))
 
 
@@ -157,7 +159,7 @@ def mixed(docs: DataFrame, *, block: int = BLOCK_WORDS, shard_slots: int = SHARD
     placed = common.written(place(docs, block=block, id_col=id_col, text_col=text_col, source_col=source_col), "placed")
     rounds = mix(placed, block=block, shard_slots=shard_slots).groupBy("doc_id", "start", "size", "round").agg(F.array_sort(F.collect_list(F.struct("from", "n"))).alias("_parts"), F.sum("n").alias("_n"))
     rounds = rounds.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_parts", "_n")
-    both = docs.join(rounds, docs[id_col] == rounds["_id"])
+    both = docs.join(rounds.hint("merge"), docs[id_col] == rounds["_id"])
     tokens = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     piece = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_words"), (p["from"] + 1).cast("int"), p["n"].cast("int")))), "")
     both = both.withColumn("_words", F.when(F.col("_n") < F.col("_size"), tokens))
