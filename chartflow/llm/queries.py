@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, packing, quality_rules, simhash, token_codes
+from . import ann, chat, mixing, packing, pii, quality_rules, simhash, token_codes
 from .common import table
 
 
@@ -65,11 +65,16 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_token_codes, op3_simhash_near_dedup, op4_chat_formatting, op5_packing, op8_source_mixing, op10_nearest_vectors)
+    f.__name__: f for f in (op1_quality_rules, op2_token_codes, op3_simhash_near_dedup, op4_chat_formatting, op5_packing, op8_source_mixing, op9_personal_data, op10_nearest_vectors)
 }
 SQL: dict[str, str] = {"op4_chat_formatting": _op4_sql(), "op8_source_mixing": mixing.sql()}
