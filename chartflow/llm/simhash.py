@@ -121,4 +121,4 @@ def near_duplicates(docs: DataFrame, **columns) -> DataFrame:
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **columns) -> DataFrame:
     """One document of each group: the rows whose id is the least of their component."""
     kept = near_duplicates(docs, id_col=id_col, **columns).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, docs[id_col] == kept["doc_id"], "left_semi")
+    return docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["doc_id"], "left_semi")
