@@ -28,20 +28,22 @@ from pyspark.sql import functions as F
 from .boosting import Trees, fit
 
 KINDS = ["email", "ip", "card", "phone"]
-#: In each, a match can only begin where a run of its first characters begins, or
-#: where the last match ended; saying so keeps long runs from being tried at every place.
+#: A match of the first two can only begin where a run of its first characters
+#: begins (or, for an address, where the last match ended); saying so keeps long
+#: runs from being tried at every place.  Numbers ask for their first digit first,
+#: so all other places are passed over quickly.
 BASE = [
     r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
+    r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}",
     r"[0-9](?:[\x20-]?[0-9])++",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 ]
 #: What may be meant, for each kind; the numbers of a card and of a phone look alike.
 WIDE = [
     r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++",
-    r"(?:\G|(?<![0-9]))[0-9]++(?:\x20?[.:,]\x20?[0-9]++){3}",
-    r"(?:\G|(?<![0-9]))[0-9](?:[\x20./_-]{0,2}[0-9])++",
-    r"(?:\G|(?<![0-9]))(?:\(\x20?)?[0-9](?:[\x20()./-]{0,3}[0-9])++",
+    r"[0-9](?<![0-9][0-9])[0-9]*+(?:\x20?[.:,]\x20?[0-9]++){3}",
+    r"[0-9](?<![0-9][0-9])(?:[\x20./_-]{0,2}[0-9])++",
+    r"[0-9](?<![0-9][0-9])(?:[\x20()./-]{0,3}[0-9])++",
 ]
 _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 CUES = ["(?:e-?mail|contact|write|courriel|correo)", "(?:ip|host|server|address|adresse)", "(?:card|visa|credit|carte|tarjeta|karte)", "(?:tel|phone|call|mobile|fax|t[eé]l[eé]phone|tel[eé]fono)"]
@@ -148,7 +150,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, keep: list[Column] | Non
         df = df.withColumn(f"base{k}", F.filter(f"base{k}", lambda m: valid(k, m["match"])))
     df = df.withColumn("base", F.array_sort(F.concat(*(F.transform(f"base{k}", lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("ord"), m["end"].alias("end"))) for k in range(len(KINDS))))))
     many = t.rlike("[0-9][^0-9]{0,3}[0-9][^0-9]{0,3}[0-9][^0-9]{0,3}[0-9]")
-    df = matches(df, "_text", WIDE, "wide", [t.contains("@") | t.rlike(r"\bat\b"), many, many, many])
+    df = matches(df, "_text", WIDE, "wide", [t.contains("@") | t.rlike(r"[\x20\[(]dot[\x20\])]"), many, many, many])
     long_enough = [F.lit(True), F.lit(True)]
     for k in range(len(KINDS)):
 
@@ -166,47 +168,61 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     ids = docs.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
     some = docs.join(F.broadcast(ids), docs[id_col] == ids["_id"], "left_semi")
     df = _spans(some, id_col, text_col)
-    parts = []
-    for k in range(len(KINDS)):
-        for side, y in ((f"base{k}", 1), (f"wide{k}", 0)):
-            m = df.select("doc_id", F.explode(side).alias("m"))
-            match = blurred(k, F.col("m.match"), F.xxhash64("doc_id", "m.start")) if y else F.col("m.match")
-            parts.append(m.select(F.xxhash64("doc_id", "m.start", F.lit(k)).alias("h"), F.lit(float(y)).alias("y"), match.alias("match"), "m.before", "m.after").select("h", "y", *(c.alias(n) for n, c in features(k, F.col("match"), F.col("before"), F.col("after")).items())))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.union(p)
+    names = [*(f"base{k}" for k in range(len(KINDS))), *(f"wide{k}" for k in range(len(KINDS)))]
+    for n in names:
+        k, good = int(n[-1]), n.startswith("base")
+
+        def example(m: Column) -> Column:
+            match = blurred(k, m["match"], F.xxhash64("doc_id", m["start"])) if good else m["match"]
+            return F.struct(F.xxhash64("doc_id", m["start"], F.lit(k)).alias("h"), F.lit(float(good)).alias("y"), match.alias("match"), m["before"].alias("before"), m["after"].alias("after"))
+
+        df = df.withColumn(n, F.transform(n, example))
+    for n in names:
+        df = df.withColumn(n, F.transform(n, lambda m: F.struct(m["h"], m["y"], *(c.alias(f) for f, c in features(int(n[-1]), m["match"], m["before"], m["after"]).items()))))
+    rows = df.select(F.inline(F.concat(*names)))
     got = np.array(rows.orderBy(*rows.columns).limit(ROWS).collect(), dtype=np.float64).reshape(-1, 2 + len(FEATURES))
     y, x = got[:, 1], got[:, 2:]
     held = np.arange(len(got)) % 2 == 1
     trees = fit(x[~held], y[~held], FEATURES, {"cue": 1, "glued_before": -1, "glued_after": -1}, trees=24)
-    least: list[float | None] = []
-    for k in range(len(KINDS)):
-        of = held & (x[:, 0] == k)
+
+    def threshold(of: np.ndarray) -> float | None:
+        """The least score above which PRECISION of the held-out rows are right; None if there are too few of either sort."""
         if min((y[of] == 1).sum(), (y[of] == 0).sum()) < LEAST / 2:
-            least.append(None)
-            continue
+            return None
         score = trees.margin(x[of])
         order = np.argsort(-score, kind="stable")
         right = np.cumsum(y[of][order]) / np.arange(1, len(order) + 1)
         last = np.append(score[order][1:] < score[order][:-1], True)  # equal scores stay together
         fine = np.flatnonzero((right >= PRECISION) & last)
-        least.append(float(score[order][fine[-1]]) if len(fine) else None)
+        return float(score[order][fine[-1]]) if len(fine) else None
+
+    every = threshold(held)
+    least: list[float | None] = []
+    for k in range(len(KINDS)):
+        of = held & (x[:, 0] == k)
+        own = threshold(of)
+        # A kind of which the sample has examples but next to nothing else takes the threshold of all kinds.
+        least.append(every if own is None and (y[of] == 0).sum() < LEAST / 2 <= (y[of] == 1).sum() else own)
     return Model(trees, least)
 
 
-def _added(model: Model) -> Column:
-    """The proposed spans whose score reaches the threshold of their kind, without those that a better one overlaps."""
-    parts = []
-    for k in range(len(KINDS)):
-        if model.least[k] is not None and math.isfinite(model.least[k]):
-            scored = F.transform(f"wide{k}", lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("ord"), m["end"].alias("end"), model.trees.column(features(k, m["match"], m["before"], m["after"])).alias("score")))
-            parts.append(F.filter(scored, lambda m: m["score"] >= model.least[k]))
-    if not parts:
-        return F.array().cast("array<struct<start:int,ord:int,end:int>>")
-    every = F.concat(*parts)
+def _with_all(df: DataFrame, model: Model) -> DataFrame:
+    """Add column all: base spans and those proposed spans whose score reaches the threshold of their kind, without those that a better one overlaps.
+
+    Features, scores and the choice are columns of their own, so each is worked out once.
+    """
+    used = [k for k in range(len(KINDS)) if model.least[k] is not None and math.isfinite(model.least[k])]
+    if not used:
+        return df.withColumn("all", F.col("base"))
+    for k in used:
+        df = df.withColumn(f"_seen{k}", F.transform(f"wide{k}", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), *(c.alias(n) for n, c in features(k, m["match"], m["before"], m["after"]).items()))))
+    for k in used:
+        df = df.withColumn(f"_score{k}", F.transform(f"_seen{k}", lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("ord"), m["end"].alias("end"), model.trees.column({n: m[n] for n in FEATURES}).alias("score"))))
+    df = df.withColumn("_every", F.concat(*(F.filter(f"_score{k}", lambda m: m["score"] >= model.least[k]) for k in used)))
     better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & (F.struct(a["start"], a["ord"]) < F.struct(b["start"], b["ord"])))
-    best = F.filter(every, lambda m: ~F.exists(every, lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"]) & better(o, m)))
-    return F.transform(best, lambda m: F.struct(m["start"].alias("start"), m["ord"].alias("ord"), m["end"].alias("end")))
+    best = F.filter("_every", lambda m: ~F.exists("_every", lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"]) & better(o, m)))
+    added = F.transform(best, lambda m: F.struct(m["start"].alias("start"), m["ord"].alias("ord"), m["end"].alias("end")))
+    return df.withColumn("all", F.array_sort(F.concat("base", added)))
 
 
 def written_out(spans: Column) -> Column:
@@ -216,8 +232,7 @@ def written_out(spans: Column) -> Column:
 
 def find(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each document: doc_id, counts and digest of base spans, and all spans.  A null text has none."""
-    df = _spans(docs, id_col, text_col)
-    df = df.withColumn("all", F.array_sort(F.concat("base", _added(model))))
+    df = _with_all(_spans(docs, id_col, text_col), model)
     return df.select("doc_id", *(F.size(f"base{k}").cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)), F.sha2(written_out(F.col("base")), 256).alias("base_sha256"), written_out(F.col("all")).alias("spans"))
 
 
@@ -225,7 +240,7 @@ def redact(docs: DataFrame, model: Model, *, text_col: str = "text", length_col:
     """docs with every span replaced by its kind in brackets; spans that overlap become one, of the first kind."""
     columns = docs.columns
     df = _spans(docs.withColumn("_whole", F.struct(*columns)), "", text_col, [F.col("_whole")])
-    df = df.withColumn("all", F.array_sort(F.concat("base", _added(model))))
+    df = _with_all(df, model)
     tag = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
     def step(acc: Column, s: Column) -> Column:
