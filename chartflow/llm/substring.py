@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -93,27 +93,43 @@ def _parts(base: DataFrame, k: int, before: int | None, length: int) -> DataFram
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc[one], minlength=b.num_rows))]).astype(np.int32)
             yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(h[one].view(np.int64)))], ["doc_id", "hs"])
 
-    return base.mapInArrow(run, "doc_id long, hs array<long>").select(F.explode("hs").alias("h"), "doc_id")
+    found = base.mapInArrow(run, "doc_id long, hs array<long>").select(F.explode("hs").alias("h"), "doc_id")
+    return found.select(_never_null("h"), _never_null("doc_id"))
+
+
+def _never_null(name: str, kind: str = "long") -> Column:
+    """Tells Spark what holds anyway; it would filter nulls on one side of a join alone, and then shuffle the same rows twice."""
+    return F.coalesce(name, F.lit(0).cast(kind)).alias(name)
 
 
 def _windows(base: DataFrame, before: int, length: int) -> DataFrame:
-    """(h, check, doc_id, at): every full window that is left over, by a hash of 96 bits, and its first word."""
+    """(h, check, doc_id, at, more): the distinct full windows that are left over, by a hash of 96 bits.
+
+    at is the first word of the first one in its document; more has those of
+    all others, null if there are none, so a line that fills a document is a row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches, "text"):
             w, words = _chunk(b)
             old, full = least_parts(words, w.count, before, length)
             live = _among(b, w.doc[full], old, b.num_rows)
-            h, _ = common.windows(words, w.count, length)
-            check, _ = common.windows(words, w.count, length, 0xA24BAED4963EE407)
+            h = common.windows(words, w.count, length)[0][live]
+            check = (common.windows(words, w.count, length, 0xA24BAED4963EE407)[0][live] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             doc = w.doc[full[live]]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b.num_rows))]).astype(np.int32)
             at = (full[live] - w.word_at[doc]).astype(np.int32)
-            rows = pa.StructArray.from_arrays([pa.array(h[live].view(np.int64)), pa.array((check[live] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(at)], ["h", "check", "at"])
+            order = np.lexsort((at, check, h, doc))
+            h, check, doc, at = h[order], check[order], doc[order], at[order]
+            one = np.ones(len(h), dtype=bool)
+            one[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1]) | (doc[1:] != doc[:-1])
+            size = np.diff(np.append(np.flatnonzero(one), len(h)))
+            more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size - 1)]).astype(np.int32)), pa.array(at[~one]), mask=pa.array(size == 1))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc[one], minlength=b.num_rows))]).astype(np.int32)
+            rows = pa.StructArray.from_arrays([pa.array(h[one].view(np.int64)), pa.array(check[one]), pa.array(at[one]), more], ["h", "check", "at", "more"])
             yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(ends, rows)], ["doc_id", "rows"])
 
-    found = base.mapInArrow(run, "doc_id long, rows array<struct<h: bigint, check: int, at: int>>")
-    return found.select("doc_id", F.inline("rows"))
+    found = base.mapInArrow(run, "doc_id long, rows array<struct<h: bigint, check: int, at: int, more: array<int>>>").select("doc_id", F.inline("rows"))
+    return found.select(_never_null("h"), _never_null("check", "int"), _never_null("doc_id"), "at", "more")
 
 
 def _result(base: DataFrame, length: int) -> DataFrame:
@@ -122,14 +138,14 @@ def _result(base: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches, "text"):
             ids, n_words, n_removed, digests, left = b.column("doc_id"), [], [], [], []
-            copies, hits = b.column("copy").to_pylist(), b.column("hits")
+            copies, hits, more = b.column("copy").to_pylist(), b.column("hits"), b.column("more")
             for i, text in enumerate(b.column("text").to_pylist()):
                 words = (text or "").encode().split()
                 gone = np.zeros(0, np.int64)
                 if copies[i] and len(words) >= length:
                     kept = []
                 elif hits[i].is_valid:
-                    gone = common.covered(len(words), np.asarray(hits[i].values), length)
+                    gone = common.covered(len(words), np.concatenate([hits[i].values.to_numpy(), more[i].values.to_numpy()]), length)
                     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 else:
                     kept = words
@@ -170,7 +186,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     if hits is None:  # a length so short that there is one level
         raise ValueError(f"length must be more than {FIRST}")
     rows = _windows(fresh.join(hits.hint("shuffle_hash"), "doc_id"), before, length).repartition("h", "check")
-    again = rows.groupBy("h", "check").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "check", "lo")
-    gone = rows.join(again.hint("shuffle_hash"), ["h", "check"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("at").alias("hits"))
+    again = rows.groupBy("h", "check").agg(F.min(F.struct("doc_id", "at", "more")).alias("lo"), F.max("doc_id").alias("hi")).select("h", "check", F.col("lo.doc_id").alias("lo"), "hi").where("lo < hi")
+    gone = rows.join(again.hint("shuffle_hash"), ["h", "check"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("at").alias("hits"), F.flatten(F.collect_list("more")).alias("more"))
     out = _result(base.join(gone.hint("shuffle_hash"), "doc_id", "left"), length)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
