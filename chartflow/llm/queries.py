@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, packing, pii, quality_rules, simhash, substring, token_codes
+from . import ann, chat, kneser_ney, mixing, packing, pii, quality_rules, simhash, substring, token_codes
 from .common import table
 
 
@@ -65,6 +65,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,6 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_token_codes, op3_simhash_near_dedup, op4_chat_formatting, op5_packing, op6_substring_dedup, op8_source_mixing, op9_personal_data, op10_nearest_vectors)
+    f.__name__: f for f in (op1_quality_rules, op2_token_codes, op3_simhash_near_dedup, op4_chat_formatting, op5_packing, op6_substring_dedup, op7_kneser_ney, op8_source_mixing, op9_personal_data, op10_nearest_vectors)
 }
 SQL: dict[str, str] = {"op4_chat_formatting": _op4_sql(), "op8_source_mixing": mixing.sql()}
