@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..clinical import sofa, stitching
 from ..functions import scalars
 from ..operators import aggregates, asof, extremal, intervals, prefix, ranges, reshape, sequences, units
+from ..quality import checks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -428,3 +430,92 @@ def string_list(spark, d):
 def imputed_pressure(spark, d):
     e = table(spark, d, "events").select("event_type", (F.lit(50) + F.col("event_id") % 50).alias("spo2"))
     return e.withColumn("pao2", F.round(scalars.pao2_from_spo2(F.col("spo2")), 4))
+
+
+@query("SELECT 'user_id' AS \"column\", count(*) AS n_rows, count(*) FILTER (v IS NULL) AS missing, round(count(*) FILTER (v IS NULL) * 100.0 / count(*), 6) AS pct FROM " + _HOLES)
+def dqa_missingness(spark, d):
+    h = _holes(spark, d)
+    return h.agg(F.lit("user_id").alias("column"), F.count("*").alias("n_rows"), F.count_if(F.col("v").isNull()).alias("missing"), F.round(F.count_if(F.col("v").isNull()) * 100.0 / F.count("*"), 6).alias("pct"))
+
+
+@query("SELECT 'o_orderpriority' AS \"column\", o_orderpriority AS original, count(*) AS n, lower(trim(o_orderpriority)) AS value FROM orders GROUP BY ALL UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*), lower(trim(o_orderstatus)) FROM orders GROUP BY ALL")
+def dqa_categorical(spark, d):
+    return checks.category_counts(table(spark, d, "orders"), ["o_orderpriority", "o_orderstatus"])
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (o_orderdate > l_shipdate) AS broken FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def dqa_chronology(spark, d):
+    both = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("o_orderdate") > F.col("l_shipdate")).alias("broken"))
+
+
+@query(SQL["outlier_summary"])
+def dqa_ranges(spark, d):
+    return outlier_summary(spark, d)
+
+
+@query("SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL)")
+def dqa_duplicates(spark, d):
+    return checks.duplicates(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]).withColumnRenamed("rows", "n_rows")
+
+
+@query("""SELECT count(c) AS child_ids, count(*) FILTER (p IS NULL) AS orphans, count(p) AS parent_ids, count(*) FILTER (c IS NULL) AS unused
+    FROM (SELECT DISTINCT o_custkey AS c FROM orders) FULL JOIN (SELECT c_custkey AS p FROM customer) ON c = p""")
+def dqa_referential(spark, d):
+    return checks.referential(table(spark, d, "orders"), table(spark, d, "customer"), "o_custkey", "c_custkey")
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER (start_time < p) AS overlapping FROM (SELECT *, lag(end_time) OVER (PARTITION BY user_id ORDER BY start_time, end_time) AS p FROM {_WINDOWS})")
+def dqa_overlaps(spark, d):
+    o = intervals.overlaps(_windows(spark, d), ["user_id"], "start_time", "end_time")
+    return o.agg(F.count("*").alias("n"), F.count_if("overlap").alias("overlapping"))
+
+
+@query("SELECT o_orderpriority, year(o_orderdate) AS year, count(DISTINCT o_custkey) AS n FROM orders GROUP BY ALL")
+def dqa_temporal(spark, d):
+    return checks.yearly(table(spark, d, "orders"), "o_orderpriority", "o_orderdate", "o_custkey").withColumn("year", F.col("year").cast("long"))
+
+
+@query("SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, count(DISTINCT o_custkey) AS n, round(avg(o_totalprice) / 1000, 1) AS mean FROM orders GROUP BY ALL")
+def dqa_monthly_trend(spark, d):
+    return checks.monthly(table(spark, d, "orders"), "o_orderpriority", "o_orderdate", "o_custkey", "o_totalprice").withColumn("mean", F.round(F.col("mean") / 1000, 1))
+
+
+@query(f"SELECT count(*) FILTER (event_type = 'purchase') AS n, count(*) FILTER (event_type = 'purchase' AND v IS NULL) AS missing FROM {_HOLES}")
+def dqa_conditional(spark, d):
+    p = F.col("event_type") == "purchase"
+    return _holes(spark, d).agg(F.count_if(p).alias("n"), F.count_if(p & F.col("v").isNull()).alias("missing"))
+
+
+@query("SELECT l_returnflag AS category, l_linestatus AS grp, count(*) AS n FROM lineitem WHERE (l_returnflag = 'N' AND l_linestatus <> 'O') OR (l_returnflag <> 'N' AND l_linestatus <> 'F') GROUP BY ALL")
+def dqa_group_mapping(spark, d):
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("category"), F.col("l_linestatus").alias("grp")).agg(F.count("*").alias("n"))
+    return rows.where(F.col("grp") != F.when(F.col("category") == "N", "O").otherwise("F"))
+
+
+@query("SELECT count(*) AS ship_n, count(*) FILTER (l_shipdate < o_orderdate) AS ship_before, count(*) FILTER (l_shipdate > o_orderdate + INTERVAL 90 DAY) AS ship_after FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate IS NOT NULL")
+def dqa_within_stay(spark, d):
+    stays = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("start"), (F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS")).alias("end"))
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_shipdate").alias("ship"))
+    return checks.within_stay(e, stays, "k", ["ship"], "start", "end")
+
+
+@query("""WITH w AS (SELECT user_id, max(CASE WHEN event_type = 'click' THEN value / 5 END) AS norepinephrine_mcg_kg_min, min(CASE WHEN event_type = 'view' THEN value END) AS map, min(CASE WHEN event_type = 'error' THEN value * 4 END) AS platelet_count, max(CASE WHEN event_type = 'purchase' THEN value / 10 END) AS creatinine FROM events GROUP BY user_id),
+    s AS (SELECT user_id, coalesce(CASE WHEN norepinephrine_mcg_kg_min > 0.1 THEN 4 WHEN norepinephrine_mcg_kg_min <= 0.1 THEN 3 WHEN map < 70 THEN 1 WHEN map >= 70 THEN 0 END, 0) AS sofa_cv_97,
+        coalesce(CASE WHEN platelet_count < 20 THEN 4 WHEN platelet_count < 50 THEN 3 WHEN platelet_count < 100 THEN 2 WHEN platelet_count < 150 THEN 1 ELSE 0 END, 0) AS sofa_coag,
+        coalesce(CASE WHEN creatinine >= 5 THEN 4 WHEN creatinine >= 3.5 THEN 3 WHEN creatinine >= 2 THEN 2 WHEN creatinine >= 1.2 THEN 1 ELSE 0 END, 0) AS sofa_renal FROM w)
+    SELECT *, sofa_cv_97 + sofa_coag + sofa_renal AS sofa_total FROM s""")
+def organ_scores(spark, d):
+    e, v, t = table(spark, d, "events"), F.col("value"), F.col("event_type")
+    wide = e.select("user_id", F.col("ts").alias("event_time"), F.when(t == "click", v / 5).alias("norepinephrine_mcg_kg_min"), F.when(t == "view", v).alias("map"), F.when(t == "error", v * 4).alias("platelet_count"), F.when(t == "purchase", v / 10).alias("creatinine"))
+    return sofa.from_wide(wide, id_col="user_id").select("user_id", "sofa_cv_97", "sofa_coag", "sofa_renal", "sofa_total")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate AS a, o_orderdate + INTERVAL 20 DAY AS b FROM orders),
+    l AS (SELECT *, coalesce(lead(a) OVER w - b <= INTERVAL 240 HOUR, FALSE) AS linked FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY a, o_orderkey)),
+    c AS (SELECT *, sum(CASE WHEN p THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY a, o_orderkey) AS chain FROM (SELECT *, coalesce(lag(linked) OVER (PARTITION BY o_custkey ORDER BY a, o_orderkey), FALSE) AS p FROM l))
+    SELECT CAST(o_orderkey AS VARCHAR) AS hospitalization_id, last_value(CAST(o_orderkey AS VARCHAR)) OVER (PARTITION BY o_custkey, chain ORDER BY a, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS encounter_block FROM c""")
+def encounter_stitching(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("patient_id"), F.format_string("%012d", "o_orderkey").alias("hospitalization_id"), F.col("o_orderdate").alias("admission_dttm"), (F.col("o_orderdate") + F.expr("INTERVAL 20 DAYS")).alias("discharge_dttm"))
+    _, _, mapping = stitching.stitch(o, o.select("hospitalization_id"), 240, exact_ids=False)
+    return mapping.select(*(F.regexp_replace(c, "^0+(?=.)", "").alias(c) for c in mapping.columns))

@@ -1 +1,43 @@
+"""Streaming forms of the batch operators: windows, sessions, and suppression of repeats."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def hourly(events: DataFrame, key: str, time: str, value: str, *, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
+    """Count, mean, least and greatest value by key and clock hour; late rows are waited for so long."""
+    return events.withWatermark(time, late).groupBy(F.col(key), F.window(time, width)).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+
+
+def sessions(events: DataFrame, key: str, time: str, *, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Runs of events without a gap: the streaming form of courses."""
+    return events.withWatermark(time, late).groupBy(F.col(key), F.session_window(time, gap)).agg(F.count("*").alias("n"))
+
+
+def suppress_repeats(events: DataFrame, key: str, time: str, days: int) -> DataFrame:
+    """Keep an event if more than so many whole days have passed since the last one kept of its key.
+
+    The state of a key is one time.  Rows of a batch go by time; across batches
+    they count in the order in which they come.
+    """
+    kept = events.schema
+
+    def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(time)
+        keep = []
+        for t in rows[time]:
+            ok = last is None or (t - last).days > days
+            keep.append(ok)
+            last = t if ok else last
+        if last is not None:
+            state.update((last.value // 1000,))
+        yield rows[keep]
+
+    return events.groupBy(key).applyInPandasWithState(step, kept, "last long", "append", GroupStateTimeout.NoTimeout)
