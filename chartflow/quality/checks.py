@@ -187,7 +187,8 @@ def numeric_ranges(df: DataFrame, s: Schema) -> list[Finding]:
     for value, keys, rules in s.ranges:
         if value not in df.columns or not set(keys) <= set(df.columns):
             continue
-        for r in ranges.range_summary(df, value, keys, rules).collect():
+        plain = df.withColumns({k: scalars.for_validation(F.col(k)) for k in keys})
+        for r in ranges.range_summary(plain, value, keys, rules).collect():
             out.append(_grade("P.2", s.table, "range", r["n_outside"], r["n"], BROKEN, ", ".join([value, *(str(r[k]) for k in keys)]), below=r["n_below"], above=r["n_above"]))
     return out or ([Finding("P.2", s.table, "range", "pass")] if s.ranges else [])
 
