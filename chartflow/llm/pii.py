@@ -45,7 +45,7 @@ WIDE = [
     r"[0-9](?<![0-9][0-9])(?:[\x20./_-]{0,2}[0-9])++",
     r"[0-9](?<![0-9][0-9])(?:[\x20()./-]{0,3}[0-9])++",
 ]
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 CUES = ["(?:e-?mail|contact|write|courriel|correo)", "(?:ip|host|server|address|adresse)", "(?:card|visa|credit|carte|tarjeta|karte)", "(?:tel|phone|call|mobile|fax|t[eé]l[eé]phone|tel[eé]fono)"]
 #: Documents and candidates that the trees are fitted on at most.
 SAMPLE, ROWS = 4000, 20_000
