@@ -8,6 +8,8 @@ buffer, so that numpy is called a fixed number of times for each chunk.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -67,6 +69,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task; a Python worker lives on, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 class Words:
