@@ -37,7 +37,8 @@ def to_preferred(df: DataFrame, *, dose: str = "med_dose", strict: bool = True)
     """
     p, b = F.col("_preferred_unit"), F.col("_base_unit")
     if strict:
-        bad = [r[0] for r in df.where(p.isNotNull() & ~p.isin([*s.RATE_UNITS, *s.AMOUNTS])).select(p).distinct().limit(20).collect()]
+        known = {None, *s.RATE_UNITS, *s.AMOUNTS}
+        bad = [r[0] for r in df.select(p).distinct().limit(10 * len(known)).collect() if r[0] not in known]
         if bad:
             raise ValueError(f"cannot convert to these units: {sorted(bad)}")
     kind = F.col("_unit_class") if "_unit_class" in df.columns else s.unit_class(b)
