@@ -31,7 +31,7 @@ ORDER = 4
 QUANTILE, ROOM = 0.99, 1.15
 HELD_OUT = 5
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 START, END = 2, 3
 #: Probability of a character where a language has no trusted text.
 UNSEEN = 1.0 / 65536
@@ -88,11 +88,11 @@ def _found(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def _scored(left: pa.Table, right: pa.Table) -> pa.Table:
-    """(doc_id, lang, n, logp) of a block's documents, from its lexicon (lang, g, logp)."""
+    """(doc_id, lang, n, logp) of a block's documents, from its lexicon (lang, g, logp in single precision, summed in double)."""
     parts = []
     for name, part in _by_language(left) if left.num_rows else []:
         mine = right.filter(pc.equal(right["lang"], name))
-        key, value = mine["g"].to_numpy(), mine["logp"].to_numpy()
+        key, value = mine["g"].to_numpy(), mine["logp"].to_numpy().astype(np.float64)
         order = np.argsort(key)
         key, value = key[order], value[order]
         for b in _slices(part):
@@ -157,7 +157,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     found = dealt.cogroup(trusted.where(~held).select(block, "doc_id").groupBy("block")).applyInArrow(_found, "block long, lang string, g long, c long")
     found = common.written(found, "grams")
-    lexicon = found.select("block", "lang", "g").join(probabilities(found), ["lang", "g"]).select("block", "lang", "g", F.log("p").alias("logp"))
+    lexicon = found.select("block", "lang", "g").join(probabilities(found), ["lang", "g"]).select("block", "lang", "g", F.log("p").cast("float").alias("logp"))
     scored = dealt.cogroup(lexicon.groupBy("block")).applyInArrow(_scored, "doc_id long, lang string, n long, logp double")
     scored = common.written(scored.select("doc_id", "lang", (F.col("n") - 1).alias("n_chars"), F.exp(-F.col("logp") / F.col("n")).alias("perplexity")), "scored")
     limits = scored.join(trusted, "doc_id", "left_semi").groupBy("lang").agg((F.coalesce(F.percentile_approx(F.when(held, F.col("perplexity")), quantile, 10_000), F.max("perplexity")) * ROOM).alias("threshold"))
