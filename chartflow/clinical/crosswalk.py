@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,33 @@ def apply_column(df: DataFrame, column: str, renames: dict[str, str], unresolved
     return df.withColumn(column, normal if out is None else out.otherwise(normal))
 
 
+# By table and column, what version 3.0 calls a value of 2.1, and values that only a person can resolve.
+RENAMES = {
+    "patient": {"language_category": {"Unknown or NA": "unknown"}},
+    "hospitalization": {
+        "discharge_category": {
+            "Skilled Nursing Facility (SNF)": "snf",
+            "Acute Inpatient Rehab Facility": "acute_ip_rehab",
+            "Long Term Care Hospital (LTACH)": "ltach",
+            "Acute Care Hospital": "acute_care_hosp",
+            "Against Medical Advice (AMA)": "ama",
+            "Psychiatric Hospital": "mental_health_hosp",
+        }
+    },
+    "labs": {"lab_category": {"glucose_fingerstick": "glucose"}, "lab_specimen_category": {"blood/plasma/serum": "plasma_blood"}},
+    "respiratory_support": {
+        "device_category": {"High Flow NC": "hfnc"},
+        "mode_category": {"Assist Control-Volume Control": "acvc", "Pressure-Regulated Volume Control": "prvc", "Pressure Support/CPAP": "ps_or_cpap"},
+    },
+    "microbiology_culture": {"organism_category": {"clostridium_difficile": "clostridioides_difficile", "staphyloccocus_coagneg": "staphylococcus_coagneg"}},
+}
+UNRESOLVED = {"medication_admin_continuous": {"med_category": {"albumin"}}, "labs": {"lab_specimen_category": {"csf", "other"}}}
+
+
+def vocabulary_of(table: str) -> Vocabulary:
+    return Vocabulary(RENAMES.get(table, {}), UNRESOLVED.get(table, {}))
+
+
 @dataclass
 class Vocabulary:
     """Of each column: renames, and values that no rule resolves."""
@@ -29,6 +57,14 @@ class Vocabulary:
     unresolved: dict[str, set[str]] = field(default_factory=dict)
     suffixes: tuple[str, ...] = ("_category", "_group", "_type")
 
+    @classmethod
+    def from_yaml(cls, path: str, table: str) -> Vocabulary:
+        """renames and unresolved of one table from a file."""
+        with open(path) as f:
+            t = yaml.safe_load(f)
+        text = lambda d: {str(k): str(v) for k, v in d.items()}
+        return cls({c: text(r) for c, r in ((t.get("renames") or {}).get(table) or {}).items()}, {c: set(map(str, v)) for c, v in ((t.get("unresolved") or {}).get(table) or {}).items()})
+
     def columns(self, df: DataFrame) -> list[str]:
         return [c for c, k in df.dtypes if k == "string" and c.endswith(self.suffixes)]
 
@@ -54,7 +90,7 @@ def report(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return counted.withColumn("new", new).withColumn("how", F.coalesce(how, F.when(F.col("old") == F.col("new"), "unchanged").otherwise("normalised")))
 
 
-def migrate(spark: SparkSession, source: str, target: str, tables: list[str], vocabulary: Vocabulary, *, kind: str = "parquet", skip_existing: bool = True) -> list[dict]:
+def migrate(spark: SparkSession, source: str, target: str, tables: list[str], vocabulary: Vocabulary | None = None, *, kind: str = "parquet", skip_existing: bool = True) -> list[dict]:
     """Crosswalk every table of a folder into another; one record each with counts before and after.
 
     Rows, columns and distinct ids must stay the same; where they do not, what
@@ -69,7 +105,7 @@ def migrate(spark: SparkSession, source: str, target: str, tables: list[str], vo
             records.append({"table": name, "status": "exists"})
         else:
             df = io.read(spark, old, kind)
-            io.save(crosswalk(df, vocabulary), new, kind, overwrite=True)
+            io.save(crosswalk(df, vocabulary or vocabulary_of(name)), new, kind, overwrite=True)
             before, after = io.summary(df), io.summary(io.read(spark, new, kind))
             if before != after:
                 io.remove(spark, new)

@@ -31,11 +31,22 @@ def rule_table(spark: SparkSession, rules: list[tuple], keys: list[str]) -> Data
 
 def _with_rules(df: DataFrame, rules: list[tuple], keys: list[str]) -> DataFrame:
     """df with _low and _high of its row's rule.  The rules are a list in the program, so they are broadcast."""
+    if not keys:  # one range for the whole column
+        low, high = rules[0][-2:]
+        return df.withColumns({"_low": F.lit(low).cast("double"), "_high": F.lit(high).cast("double")})
     t = rule_table(df.sparkSession, rules, keys)
     on = [F.lower(F.col(k)) == F.col(f"_k{i}") for i, k in enumerate(keys)]
     return df.join(F.broadcast(t), on, "left").drop(*(f"_k{i}" for i in range(len(keys))))
 
 
+def clean(df: DataFrame, rules: list[tuple]) -> DataFrame:
+    """All rules of a table (value column, key columns, rules), as an outlier file gives them; columns that are missing are left out."""
+    for value, keys, of in rules:
+        if value in df.columns and set(keys) <= set(df.columns):
+            df = clamp_by_rule(df, value, keys, of)
+    return df
+
+
 def outside(value: str) -> Column:
     v = F.col(value)
     return F.coalesce((v < F.col("_low")) | (v > F.col("_high")), F.lit(False))
