@@ -8,10 +8,13 @@ buffer, so that numpy is called a fixed number of times for each chunk.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import shutil
 import uuid
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -156,24 +159,34 @@ def covered(n: int, first: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+#: Folders in the shared folder that this program has made.
+_made: list[str] = []
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is read from spark.checkpoint.dir of the session; only where that is
-    unset, as in tests, a local folder under the warehouse is set.
+    unset, as in tests, a folder under the warehouse is used, and taken away
+    when the program ends.
     """
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        place = current.get() if current.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(place)
+        house = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if house not in _own:
+            _own[house] = f"{house}/_shared-{uuid.uuid4().hex}"
+            if urlparse(house).scheme in ("", "file"):
+                atexit.register(shutil.rmtree, urlparse(_own[house]).path, ignore_errors=True)
+        place = _own[house]
     return place.rstrip("/")
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new name inside the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -184,5 +197,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> int:
+    """Delete what this program has written to the shared folder, once no result that reads it is needed; how many folders."""
+    n = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -526,3 +526,9 @@ def test_shared_folder_is_that_of_the_session(spark):
 
     assert common.shared_folder(spark)
     assert common.fresh_folder(Session("hdfs:///some/place/"), "x").startswith("hdfs:///some/place/x-")
+
+
+def test_written_tables_can_be_removed(spark):
+    common._made.clear()
+    df = common.written(spark.range(3).toDF("id"), "three")
+    assert df.count() == 3 and common.remove_written(spark) == 1 and common.remove_written(spark) == 0
