@@ -54,24 +54,21 @@ class Orchestrator:
         cohort = self.table("hospitalization").select(H, "patient_id", "age_at_admission")
         if ids is not None:
             cohort = cohort.join(ids.select(H), H, "left_semi")
-        pivots, wides, times = [], [], []
+        longs, wides = [], []
         for name, wanted in categories.items():
             df = self.table(name)
             if name in LONG:
                 time, category, value = LONG[name]
-                if name == "patient_assessments":
+                text = name == "patient_assessments"
+                if text:
                     df = df.withColumn(value, reshape.coalesced_value("numerical_value", *(c for c in ("categorical_value", "text_value") if c in df.columns)))
-                df = df.where(F.col(category).isin(wanted))
-                pivots.append(reshape.minute_pivot(df, [H], time, category, value, wanted, zone=zone))
+                longs.append(reshape.Long(df.where(F.col(category).isin(wanted)), time, category, value, tuple(wanted), text))
             elif name in WIDE:
-                time = WIDE[name]
-                df = df.select(H, time, *[c for c in wanted if c in df.columns])
-                wides.append((df, time))
+                wides.append((df.select(H, WIDE[name], *[c for c in wanted if c in df.columns]), WIDE[name]))
             else:
                 raise ValueError(f"{name} has no place in a wide table")
-            times.append((df, time))
         w = windows.select(H, "start_time", "end_time") if windows is not None else None
-        return reshape.wide_table(cohort, pivots, wides, reshape.event_times(times, [H]), [H], zone=zone, windows=w)
+        return reshape.wide_from_long(cohort, longs, [H], zone=zone, windows=w, wides=wides)
 
     def sofa(self, *, id_col: str = H, cohort: DataFrame | None = None, **options) -> DataFrame:
         """Scores from the wide table; doses must have been converted to mcg/kg/min before."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,6 +54,52 @@ def wide_table(cohort: DataFrame, pivots: list[DataFrame], wides: list[tuple[Dat
     return spine.withColumn("id_day_key", F.concat_ws("_day_", F.concat_ws("_", *(F.col(k).cast("string") for k in keys)), F.col("day_number").cast("string"))).drop("minute_key")
 
 
+@dataclass(frozen=True)
+class Long:
+    """A long table and which of its categories become columns; text: values are texts."""
+
+    df: DataFrame
+    time: str
+    category: str | None = None
+    value: str | None = None
+    categories: tuple[str, ...] = ()
+    text: bool = False
+
+
+def wide_from_long(cohort: DataFrame, longs: list[Long], keys: list[str], *, zone: str = "UTC", windows: DataFrame | None = None, wides: list[tuple[DataFrame, str]] = (), time: str = "event_time") -> DataFrame:
+    """wide_table() of long tables with one shuffle by key for all of them.
+
+    Rows of all tables are united and dealt by key once.  A minute of a key is
+    one group, which holds its distinct times and the first value of each
+    category; the times are then unfolded.  Everything that follows by key (the
+    cohort, day numbers, fixed windows) finds the rows where they are.  Tables
+    that are wide already are joined by minute.
+    """
+    parts = []
+    for t in [*longs, *(Long(df, at) for df, at in wides)]:
+        of, v = (F.col(t.category), F.col(t.value)) if t.category else (F.lit(None).cast("string"), F.lit(None).cast("double"))
+        rows = t.df.where(F.col(t.time).isNotNull())
+        number, text = (F.lit(None).cast("double"), v.cast("string")) if t.text else (v.cast("double"), F.lit(None).cast("string"))
+        parts.append(rows.select(*keys, F.col(t.time).alias(time), of.alias("_of"), number.alias("_number"), text.alias("_text")))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    both = both.repartition(*keys).withColumn("minute_key", scalars.minute_key(F.col(time), zone))
+    columns = [F.min(F.when((F.col("_of") == c) & F.col(v).isNotNull(), F.struct(F.col(time), F.col(v))))[v].alias(c) for t in longs for v in ["_text" if t.text else "_number"] for c in t.categories]
+    spine = both.groupBy(*keys, "minute_key").agg(F.collect_set(time).alias("_times"), *columns).withColumn(time, F.explode("_times")).drop("_times")
+    names = [c for t in longs for c in t.categories]
+    spine = cohort.join(spine, keys).select(*cohort.columns, time, *names, "minute_key")
+    if windows is not None:
+        w = windows.select(*keys, F.col("start_time").alias("_start"), F.col("end_time").alias("_end"))
+        spine = spine.join(w, keys).where(F.col(time).between(F.col("_start"), F.col("_end"))).drop("_start", "_end")
+    for df, at in wides:
+        new = [c for c in df.columns if c not in spine.columns and c != at]
+        spine = spine.join(df.select(*keys, scalars.minute_key(F.col(at), zone).alias("minute_key"), *new), [*keys, "minute_key"], "left")
+    local = F.to_date(F.from_utc_timestamp(F.col(time), zone))
+    spine = spine.withColumn("day_number", F.dense_rank().over(Window.partitionBy(*keys).orderBy(local)))
+    return spine.withColumn("id_day_key", F.concat_ws("_day_", F.concat_ws("_", *(F.col(k).cast("string") for k in keys)), F.col("day_number").cast("string"))).drop("minute_key")
+
+
 def with_columns(df: DataFrame, names: list[str], kind: str = "double") -> DataFrame:
     """df with a null column for each name that it lacks."""
     return df.withColumns({n: F.lit(None).cast(kind) for n in names if n not in df.columns})

@@ -137,7 +137,7 @@ _WIDE = f"""SELECT t.user_id, t.event_time, {", ".join("p." + t for t in TYPES)}
 def _wide(spark, d):
     e = table(spark, d, "events")
     users = e.select("user_id").distinct()
-    return reshape.wide_table(users, [_pivot(spark, d)], [], reshape.event_times([(e, "ts")], ["user_id"]), ["user_id"])
+    return reshape.wide_from_long(users, [reshape.Long(e, "ts", "event_type", "value", tuple(TYPES))], ["user_id"])
 
 
 @query(f"SELECT *, user_id || '_day_' || day_number AS id_day_key FROM ({_WIDE})")
@@ -160,6 +160,13 @@ def _hourly(spark, d):
     return out.withColumn("view_mean", F.round("view_mean", 6))
 
 
+@query(f"SELECT *, user_id || '_day_' || day_number AS id_day_key FROM ({_WIDE})")
+def wide_dataset_by_joins(spark, d):
+    e = table(spark, d, "events")
+    users = e.select("user_id").distinct()
+    return reshape.wide_table(users, [_pivot(spark, d)], [], reshape.event_times([(e, "ts")], ["user_id"]), ["user_id"])
+
+
 @query(_HOURLY)
 def hourly_aggregate(spark, d):
     return _hourly(spark, d)
