@@ -90,7 +90,7 @@ def report(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return counted.withColumn("new", new).withColumn("how", F.coalesce(how, F.when(F.col("old") == F.col("new"), "unchanged").otherwise("normalised")))
 
 
-def migrate(spark: SparkSession, source: str, target: str, tables: list[str], vocabulary: Vocabulary | None = None, *, kind: str = "parquet", skip_existing: bool = True) -> list[dict]:
+def migrate(spark: SparkSession, source: str, target: str, tables: list[str], vocabulary: Vocabulary | None = None, *, kind: str = "parquet", prefix: str = "", skip_existing: bool = True) -> list[dict]:
     """Crosswalk every table of a folder into another; one record each with counts before and after.
 
     Rows, columns and distinct ids must stay the same; where they do not, what
@@ -98,7 +98,7 @@ def migrate(spark: SparkSession, source: str, target: str, tables: list[str], vo
     """
     records = []
     for name in tables:
-        old, new = io.table_path(source, name, kind), io.table_path(target, name, kind)
+        old, new = io.table_path(source, name, kind, prefix), io.table_path(target, name, kind, prefix)
         if not io.exists(spark, old):
             records.append({"table": name, "status": "missing"})
         elif skip_existing and io.exists(spark, new):

@@ -30,7 +30,7 @@ class Orchestrator:
 
     def table(self, name: str) -> DataFrame:
         if name not in self.tables:
-            df = io.read_table(self.spark, self.settings["data_directory"], name, self.settings["filetype"])
+            df = io.read_table(self.spark, self.settings["data_directory"], name, self.settings["filetype"], prefix=self.settings.get("file_prefix", ""))
             if df is None:
                 raise FileNotFoundError(name)
             self.tables[name] = df

@@ -13,8 +13,8 @@ from ..functions import scalars
 KINDS = ("csv", "parquet", "json", "orc")
 
 
-def table_path(folder: str, table: str, kind: str = "parquet", prefix: str = "clif_") -> str:
-    """<folder>/<prefix><table>.<kind>."""
+def table_path(folder: str, table: str, kind: str = "parquet", prefix: str = "") -> str:
+    """<folder>/<prefix><table>.<kind> (S1); what names begin with is a setting of the site."""
     return f"{folder.rstrip('/')}/{prefix}{table}.{kind}"
 
 
@@ -70,15 +70,15 @@ def typed(df: DataFrame) -> DataFrame:
     return df.withColumns(new)
 
 
-def read_table(spark: SparkSession, folder: str, table: str, kind: str = "parquet", **options) -> DataFrame | None:
+def read_table(spark: SparkSession, folder: str, table: str, kind: str = "parquet", *, prefix: str = "", **options) -> DataFrame | None:
     """read() by the naming rule; None if there is no such file."""
-    path = table_path(folder, table, kind)
+    path = table_path(folder, table, kind, prefix)
     return read(spark, path, kind, **options) if exists(spark, path) else None
 
 
-def read_all(spark: SparkSession, folder: str, tables: list[str], kind: str = "parquet") -> dict[str, DataFrame]:
+def read_all(spark: SparkSession, folder: str, tables: list[str], kind: str = "parquet", *, prefix: str = "") -> dict[str, DataFrame]:
     """Every table that is there."""
-    found = {t: df for t in tables if (df := read_table(spark, folder, t, kind)) is not None}
+    found = {t: df for t in tables if (df := read_table(spark, folder, t, kind, prefix=prefix)) is not None}
     if not found:
         raise FileNotFoundError(f"none of {tables} is in {folder}")
     return found

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chartflow.clinical import comorbidity, crosswalk, resistance, sepsis, sofa, stitching, tables, waterfall
 from chartflow.functions import scalars, text
-from chartflow.operators import prefix, units
+from chartflow.operators import extremal, prefix, units
 from chartflow.sources import config, io
 
 T0 = dt.datetime(2024, 1, 10)
@@ -218,6 +218,17 @@ def test_tables(spark):
     assert [r[1] for r in tables.standard_units(labs, {"x": ["mg/dL"]}).orderBy("lab_category", F.col("reference_unit")).collect()] == ["g/l", "mg/dL", "mg/dl"]
 
 
+def test_extremes_that_share_a_row(spark):
+    e = spark.createDataFrame([("h", at(1), "map", 60.0), ("h", at(2), "map", 80.0), ("k", at(1), "map", 90.0), ("k", at(2), "map", 70.0)], "id string, t timestamp, c string, v double")
+    w = spark.createDataFrame([("h", at(0), at(5)), ("k", at(0), at(5)), ("h", at(8), at(9))], "id string, start_time timestamp, end_time timestamp")
+    got = {r["id"]: r for r in extremal.extremal_lookup(e, w, ["id"], "t", "c", "v", {"map": ["min"]}, extras=True).collect()}
+    assert (got["h"]["map_min"], got["h"]["map_max"], got["h"]["map_latest"]) == (60.0, None, None)
+    assert (got["k"]["map_min"], got["k"]["map_max"], got["k"]["map_latest"]) == (70.0, None, 70.0)
+    assert extremal.extremal_lookup(e, w, ["id"], "t", "c", "v", {"map": ["min"]}).columns == ["id", "start_time", "end_time", "map_min"]
+    with pytest.raises(ValueError):
+        extremal.extremal_lookup(e, w, ["id"], "t", "c", "v", {"map": ["mean"]})
+
+
 def test_sources_and_settings(spark, tmp_path):
     df = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "patient_id double, sex string")
     path = io.table_path(str(tmp_path), "patient")
@@ -227,6 +238,8 @@ def test_sources_and_settings(spark, tmp_path):
     got = io.read(spark, path, columns=["patient_id"], filters={"sex": ["b"]})
     assert [r[0] for r in got.collect()] == ["2"]
     assert "In(sex, [a,b])" in io.read(spark, path, filters={"sex": ["a", "b"]})._jdf.queryExecution().executedPlan().toString()
+    io.save(df, io.table_path(str(tmp_path), "patient", prefix="site_"))
+    assert io.read_table(spark, str(tmp_path), "patient", prefix="site_").count() == 2
     assert io.read_table(spark, str(tmp_path), "labs") is None and io.size(spark, path) > 0
     assert config.resolve(data_directory="x", filetype="csv", timezone="UTC")["filetype"] == "csv"
     config.example_config(str(tmp_path / "c.json"))
