@@ -44,9 +44,9 @@ def antibiotic_runs(cultures: DataFrame, doses: DataFrame, stays: DataFrame) ->
     c = [H, "bc_id"]
     start = F.min(F.when(F.col("new"), F.col("first"))).over(Window.partitionBy(*c))
     near = near.withColumn("qad_start_day", start).where("qad_start_day IS NOT NULL")
-    named = lambda cond: aggregates.listed("_n") if cond is None else F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("drug")))), ", ")
+    named = lambda cond: F.nullif(F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("drug")))), ", "), F.lit(""))
     later = F.col("first") >= F.col("qad_start_day")
-    facts = near.groupBy(*c, "culture_time", "culture_day", "qad_start_day").agg(F.max((F.col("new") & (F.col("first_iv") == 1)).cast("int")).alias("has_new_parenteral"), F.nullif(named(F.col("new")), F.lit("")).alias("anchor_meds_in_window"), F.nullif(named(F.col("new") & (F.col("first_iv") == 1)), F.lit("")).alias("anchor_parenteral_meds_in_window"), F.nullif(named(later), F.lit("")).alias("run_meds"))
+    facts = near.groupBy(*c, "culture_time", "culture_day", "qad_start_day").agg(F.max((F.col("new") & (F.col("first_iv") == 1)).cast("int")).alias("has_new_parenteral"), named(F.col("new")).alias("anchor_meds_in_window"), named(F.col("new") & (F.col("first_iv") == 1)).alias("anchor_parenteral_meds_in_window"), named(later).alias("run_meds"))
     covered = intervals.expand_days(near.where(later), "first", "last", "covered").where("datediff(covered, qad_start_day) BETWEEN 0 AND 6").select(*c, "qad_start_day", "covered").distinct()
     w = sequences.ordered(c, ["covered"])
     run = covered.withColumn("_off", F.datediff("covered", "qad_start_day") - F.row_number().over(w) + 1).where("_off = 0").groupBy(*c).agg(F.count("*").alias("qad_days"), F.min("covered").alias("qad_run_start"), F.max("covered").alias("qad_run_end"))
@@ -74,12 +74,12 @@ def laboratory(cultures: DataFrame, labs: DataFrame, renal: DataFrame) -> DataFr
     near = intervals.around_days(rows, cultures.select(H, "bc_id", "culture_day"), [H], "at", "culture_day", WINDOW_DAYS)
     of = lambda k: F.col("lab_category") == k
 
-    def baseline(platelets_need: bool) -> list[Column]:
-        most = F.max(F.when(of("platelet_count") & (F.col("value") >= 100), F.col("value")))
-        return [F.min(F.when(of("creatinine"), F.col("value"))).alias("cr"), F.min(F.when(of("bilirubin_total"), F.col("value"))).alias("bili"), most.alias("plt")]
+    def baseline(s: str) -> list[Column]:
+        """The least creatinine and bilirubin, the most platelets if ever 100 or more."""
+        v = F.col("value")
+        return [F.min(F.when(of("creatinine"), v)).alias(f"cr_{s}"), F.min(F.when(of("bilirubin_total"), v)).alias(f"bili_{s}"), F.max(F.when(of("platelet_count") & (v >= 100), v)).alias(f"plt_{s}")]
 
-    stay = rows.groupBy(H).agg(*baseline(True)).select(H, *(F.col(x).alias(f"{x}_co") for x in ("cr", "bili", "plt")))
-    window = near.groupBy(*c).agg(*baseline(True)).select(*c, *(F.col(x).alias(f"{x}_ho") for x in ("cr", "bili", "plt")))
+    stay, window = rows.groupBy(H).agg(*baseline("co")), near.groupBy(*c).agg(*baseline("ho"))
     all_ = near.join(stay, H, "left").join(window, c, "left").join(renal.select(H).distinct().withColumn("esrd", F.lit(1)), H, "left")
     v, out = F.col("value"), []
     for s in ("co", "ho"):
@@ -151,7 +151,7 @@ def events(t: dict[str, DataFrame], *, repeats: bool = True) -> DataFrame:
         "sepsis": (infected & (some | F.col("lactate_dttm").isNotNull())).cast("int"), "sepsis_wo_lactate": (infected & some).cast("int"),
         "presumed_infection_onset_dttm": F.when(infected, F.least("blood_culture_dttm", "first_qad_dttm")),
         "ase_onset_w_lactate_dttm": on_w, "ase_first_criteria_w_lactate": by_w, "ase_onset_wo_lactate_dttm": on_o, "ase_first_criteria_wo_lactate": by_o,
-        "total_qad": F.col("qad_days"), "qad_start_date": F.col("qad_run_start"), "qad_end_date": F.col("qad_run_end"),
+        "total_qad": F.col("qad_days"), "qad_start_date": F.col("qad_run_start").cast("timestamp"), "qad_end_date": F.col("qad_run_end").cast("timestamp"),
     })
     df = df.withColumn("type", F.when(on_w.isNull() | F.col("admission_dttm").isNull(), None).when(stay_day("ase_onset_w_lactate_dttm") <= 2, "community").otherwise("hospital"))
     df = df.withColumn("no_sepsis_reason", F.when(F.col("sepsis") == 1, None).when(~infected, "no_presumed_infection").otherwise("no_organ_dysfunction"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..clinical import sofa, stitching
+from ..clinical import comorbidity, sofa, stitching
 from ..functions import scalars
 from ..operators import aggregates, asof, extremal, intervals, prefix, ranges, reshape, sequences, units
 from ..quality import checks
@@ -526,3 +526,44 @@ def encounter_stitching(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("patient_id"), F.format_string("%012d", "o_orderkey").alias("hospitalization_id"), F.col("o_orderdate").alias("admission_dttm"), (F.col("o_orderdate") + F.expr("INTERVAL 20 DAYS")).alias("discharge_dttm"))
     _, _, mapping = stitching.stitch(o, o.select("hospitalization_id"), 240, exact_ids=False)
     return mapping.select(*(F.regexp_replace(c, "^0+(?=.)", "").alias(c) for c in mapping.columns))
+
+
+_CODES = ["I21.4", "E11.9", "E11.22", "C50.9", "C78.0", "K70.3", "K72.9", "N18.6", "B20", "J44.1", "Z00.0", "i50.2"]
+_CODE = "CASE event_id % 12 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CODES)) + " END"
+
+
+def _charlson_sql() -> str:
+    c = comorbidity.CHARLSON
+    flag = lambda ps: " OR ".join(f"starts_with(code, '{p.lower()}')" for p in prefix.expand(ps))
+    flags = ", ".join(f"max(CAST({flag(ps)} AS INTEGER)) AS {n}" for n, ps in c.conditions.items())
+    mild = {m: s for s, m in c.hierarchies}
+    columns = ", ".join(f"CASE WHEN {mild[n]} = 1 THEN 0 ELSE {n} END AS {n}" if n in mild else n for n in c.conditions)
+    score = " + ".join(f"{n} * {w}" for n, w in c.weights.items())
+    return f"SELECT *, {score} AS cci_score FROM (SELECT hospitalization_id, {columns} FROM (SELECT hospitalization_id, {flags} FROM (SELECT user_id AS hospitalization_id, lower(replace({_CODE}, '.', '')) AS code FROM events WHERE event_type <> 'view') GROUP BY hospitalization_id))"
+
+
+@query(_charlson_sql())
+def charlson_index(spark, d):
+    e = table(spark, d, "events")
+    rows = e.select(F.col("user_id").alias("hospitalization_id"), F.expr(_CODE).alias("diagnosis_code"), F.when(F.col("event_type") == "view", "ICD9CM").otherwise("ICD10CM").alias("diagnosis_code_format"))
+    return comorbidity.charlson(rows)
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity AS dose, CASE WHEN l_linenumber < 5 THEN l_discount * 100 + 50 END AS w, {_CLEAN} AS u FROM lineitem),
+    b AS (SELECT *, CASE WHEN u = 'mg/hr' THEN dose * 1000.0 / 60 WHEN u = 'u/hr' THEN dose / 60 WHEN u IN ('mcg/kg/min') AND w IS NOT NULL THEN dose * w WHEN u = 'g/kg/hr' AND w IS NOT NULL THEN dose * 1000000 / 60 * w ELSE dose END AS base,
+        CASE WHEN u IN ('mg/hr', 'mcg/kg/min', 'g/kg/hr') THEN 'rate mass' WHEN u = 'u/hr' THEN 'rate unit' WHEN u = 'ml' THEN 'amount volume' ELSE u END AS kind FROM s),
+    c AS (SELECT *, CASE WHEN kind = 'rate mass' THEN 'success' WHEN kind = 'rate unit' THEN 'cannot convert unit to mass' WHEN kind LIKE 'amount%' THEN 'cannot convert amount to rate' ELSE 'original unit ' || u || ' is not recognized' END AS status FROM b)
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, status, CASE WHEN status = 'success' THEN 'mg/hr' ELSE u END AS unit, round(CASE WHEN status = 'success' THEN base / 1000 * 60 ELSE dose END, 4) AS converted FROM c""")
+def dose_conversion(spark, d):
+    base = units.to_base(_doses(spark, d)).withColumn("_preferred_unit", F.lit("mg/hr"))
+    out = units.to_preferred(base)
+    return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("_convert_status").alias("status"), F.col("med_dose_unit_converted").alias("unit"), F.round("med_dose_converted", 4).alias("converted"))
+
+
+@query("""WITH p AS (SELECT user_id, event_id, ts, value FROM events WHERE event_type = 'purchase'), s AS (SELECT user_id, ts, value / 100 AS fio2_set FROM events WHERE event_type = 'view' AND value >= 21)
+    SELECT event_id, round(CASE WHEN p.ts - s.ts <= INTERVAL 240 MINUTE THEN p.value / s.fio2_set END, 6) AS p_f FROM p ASOF LEFT JOIN s ON p.user_id = s.user_id AND p.ts >= s.ts""")
+def concurrent_ratio(spark, d):
+    e = table(spark, d, "events")
+    oxygen = e.where("event_type = 'purchase'").select("user_id", "event_id", F.col("ts").alias("event_time"), F.col("value").alias("po2_arterial"), F.lit(None).cast("double").alias("pao2_imputed"))
+    support = e.where("event_type = 'view' AND value >= 21").select("user_id", F.col("ts").alias("recorded_dttm"), (F.col("value") / 100).alias("fio2_set"), F.lit("IMV").alias("device_category"))
+    return sofa.concurrent_ratios(oxygen, support, ["user_id"]).select("event_id", F.round("p_f", 6).alias("p_f"))
