@@ -11,11 +11,21 @@ from ..functions import scalars
 from ..operators import intervals, ranges
 from .schema import KINDS, SPARK, Schema
 
-#: Shares in per cent from which a finding is a warning or an error.
-MISSING = (10.0, 50.0)
-BROKEN = (0.0, 10.0)
-ORPHANS = (1.0, 10.0)
 SHOWN = 10
+#: A warning from any, never an error.
+ANY = (0.0, 101.0)
+
+
+@dataclass(frozen=True)
+class Thresholds:
+    """Shares in per cent from which a finding is a warning and an error."""
+
+    missing: tuple[float, float] = (10.0, 50.0)
+    broken: tuple[float, float] = (0.0, 10.0)
+    orphans: tuple[float, float] = (1.0, 10.0)
+
+
+DEFAULT = Thresholds()
 
 
 @dataclass
@@ -132,7 +142,7 @@ def _sum(c: Column) -> Column:
     return F.coalesce(F.sum(F.coalesce(c.cast("boolean"), F.lit(False)).cast("long")), F.lit(0))
 
 
-def one_pass(df: DataFrame, s: Schema) -> list[Finding]:
+def one_pass(df: DataFrame, s: Schema, limits: Thresholds = DEFAULT) -> list[Finding]:
     """K.1 missing values, K.2 conditions, P.1 order of times, P.3 plausible fields, P.4 dose units: one aggregation."""
     have = set(df.columns)
     exprs: list[Column] = [F.count("*").alias("rows")]
@@ -165,23 +175,23 @@ def one_pass(df: DataFrame, s: Schema) -> list[Finding]:
     for what, at, n in todo:
         v = [row[at + i] for i in range(n)]
         if what[0] == "K.1":
-            f = _grade("K.1", s.table, "missing", v[0], row["rows"], MISSING, what[1].name, inclusive=True)
+            f = _grade("K.1", s.table, "missing", v[0], row["rows"], limits.missing, what[1].name, inclusive=True)
             if what[1].allow_missing and f.severity == "error":
                 f.severity = "warning"
         elif what[0] == "K.2":
-            f = _grade("K.2", s.table, what[1], v[1], v[0], (0.0, 101.0), what[2])
+            f = _grade("K.2", s.table, what[1], v[1], v[0], ANY, what[2])
             f.passed = 1
         elif what[0] == "P.1":
-            f = _grade("P.1", s.table, "order", v[1], v[0], BROKEN, f"{what[1]} - {what[2]}")
+            f = _grade("P.1", s.table, "order", v[1], v[0], limits.broken, f"{what[1]} - {what[2]}")
         elif what[0] == "P.3":
-            f = _grade("P.3", s.table, what[1], v[1], v[0], (0.0, 101.0))
+            f = _grade("P.3", s.table, what[1], v[1], v[0], ANY)
         else:
-            f = _grade("P.4", s.table, "dose unit", v[1], v[0], (0.0, 101.0), "med_dose_unit")
+            f = _grade("P.4", s.table, "dose unit", v[1], v[0], ANY, "med_dose_unit")
         out.append(f)
     return out
 
 
-def numeric_ranges(df: DataFrame, s: Schema) -> list[Finding]:
+def numeric_ranges(df: DataFrame, s: Schema, limits: Thresholds = DEFAULT) -> list[Finding]:
     """P.2: values outside their range, by category and unit."""
     out = []
     for value, keys, rules in s.ranges:
@@ -189,7 +199,7 @@ def numeric_ranges(df: DataFrame, s: Schema) -> list[Finding]:
             continue
         plain = df.withColumns({k: scalars.for_validation(F.col(k)) for k in keys})
         for r in ranges.range_summary(plain, value, keys, rules).collect():
-            out.append(_grade("P.2", s.table, "range", r["n_outside"], r["n"], BROKEN, ", ".join([value, *(str(r[k]) for k in keys)]), below=r["n_below"], above=r["n_above"]))
+            out.append(_grade("P.2", s.table, "range", r["n_outside"], r["n"], limits.broken, ", ".join([value, *(str(r[k]) for k in keys)]), below=r["n_below"], above=r["n_above"]))
     return out or ([Finding("P.2", s.table, "range", "pass")] if s.ranges else [])
 
 
@@ -200,12 +210,12 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 
-def duplicate_keys(df: DataFrame, s: Schema) -> list[Finding]:
+def duplicate_keys(df: DataFrame, s: Schema, limits: Thresholds = DEFAULT) -> list[Finding]:
     """P.7."""
     if not s.keys or not set(s.keys) <= set(df.columns):
         return []
     r = duplicates(df, s.keys).first()
-    return [_grade("P.7", s.table, "duplicate keys", r["duplicates"], r["rows"], BROKEN, ", ".join(s.keys))]
+    return [_grade("P.7", s.table, "duplicate keys", r["duplicates"], r["rows"], limits.broken, ", ".join(s.keys))]
 
 
 def overlapping(df: DataFrame, s: Schema) -> list[Finding]:
@@ -214,7 +224,7 @@ def overlapping(df: DataFrame, s: Schema) -> list[Finding]:
         return []
     keys, start, end = s.periods
     r = intervals.overlaps(df.select(*keys, start, end), keys, start, end).agg(F.count("*").alias("n"), _sum(F.col("overlap")).alias("bad")).first()
-    return [_grade("P.5", s.table, "overlap", r["bad"], r["n"], (0.0, 101.0), f"{start} - {end}")]
+    return [_grade("P.5", s.table, "overlap", r["bad"], r["n"], ANY, f"{start} - {end}")]
 
 
 def yearly(df: DataFrame, category: str, time: str, entity: str) -> DataFrame:
@@ -253,14 +263,14 @@ def referential(child: DataFrame, parent: DataFrame, key: str, parent_key: str |
     return a.join(b, "k", "full").agg(F.count("c").alias("child_ids"), F.count_if(F.col("p").isNull()).alias("orphans"), F.count("p").alias("parent_ids"), F.count_if(F.col("c").isNull()).alias("unused"))
 
 
-def relations(tables: dict[str, DataFrame], links: list[tuple[str, str, str]]) -> list[Finding]:
+def relations(tables: dict[str, DataFrame], links: list[tuple[str, str, str]], limits: Thresholds = DEFAULT) -> list[Finding]:
     """K.4 for each (child, parent, key)."""
     out = []
     for child, parent, key in links:
         if child in tables and parent in tables and key in tables[child].columns and key in tables[parent].columns:
             r = referential(tables[child], tables[parent], key).first()
-            out.append(_grade("K.4", child, f"in {parent}", r["orphans"], r["child_ids"], ORPHANS, key))
-            out.append(_grade("K.4", parent, f"has {child}", r["unused"], r["parent_ids"], (0.0, 101.0), key))
+            out.append(_grade("K.4", child, f"in {parent}", r["orphans"], r["child_ids"], limits.orphans, key))
+            out.append(_grade("K.4", parent, f"has {child}", r["unused"], r["parent_ids"], ANY, key))
     return out
 
 
@@ -271,7 +281,7 @@ def across(tables: dict[str, DataFrame], rules: list[tuple[str, str, str, str, s
         if table in tables and other in tables:
             rows = tables[table].where(when).select(key).distinct()
             bad = rows.join(tables[other].where(F.col(column).isNotNull()).select(key), key, "left_anti").count()
-            out.append(_grade("K.5", table, f"{column} in {other}", bad, rows.count(), (0.0, 101.0), key))
+            out.append(_grade("K.5", table, f"{column} in {other}", bad, rows.count(), ANY, key))
     return out
 
 
@@ -284,30 +294,30 @@ def within_stay(events: DataFrame, stays: DataFrame, key: str, times: list[str],
     return rows.agg(*parts)
 
 
-def stay_times(tables: dict[str, DataFrame], times: dict[str, list[str]], stays: str = "hospitalization", key: str = "hospitalization_id", start: str = "admission_dttm", end: str = "discharge_dttm") -> list[Finding]:
+def stay_times(tables: dict[str, DataFrame], times: dict[str, list[str]], stays: str = "hospitalization", key: str = "hospitalization_id", start: str = "admission_dttm", end: str = "discharge_dttm", limits: Thresholds = DEFAULT) -> list[Finding]:
     out = []
     for table, columns in times.items():
         if table in tables and stays in tables:
             have = [c for c in columns if c in tables[table].columns]
             r = within_stay(tables[table], tables[stays], key, have, start, end).first()
-            out += [_grade("P.8", table, "inside stay", r[f"{c}_before"] + r[f"{c}_after"], r[f"{c}_n"], BROKEN, c, before=r[f"{c}_before"], after=r[f"{c}_after"]) for c in have]
+            out += [_grade("P.8", table, "inside stay", r[f"{c}_before"] + r[f"{c}_after"], r[f"{c}_n"], limits.broken, c, before=r[f"{c}_before"], after=r[f"{c}_after"]) for c in have]
     return out
 
 
-def full(df: DataFrame, s: Schema, tables: dict[str, DataFrame] | None = None, links: list[tuple[str, str, str]] = (), stay_columns: dict[str, list[str]] | None = None) -> dict[str, list[Finding]]:
+def full(df: DataFrame, s: Schema, tables: dict[str, DataFrame] | None = None, links: list[tuple[str, str, str]] = (), stay_columns: dict[str, list[str]] | None = None, limits: Thresholds = DEFAULT) -> dict[str, list[Finding]]:
     """Everything about one table, by part."""
     first = conformance(df, s)
     if first[0].severity == "error":
         return {"conformance": first, "completeness": [], "plausibility": []}
-    counted, words = one_pass(df, s), vocabulary(df, s)
+    counted, words = one_pass(df, s, limits), vocabulary(df, s)
     out = {
         "conformance": first + [f for f in words if f.code == "C.5"] + group_mapping(df, s) + reference_units(df, s),
         "completeness": [f for f in counted if f.code[0] == "K"] + [f for f in words if f.code == "K.3"],
-        "plausibility": [f for f in counted if f.code[0] == "P"] + numeric_ranges(df, s) + overlapping(df, s) + temporal(df, s) + duplicate_keys(df, s),
+        "plausibility": [f for f in counted if f.code[0] == "P"] + numeric_ranges(df, s, limits) + overlapping(df, s) + temporal(df, s) + duplicate_keys(df, s, limits),
     }
     if tables:
-        out["completeness"] += relations(tables, list(links))
-        out["plausibility"] += stay_times(tables, stay_columns or {})
+        out["completeness"] += relations(tables, list(links), limits)
+        out["plausibility"] += stay_times(tables, stay_columns or {}, limits=limits)
     return out
 
 

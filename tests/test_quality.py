@@ -53,6 +53,12 @@ def test_findings(faulty, schema):
     assert {r["column"]: r["nulls"] for r in report.table_figures(faulty)}["note"] == 3
 
 
+def test_thresholds_can_be_set(faulty, schema):
+    strict = checks.Thresholds(missing=(1.0, 20.0))
+    by = {(f.code, f.column): f.severity for f in checks.one_pass(faulty, schema, strict)}
+    assert by["K.1", "out_dttm"] == "error" and by["K.1", "hospitalization_id"] == "pass"
+
+
 def test_across_tables(spark, faulty):
     stays = spark.createDataFrame([("1", T0 + dt.timedelta(hours=1), T0 + dt.timedelta(hours=9), "Expired", "p"), ("9", T0, T0, "Home", "q")], "hospitalization_id string, admission_dttm timestamp, discharge_dttm timestamp, discharge_category string, patient_id string")
     patient = spark.createDataFrame([("p", None)], "patient_id string, death_dttm timestamp")
