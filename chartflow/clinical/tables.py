@@ -78,17 +78,19 @@ def reference_units(labs: DataFrame) -> DataFrame:
     return labs.groupBy("lab_category", "reference_unit").agg(F.count("*").alias("n")).orderBy("lab_category", F.col("reference_unit").asc_nulls_first())
 
 
-def standard_units(labs: DataFrame, targets: dict[str, list[str]]) -> DataFrame:
-    """Reference units written as the target of their category that says the same, others as they are (C14).
+def standard_units(labs: DataFrame, targets: dict[str, list[str]], *, lowercase: bool = False) -> DataFrame:
+    """Reference units written as the first accepted one of their category that says the same (C14).
 
-    targets gives the accepted units of a category, which are a list in the
-    program; both sides are compared in normal form.
+    A unit that is accepted as it stands stays, as does one that matches none.
+    targets is a list in the program; both sides are compared in the form of
+    lab_unit().
     """
-    rows = [(c, u) for c, us in targets.items() for u in us]
-    t = labs.sparkSession.createDataFrame(rows, "lab_category string, _target string").withColumn("_key", scalars.lab_unit(F.col("_target")))
-    t = t.groupBy("lab_category", "_key").agg(F.min("_target").alias("_target"))
+    rows = [(c, u, us[0]) for c, us in targets.items() for u in us]
+    t = labs.sparkSession.createDataFrame(rows, "lab_category string, _unit string, _first string").withColumn("_key", scalars.lab_unit(F.col("_unit")))
+    t = t.groupBy("lab_category", "_key").agg(F.first("_first").alias("_first"), F.collect_set("_unit").alias("_as_is")).where("_key <> ''")
     out = labs.withColumn("_key", scalars.lab_unit(F.col("reference_unit"))).join(F.broadcast(t), ["lab_category", "_key"], "left")
-    return out.withColumn("reference_unit", F.coalesce("_target", "reference_unit")).select(*labs.columns)
+    new = F.when(F.col("_first").isNull() | F.array_contains("_as_is", F.col("reference_unit")), F.col("reference_unit")).otherwise(F.col("_first"))
+    return out.withColumn("reference_unit", F.lower(new) if lowercase else new).select(*labs.columns)
 
 
 def overlapping_admissions(adt: DataFrame) -> DataFrame:

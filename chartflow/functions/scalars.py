@@ -134,25 +134,33 @@ def any_present(*columns: Column) -> Column:
     return F.coalesce(*(c.cast("string") for c in columns)).isNotNull()
 
 
-# Rewrites of laboratory units to one spelling, in this order.
+# What laboratory units are compared by, patterns and what they become, in this order.
 LAB_UNIT_REWRITES = [
-    ("μ|µ", "u"),
-    ("\\s+", ""),
-    ("\\*|x10\\^|10\\^", "10^"),
-    ("³", "^3"),
-    ("⁹", "^9"),
-    ("cumm|mm\\^3|mm3", "ul"),
-    ("mcg", "ug"),
-    ("mcl", "ul"),
-    ("iu", "u"),
-    ("units?", "u"),
-    ("percent", "%"),
-    ("seconds?|secs", "sec"),
+    (r"[\[\]()]", ""),
+    (r"\s*calc\s*$", ""),
+    (r"\s+", ""),
+    (r"μ|µ", "u"),
+    (r"\^", ""),
+    (r"\*", ""),
+    (r"hours?", "hr"),
+    (r"seconds?", "sec"),
+    (r"^s$", "sec"),
+    (r"minutes?", "min"),
+    (r"iu", "u"),
+    (r"\bgrams?\b", "g"),
+    (r"\bgm\b", "g"),
+    (r"k/ul", "103/ul"),
+    (r"10e3", "103"),
+    (r"x10e3", "103"),
+    (r"x103", "103"),
+    (r"\bpg/ml\b", "ng/l"),
+    (r",", ""),
 ]
 
 
 def lab_unit(c: Column) -> Column:
-    c = F.lower(F.trim(c))
+    """A unit in the form in which units are compared; null is empty."""
+    c = F.lower(F.trim(F.coalesce(c, F.lit(""))))
     for pattern, to in LAB_UNIT_REWRITES:
         c = F.regexp_replace(c, pattern, to)
-    return F.nullif(c, F.lit(""))
+    return c

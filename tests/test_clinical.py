@@ -214,8 +214,9 @@ def test_tables(spark):
     assert [r[0] for r in tables.overlapping_admissions(adt).collect()] == ["h"]
     c = spark.createDataFrame([(1, at(1), at(0), at(2)), (2, at(0.01), at(0), at(2)), (3, at(0), at(3), at(2))], "id int, order_dttm timestamp, collect_dttm timestamp, result_dttm timestamp")
     assert sorted(r["id"] for r in tables.culture_times_out_of_order(c).collect()) == [1, 3]
-    labs = spark.createDataFrame([("x", "MG / dL"), ("x", "g/l"), ("y", "mg/dl")], "lab_category string, reference_unit string")
-    assert [r[1] for r in tables.standard_units(labs, {"x": ["mg/dL"]}).orderBy("lab_category", F.col("reference_unit")).collect()] == ["g/l", "mg/dL", "mg/dl"]
+    labs = spark.createDataFrame([(1, "x", "MG / dL"), (2, "x", "g/l"), (3, "y", "mg/dl"), (4, "x", None), (5, "w", "K/uL (calc)"), (6, "w", "10*3/μL"), (7, "w", "x10E3/uL")], "id int, lab_category string, reference_unit string")
+    got = tables.standard_units(labs, {"x": ["mg/dL"], "w": ["10^3/uL", "10*3/μL"]}).orderBy("id").collect()
+    assert [r["reference_unit"] for r in got] == ["mg/dL", "g/l", "mg/dl", None, "10^3/uL", "10*3/μL", "10^3/uL"]
 
 
 def test_extremes_that_share_a_row(spark):
