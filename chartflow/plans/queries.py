@@ -83,6 +83,12 @@ def asof_tolerance(spark, d):
     return asof.asof_join(left, right, ["user_id"], "ts", "view_ts", ["view_value"], tolerance_seconds=240 * 60)
 
 
+@query(_ASOF.format(v="v.view_value"))
+def asof_split(spark, d):
+    left, right = _sides(spark, d)
+    return asof.split_asof_join(left, right, ["user_id"], "ts", "view_ts", ["view_value"], bucket_seconds=6 * 3600)
+
+
 _WINDOWS = """(SELECT user_id, ts AS start_time, ts + INTERVAL 12 HOUR AS end_time FROM events WHERE event_type = 'error')"""
 
 

@@ -21,6 +21,9 @@ def test_asof_edges(spark):
     assert got == {1: (12.0, at(1)), 2: (None, at(1.5)), 3: (None, None), 4: (None, None), 5: (None, None)}
     some = {x["id"]: x["v"] for x in asof.asof_join(left, right, ["k"], "t", "r", ["v"], skip_null="v", tolerance_seconds=1800).collect()}
     assert some == {1: 12.0, 2: None, 3: None, 4: None, 5: None}
+    for seconds in (600, 3600, 10**6):
+        split = {x["id"]: (x["v"], x["m"]) for x in asof.split_asof_join(left, right, ["k"], "t", "r", ["v"], matched_time="m", bucket_seconds=seconds).collect()}
+        assert split == got
     plan = asof.asof_join(left, right, ["k"], "t", "r", ["v"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
