@@ -118,20 +118,19 @@ def discounts(counts: DataFrame) -> DataFrame:
 def probabilities(found: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, g, p) for every n-gram that is found anywhere."""
     mask = [(1 << (16 * k)) - 1 for k in range(order + 1)]
-    counts = {order: common.written(found.where("c > 0").groupBy("lang", "g").agg(F.sum("c").alias("c")), "counts")}
-    needed = {order: common.written(found.select("lang", "g").distinct(), "needed")}
+    # One table for each order: all n-grams that are asked for, and their counts, 0 where trusted text has none.
+    asked = {order: common.written(found.groupBy("lang", "g").agg(F.sum("c").alias("c")), "counts")}
     for n in range(order - 1, 0, -1):
         tail = F.col("g").bitwiseAND(F.lit(mask[n])).alias("g")
-        counts[n] = common.written(counts[n + 1].select("lang", tail).groupBy("lang", "g").agg(F.count("*").alias("c")), "counts")
-        needed[n] = needed[n + 1].select("lang", tail).distinct()
-    known = counts[1].groupBy("lang").agg((F.count("*") + 1).cast("double").alias("chars"))
+        asked[n] = common.written(asked[n + 1].groupBy("lang", tail).agg(F.count_if(F.col("c") > 0).alias("c")), "counts")
+    known = asked[1].where("c > 0").groupBy("lang").agg((F.count("*") + 1).cast("double").alias("chars"))
     p = None
     for n in range(1, order + 1):
         head = F.shiftright("g", 16).alias("h")
-        rates = discounts(counts[n])
-        seen = counts[n].select("lang", "g", "c")
+        seen = asked[n].where("c > 0")
+        rates = discounts(seen)
         heads = seen.join(rates, "lang").select("lang", head, "c", F.least(discount(F.col("c")), F.col("c").cast("double")).alias("d")).groupBy("lang", "h").agg(F.sum("c").alias("s"), (F.sum("d") / F.sum("c")).alias("back"))
-        now = needed[n].join(seen, ["lang", "g"], "left").withColumn("h", F.shiftright("g", 16)).join(heads, ["lang", "h"], "left").join(rates, "lang", "left")
+        now = asked[n].select("lang", "g", F.when(F.col("c") > 0, F.col("c")).alias("c"), head).join(heads, ["lang", "h"], "left").join(rates, "lang", "left")
         if p is None:
             now = now.join(known, "lang", "left").withColumn("lower", F.coalesce(1 / F.col("chars"), F.lit(UNSEEN)))
         else:
