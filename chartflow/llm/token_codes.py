@@ -32,6 +32,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from .tokens import ENCODE_BYTES, encoder
@@ -40,6 +41,8 @@ MAGIC, WIDTH, BLOCK = b"DACTOK01", 8, 512
 END_ID = 2
 #: Bytes of text that one file is made from, about.
 FILE_TEXT_BYTES = 16 << 20
+#: Files whose tokens one task sums up.
+RUN = 4096
 
 
 def _bitmap(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,10 +166,11 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, file_bytes: int = FILE_TEXT_BYTES) -> DataFrame:
     """Write all documents as token files under folder, in ascending order of id; return the list of files.
 
-    One row for each file: part (ascending with the ids), path, documents, tokens.
+    One row for each file: part (ascending with the ids), name, documents, tokens.
+    file_bytes is the text that a file is made from, about; a task holds some two bytes a token.
     A null text is empty, a null id comes first and is written as the least
     64-bit number; rows with the same id keep no order among themselves but
     that of their texts.  A task that runs again writes another file, and the
@@ -175,7 +179,7 @@ def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-int(total) // FILE_TEXT_BYTES))
+    parts = max(1, -(-int(total) // file_bytes))
     ordered = source.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,14 +206,14 @@ def read(files: DataFrame, folder: str) -> DataFrame:
     """Of each document in the files: doc_id, start, n_tokens and the crc32 of its ids.
 
     start counts the ids of all documents before it; it needs the tokens of
-    each file alone, one small row a file, summed in a window over that list.
+    each file alone, summed inside runs of ``RUN`` files and then over the runs.
     """
-    rows = [(r.part, r.name, r.tokens) for r in files.orderBy("part").select("part", "name", "tokens").toLocalIterator()]
-    spark, listed, before = files.sparkSession, [], 0
-    for _, name, tokens in rows:
-        listed.append((name, before))
-        before += tokens
-    todo = spark.createDataFrame(listed, "name string, before long").repartition(max(1, len(listed)), "name")
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    files = files.withColumn("run", F.expr(f"part div {RUN}"))
+    runs = files.groupBy("run").agg(F.sum("tokens").alias("sum"))
+    runs = runs.select("run", F.coalesce(F.sum("sum").over(earlier().orderBy("run")), F.lit(0)).alias("lead"))
+    inside = files.select("run", "name", F.coalesce(F.sum("tokens").over(earlier("run").orderBy("part")), F.lit(0)).alias("inside"))
+    todo = inside.join(runs, "run").select("name", (F.col("lead") + F.col("inside")).alias("before")).repartition(max(1, files.count()), "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -156,6 +156,8 @@ def test_token_files(spark):
         g = got[r["doc_id"]]
         assert (g["start"], g["n_tokens"], g["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+    many = token_codes.encode_and_read(docs, file_bytes=4000).collect()
+    assert {r["doc_id"]: r for r in many} == got and len(many) == len(texts)
     assert token_codes.encode_and_read(odd(spark)).count() == len(TEXTS) + 2
     assert token_codes.encode_and_read(empty(spark)).count() == 0
 
