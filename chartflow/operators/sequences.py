@@ -68,6 +68,8 @@ def suppress_repeats(df: DataFrame, keys: list[str], time: str, days: int, subje
     Only rows that meet subject can be dropped; others are kept and set the
     clock.  Rows without a time are kept and do not set it.  What is kept last
     decides, so no plain window can say it: the times of an entity are folded.
+    The fold holds the subject rows that stay, at most one for each such span
+    of days, however many rows an entity has.
     """
     rows = df.withColumn("_subject", F.coalesce(subject, F.lit(False)))
     item = F.struct(F.col(time).alias("t"), F.col(tiebreak).alias("id"), F.col("_subject").alias("s"))
@@ -78,10 +80,13 @@ def suppress_repeats(df: DataFrame, keys: list[str], time: str, days: int, subje
     def step(acc: Column, x: Column) -> Column:
         passed = F.floor((F.unix_micros(x["t"]) - F.unix_micros(acc["last"])) / F.lit(86_400_000_000))
         keep = ~x["s"] | acc["last"].isNull() | (passed > days)
-        return F.struct(F.when(keep, x["t"]).otherwise(acc["last"]).alias("last"), F.when(keep, F.array_append(acc["kept"], x["id"])).otherwise(acc["kept"]).alias("kept"))
+        return F.struct(F.when(keep, x["t"]).otherwise(acc["last"]).alias("last"), F.when(keep & x["s"], F.array_append(acc["kept"], x["id"])).otherwise(acc["kept"]).alias("kept"))
 
-    kept = listed.select(*keys, F.explode(F.aggregate("_all", zero, step, lambda a: a["kept"])).alias(tiebreak))
-    return rows.where(F.col(time).isNotNull()).join(kept, [*keys, tiebreak], "left_semi").unionByName(rows.where(F.col(time).isNull())).select(*df.columns)
+    names = [*keys, tiebreak]
+    stay = listed.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), F.explode(F.aggregate("_all", zero, step, lambda a: a["kept"])).alias(f"_{len(keys)}"))
+    open_ = F.col("_subject") & F.col(time).isNotNull()
+    same = [F.col(n).eqNullSafe(F.col(f"_{i}")) for i, n in enumerate(names)]
+    return rows.where(open_).join(stay, same, "left_semi").unionByName(rows.where(~open_)).select(*df.columns)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -28,6 +28,13 @@ def test_asof_edges(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
 
+def test_suppression_of_rows_without_key_or_id(spark):
+    rows = [(None, 1, at(), True), (None, 2, at(days=1), True), (None, 3, at(days=9), True), ("a", None, at(), False), ("a", 5, at(days=1), True), ("a", 6, None, True), ("a", None, at(days=9), True)]
+    df = spark.createDataFrame(rows, "h string, id int, t timestamp, s boolean")
+    got = sequences.suppress_repeats(df, ["h"], "t", 3, F.col("s"), "id").collect()
+    assert {(x["h"], x["id"], x["t"]) for x in got} == {(None, 1, at()), (None, 3, at(days=9)), ("a", None, at()), ("a", 6, None), ("a", None, at(days=9))} and len(got) == 5
+
+
 def test_suppression_with_rows_that_set_the_clock(spark):
     rows = [("h", 1, at(days=0), "hospital"), ("h", 2, at(days=5), "community"), ("h", 3, at(days=16), "hospital"), ("h", 4, at(days=25), "hospital"), ("h", 5, None, "hospital"), ("g", 6, at(days=16), "hospital"), ("h", 7, at(days=39, hours=23), "hospital")]
     df = spark.createDataFrame(rows, "h string, id int, t timestamp, kind string")
