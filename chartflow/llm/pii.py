@@ -9,8 +9,9 @@ overlap the best stays, and none that touches a base span is taken.
 
 Labels are not at hand, so the trees learn from the text itself: base spans with
 their marks taken away or spelt out are examples, what generators propose apart
-from base spans is not.  They are fitted on the driver on at most ``SAMPLE``
-documents and ``ROWS`` candidates; everything else covers all rows.
+from base spans is not.  Trees are fitted on the driver on at most ``ROWS``
+examples of one half, by hash; thresholds are set by counts over all examples of
+the other half, in all documents, by one rule at every size (see ``train``).
 
 Places are counted in code points.  A pattern cuts a text into gaps and matches
 (``split`` and ``regexp_extract_all`` find the same matches), whose lengths are
@@ -25,6 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .boosting import Trees, fit
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -47,12 +49,14 @@ WIDE = [
 ]
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 CUES = ["(?:e-?mail|contact|write|courriel|correo)", "(?:ip|host|server|address|adresse)", "(?:card|visa|credit|carte|tarjeta|karte)", "(?:tel|phone|call|mobile|fax|t[eé]l[eé]phone|tel[eé]fono)"]
-#: Documents and candidates that the trees are fitted on at most.
-SAMPLE, ROWS = 4000, 20_000
+#: Examples that the trees are fitted on at most, those with the least hashes.
+ROWS = 20_000
 #: Share of right ones among the held-out candidates above a threshold.
 PRECISION = 0.995
-#: Examples of both sorts that a kind needs before anything is added.
-LEAST = 40
+#: Share of wrong ones among a kind's held-out candidates up to which the threshold of all kinds is taken.
+FEW_WRONG = 0.02
+#: Bins of a score for each unit of log odds, in which held-out candidates are counted.
+BINS = 128
 CONTEXT = 24
 #: Matches whose lengths are summed up together.
 STRIDE = 1024
@@ -163,11 +167,9 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, keep: list[Column] | Non
     return df
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit trees and thresholds on the documents with the smallest hash of their id."""
-    ids = docs.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    some = docs.join(F.broadcast(ids), docs[id_col] == ids["_id"], "left_semi")
-    df = _spans(some, id_col, text_col)
+def _examples(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """h, y and the features of all examples of all documents, a row each: blurred base spans (y = 1) and what generators propose apart from them (0)."""
+    df = _spans(docs, id_col, text_col)
     names = [*(f"base{k}" for k in range(len(KINDS))), *(f"wide{k}" for k in range(len(KINDS)))]
     for n in names:
         k, good = int(n[-1]), n.startswith("base")
@@ -179,30 +181,38 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         df = df.withColumn(n, F.transform(n, example))
     for n in names:
         df = df.withColumn(n, F.transform(n, lambda m: F.struct(m["h"], m["y"], *(c.alias(f) for f, c in features(int(n[-1]), m["match"], m["before"], m["after"]).items()))))
-    rows = df.select(F.inline(F.concat(*names)))
-    got = np.array(rows.orderBy(*rows.columns).limit(ROWS).collect(), dtype=np.float64).reshape(-1, 2 + len(FEATURES))
-    y, x = got[:, 1], got[:, 2:]
-    held = np.arange(len(got)) % 2 == 1
-    trees = fit(x[~held], y[~held], FEATURES, {"cue": 1, "glued_before": -1, "glued_after": -1}, trees=24)
-
-    def threshold(of: np.ndarray) -> float | None:
-        """The least score above which PRECISION of the held-out rows are right; None if there are too few of either sort."""
-        if min((y[of] == 1).sum(), (y[of] == 0).sum()) < LEAST / 2:
-            return None
-        score = trees.margin(x[of])
-        order = np.argsort(-score, kind="stable")
-        right = np.cumsum(y[of][order]) / np.arange(1, len(order) + 1)
-        last = np.append(score[order][1:] < score[order][:-1], True)  # equal scores stay together
-        fine = np.flatnonzero((right >= PRECISION) & last)
-        return float(score[order][fine[-1]]) if len(fine) else None
-
-    every = threshold(held)
+    return df.select(F.inline(F.concat(*names)))
+
+
+def threshold(bins: dict[int, tuple[int, int]]) -> float | None:
+    """The least score at or above which PRECISION of the rows are right, from the right ones and the rows of each bin; None if there is none."""
+    least, right, rows = None, 0, 0
+    for at in sorted(bins, reverse=True):
+        right, rows = right + bins[at][0], rows + bins[at][1]
+        if right >= PRECISION * rows:
+            least = at / BINS
+    return least
+
+
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit trees on a sample of one half of the examples, and set thresholds by the scores of all of the other half."""
+    rows = common.written(_examples(docs, id_col, text_col), "examples")
+    held = F.pmod("h", F.lit(2)) == 1
+    got = np.array(rows.where(~held).orderBy(*rows.columns).limit(ROWS).collect(), dtype=np.float64).reshape(-1, 2 + len(FEATURES))
+    trees = fit(got[:, 2:], got[:, 1], FEATURES, {"cue": 1, "glued_before": -1, "glued_after": -1}, trees=24)
+
+    score = trees.column({f: F.col(f) for f in FEATURES})
+    counts = rows.where(held).groupBy(F.col("kind").cast("int").alias("k"), F.floor(score * BINS).alias("bin")).agg(F.sum("y").cast("long").alias("right"), F.count("*").alias("n"))
+    kinds: list[dict[int, tuple[int, int]]] = [{} for _ in KINDS]
+    every: dict[int, tuple[int, int]] = {}
+    for k, at, right, n in counts.collect():
+        kinds[k][at] = (right, n)
+        every[at] = (every.get(at, (0, 0))[0] + right, every.get(at, (0, 0))[1] + n)
     least: list[float | None] = []
-    for k in range(len(KINDS)):
-        of = held & (x[:, 0] == k)
-        own = threshold(of)
-        # A kind of which the sample has examples but next to nothing else takes the threshold of all kinds.
-        least.append(every if own is None and (y[of] == 0).sum() < LEAST / 2 <= (y[of] == 1).sum() else own)
+    for bins in kinds:
+        right, n = (sum(x[i] for x in bins.values()) for i in (0, 1))
+        # With next to no wrong ones nothing of the kind itself says where to stop, so it takes the threshold of all kinds.
+        least.append(None if right == 0 else threshold(every if n - right <= FEW_WRONG * n else bins))
     return Model(trees, least)
 
 

@@ -481,6 +481,15 @@ def test_proposals_are_learned(spark):
     assert all(set(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in plain_spans(texts[i])) <= set(s.split(",")) for i, s in got.items() if s)
 
 
+def test_few_examples_set_a_threshold(spark, monkeypatch):
+    texts = [f"{prose(8, k)} mail user{k}@host{k % 7}.example.com now" for k in range(30)] + ["please write to jane.doe at mail dot example dot com today"]
+    for rows in (20_000, 12):
+        monkeypatch.setattr(pii, "ROWS", rows)
+        model = pii.train(frame(spark, texts))
+        assert model.least[0] is not None and model.least[1:] == [None] * 3
+    assert pii.threshold({5: (90, 90), 3: (109, 110), 1: (0, 50)}) == 3 / pii.BINS and pii.threshold({1: (0, 3)}) is None
+
+
 # 10
 
 
