@@ -5,7 +5,9 @@ generators with high recall propose further spans, which may overlap: addresses
 that are spelt out, numbers without the marks of their kind.  Boosted trees
 score each by its form and by the words before it, and for each kind a
 threshold, calibrated on held-out rows, selects which are added; of those that
-overlap the best stays, and none that touches a base span is taken.
+overlap the best is taken first, and none that touches a base span is taken.
+Numbers are proposed as every stretch of whole runs of digits that has a right
+count of digits, so one beside other numbers is found too.
 
 Labels are not at hand, so the trees learn from the text itself: base spans with
 their marks taken away or spelt out are examples, what generators propose apart
@@ -40,13 +42,16 @@ BASE = [
     r"[0-9](?:[\x20-]?[0-9])++",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 ]
-#: What may be meant, for each kind; the numbers of a card and of a phone look alike.
+#: What may be meant by an address that is spelt out, and a run of digits.
 WIDE = [
     r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++",
-    r"[0-9](?<![0-9][0-9])[0-9]*+(?:\x20?[.:,]\x20?[0-9]++){3}",
-    r"[0-9](?<![0-9][0-9])(?:[\x20./_-]{0,2}[0-9])++",
-    r"[0-9](?<![0-9][0-9])(?:[\x20()./-]{0,3}[0-9])++",
+    r"[0-9]++",
 ]
+#: For the other kinds: what may stand between two runs of digits of one number, and how many runs and digits it may have.
+#: Cards and phones look alike.
+BETWEEN = {1: r"\A\x20?[.:,]\x20?\z", 2: r"\A[\x20./_-]{1,2}\z", 3: r"\A[\x20()./-]{1,3}\z"}
+RUNS = {1: (4, 4), 2: (1, 19), 3: (1, 15)}
+DIGITS = {1: (4, 1 << 30), 2: (12, 19), 3: (9, 15)}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 CUES = ["(?:e-?mail|contact|write|courriel|correo)", "(?:ip|host|server|address|adresse)", "(?:card|visa|credit|carte|tarjeta|karte)", "(?:tel|phone|call|mobile|fax|t[eé]l[eé]phone|tel[eé]fono)"]
 #: Examples that the trees are fitted on at most, those with the least hashes.
@@ -144,6 +149,40 @@ def _apart(c: Column, base: Column) -> Column:
     return ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
 
 
+def _numbers(kind: int, runs: Column) -> Column:
+    """Every stretch of whole runs of digits that may be a number of the kind: (start, end, match, before, after).
+
+    Each run is tried as the first with those after it, so the work is linear in the runs.
+    """
+    (fewest, most), (low, high) = RUNS[kind], DIGITS[kind]
+    span = "struct<start: int, end: int, match: string, before: string, after: string>"
+
+    def first(r: Column, i: Column) -> Column:
+        # Of a run's neighbours only the gap is at hand; a dozen runs before it have all of its context.
+        lead = F.array_join(F.transform(F.slice(runs, F.greatest(i - 11, F.lit(1)), F.least(i, F.lit(12))), lambda m: F.concat(m["before"], m["match"])), "")
+        before = F.right(F.concat(lead, r["before"]), F.lit(CONTEXT))
+
+        def step(acc: Column, m: Column) -> Column:
+            fresh = acc["runs"] == 0
+            gap = F.right(m["before"], m["start"] - acc["end"])
+            open_ = acc["open"] & (fresh | ((m["start"] - acc["end"] <= 3) & gap.rlike(BETWEEN[kind])))
+            n = acc["digits"] + m["end"] - m["start"]
+            match = F.when(fresh, m["match"]).otherwise(F.concat(acc["match"], gap, m["match"]))
+            open_ = open_ & (n <= high)
+            fits = open_ & (n >= low) & (acc["runs"] + 1 >= fewest)
+            one = F.struct(r["start"].alias("start"), m["end"].alias("end"), match.alias("match"), F.lit("").alias("before"), m["after"].alias("after"))
+            return F.struct(
+                open_.alias("open"), (acc["runs"] + 1).alias("runs"), n.alias("digits"), m["end"].alias("end"), F.when(open_, match).otherwise(F.lit("")).alias("match"),
+                F.when(fits, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"),
+            )
+
+        zero = F.struct(F.lit(True).alias("open"), F.lit(0).alias("runs"), F.lit(0).alias("digits"), F.lit(0).alias("end"), F.lit("").alias("match"), F.array().cast(f"array<{span}>").alias("out"))
+        found = F.aggregate(F.slice(runs, i + 1, F.lit(most)), zero, step, lambda acc: acc["out"])
+        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"), before.alias("before"), m["after"].alias("after")))
+
+    return F.flatten(F.transform(runs, first))
+
+
 def _spans(docs: DataFrame, id_col: str, text_col: str, keep: list[Column] | None = None) -> DataFrame:
     """doc_id, text, base: valid base spans (start, ord, end), and wide0..3: what generators propose apart from them."""
     df = docs.select(*(keep if keep is not None else [F.col(id_col).alias("doc_id")]), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
@@ -154,17 +193,11 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, keep: list[Column] | Non
         df = df.withColumn(f"base{k}", F.filter(f"base{k}", lambda m: valid(k, m["match"])))
     df = df.withColumn("base", F.array_sort(F.concat(*(F.transform(f"base{k}", lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("ord"), m["end"].alias("end"))) for k in range(len(KINDS))))))
     many = t.rlike("[0-9][^0-9]{0,3}[0-9][^0-9]{0,3}[0-9][^0-9]{0,3}[0-9]")
-    df = matches(df, "_text", WIDE, "wide", [t.contains("@") | t.rlike(r"[\x20\[(]dot[\x20\])]"), many, many, many])
-    long_enough = [F.lit(True), F.lit(True)]
-    for k in range(len(KINDS)):
-
-        def open_(m: Column) -> Column:
-            apart = _apart(m, F.col("base"))
-            n = F.length(digits(m["match"]))
-            return apart & (n.between(12, 19) if k == 2 else n.between(9, 15) if k == 3 else long_enough[k])
-
-        df = df.withColumn(f"wide{k}", F.filter(f"wide{k}", open_))
-    return df
+    df = matches(df, "_text", WIDE, "_any", [t.contains("@") | t.rlike(r"[\x20\[(]dot[\x20\])]"), many])
+    df = df.withColumn("wide0", F.filter("_any0", lambda m: _apart(m, F.col("base"))))
+    for k in BETWEEN:
+        df = df.withColumn(f"wide{k}", F.filter(_numbers(k, F.col("_any1")), lambda m: _apart(m, F.col("base"))))
+    return df.drop("_any0", "_any1")
 
 
 def _examples(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -229,9 +262,10 @@ def _with_all(df: DataFrame, model: Model) -> DataFrame:
     for k in used:
         df = df.withColumn(f"_score{k}", F.transform(f"_seen{k}", lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("ord"), m["end"].alias("end"), model.trees.column({n: m[n] for n in FEATURES}).alias("score"))))
     df = df.withColumn("_every", F.concat(*(F.filter(f"_score{k}", lambda m: m["score"] >= model.least[k]) for k in used)))
-    better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & (F.struct(a["start"], a["ord"]) < F.struct(b["start"], b["ord"])))
-    best = F.filter("_every", lambda m: ~F.exists("_every", lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"]) & better(o, m)))
-    added = F.transform(best, lambda m: F.struct(m["start"].alias("start"), m["ord"].alias("ord"), m["end"].alias("end")))
+    # Best first; what overlaps one that is taken falls away, and what only that one overlapped does not.
+    ranked = F.array_sort(F.transform("_every", lambda m: F.struct((-m["score"]).alias("worse"), (-(m["end"] - m["start"])).alias("shorter"), m["start"].alias("start"), m["ord"].alias("ord"), m["end"].alias("end"))))
+    zero = F.array().cast("array<struct<start: int, ord: int, end: int>>")
+    added = F.aggregate(ranked, zero, lambda acc, m: F.when(F.exists(acc, lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"])), acc).otherwise(F.array_append(acc, F.struct(m["start"].alias("start"), m["ord"].alias("ord"), m["end"].alias("end")))))
     return df.withColumn("all", F.array_sort(F.concat("base", added)))
 
 

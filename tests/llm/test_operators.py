@@ -490,6 +490,36 @@ def test_few_examples_set_a_threshold(spark, monkeypatch):
     assert pii.threshold({5: (90, 90), 3: (109, 110), 1: (0, 50)}) == 3 / pii.BINS and pii.threshold({1: (0, 3)}) is None
 
 
+def test_numbers_beside_numbers_are_proposed(spark):
+    texts = ["é 555 010 9999 555 010 8888", "5 2024 4111.1111.1111.1111", "no. 42 4111.1111.1111.1111", "call 10.0.0.1 now 1:2:3:4:5", "1 " * 5000, "nothing 12", None]
+    got = {r["doc_id"]: r for r in pii._spans(frame(spark, texts), "doc_id", "text").collect()}
+
+    def plain(text, base, kind):
+        runs = [(m.start(), m.end()) for m in re.finditer("[0-9]+", text)]
+        for i in range(len(runs)):
+            for j in range(i, min(len(runs), i + 19)):
+                if j > i and not re.match(pii.BETWEEN[kind].replace(r"\z", r"\Z"), text[runs[j - 1][1] : runs[j][0]]):
+                    break
+                a, b = runs[i][0], runs[j][1]
+                n = sum(y - x for x, y in runs[i : j + 1])
+                if pii.RUNS[kind][0] <= j - i + 1 <= pii.RUNS[kind][1] and pii.DIGITS[kind][0] <= n <= pii.DIGITS[kind][1] and all(b <= s["start"] or s["end"] <= a for s in base):
+                    yield a, b, text[a:b], text[max(0, a - 24) : a], text[b : b + 1]
+
+    for i, text in enumerate(texts):
+        for kind in (1, 2, 3):
+            assert [tuple(m) for m in got[i][f"wide{kind}"]] == list(plain(text or "", got[i]["base"], kind)), (text, kind)
+    spans = lambda i, kind: {m["match"] for m in got[i][f"wide{kind}"]}
+    assert {"555 010 9999", "555 010 8888"} <= spans(0, 3) and "4111.1111.1111.1111" in spans(1, 2) & spans(2, 2) and spans(3, 1) == {"1:2:3:4", "2:3:4:5"}
+
+
+def test_best_of_overlaps_is_taken_first(spark):
+    """A number that only a beaten one overlaps stays."""
+    texts = ["555 010 9999 555 010 8888"]
+    ten = boosting.Trees(np.array([0]), np.array([2, 2, 0, 0, 0]), np.array([10.0, 9.0, 0, 0, 0]), np.array([1, 3, 2, 3, 4]), np.array([2, 4, 2, 3, 4]), np.array([0, 0, -9.0, -9.0, 9.0]), 0.0, 2, pii.FEATURES)
+    got = pii.find(frame(spark, texts), pii.Model(ten, [None, None, None, 0.0])).collect()
+    assert got[0]["spans"] == "phone:0:12,phone:13:25"
+
+
 # 10
 
 
