@@ -88,13 +88,15 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def place(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_WORDS) -> DataFrame:
+def place(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_WORDS, row_col: str | None = None) -> DataFrame:
     """One row for each document: doc_id, size, its source's figures, and where its words begin in the source's stream.
 
     A stream is ordered by a hash of the id.  Hashes are cut into ranges, each
     summed and ordered for itself, so a source of any size is spread out.
+    row_col is the number of a row, which is passed on as row.
     """
-    base = common.written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size")), "sizes")
+    row = [] if row_col is None else ["row"]
+    base = common.written(docs.select(*(F.col(row_col).alias(r) for r in row), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size")), "sizes")
     step = -(-_P // max(1, -(-base.count() // ORDERED)))
     base = base.withColumn("h", F.expr(scatter("coalesce(doc_id, 0)"))).withColumn("part", F.expr(f"h div {step}"))
     parts = common.written(base.groupBy("source", "part").agg(F.sum("size").alias("words")), "parts")
@@ -103,9 +105,9 @@ def place(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     goal = goal.withColumn("slots", F.when(F.col("source_size") > 0, F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5)).otherwise(0).cast("long"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lead = parts.withColumn("before", before).alias("p").join(goal.alias("g"), F.expr("p.source <=> g.source")).select("p.source", "p.part", "before", "rank", "source_size", "target", "blocks", "slots")
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("source", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("source", "part").orderBy("h", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = base.withColumn("inside", inside).alias("b").join(lead.alias("l").hint("merge"), F.expr("b.source <=> l.source AND b.part = l.part"))
-    return placed.select("doc_id", "size", "b.source", "rank", "source_size", "target", "blocks", "slots", (F.col("before") + F.col("inside")).alias("start"))
+    return placed.select(*row, "doc_id", "size", "b.source", "rank", "source_size", "target", "blocks", "slots", (F.col("before") + F.col("inside")).alias("start"))
 
 
 def slots(goal: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -134,7 +136,7 @@ def mix(placed: DataFrame, *, block: int = BLOCK_WORDS, shard_slots: int = SHARD
     cut = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     cut = cut.withColumn("from", F.greatest(F.col("block") * block - F.col("start"), F.lit(0)))
     cut = cut.withColumn("n", F.least((F.col("block") + 1) * block - F.col("start"), F.col("size")) - F.col("from"))
-    return cut.select("rank", "block", "doc_id", "start", "size", "from", "n").join(slots(goal, shard_slots).hint("merge"), ["rank", "block"])
+    return cut.select(*(c for c in ("row",) if c in placed.columns), "rank", "block", "doc_id", "start", "size", "from", "n").join(slots(goal, shard_slots).hint("merge"), ["rank", "block"])
 
 
 def taken(docs: DataFrame, *, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, **columns) -> DataFrame:
@@ -154,12 +156,13 @@ def mixed(docs: DataFrame, *, block: int = BLOCK_WORDS, shard_slots: int = SHARD
 
     A round that takes all words of a document repeats its text; otherwise the
     text is the words taken, each with the white space after it, in order.
-    Ids are those of one row each.
+    Rows are numbered once, as they are written, so ids may be null or repeated.
     """
-    placed = common.written(place(docs, block=block, id_col=id_col, text_col=text_col, source_col=source_col), "placed")
-    rounds = mix(placed, block=block, shard_slots=shard_slots).groupBy("doc_id", "start", "size", "round").agg(F.array_sort(F.collect_list(F.struct("from", "n"))).alias("_parts"), F.sum("n").alias("_n"))
-    rounds = rounds.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_parts", "_n")
-    both = docs.join(rounds.hint("merge"), docs[id_col] == rounds["_id"])
+    rows = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    placed = common.written(place(rows, block=block, id_col=id_col, text_col=text_col, source_col=source_col, row_col="_row"), "placed")
+    rounds = mix(placed, block=block, shard_slots=shard_slots).groupBy("row", "size", "round").agg(F.array_sort(F.collect_list(F.struct("from", "n"))).alias("_parts"), F.sum("n").alias("_n"))
+    rounds = rounds.select(F.col("row").alias("_row"), F.col("size").alias("_size"), "_parts", "_n")
+    both = rows.join(rounds.hint("merge"), "_row")
     tokens = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     piece = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_words"), (p["from"] + 1).cast("int"), p["n"].cast("int")))), "")
     both = both.withColumn("_words", F.when(F.col("_n") < F.col("_size"), tokens))

@@ -72,15 +72,17 @@ def fingerprint_values(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED
     return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number.  A null or wordless text has fingerprint zero."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed 64-bit number, and the row's own number if row_col is given.  A null or wordless text has fingerprint zero."""
+    more = [] if row_col is None else [F.col(row_col).cast("long").alias("row")]
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *more, F.col(text_col).cast("string").alias("text"))
+    names = ["doc_id", *(["row"] if more else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches, "text", common.CHUNK_BYTES // 2):
-            yield pa.record_batch([b.column("doc_id"), pa.array(fingerprint_values(b.column("text")).view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([*(b.column(n) for n in names), pa.array(fingerprint_values(b.column("text")).view(np.int64))], [*names, "fp"])
 
-    return source.mapInArrow(run, "doc_id long, fp long")
+    return source.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 def link(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -103,6 +105,13 @@ def link(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return few.union(many).distinct()
 
 
+def _components(prints: DataFrame) -> DataFrame:
+    """(fp, rep, component): each distinct fingerprint, the least id that has it, and the component that links put it in."""
+    reps = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
+    groups = components(link(reps).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return reps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, **columns) -> DataFrame:
     """Of each document: doc_id, fingerprint (16 hex digits) and component_id, the least doc_id that links reach.
 
@@ -110,15 +119,20 @@ def near_duplicates(docs: DataFrame, **columns) -> DataFrame:
     counts as larger than any id of its group; a group of null ids alone has none.
     """
     prints = common.written(fingerprints(docs, **columns), "fingerprints")
-    reps = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
-    groups = components(link(reps).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = reps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    named = _components(prints)
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = named.join(least, "component").select("fp", "component_id")
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **columns) -> DataFrame:
-    """One document of each group: the rows whose id is the least of their component."""
-    kept = near_duplicates(docs, id_col=id_col, **columns).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["doc_id"], "left_semi")
+    """One row of each group: that with the least id, null ids last; of rows that share it the one with the least number.
+
+    Rows are numbered once, as they are written.
+    """
+    rows = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    prints = common.written(fingerprints(rows, id_col=id_col, row_col="_row", **columns), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    of_print = prints.groupBy("fp").agg(first.alias("first"))
+    kept = _components(prints).join(of_print, "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    return rows.join(kept.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)

@@ -520,6 +520,35 @@ def test_best_of_overlaps_is_taken_first(spark):
     assert got[0]["spans"] == "phone:0:12,phone:13:25"
 
 
+# null and repeated ids in stages of the pipeline
+
+
+def test_one_row_of_each_group_stays(spark):
+    texts = [prose(80, 501), prose(80, 501), prose(80, 502), prose(80, 502), prose(80, 503), prose(80, 504), prose(80, 504)]
+    got = simhash.keep_one(frame(spark, texts, [7, 7, None, 3, None, None, None]))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted([(7, texts[0]), (3, texts[2]), (0, texts[4]), (0, texts[5])])
+    assert got.columns == frame(spark, texts).columns
+
+
+def test_mix_of_null_and_repeated_ids(spark):
+    texts = [" ".join(f"w{k}x{n}" for n in range(100)) for k in (0, 1, 0, 3, 4)]
+    df = frame(spark, texts, [1, 1, 1, None, None])
+    out = Counter()
+    for r in mixing.mixed(df, block=16).collect():
+        (text,) = (t for t in set(texts) if set(WORD.findall(r["text"])) <= set(WORD.findall(t)))
+        out[r["doc_id"], text] += len(WORD.findall(r["text"]))
+    # taken() has one row for each row of docs, so both count the same words.
+    want = Counter()
+    for r in mixing.taken(df, block=16).collect():
+        want[r["doc_id"]] += r["taken"]
+    got = Counter()
+    for (i, text), n in out.items():
+        got[i] += n
+        assert n <= 3 * 100 * texts.count(text)
+    assert got == want and want[None] > 0
+    assert {i for i, _ in out} == {1, None}
+
+
 # 10
 
 
