@@ -19,6 +19,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on together; one longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -197,6 +198,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that may be broadcast at most.
+SMALL = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows; otherwise the join is Spark's choice.  df should be a written table, as it is counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def remove_written(spark: SparkSession) -> int:
     """Delete what this program has written to the shared folder, once no result that reads it is needed; how many folders."""
     n = 0

@@ -585,6 +585,59 @@ def test_nearest(spark):
     assert ann.nearest(vectors(spark, x[:3]), F.col("vec_id") % 50 == 0).count() == 2
 
 
+def test_tiny_and_huge_vectors_take_part(spark):
+    """Figures that underflow or overflow when squared; no query loses its rows, and scores are true cosines."""
+    r = np.random.default_rng(9)
+    plain = r.normal(size=(200, 8))
+    x = plain * np.where(np.arange(200) % 4 == 0, 1e-200, np.where(np.arange(200) % 4 == 1, 1e200, np.where(np.arange(200) % 4 == 2, 1e-310, 1.0)))[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0).toPandas()
+    n = np.sqrt((plain * plain).sum(axis=1))
+    for q in range(0, 200, 50):
+        s = plain @ plain[q] / (n * n[q])
+        g = got[got.query_id == q].sort_values("rank")
+        assert g.vec_id.tolist() == [i for i in np.argsort(-s) if i != q][:5]
+        assert np.allclose(g.score, s[g.vec_id], rtol=0, atol=1e-9)  # 1e-310 has fewer digits
+
+
+def test_lists_are_visited_as_far_as_needed(spark, monkeypatch):
+    """Clusters: many lists, few of them visited, chunks and parts of lists, and the true neighbours are found."""
+    for name, value in {"LIST_ROWS": 64, "CHUNK": 3, "GROUP_BYTES": 1 << 14, "SAMPLE": 2000}.items():
+        monkeypatch.setattr(ann, name, value)
+    r = np.random.default_rng(11)
+    middle = r.normal(size=(60, 24))
+    x = (middle[r.integers(0, 60, 4000)] + 0.3 * r.normal(size=(4000, 24))).astype(np.float32)
+    x[1000:2300] = x[7]  # a third of all rows are copies
+    df = vectors(spark, x)
+    layout = ann.Layout.fit(ann.clean(df, "vec_id", "embedding"), 5)
+    assert len(layout.middle[24]) > 20 and layout.visit[24] < len(layout.middle[24]) / 2
+    assert ann.candidates(ann.clean(df, "vec_id", "embedding"), 5).count() == 4000 - 1301 + 6
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0).toPandas()
+    d = x.astype(np.float64)
+    n = np.sqrt((d * d).sum(axis=1))
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        s = (d * d[q]).sum(axis=1) / (n * n[q])
+        hit += len({i for i in np.lexsort((np.arange(4000), -s))[:6].tolist() if i != q} & set(g.vec_id))
+    assert got.query_id.nunique() == 80 and hit >= 0.95 * 400
+    assert got[got.query_id == 1050].sort_values("rank").vec_id.tolist() == [7, 1000, 1001, 1002, 1003]
+
+
+def test_packed_estimates(spark):
+    """Estimates from packed bits lie within their bounds for nearly all pairs; repeated ids come once."""
+    r = np.random.default_rng(3)
+    x, q = r.normal(size=(500, 128)), r.normal(size=(40, 128))
+    index = ann.build_index(ann.clean(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), "vec_id", "embedding"), ann.Layout({}, {})).toPandas().sort_values("id")
+    g = ann.Group(index.id.to_numpy(), x, np.stack([np.frombuffer(c, np.uint8) for c in index.code]), index.rest.to_numpy(), index.fit.to_numpy(), np.zeros(128))
+    unit = lambda v: v / np.sqrt((v * v).sum(axis=1))[:, None]
+    true = unit(q) @ unit(x).T
+    a, ids, score = g.search(np.full(40, -1), q, 5)
+    assert np.allclose(score, true[a, ids]) and sum(len(set(ids[a == i]) & set(np.argsort(-true[i])[:5])) for i in range(40)) >= 195
+    assert [c.tolist() for c in ann.top(np.array([0, 0, 0]), np.array([4, 4, 2]), np.array([0.1, 0.5, 0.2]), 2)] == [[0, 0], [4, 2], [0.5, 0.2]]
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (1, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r["query_id"], r["vec_id"]) for r in ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1), (0, 2)]
+
+
 def test_shared_folder_is_that_of_the_session(spark):
     class Session:
         def __init__(self, place):
