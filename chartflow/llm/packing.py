@@ -8,12 +8,15 @@ window is its padding, a fixed cost and the penalty of the cut that ends it:
 
 The minimum slides along with j, so a queue of rising values gives each in
 constant time.  A window whose length is a power of two needs no padding; these
-few transitions are looked up beside the queue.  Places are thinned to one in
-each ``GRID`` tokens, the best of its kind, and all ends of documents.
+few transitions are looked up beside the queue.  Every end of a document or a
+sentence is a place; only where ``GRID`` tokens hold none of them is a place
+between words taken, one for each such stretch.
 
 A partition is worked on in stretches; the last window of a stretch begins the
 next one.  Nothing is shuffled: a sequence holds documents of one partition.
-What is left at its end is cut into powers of two where that costs less than padding.
+What is left at its end is cut into powers of two, wherever these end, where that
+costs less than padding; sequences of a power of two are what a packed window may
+be as well, down to ``SHORTEST``.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ from .tokens import ENCODE_BYTES, encoder
 
 SIZE, END_ID = 2048, 1
 GRID = 32
-#: In tokens of padding.
-SEQUENCE, SENTENCE, HARD = 2, 4, 24
+#: In tokens of padding: what a further sequence costs, and cuts after a sentence and inside one.
+SEQUENCE, SENTENCE, HARD = 32, 4, 24
 SHORTEST = 64
 
 _kinds: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
@@ -53,20 +56,17 @@ def places(ids: np.ndarray, doc_ends: np.ndarray, tokenizer: str | None = None)
     """Where the stream may be cut, in ascending order from 0 to its end, and what each cut costs."""
     n = len(ids)
     closes, opens = token_kinds(tokenizer)
-    cell = np.arange(1, n + 1) // GRID  # of a cut after each token
-    sentence = np.flatnonzero(closes[np.minimum(ids, len(closes) - 1)])
-    word = np.flatnonzero(opens[np.minimum(ids[1:], len(opens) - 1)])
-    pick = np.full(n // GRID + 1, -1)
-    pick[cell[word]] = word + 1
-    kind = np.full(len(pick), HARD)
-    pick[cell[sentence]] = sentence + 1  # the last of a cell wins
-    kind[cell[sentence]] = SENTENCE
-    bare = pick < 0
-    pick[bare] = np.flatnonzero(bare) * GRID
     cost = np.full(n + 1, -1, dtype=np.int64)
-    cost[pick] = kind
+    cost[np.flatnonzero(closes[np.minimum(ids, len(closes) - 1)]) + 1] = SENTENCE
     cost[doc_ends] = 0
     cost[0] = 0
+    cell = np.arange(n + 1) // GRID
+    bare = np.ones(n // GRID + 1, dtype=bool)  # cells without an end of a sentence or document
+    bare[cell[cost >= 0]] = False
+    pick = np.arange(len(bare)) * GRID
+    word = np.flatnonzero(opens[np.minimum(ids[1:], len(opens) - 1)]) + 1
+    pick[cell[word]] = word
+    cost[pick[bare]] = HARD
     if cost[n] < 0:
         cost[n] = HARD
     at = np.flatnonzero(cost >= 0)
@@ -112,7 +112,7 @@ def cuts(at: np.ndarray, cost: np.ndarray, size: int = SIZE) -> list[int]:
 
 def _rest(length: int, size: int = SIZE) -> list[int]:
     """The lengths that what is left at the end is cut into."""
-    if size - length <= HARD * (length.bit_count() - 1):
+    if size - length <= (SEQUENCE + HARD) * (length.bit_count() - 1):
         return [length]
     return [1 << k for k in range(length.bit_length() - 1, -1, -1) if length >> k & 1]
 

@@ -9,10 +9,10 @@ its neighbours.
 
 One file holds the documents of one range of ids, in ascending order:
 
-    8 bytes   magic ``DACTOK01``
-    5 x u64   documents, tokens, levels, chunk width in bits, crc32 of all that follows
+    8 bytes   magic ``DACTOK02``
+    6 x u64   documents, those of them without an id (the first ones), tokens, levels, chunk width in bits, crc32 of all that follows
     levels    u64 ids in each level
-    i64       id of each document
+    i64       id of each document, 0 where it has none
     u64       end of each document in tokens
     per level chunks (u8), bitmap (u64 words), directory (u64 per 512 bits)
 
@@ -37,12 +37,14 @@ from pyspark.sql.window import Window
 from . import common
 from .tokens import ENCODE_BYTES, encoder
 
-MAGIC, WIDTH, BLOCK = b"DACTOK01", 8, 512
+MAGIC, WIDTH, BLOCK = b"DACTOK02", 8, 512
 END_ID = 2
 #: Bytes of text that one file is made from, about.
 FILE_TEXT_BYTES = 16 << 20
-#: Files whose tokens one task sums up.
-RUN = 4096
+#: Ranges of ids at most; beyond that a range is written as several files.
+RANGES = 32_768
+#: Ranges whose tokens one task sums up.
+RUN = 256
 
 
 def _bitmap(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,11 +62,14 @@ class TokenWriter:
     """Takes documents one chunk after another and keeps them as levels, about two bytes a token."""
 
     def __init__(self):
+        self.nulls = 0
         self.doc_ids: list[np.ndarray] = []
         self.lengths: list[np.ndarray] = []
         self.levels: list[tuple[list[np.ndarray], list[np.ndarray]]] = []
 
-    def add(self, doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, nulls: int = 0) -> None:
+        """ids are those of all documents, one after another; the first nulls of doc_ids stand for none."""
+        self.nulls += nulls
         self.doc_ids.append(np.asarray(doc_ids, dtype="<i8"))
         self.lengths.append(np.asarray(lengths, dtype=np.int64))
         rest, k = np.asarray(ids, dtype=np.uint32), 0
@@ -93,7 +98,7 @@ class TokenWriter:
             for a in _bitmap(np.concatenate(flags)):
                 put(a)
         tokens = int(ends[-1]) if len(ends) else 0
-        head = MAGIC + np.array([len(doc_ids), tokens, len(self.levels), WIDTH, zlib.crc32(body)], dtype="<u8").tobytes()
+        head = MAGIC + np.array([len(doc_ids), self.nulls, tokens, len(self.levels), WIDTH, zlib.crc32(body)], dtype="<u8").tobytes()
         return len(doc_ids), tokens, head + body
 
 
@@ -110,10 +115,10 @@ class TokenFile:
     def __init__(self, data: bytes | memoryview, check: bool = False):
         if bytes(data[:8]) != MAGIC:
             raise ValueError("this is no token file")
-        docs, self.tokens, n_levels, width, crc = np.frombuffer(data, "<u8", 5, 8).tolist()
-        if width != WIDTH or check and zlib.crc32(data[48:]) != crc:
+        docs, self.nulls, self.tokens, n_levels, width, crc = np.frombuffer(data, "<u8", 6, 8).tolist()
+        if width != WIDTH or check and zlib.crc32(data[56:]) != crc:
             raise ValueError("this token file is damaged")
-        at = 48
+        at = 56
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -161,44 +166,53 @@ class TokenFile:
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder that executors share, and the path in it."""
-    if urlparse(uri).scheme in ("", "file"):
+    scheme = urlparse(uri).scheme
+    if scheme in ("", "file"):
         return fs.LocalFileSystem(), urlparse(uri).path
+    if scheme in ("s3a", "s3n"):  # names that only Hadoop uses
+        uri = "s3" + uri[len(scheme) :]
     return fs.FileSystem.from_uri(uri)
 
 
 def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, file_bytes: int = FILE_TEXT_BYTES) -> DataFrame:
     """Write all documents as token files under folder, in ascending order of id; return the list of files.
 
-    One row for each file: part (ascending with the ids), name, documents, tokens.
-    file_bytes is the text that a file is made from, about; a task holds some two bytes a token.
-    A null text is empty, a null id comes first and is written as the least
-    64-bit number; rows with the same id keep no order among themselves but
-    that of their texts.  A task that runs again writes another file, and the
-    list names the one that counts.
+    One row for each file: part and seq (ascending with the ids), name, documents, tokens.
+    file_bytes is the text that a file is made from, about; a task holds one file, some two bytes a token.
+    A null text is empty.  Null ids come first; rows with the same id go by a
+    hash of their texts, so even an id that many rows share is spread out.  A
+    task that runs again writes other files, and the list names those that count.
     """
     spark = docs.sparkSession
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-int(total) // file_bytes))
-    ordered = source.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    parts = max(1, min(RANGES, -(-int(total) // file_bytes)))
+    ordered = source.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = TokenWriter()
+        part, seq, size, w = TaskContext.get().partitionId(), 0, 0, TokenWriter()
+
+        def written() -> pa.RecordBatch:
+            n_docs, n_tokens, data = w.finish()
+            to, path = filesystem(folder)
+            to.create_dir(path, recursive=True)
+            name = f"{part:05d}-{seq:05d}-{uuid.uuid4().hex}.dac"
+            with to.open_output_stream(f"{path}/{name}") as f:
+                f.write(data)
+            return pa.record_batch([pa.array([part]), pa.array([seq]), pa.array([name]), pa.array([n_docs]), pa.array([n_tokens])], ["part", "seq", "name", "documents", "tokens"])
+
         for b in common.chunks(batches, "text", ENCODE_BYTES):
             ids, n = encoder(tokenizer).encode_all(b.column("text"), end_id)
-            w.add(b.column("id").to_numpy(), n, ids)
-        if not w.doc_ids:
-            return
-        part = TaskContext.get().partitionId()
-        n_docs, n_tokens, data = w.finish()
-        to, path = filesystem(folder)
-        to.create_dir(path, recursive=True)
-        name = f"{part:07d}-{uuid.uuid4().hex}.dac"
-        with to.open_output_stream(f"{path}/{name}") as f:
-            f.write(data)
-        yield pa.record_batch([pa.array([part]), pa.array([name]), pa.array([n_docs]), pa.array([n_tokens])], ["part", "name", "documents", "tokens"])
-
-    ordered.mapInArrow(run, "part long, name string, documents long, tokens long").write.parquet(f"{folder}/_files")
+            key = b.column("id")
+            w.add(key.fill_null(0).to_numpy(), n, ids, key.null_count)
+            size += common.text_bytes(b.column("text"))[1][-1]
+            if size >= 1.5 * file_bytes:  # a range is about file_bytes long, so this is for ranges that hold more
+                yield written()
+                seq, size, w = seq + 1, 0, TokenWriter()
+        if w.doc_ids:
+            yield written()
+
+    ordered.mapInArrow(run, "part long, seq long, name string, documents long, tokens long").write.parquet(f"{folder}/_files")
     return spark.read.parquet(f"{folder}/_files")
 
 
@@ -206,14 +220,14 @@ def read(files: DataFrame, folder: str) -> DataFrame:
     """Of each document in the files: doc_id, start, n_tokens and the crc32 of its ids.
 
     start counts the ids of all documents before it; it needs the tokens of
-    each file alone, summed inside runs of ``RUN`` files and then over the runs.
+    each file alone, summed inside runs of ``RUN`` ranges and then over the runs.
     """
     earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     files = files.withColumn("run", F.expr(f"part div {RUN}"))
     runs = files.groupBy("run").agg(F.sum("tokens").alias("sum"))
     runs = runs.select("run", F.coalesce(F.sum("sum").over(earlier().orderBy("run")), F.lit(0)).alias("lead"))
-    inside = files.select("run", "name", F.coalesce(F.sum("tokens").over(earlier("run").orderBy("part")), F.lit(0)).alias("inside"))
-    todo = inside.join(runs, "run").select("name", (F.col("lead") + F.col("inside")).alias("before")).repartition(max(1, files.count()), "name")
+    inside = files.select("run", "name", F.coalesce(F.sum("tokens").over(earlier("run").orderBy("part", "seq")), F.lit(0)).alias("inside"))
+    todo = inside.join(runs, "run").select("name", (F.col("lead") + F.col("inside")).alias("before")).repartition(max(1, min(RANGES, files.count())), "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,7 +241,8 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                     lo, hi = starts[i], ends[min(i + 4096, len(ends)) - 1]
                     raw = memoryview(t.slice(int(lo), int(hi)).astype("<u4").tobytes())
                     crc = [zlib.crc32(raw[4 * (s - lo) : 4 * (e - lo)]) for s, e in zip(starts[i : i + 4096].tolist(), ends[i : i + 4096].tolist(), strict=True)]
-                    yield pa.record_batch([pa.array(t.doc_ids[i : i + 4096]), pa.array(starts[i : i + 4096] + row["before"]), pa.array((ends - starts)[i : i + 4096]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    names = t.doc_ids[i : i + 4096]
+                    yield pa.record_batch([pa.array(names, mask=np.arange(i, i + len(names)) < t.nulls), pa.array(starts[i : i + 4096] + row["before"]), pa.array((ends - starts)[i : i + 4096]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return todo.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

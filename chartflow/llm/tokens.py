@@ -6,8 +6,8 @@ letter or digit, whatever else the text holds.  Pieces between these places are
 encoded independently, so a piece that was met before needs no second encoding:
 its ids are copied from a pool.  Pieces are found and looked up in numpy, by a
 64-bit hash of their bytes, for a chunk of documents at once.
-Texts with other white space, or with white space that touches white space or
-an end, are encoded whole.
+Texts with other white space, with white space that touches white space or an
+end, or with the string of a special or added token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -41,9 +41,7 @@ def _load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # strings of special tokens are ordinary text in a document
-    return t
+    return Tokenizer.from_file(path)
 
 
 class Memo:
@@ -115,8 +113,8 @@ def _count(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.diff(total[at])
 
 
-def pieces(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which documents (body[at[i] : at[i + 1]]) must be encoded whole, and where pieces begin in all of them."""
+def pieces(body: np.ndarray, at: np.ndarray, added: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Which documents (body[at[i] : at[i + 1]]) must be encoded whole, and where pieces begin in all of them.  added: strings of added tokens."""
     n = len(body)
     feed = body == 10
     blank = (body == 32) | feed
@@ -134,6 +132,12 @@ def pieces(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first, last = at[:-1][full], at[1:][full] - 1
     odd[first] |= blank[first]
     odd[last] |= blank[last]
+    raw = body.tobytes() if added else b""
+    for token in added:
+        i = raw.find(token)
+        while i >= 0:
+            odd[i] = True
+            i = raw.find(token, i + 1)
     whole = _count(odd, at) > 0
     begin = blank.copy()
     begin[1:] |= feed[:-1]
@@ -153,6 +157,8 @@ class Encoder:
         self.tokenizer = _load(path or default_tokenizer())
         self.memo = Memo(bits)
         self.feed = self._plain(["\n"])[0]
+        self.added = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)
+        self.memo_works = self.tokenizer.normalizer is None  # a normaliser may look past the places where pieces are cut
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -177,7 +183,8 @@ class Encoder:
         """The ids of all texts of a column in one array, each text followed by ``end``, and how many each has."""
         body, at = common.text_bytes(column)
         n, memo = len(at) - 1, self.memo
-        whole, begin = pieces(body, at)
+        whole, begin = pieces(body, at, self.added)
+        whole |= not self.memo_works
         doc = np.searchsorted(at, begin, "right") - 1
         keep = ~whole[doc]
         finish = np.append(begin[1:], len(body))[keep]

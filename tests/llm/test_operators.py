@@ -8,10 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from chartflow.llm import ann, boosting, chat, common, components, kneser_ney, mixing, packing, pii, quality_rules, simhash, substring, token_codes, tokens
 
@@ -115,8 +117,11 @@ def test_trees_as_column(spark):
 # 2
 
 
+PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def plain_ids(t):
-    return tokens._load(tokens.default_tokenizer()).encode(t or "", add_special_tokens=False).ids
+    return PLAIN.encode(t or "", add_special_tokens=False).ids
 
 
 def test_encoder_is_exact():
@@ -146,6 +151,11 @@ def test_token_file_reads_any_place(top):
         token_codes.TokenFile(b"nothing at all" * 9)
 
 
+def test_special_strings_are_encoded_as_the_library_does():
+    assert plain_ids("a <|endoftext|> b") == [64, 220, 50256, 275]
+    assert tokens.encoder().encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
 def test_token_files(spark):
     texts = TEXTS + [None]
     docs = frame(spark, texts, RANDOM.sample(range(-40, 200), len(texts)))
@@ -158,7 +168,11 @@ def test_token_files(spark):
         start += len(ids)
     many = token_codes.encode_and_read(docs, file_bytes=4000).collect()
     assert {r["doc_id"]: r for r in many} == got and len(many) == len(texts)
-    assert token_codes.encode_and_read(odd(spark)).count() == len(TEXTS) + 2
+    again = token_codes.encode_and_read(odd(spark).union(frame(spark, [None, "least"], [None, -(1 << 63)])), file_bytes=3000).orderBy("start").collect()
+    assert [r["doc_id"] for r in again[:4]] == [None, None, -(1 << 63), 0] and len(again) == len(TEXTS) + 4
+    assert [r["start"] for r in again] == [0, *np.cumsum([r["n_tokens"] for r in again])[:-1]]
+    same = frame(spark, [prose(20, k) for k in range(60)], [7] * 60)  # one id, one range, many files
+    assert token_codes.encode_and_read(same.coalesce(1), file_bytes=500).agg(F.count_distinct("start")).first()[0] == 60
     assert token_codes.encode_and_read(empty(spark)).count() == 0
 
 
