@@ -1,17 +1,20 @@
 """Mixing sources to target weights (operator 8), in DataFrame and SQL functions only.
 
 The words of each source make a stream that is cut into blocks of fixed length.
-Every output shard draws how many blocks it takes from each source; the slots
-that a source gets are numbered through all shards, a pseudorandom permutation
-of the source's block numbers maps slot to block (going round again when all
-blocks are used), and slots and blocks are joined by number.
-
-Independent multinomial draws would push a source that stops at three times
-its size above that, so the draws are made conditional on the totals: each
-shard's expected count gets the spread of a multinomial count, and the running
-sums are scaled to the source's exact number of slots.
-
-The arithmetic is written once as SQL text that both Spark and DuckDB read.
+A source's target gives it a number of slots, and all slots of the mix are dealt
+to output shards of ``SHARD_SLOTS`` slots each (the last may have fewer) like
+balls from an urn: a pseudorandom permutation of all slots says which shard each
+falls into.  How many a shard gets of each source is so a multinomial draw on
+condition of the sources' totals; no source can pass three times its size by
+chance, and every shard has its fixed size.
+
+These counts are the table that ``draw`` makes.  The slots of a source are then
+numbered through all shards, a permutation of the source's block numbers maps
+slot to block (going round again when all blocks are used), and slots and blocks
+are joined by number.
+
+Running sums go by runs of bounded length and then over the runs, so not even a
+source with a third of all rows is summed in one task.
 """
 
 from __future__ import annotations
@@ -28,8 +31,13 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 #: Documents that one task puts in order at most, about.
 ORDERED = 5000
+#: Rows of a running sum that are summed together.
+RUN = 1024
+#: Elements that one row is exploded to at most (as long as a source has less than the cube of them).
+STEP = 4096
 MOST = 3
-ROUNDS = 4
+#: Rounds of the permutation of blocks, and of that which deals slots to shards.
+ROUNDS, DRAW_ROUNDS = 4, 12
 _P = 2147483647  # a prime; products with factors below 2**17 stay in 64 bits
 
 
@@ -45,24 +53,39 @@ def first_place(k: str, n: str, key: str) -> str:
 
 def partner(x: str, n: str, key: str, i: int) -> str:
     """Where x would go in round i: place and partner are swapped or not together."""
-    return f"((({scatter(f'({key}) * 31 + {i}')} % ({n})) - {x} + ({n})) % ({n}))"
+    wide = f"({scatter(f'({key}) * 31 + {i}')} * 131071 + {scatter(f'({key}) * 37 + {i} + 5')})"
+    return f"((({wide} % ({n})) - {x} + ({n})) % ({n}))"
 
 
-def swapped(x: str, other: str, key: str, i: int) -> str:
-    return f"(CASE WHEN {scatter(f'greatest({x}, {other}) + ({key}) * 7919 + {i} * 104729')} % 2 = 1 THEN {other} ELSE {x} END)"
+def mark(x: str, other: str, key: str, i: int) -> str:
+    """A number that a pair of places shares in round i."""
+    return scatter(f"greatest({x}, {other}) + ({key}) * 7919 + {i} * 104729")
 
 
-def permute(df: DataFrame, to: str, k: str, n: str, key: str) -> DataFrame:
+def permute(df: DataFrame, to: str, k: str, n: str, key: str, rounds: int = ROUNDS) -> DataFrame:
+    """Add the place that a permutation of 0 .. n - 1, one for each key, gives k; a pair is swapped where the square of its mark is odd."""
     df = df.withColumn(to, F.expr(first_place(k, n, key)))
-    for i in range(ROUNDS):
-        df = df.withColumn("_other", F.expr(partner(to, n, key, i))).withColumn(to, F.expr(swapped(to, "_other", key, i)))
-    return df.drop("_other").withColumn(to, F.coalesce(to, F.lit(-1).cast("long")))  # never null: no filter is derived that repeats all this
-
-
-def _spread(total: str, shard: str, key: str) -> str:
-    """A share for a shard: the expected count and noise of a multinomial count's spread."""
-    u = " + ".join(scatter(f"{scatter(f'({shard}) * 8 + {i}')} + ({key}) * 65537") for i in range(4))
-    return f"greatest(0.0, {total} + sqrt({total}) * (({u}) / {_P}.0 - 2.0) * 1.7320508)"
+    for i in range(rounds):
+        df = df.withColumn("_other", F.expr(partner(to, n, key, i))).withColumn("_mark", F.expr(mark(to, "_other", key, i)))
+        df = df.withColumn(to, F.expr(f"CASE WHEN (_mark * _mark + _mark) % {_P} % 2 = 1 THEN _other ELSE {to} END"))
+    return df.drop("_other", "_mark").withColumn(to, F.coalesce(to, F.lit(-1).cast("long")))  # never null: no filter is derived that repeats all this
+
+
+def running(df: DataFrame, by: list[str], number: str, value: str, to: str) -> DataFrame:
+    """df with the sum of value over rows of the same keys with a smaller number: inside runs of RUN numbers, and over the runs before."""
+    earlier = lambda order, *keys: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    df = df.withColumn("_run", F.expr(f"{number} div {RUN}"))
+    runs = df.groupBy(*by, "_run").agg(F.sum(value).alias("_sum"))
+    # One more level, so that a window over runs has few of them.
+    high = runs.groupBy(*by, F.expr(f"_run div {RUN}").alias("_high")).agg(F.sum("_sum").alias("_all"))
+    high = high.withColumn("_lead", F.coalesce(F.sum("_all").over(earlier("_high", *by)), none)).drop("_all")
+    runs = runs.withColumn("_high", F.expr(f"_run div {RUN}")).withColumn("_in", F.coalesce(F.sum("_sum").over(earlier("_run", *by, "_high")), none))
+    same = lambda a, b, *more: F.expr(" AND ".join(f"{a}.{c} <=> {b}.{c}" for c in [*by, *more]))
+    runs = runs.alias("r").join(high.alias("h"), same("r", "h", "_high")).select(*(F.col(f"r.{c}") for c in [*by, "_run"]), (F.col("_in") + F.col("_lead")).alias("_before"))
+    df = df.withColumn("_in", F.coalesce(F.sum(value).over(earlier(number, *by, "_run")), none))
+    rest = [c for c in df.columns if c not in ("_run", "_in")]
+    return df.alias("d").join(runs.alias("r"), same("d", "r", "_run")).select(*(F.col(f"d.{c}") for c in rest), (F.col("_in") + F.col("_before")).alias(to))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -103,23 +126,37 @@ def place(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     goal = targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")))
     goal = goal.withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
     goal = goal.withColumn("slots", F.when(F.col("source_size") > 0, F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5)).otherwise(0).cast("long"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lead = parts.withColumn("before", before).alias("p").join(goal.alias("g"), F.expr("p.source <=> g.source")).select("p.source", "p.part", "before", "rank", "source_size", "target", "blocks", "slots")
+    lead = running(parts, ["source"], "part", "words", "before").alias("p").join(goal.alias("g"), F.expr("p.source <=> g.source")).select("p.source", "p.part", "before", "rank", "source_size", "target", "blocks", "slots")
     inside = F.coalesce(F.sum("size").over(Window.partitionBy("source", "part").orderBy("h", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = base.withColumn("inside", inside).alias("b").join(lead.alias("l").hint("merge"), F.expr("b.source <=> l.source AND b.part = l.part"))
     return placed.select(*row, "doc_id", "size", "b.source", "rank", "source_size", "target", "blocks", "slots", (F.col("before") + F.col("inside")).alias("start"))
 
 
-def slots(goal: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """(shard, rank, block, round): every slot of the mix and the block that fills it.  goal: rank, blocks, slots of each source."""
-    shards = F.expr(f"greatest(1, (sum(slots) OVER () + {shard_slots - 1}) div {shard_slots})")
-    drawn = goal.withColumn("shards", shards).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    drawn = drawn.withColumn("share", F.expr(_spread("(CAST(slots AS double) / shards)", "shard", "rank")))
-    w = Window.partitionBy("rank").orderBy("shard")
-    drawn = drawn.withColumn("up_to", F.sum("share").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("share").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    drawn = drawn.withColumn("last", F.when(F.col("shard") == F.col("shards") - 1, F.col("slots")).otherwise(F.floor(F.col("slots") * F.col("up_to") / F.greatest("all", F.lit(1e-9))).cast("long")))
-    drawn = drawn.withColumn("first", F.coalesce(F.lag("last").over(w), F.lit(0)))
-    each = drawn.where("last > first").repartition("rank", "shard").withColumn("slot", F.explode(F.sequence("first", F.col("last") - 1)))
+def _numbers(df: DataFrame, n: str, to: str) -> DataFrame:
+    """A row for each number 0 .. n - 1, by three small steps, spread out again after each."""
+    far = F.expr(f"sequence(0L, ({n} - 1) div {STEP * STEP})")
+    df = df.where(f"{n} > 0").withColumn("_far", F.explode(far)).repartition("rank", "_far")
+    df = df.withColumn("_near", F.explode(F.expr(f"sequence(_far * {STEP}, least(_far * {STEP} + {STEP - 1}, ({n} - 1) div {STEP}))"))).repartition("rank", "_near")
+    return df.withColumn(to, F.explode(F.expr(f"sequence(_near * {STEP}, least(_near * {STEP} + {STEP - 1}, {n} - 1))"))).drop("_far", "_near")
+
+
+def draw(goal: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(rank, blocks, shard, n): how many slots each shard takes of each source; goal has rank, blocks and slots of each source.
+
+    Slots lie in the urn source by source.  The place that the permutation gives
+    a slot is its place in the mix, and shard_slots places make a shard.
+    """
+    order = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    urn = goal.withColumn("all", F.sum("slots").over(Window.partitionBy())).withColumn("lead", F.coalesce(F.sum("slots").over(order), F.lit(0)))
+    each = _numbers(urn, "slots", "k").withColumn("u", F.expr("lead + k"))
+    each = permute(each, "place", "u", "all", "7L", DRAW_ROUNDS)
+    return each.groupBy("rank", "blocks", F.expr(f"place div {shard_slots}").alias("shard")).agg(F.count("*").alias("n"))
+
+
+def slots(drawn: DataFrame) -> DataFrame:
+    """(shard, rank, block, round): every slot of the mix and the block that fills it, from the counts of draw(), which should be a written table."""
+    numbered = running(drawn, ["rank"], "shard", "n", "first")
+    each = numbered.repartition("rank", "shard").withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
     each = permute(each.withColumn("k", F.expr("slot % blocks")), "block", "k", "blocks", "rank")
     return each.select("shard", "rank", "block", F.expr("slot div blocks").alias("round"))
 
@@ -136,7 +173,8 @@ def mix(placed: DataFrame, *, block: int = BLOCK_WORDS, shard_slots: int = SHARD
     cut = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     cut = cut.withColumn("from", F.greatest(F.col("block") * block - F.col("start"), F.lit(0)))
     cut = cut.withColumn("n", F.least((F.col("block") + 1) * block - F.col("start"), F.col("size")) - F.col("from"))
-    return cut.select(*(c for c in ("row",) if c in placed.columns), "rank", "block", "doc_id", "start", "size", "from", "n").join(slots(goal, shard_slots).hint("merge"), ["rank", "block"])
+    drawn = common.written(draw(goal, shard_slots), "drawn")
+    return cut.select(*(c for c in ("row",) if c in placed.columns), "rank", "block", "doc_id", "start", "size", "from", "n").join(slots(drawn).hint("merge"), ["rank", "block"])
 
 
 def taken(docs: DataFrame, *, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, **columns) -> DataFrame:
@@ -172,34 +210,34 @@ def mixed(docs: DataFrame, *, block: int = BLOCK_WORDS, shard_slots: int = SHARD
     return both.select(*docs.columns)
 
 
-def sql(block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, documents: str = "documents") -> str:
-    """taken() for DuckDB."""
-    order = "ORDER BY cap / CAST(weight AS DOUBLE), rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    rounds = "SELECT *, " + first_place("slot % blocks", "blocks", "rank") + " AS x0 FROM each"
-    for i in range(ROUNDS):
-        rounds = f"SELECT *, {swapped(f'x{i}', 'other', 'rank', i)} AS x{i + 1} FROM (SELECT * EXCLUDE (other), {partner(f'x{i}', 'blocks', 'rank', i)} AS other FROM ({rounds if i else rounds.replace('AS x0', 'AS x0, 0 AS other')}))"
+def sql(documents: str = "documents") -> str:
+    """What taken() gives, for DuckDB: the places of a source's blocks are worked out for every block, and used once more where slots go round."""
     return f"""
     WITH base AS (
-        SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size, {scatter("coalesce(doc_id, 0)")} AS h FROM {documents}),
-    sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
-    ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank, {MOST} * source_size AS cap FROM sizes),
-    weighted AS (SELECT *, (rank - 1) % 3 + 1 AS weight FROM ranked),
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, (abs(coalesce(doc_id, 0) % 2147483647) * 48271 + 11) % 2147483647 AS spread
+        FROM {documents}),
+    sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS words FROM base GROUP BY source),
+    ranked AS (SELECT source, words, row_number() OVER (ORDER BY source NULLS LAST) AS rank, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sources),
+    ordered AS (SELECT *, row_number() OVER (ORDER BY 3 * words / CAST(weight AS DOUBLE), rank) AS turn FROM ranked),
     levels AS (
-        SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER ({order}), 0) AS DOUBLE) / (sum(weight) OVER () - coalesce(sum(weight) OVER ({order}), 0)) AS level FROM weighted),
-    chosen AS (SELECT arg_min(level, cap / CAST(weight AS DOUBLE) + 0.0 * rank) AS goal_level FROM levels WHERE level * weight <= cap),
-    goal AS (
-        SELECT source, source_size, rank, CASE WHEN goal_level IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), goal_level * weight) END AS target, (source_size + {block - 1}) // {block} AS blocks
-        FROM levels CROSS JOIN chosen),
-    quota AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(target * blocks / source_size + 0.5) ELSE 0 END AS BIGINT) AS slots FROM goal),
-    each AS (SELECT rank, blocks, unnest(range(slots)) AS slot FROM quota WHERE blocks > 0),
-    uses AS (SELECT rank, x{ROUNDS} AS block, count(*) AS uses FROM ({rounds}) GROUP BY ALL),
+        SELECT a.turn, ((SELECT sum(words) FROM ranked) - coalesce((SELECT sum(3 * words) FROM ordered b WHERE b.turn < a.turn), 0)) / CAST((SELECT sum(weight) FROM ordered b WHERE b.turn >= a.turn) AS DOUBLE) AS level, 3 * words AS most, weight
+        FROM ordered a),
+    water AS (SELECT min_by(level, turn) AS level FROM levels WHERE level * weight <= most),
+    goal AS (SELECT source, rank, words, least(CAST(3 * words AS DOUBLE), coalesce(level * weight, CAST(3 * words AS DOUBLE))) AS target, CAST(ceil(words / 64.0) AS BIGINT) AS n FROM ranked, water),
+    dealt AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE CAST(floor(target * n / words + 0.5) AS BIGINT) END AS slots FROM goal),
+    p0 AS (SELECT rank, n, slots, k, (k * (CASE WHEN n % 16777213 = 0 THEN 8388593 ELSE 16777213 END) + rank) % n AS x FROM (SELECT *, unnest(range(n)) AS k FROM dealt)),
+    {"".join(f"""
+    q{i} AS (
+        SELECT *, (((abs((rank * 31 + {i}) % 2147483647) * 48271 + 11) % 2147483647 * 131071 + (abs((rank * 37 + {i} + 5) % 2147483647) * 48271 + 11) % 2147483647) % n - x + n) % n AS y FROM p{i}),
+    r{i} AS (SELECT *, (abs((greatest(x, y) + rank * 7919 + {i} * 104729) % 2147483647) * 48271 + 11) % 2147483647 AS z FROM q{i}),
+    p{i + 1} AS (SELECT rank, n, slots, k, CASE WHEN (z * z + z) % 2147483647 % 2 = 1 THEN y ELSE x END AS x FROM r{i}),""" for i in range(4))}
+    uses AS (SELECT rank, x AS block, slots // n + CASE WHEN k < slots % n THEN 1 ELSE 0 END AS times FROM p4),
     placed AS (
-        SELECT b.doc_id, b.size, q.rank, q.source_size, q.target,
-            CAST(coalesce(sum(b.size) OVER (PARTITION BY q.rank ORDER BY b.h, b.doc_id NULLS FIRST, b.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-        FROM base b JOIN quota q ON b.source IS NOT DISTINCT FROM q.source),
-    cut AS (SELECT rank, start, size, unnest(range(start // {block}, (start + size - 1) // {block} + 1)) AS block FROM placed WHERE size > 0),
-    used AS (
-        SELECT c.rank, c.start, CAST(sum(u.uses * (least((c.block + 1) * {block}, c.start + c.size) - greatest(c.block * {block}, c.start))) AS BIGINT) AS taken
-        FROM cut c JOIN uses u ON c.rank = u.rank AND c.block = u.block GROUP BY ALL)
-    SELECT p.doc_id, p.size, p.source_size, p.target, CASE WHEN p.size > 0 THEN coalesce(u.taken, 0) ELSE 0 END AS taken
-    FROM placed p LEFT JOIN used u ON p.rank = u.rank AND p.start = u.start"""
+        SELECT b.doc_id, b.size, d.rank, d.words, d.target, coalesce(sum(b.size) OVER (PARTITION BY d.rank ORDER BY b.spread, b.doc_id NULLS FIRST, b.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+        FROM base b JOIN dealt d ON b.source IS NOT DISTINCT FROM d.source),
+    pieces AS (SELECT rank, start, size, unnest(range(CAST(start // 64 AS BIGINT), CAST((start + size - 1) // 64 + 1 AS BIGINT))) AS block FROM placed WHERE size > 0),
+    took AS (
+        SELECT p.rank, p.start, sum(u.times * (least(64 * (p.block + 1), p.start + p.size) - greatest(64 * p.block, p.start))) AS taken
+        FROM pieces p JOIN uses u ON p.rank = u.rank AND p.block = u.block GROUP BY p.rank, p.start)
+    SELECT p.doc_id, CAST(p.size AS BIGINT) AS size, p.words AS source_size, p.target, CAST(CASE WHEN p.size > 0 THEN coalesce(t.taken, 0) ELSE 0 END AS BIGINT) AS taken
+    FROM placed p LEFT JOIN took t ON p.rank = t.rank AND p.start = t.start"""

@@ -435,6 +435,51 @@ def test_mixing(spark):
     assert mixing.taken(empty(spark)).count() == 0
 
 
+def plain_place(x, n, key, rounds):
+    """The permutation of 0 .. n - 1, in Python's own numbers."""
+    spread = lambda v: (v % 2147483647 * 48271 + 11) % 2147483647
+    x = (x * 16777213 + key) % n
+    for i in range(rounds):
+        other = ((spread(key * 31 + i) * 131071 + spread(key * 37 + i + 5)) % n - x) % n
+        mark = spread(max(x, other) + key * 7919 + i * 104729)
+        if (mark * mark + mark) % 2147483647 % 2:
+            x = other
+    return x
+
+
+def test_shards_are_draws_of_fixed_size(spark):
+    """Counts of a shard sum to its slots, those of a source to its own; they vary as draws without replacement do."""
+    rows = [(1, 700, 1500), (2, 60_000, 60_000), (3, 5, 15), (4, 9000, 30_000)]
+    goal = spark.createDataFrame(rows, "rank long, blocks long, slots long")
+    drawn = common.written(mixing.draw(goal, 256), "drawn")
+    got = {(r["shard"], r["rank"]): r["n"] for r in drawn.collect()}
+    total = sum(n for *_, n in rows)
+    want, lead = Counter(), 0
+    for rank, _, n in rows:
+        want += Counter((plain_place(u, total, 7, mixing.DRAW_ROUNDS) // 256, rank) for u in range(lead, lead + n))
+        lead += n
+    assert got == dict(want)
+    shards = -(-total // 256)
+    assert [sum(got.get((s, r), 0) for r in (1, 2, 3, 4)) for s in range(shards)] == [256] * (shards - 1) + [total - 256 * (shards - 1)]
+    for rank, _, n in rows:
+        counts = np.array([got.get((s, rank), 0) for s in range(shards - 1)])
+        share = n / total
+        assert abs(counts.mean() - 256 * share) < 0.5 and 0.6 < counts.var() / (256 * share * (1 - share)) < 1.6
+    each = mixing.slots(drawn).toPandas()
+    assert each.groupby("shard").size().tolist() == [256] * (shards - 1) + [total - 256 * (shards - 1)]
+    for rank, blocks, n in rows:
+        of = each[each["rank"] == rank]
+        assert len(of) == n and not of.duplicated(["block", "round"]).any() and set(of["round"]) == set(range(-(-n // blocks))) and of.block.between(0, blocks - 1).all()
+        assert set(of[of["round"] == 0].block) == {plain_place(k, blocks, rank, mixing.ROUNDS) for k in range(min(n, blocks))}
+
+
+def test_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 3)
+    rows = [(s, k, k % 5 + 1) for s in ("a", None) for k in range(0, 60, 2)]
+    got = mixing.running(spark.createDataFrame(rows, "s string, k long, v long"), ["s"], "k", "v", "before").collect()
+    assert sorted(((r["s"] or ""), r["k"], r["before"]) for r in got) == sorted((s or "", k, sum(v for s2, k2, v in rows if s2 == s and k2 < k)) for s, k, _ in rows)
+
+
 # 9
 
 
