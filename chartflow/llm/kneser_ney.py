@@ -10,10 +10,13 @@ n-grams, which are far fewer than its characters; their probabilities come back
 as the block's lexicon, and both meet again by block (the same shuffle of texts
 serves both ways).  A document's perplexity is that of all its characters and
 an end mark.  One in ``HELD_OUT`` trusted documents is kept from the counts, by
-a hash of its id; the threshold of a language is a quantile over these, and some
-room above it, as they are few where the input is small.
+a hash of its id; the threshold of a language is a quantile over these (over
+its other trusted documents where it has none of these).
 
-An n-gram is a number of 16 bits a character; characters beyond U+FFFF count as U+FFFD.
+A character is its one or two 16-bit units of UTF-16, and an n-gram a number of
+``ORDER`` units, so no two characters count as one.  The marks are the units
+FFFE and FFFF; the two characters of that name are written as pairs that
+UTF-16 does not have otherwise.
 """
 
 from __future__ import annotations
@@ -27,26 +30,33 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDER = 4
-#: Share of a language's held-out trusted documents that its threshold lets through, and how far above it lies.
-QUANTILE, ROOM = 0.99, 1.15
+#: Share of a language's held-out trusted documents that its threshold lets through.
+QUANTILE = 0.99
 HELD_OUT = 5
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 32 << 20
-START, END = 2, 3
+START, END = 0xFFFE, 0xFFFF
 #: Probability of a character where a language has no trusted text.
 UNSEEN = 1.0 / 65536
 
 
+def units(text: str | None) -> np.ndarray:
+    """The 16-bit units of a text; none of them is a mark."""
+    out = np.frombuffer((text or "").encode("utf-16-le"), dtype="<u2")
+    if len(out) and out.max() >= START:
+        out = np.frombuffer(text.replace("\ufffe", "\udc00\udc00").replace("\uffff", "\udc00\udc01").encode("utf-16-le", "surrogatepass"), dtype="<u2")
+    return out
+
+
 def grams(texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of all texts, one after another, and how many each has (its characters and the end mark)."""
-    parts = [np.frombuffer((t or "").encode("utf-32-le"), dtype="<u4") for t in texts.to_pylist()]
+    """The n-grams of all texts, one after another, and how many each has (its units and the end mark)."""
+    parts = [units(t) for t in texts.to_pylist()]
     size = np.array([len(p) + 1 for p in parts], dtype=np.int64)
     if not len(size):
         return np.zeros(0, np.int64), size
-    lead = np.full(order - 1, START, dtype=np.uint32)
-    end = np.array([END], dtype=np.uint32)
-    line = np.concatenate([x for p in parts for x in (lead, p, end)])
-    line = np.where(line > 0xFFFF, 0xFFFD, line).astype(np.int64)
+    lead = np.full(order - 1, START, dtype=np.uint16)
+    end = np.array([END], dtype=np.uint16)
+    line = np.concatenate([x for p in parts for x in (lead, p, end)]).astype(np.int64)
     out = np.zeros(len(line) - order + 1, dtype=np.int64)
     for k in range(order):
         out = (out << 16) | line[k : k + len(out)]
@@ -88,7 +98,7 @@ def _found(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def _scored(left: pa.Table, right: pa.Table) -> pa.Table:
-    """(doc_id, lang, n, logp) of a block's documents, from its lexicon (lang, g, logp in single precision, summed in double)."""
+    """(doc_id, lang, chars, n, logp) of a block's documents, from its lexicon (lang, g, logp in single precision, summed in double)."""
     parts = []
     for name, part in _by_language(left) if left.num_rows else []:
         mine = right.filter(pc.equal(right["lang"], name))
@@ -99,8 +109,8 @@ def _scored(left: pa.Table, right: pa.Table) -> pa.Table:
             g, size = grams(b.column("text"))
             p = value[np.searchsorted(key, g)]
             total = np.add.reduceat(p, np.concatenate([[0], np.cumsum(size)[:-1]]))
-            parts.append(pa.table({"doc_id": b.column("doc_id"), "lang": b.column("lang"), "n": pa.array(size), "logp": pa.array(total)}))
-    return pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "logp": pa.array([], pa.float64())})
+            parts.append(pa.table({"doc_id": b.column("doc_id"), "lang": b.column("lang"), "chars": pc.utf8_length(b.column("text")).cast(pa.int64()), "n": pa.array(size), "logp": pa.array(total)}))
+    return pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "chars": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "logp": pa.array([], pa.float64())})
 
 
 def discount(c: Column) -> Column:
@@ -123,12 +133,13 @@ def probabilities(found: DataFrame, order: int = ORDER) -> DataFrame:
     for n in range(order - 1, 0, -1):
         tail = F.col("g").bitwiseAND(F.lit(mask[n])).alias("g")
         asked[n] = common.written(asked[n + 1].groupBy("lang", tail).agg(F.count_if(F.col("c") > 0).alias("c")), "counts")
-    known = asked[1].where("c > 0").groupBy("lang").agg((F.count("*") + 1).cast("double").alias("chars"))
+    # Figures of whole languages are one row each, broadcast if they are few.
+    known = common.small(common.written(asked[1].where("c > 0").groupBy("lang").agg((F.count("*") + 1).cast("double").alias("chars")), "alphabets"))
     p = None
     for n in range(1, order + 1):
         head = F.shiftright("g", 16).alias("h")
         seen = asked[n].where("c > 0")
-        rates = discounts(seen)
+        rates = common.small(common.written(discounts(seen), "discounts"))
         heads = seen.join(rates, "lang").select("lang", head, "c", F.least(discount(F.col("c")), F.col("c").cast("double")).alias("d")).groupBy("lang", "h").agg(F.sum("c").alias("s"), (F.sum("d") / F.sum("c")).alias("back"))
         now = asked[n].select("lang", "g", F.when(F.col("c") > 0, F.col("c")).alias("c"), head).join(heads, ["lang", "h"], "left").join(rates, "lang", "left")
         if p is None:
@@ -157,7 +168,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     found = dealt.cogroup(trusted.where(~held).select(block, "doc_id").groupBy("block")).applyInArrow(_found, "block long, lang string, g long, c long")
     found = common.written(found, "grams")
     lexicon = found.select("block", "lang", "g").join(probabilities(found), ["lang", "g"]).select("block", "lang", "g", F.log("p").cast("float").alias("logp"))
-    scored = dealt.cogroup(lexicon.groupBy("block")).applyInArrow(_scored, "doc_id long, lang string, n long, logp double")
-    scored = common.written(scored.select("doc_id", "lang", (F.col("n") - 1).alias("n_chars"), F.exp(-F.col("logp") / F.col("n")).alias("perplexity")), "scored")
-    limits = scored.join(trusted, "doc_id", "left_semi").groupBy("lang").agg((F.coalesce(F.percentile_approx(F.when(held, F.col("perplexity")), quantile, 10_000), F.max("perplexity")) * ROOM).alias("threshold"))
+    scored = dealt.cogroup(lexicon.groupBy("block")).applyInArrow(_scored, "doc_id long, lang string, chars long, n long, logp double")
+    scored = common.written(scored.select("doc_id", "lang", F.col("chars").alias("n_chars"), F.exp(-F.col("logp") / F.col("n")).alias("perplexity")), "scored")
+    place = lambda x: F.percentile_approx(x, quantile, 10_000)
+    limits = scored.join(trusted, "doc_id", "left_semi").groupBy("lang").agg(F.coalesce(place(F.when(held, F.col("perplexity"))), place(F.col("perplexity"))).alias("threshold"))
+    limits = common.small(common.written(limits, "limits"))
     return scored.join(limits, "lang", "left").select("doc_id", "lang", "n_chars", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))

@@ -380,11 +380,83 @@ def test_probabilities_sum_to_one(spark):
     heads = {int(x) >> 16 for x in seen}
     chars = {int(x) & 0xFFFF for x in seen}
     head = sorted(heads)[len(heads) // 2]
-    rows = [(0, "en", int(a), int(c)) for a, c in zip(seen, n, strict=True)] + [(0, "en", head << 16 | c, 0) for c in chars if head << 16 | c not in set(seen.tolist())]
+    unseen = 0x4E00
+    rows = [(0, "en", int(a), int(c)) for a, c in zip(seen, n, strict=True)] + [(0, "en", head << 16 | c, 0) for c in [*chars, unseen] if head << 16 | c not in set(seen.tolist())]
     p = kneser_ney.probabilities(spark.createDataFrame(rows, "block long, lang string, g long, c long"), 3)
     total = p.where(F.shiftright("g", 16) == head).agg(F.sum("p"), F.count("*")).first()
     # one character that was never seen holds the rest
-    assert total[1] == len(chars) and 0.9 < total[0] < 1
+    assert total[1] == len(chars) + 1 and total[0] == pytest.approx(1, abs=1e-12)
+
+
+def plain_units(t):
+    """A text as 16-bit units; the two marks are strings, so no character is one."""
+    raw = (t or "").replace("\ufffe", "\udc00\udc00").replace("\uffff", "\udc00\udc01").encode("utf-16-le", "surrogatepass")
+    return ["<"] * 3 + [raw[i : i + 2] for i in range(0, len(raw), 2)] + [">"]
+
+
+def plain_kneser_ney(trusted, order=4):
+    """The probability of an n-gram of units (a tuple), from the texts of one language."""
+    count = [Counter() for _ in range(order + 1)]
+    for t in trusted:
+        u = plain_units(t)
+        count[order].update(tuple(u[i : i + order]) for i in range(len(u) - order + 1))
+    for n in range(order - 1, 0, -1):
+        count[n] = Counter(g[1:] for g in count[n + 1])
+    steps, heads = [None], [None]
+    for n in range(1, order + 1):
+        of = Counter(count[n].values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] + of[2] else None
+        raw = [None if y is None or not of[k] else k - (k + 1) * y * of[k + 1] / of[k] for k in (1, 2, 3)]
+        d = [max(0.1, min(k, k / 2 if r is None else r)) for k, r in zip((1, 2, 3), raw, strict=True)]
+        steps.append(lambda c, d=d: d[min(c, 3) - 1])
+        sums = {}
+        for g, c in count[n].items():
+            s = sums.setdefault(g[:-1], [0, 0.0])
+            s[0] += c
+            s[1] += min(steps[n](c), c)
+        heads.append(sums)
+
+    def p(g):
+        n = len(g)
+        lower = p(g[1:]) if n > 1 else 1 / (len(count[1]) + 1) if count[1] else kneser_ney.UNSEEN
+        if g[:-1] not in heads[n]:
+            return lower
+        s, back = heads[n][g[:-1]]
+        c = count[n].get(g, 0)
+        return (max(c - steps[n](c), 0) / s if c else 0) + back / s * lower
+
+    return p
+
+
+def check_kneser_ney(spark, got, texts, langs, trusted):
+    """got: rows by id; every perplexity and threshold against the plain model."""
+    held = {r[0] for r in spark.createDataFrame([(i,) for i in trusted], "i long").where(F.pmod(F.xxhash64("i"), F.lit(kneser_ney.HELD_OUT)) == 0).collect()}
+    for lang in set(langs.values()):
+        mine = [i for i in texts if langs[i] == lang]
+        p = plain_kneser_ney([texts[i] for i in mine if i in trusted and i not in held])
+        want = {}
+        for i in mine:
+            u = plain_units(texts[i])
+            each = [math.log(p(tuple(u[k : k + 4]))) for k in range(len(u) - 3)]
+            want[i] = math.exp(-sum(each) / len(each))
+            assert got[i]["perplexity"] == pytest.approx(want[i], rel=1e-5) and got[i]["n_chars"] == len(texts[i] or "")
+        scores = sorted(want[i] for i in mine if i in trusted and i in held) or sorted(want[i] for i in mine if i in trusted)
+        limit = scores[math.ceil(kneser_ney.QUANTILE * len(scores)) - 1] if scores else None
+        assert all(got[i]["threshold"] == pytest.approx(limit, rel=1e-5) if scores else got[i]["threshold"] is None for i in mine)
+        assert all(got[i]["kept"] == (not scores or got[i]["perplexity"] <= got[i]["threshold"]) for i in mine)
+
+
+def test_every_perplexity(spark):
+    """Characters beyond 16 bits, and those that share a number with the marks, are told apart."""
+    texts = [t for t in TEXTS if len(t or "") < 4000] + ["a\ufffe\uffffb", "\ufffe\ufffe\ufffe", "\x02\x03", "😀😁😂", "😀", "\ufffd", "𐀀"]
+    docs = frame(spark, texts)
+    langs = {i: ["en", "fr", ""][i % 3] for i in range(len(texts))}
+    trusted = [i for i in range(len(texts)) if i % 3 == 0 or i % 3 == 2 and i > 20]
+    rows = kneser_ney.classify(docs, labels(spark, trusted, [1] * len(trusted))).collect()
+    got = {r["doc_id"]: r for r in rows}
+    check_kneser_ney(spark, got, dict(enumerate(texts)), langs, set(trusted))
+    perplexity = {texts[i]: r["perplexity"] for i, r in got.items()}
+    assert len(perplexity) == len({t: 0 for t in texts}) and got[len(texts) - 3]["n_chars"] == 1
 
 
 # 8

@@ -11,7 +11,7 @@ import pytest
 
 from chartflow.llm.queries import QUERIES, SQL
 
-from .test_operators import base_counts, pii, plain_components, plain_dedup, plain_ids, plain_print, plain_spans
+from .test_operators import base_counts, check_kneser_ney, pii, plain_components, plain_dedup, plain_ids, plain_print, plain_spans
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -85,7 +85,10 @@ def test_kneser_ney(spark, texts):
     labels = spark.read.parquet(f"{DATA}/labels.parquet").collect()
     clean = [r["doc_id"] for r in labels if r["quality"] == 1 and not r["toxic"] and r["doc_id"] in got]
     assert set(got) == set(texts) and sum(got[i]["kept"] for i in clean) >= 0.95 * len(clean)
-    assert all(r["n_chars"] == len(texts[i] or "") and r["perplexity"] >= 1 for i, r in got.items())
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang").collect()}
+    check_kneser_ney(spark, got, texts, langs, {r["doc_id"] for r in labels if r["quality"] == 1 and not r["toxic"]})
+    junk = [r["doc_id"] for r in labels if r["quality"] == 0 and r["doc_id"] in got]
+    assert not junk or sum(not got[i]["kept"] for i in junk) >= 0.8 * len(junk)
 
 
 def test_personal_data(spark, texts):
