@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def stitch(hospitalization: DataFrame, adt: DataFrame, hours: float = 6, *, exact_ids: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def stitch(hospitalization: DataFrame, adt: DataFrame, hours: float = 6, *, exact_ids: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """hospitalization and adt with encounter_block, and the mapping.
 
     A stay links to the next of its patient if that begins at most so many
-    hours after its discharge; overlapping stays link.  With exact_ids a block
-    is numbered by the place of its last stay among all, by patient and
-    admission: one sort of ids alone, on one task.  Otherwise its name is the
-    last stay's id, and nothing leaves the patient.
+    hours after its discharge; overlapping stays link.  A block's name is the id
+    of its last stay, and nothing leaves the patient.  With exact_ids it is
+    numbered by the place of its last stay among all, by patient and admission:
+    one sort of ids alone, on one task, so only for tables that one task can sort.
     """
     stays = hospitalization.select("patient_id", "hospitalization_id", "admission_dttm", "discharge_dttm").distinct()
     w = Window.partitionBy("patient_id").orderBy(F.col("admission_dttm").asc_nulls_last(), "hospitalization_id")

@@ -49,14 +49,17 @@ def most_common(df: DataFrame, column: str, default: str) -> str:
     return row[0] if row else default
 
 
-def contingency_residuals(df: DataFrame, row: str, column: str) -> DataFrame:
+def contingency_residuals(df: DataFrame, row: str, column: str, most: int = 10_000) -> DataFrame:
     """observed, expected and (observed - expected) / sqrt(expected) of every pair of levels, those never seen included.
 
     The levels of both sides are few by nature (they are categories); their
-    product, not that of rows, is what comes out.
+    product, not that of rows, is what comes out.  A column with more than
+    ``most`` levels is no category, and an error.
     """
     seen = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count("*").alias("observed"))
     rows, columns = seen.groupBy(row).agg(F.sum("observed").alias("_r")), seen.groupBy(column).agg(F.sum("observed").alias("_c"))
+    if columns.limit(most + 1).count() > most:
+        raise ValueError(f"{column} has more than {most} levels")
     total = seen.agg(F.sum("observed").alias("_n"))
     cells = rows.crossJoin(F.broadcast(columns)).crossJoin(F.broadcast(total)).join(seen, [row, column], "left")
     expected = F.col("_r") * F.col("_c") / F.col("_n")

@@ -8,20 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def expand(rules: list[str]) -> list[str]:
-    """Prefixes from rules: "I21", or "C00-C26" for all codes with the same letters from one number to the other."""
-    out = []
-    for r in rules:
-        if "-" not in r:
-            out.append(r)
-            continue
-        a, b = r.split("-")
-        letters = a.rstrip("0123456789")
-        width = len(a) - len(letters)
-        out += [f"{letters}{i:0{width}d}" for i in range(int(a[len(letters):]), int(b[len(letters):]) + 1)]
-    return out
-
-
 def starts_with_any(code: Column, prefixes: list[str]) -> Column:
     """Whether a clean code begins with any prefix: one anchored pattern, no join."""
     return F.coalesce(code.rlike("^(?:" + "|".join(re.escape(p.lower()) for p in prefixes) + ")"), F.lit(False))
@@ -29,7 +15,7 @@ def starts_with_any(code: Column, prefixes: list[str]) -> Column:
 
 def flags(df: DataFrame, keys: list[str], code: Column, conditions: dict[str, list[str]], hierarchies: list[tuple[str, str]] = ()) -> DataFrame:
     """A 0/1 column for each condition; of a pair (severe, mild) the mild one is 0 where the severe one is 1."""
-    out = df.groupBy(*keys).agg(*(F.max(starts_with_any(code, expand(p)).cast("int")).alias(c) for c, p in conditions.items()))
+    out = df.groupBy(*keys).agg(*(F.max(starts_with_any(code, p).cast("int")).alias(c) for c, p in conditions.items()))
     for severe, mild in hierarchies:
         out = out.withColumn(mild, F.when(F.col(severe) == 1, 0).otherwise(F.col(mild)))
     return out

@@ -68,12 +68,16 @@ def suppress_repeats(df: DataFrame, keys: list[str], time: str, days: int, subje
     Only rows that meet subject can be dropped; others are kept and set the
     clock.  Rows without a time are kept and do not set it.  What is kept last
     decides, so no plain window can say it: the times of an entity are folded.
-    The fold holds the subject rows that stay, at most one for each such span
-    of days, however many rows an entity has.
+    A row that comes so much later than the one before it is kept whatever was
+    kept before, so an entity is cut there first and each piece is folded for
+    itself; only rows that follow one another more closely share a piece.
     """
     rows = df.withColumn("_subject", F.coalesce(subject, F.lit(False)))
     item = F.struct(F.col(time).alias("t"), F.col(tiebreak).alias("id"), F.col("_subject").alias("s"))
-    listed = rows.where(F.col(time).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))
+    order = [time, tiebreak]
+    gap = F.floor((F.unix_micros(F.col(time)) - F.unix_micros(F.lag(time).over(ordered(keys, order)))) / F.lit(86_400_000_000)) > days
+    pieces = gap_island(rows.where(F.col(time).isNotNull()), keys, order, gap, "_piece")
+    listed = pieces.groupBy(*keys, "_piece").agg(F.array_sort(F.collect_list(item)).alias("_all"))
     kind = dict(df.dtypes)
     zero = F.struct(F.lit(None).cast(kind[time]).alias("last"), F.array().cast(f"array<{kind[tiebreak]}>").alias("kept"))
 

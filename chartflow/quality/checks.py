@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars
 from ..operators import intervals, ranges
 from .schema import KINDS, SPARK, Schema
 
+#: Values that a finding names; it counts all of them.
 SHOWN = 10
+#: Findings of one kind that come one by one; a last one counts the rest, and the table of faults holds them all.
+LISTED = 1000
 #: A warning from any, never an error.
 ANY = (0.0, 101.0)
 
@@ -92,14 +96,19 @@ def vocabulary(df: DataFrame, s: Schema) -> list[Finding]:
     rules = {c.name: c for c in s.columns if c.category and c.values and c.name in df.columns}
     if not rules:
         return []
-    allowed = [(c, v.strip().lower()) for c, r in rules.items() for v in r.values]
-    known = F.broadcast(df.sparkSession.createDataFrame(allowed, "column string, value string"))
-    counted = category_counts(df, list(rules)).cache()
-    wrong = counted.join(known, ["column", "value"], "left_anti").groupBy("column").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.slice(F.sort_array(F.collect_list(F.struct("n", "original")), False), 1, SHOWN).alias("top"))
-    bad = {r["column"]: r for r in wrong.collect()}
-    unseen = known.join(counted.select("column", "value").distinct(), ["column", "value"], "left_anti").groupBy("column").agg(F.array_sort(F.collect_set("value")).alias("v"))
-    missing = {r["column"]: r["v"] for r in unseen.collect()}
-    counted.unpersist()
+    allowed = [(c, v.strip().lower(), True) for c, r in rules.items() for v in r.values]
+    known = df.sparkSession.createDataFrame(allowed, "column string, value string, known boolean").distinct()
+    both = category_counts(df, list(rules)).join(known, ["column", "value"], "full")
+    wrong, unseen = F.col("known").isNull(), F.col("n").isNull()
+    place = F.row_number().over(Window.partitionBy("column", wrong).orderBy(F.col("n").desc_nulls_last(), "original"))
+    both = both.withColumn("place", place).groupBy("column").agg(
+        F.sum(F.when(wrong, F.col("n"))).alias("n"), F.count_if(wrong).alias("kinds"),
+        F.array_sort(F.collect_list(F.when(wrong & (F.col("place") <= SHOWN), F.struct("place", "n", "original")))).alias("top"),
+        F.array_sort(F.collect_set(F.when(unseen, F.col("value")))).alias("unseen"),
+    )
+    rows = {r["column"]: r for r in both.collect()}
+    bad = {c: r for c, r in rows.items() if r["kinds"]}
+    missing = {c: r["unseen"] for c, r in rows.items()}
     out = []
     for c, r in rules.items():
         b, m = bad.get(c), missing.get(c, [])
@@ -108,33 +117,52 @@ def vocabulary(df: DataFrame, s: Schema) -> list[Finding]:
     return out
 
 
+def group_faults(df: DataFrame, category: str, group: str, mapping: dict[str, str]) -> DataFrame:
+    """category, group and n of all rows whose category stands with another group than its own."""
+    t = F.broadcast(df.sparkSession.createDataFrame([(k.lower(), v.lower()) for k, v in mapping.items()], "category string, own string"))
+    rows = df.select(scalars.for_validation(F.col(category)).alias("category"), scalars.for_validation(F.col(group)).alias("group")).where("category IS NOT NULL AND group IS NOT NULL")
+    return rows.join(t, "category").where("group <> own").groupBy("category", "group").agg(F.count("*").alias("n"))
+
+
+def _most(faults: DataFrame, by: str, name: str) -> DataFrame:
+    """by, kinds, n and the SHOWN most frequent of each key's faults."""
+    ranked = faults.withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy(F.col("n").desc(), name)))
+    top = F.array_sort(F.collect_list(F.when(F.col("_place") <= SHOWN, F.struct("_place", F.col(name).alias("name"), "n"))))
+    return ranked.groupBy(by).agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), top.alias("top"))
+
+
 def group_mapping(df: DataFrame, s: Schema) -> list[Finding]:
-    """C.6: categories that stand with another group than theirs."""
+    """C.6: categories that stand with another group than theirs; group_faults() has all of them."""
     out = []
     for (category, group), mapping in s.groups.items():
         if category not in df.columns or group not in df.columns:
             continue
-        t = F.broadcast(df.sparkSession.createDataFrame([(k.lower(), v.lower()) for k, v in mapping.items()], "k string, v string"))
-        rows = df.select(scalars.for_validation(F.col(category)).alias("k"), scalars.for_validation(F.col(group)).alias("g")).where("k IS NOT NULL AND g IS NOT NULL").groupBy("k", "g").count().join(t, "k").where("g <> v")
-        wrong = {}
-        for r in rows.limit(10_000).collect():
-            wrong.setdefault(r["k"], []).append(r["g"])
-        out += [Finding("C.6", s.table, "group", "warning", category, f"{k}: {', '.join(sorted(g))}", passed=0) for k, g in sorted(wrong.items())] or [Finding("C.6", s.table, "group", "pass", category)]
+        rows = _most(group_faults(df, category, group, mapping), "category", "group").orderBy("category").collect()
+        out += [Finding("C.6", s.table, "group", "warning", category, f"{r['category']}: {', '.join(sorted(x['name'] for x in r['top']))}", {"bad": r["n"], "kinds": r["kinds"]}, passed=0) for r in rows] or [Finding("C.6", s.table, "group", "pass", category)]
     return out
 
 
+def unit_faults(df: DataFrame, category: str, unit: str, units: dict[str, list[str]]) -> DataFrame:
+    """category, unit, n and fault of all units that are not the first accepted one: true where none accepts it, false for a variant of one that does."""
+    plain = lambda u: u.lower().strip()
+    t = F.broadcast(df.sparkSession.createDataFrame([(k.lower(), [plain(a) for a in us], us[0]) for k, us in units.items()], "category string, accepted array<string>, first string"))
+    rows = df.groupBy(F.lower(category).alias("category"), F.col(unit).alias("unit")).agg(F.count("*").alias("n")).join(t, "category")
+    known = F.array_contains("accepted", F.lower(F.trim(F.coalesce("unit", F.lit("(no units)")))))
+    return rows.withColumn("fault", ~known).where(F.col("fault") | (F.col("unit").isNotNull() & (F.col("unit") != F.col("first")))).select("category", "unit", "n", "fault")
+
+
 def reference_units(df: DataFrame, s: Schema) -> list[Finding]:
-    """C.7: units that a category does not accept; "(no units)" accepts null."""
+    """C.7: units that a category does not accept; "(no units)" accepts null.  unit_faults() has all of them."""
     if not s.units or not s.unit_columns:
         return []
-    category, unit = s.unit_columns
-    rows = df.where(F.lower(category).isin([k.lower() for k in s.units])).groupBy(F.lower(category).alias("k"), F.col(unit).alias("u")).count().limit(10_000).collect()
+    faults = unit_faults(df, *s.unit_columns, s.units)
+    bad = {r["category"]: r for r in _most(faults.where("fault"), "category", "unit").collect()}
+    variants = {r["category"]: r for r in _most(faults.where("NOT fault"), "category", "unit").collect()}
     out = []
-    for k, accepted in s.units.items():
-        plain = {a.lower().strip() for a in accepted}
-        bad = [(r["u"], r["count"]) for r in rows if r["k"] == k.lower() and not (r["u"] is None and "(no units)" in plain) and (r["u"] or "").lower().strip() not in plain]
-        variants = [r["u"] for r in rows if r["k"] == k.lower() and r["u"] is not None and r["u"].lower().strip() in plain and r["u"] != accepted[0]]
-        out.append(Finding("C.7", s.table, "unit", "warning" if bad else "info" if variants else "pass", k, ", ".join(f"{u} ({n})" for u, n in bad[:SHOWN]), {"variants": variants}, passed=int(not bad)))
+    for k in s.units:
+        b, v = bad.get(k.lower()), variants.get(k.lower())
+        message = ", ".join(f"{x['name']} ({x['n']})" for x in b["top"]) if b else ""
+        out.append(Finding("C.7", s.table, "unit", "warning" if b else "info" if v else "pass", k, message, {"variants": [x["name"] for x in v["top"]] if v else [], "bad": b["n"] if b else 0, "kinds": b["kinds"] if b else 0}, passed=int(not b)))
     return out
 
 
@@ -238,21 +266,28 @@ def monthly(df: DataFrame, category: str, time: str, entity: str, value: str | N
     return df.where(F.col(category).isNotNull() & F.col(time).isNotNull()).groupBy(category, F.date_format(time, "yyyy-MM").alias("month")).agg(F.count_distinct(entity).alias("n"), *more)
 
 
+def absent_years(df: DataFrame, category: str, time: str, entity: str) -> DataFrame:
+    """category and years: for each category the years that the table covers without it, if there are any."""
+    years = df.where(F.col(time).isNotNull()).agg(F.array_sort(F.collect_set(F.year(time))).alias("all"))  # years are few by nature
+    seen = yearly(df, category, time, entity).groupBy(F.col(category).alias("category")).agg(F.collect_set("year").alias("seen"))
+    return seen.join(F.broadcast(years)).select("category", F.array_except("all", "seen").alias("years")).where(F.size("years") > 0)
+
+
 def temporal(df: DataFrame, s: Schema) -> list[Finding]:
-    """P.6: categories that are absent in some year that the table covers."""
+    """P.6: categories that are absent in some year that the table covers; absent_years() has all of them."""
     if not s.time_column or not s.entity:
         return []
     out = []
-    years = [r[0] for r in df.where(F.col(s.time_column).isNotNull()).select(F.year(s.time_column)).distinct().orderBy(1).collect()]
     for c in s.columns:
         if not c.category or c.name not in df.columns:
             continue
-        seen: dict[str, set] = {}
-        for r in yearly(df, c.name, s.time_column, s.entity).limit(100_000).collect():
-            seen.setdefault(r[0], set()).add(r["year"])
-        for k, have in sorted(seen.items()):
-            if gone := [y for y in years if y not in have]:
-                out.append(Finding("P.6", s.table, "absent years", "info" if c.name == "organism_category" else "warning", c.name, f"{k}: {', '.join(map(str, gone))}", passed=0))
+        severity = "info" if c.name == "organism_category" else "warning"
+        faults = absent_years(df, c.name, s.time_column, s.entity)
+        rows = faults.orderBy("category").limit(LISTED + 1).collect()
+        out += [Finding("P.6", s.table, "absent years", severity, c.name, f"{r['category']}: {', '.join(map(str, r['years']))}", passed=0) for r in rows[:LISTED]]
+        if len(rows) > LISTED:
+            more = faults.count() - LISTED
+            out.append(Finding("P.6", s.table, "absent years", severity, c.name, f"{more} further categories", {"more": more}, more, 0))
     return out or [Finding("P.6", s.table, "absent years", "pass")]
 
 
@@ -321,6 +356,17 @@ def full(df: DataFrame, s: Schema, tables: dict[str, DataFrame] | None = None, l
     return out
 
 
+def absent(s: Schema) -> dict[str, list[Finding]]:
+    """What full() gives for a table that is not there."""
+    return {"conformance": [Finding("C.1", s.table, "presence", "error", message="table absent", passed=0)], "completeness": [], "plausibility": []}
+
+
+def as_table(spark: SparkSession, findings: list[Finding]) -> DataFrame:
+    """Findings as rows: code, table, check, column, severity, message, bad and of (rows, where they were counted)."""
+    rows = [(f.code, f.table, f.check, f.column, f.severity, f.message, f.metrics.get("bad"), f.metrics.get("of")) for f in findings]
+    return spark.createDataFrame(rows, "code string, table string, check string, column string, severity string, message string, bad long, of long")
+
+
 def status(findings: list[Finding]) -> str:
     """incomplete with errors of structure, partial with other errors, complete otherwise."""
     errors = [f for f in findings if f.severity == "error"]
