@@ -207,6 +207,24 @@ def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: A group with more than one in so many rows is hot.
+SHARE = 10_000
+
+
+def meet(rows: DataFrame, groups: DataFrame, on: list[str], size: str = "n", least: int = 1000) -> DataFrame:
+    """rows joined with groups (one row for each key, size: how many rows have it), so that no key is one task.
+
+    Keys of more than one in SHARE of all rows are SHARE at most, so they are
+    broadcast, and their rows stay where they are; the others are joined as Spark
+    likes.  Both should be written tables, as they are read twice.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    bound = max(least, int(total) // SHARE)
+    hot, rest = groups.where(F.col(size) > bound), groups.where(F.col(size) <= bound)
+    near = rows.join(F.broadcast(hot), on)
+    return near.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on))
+
+
 def remove_written(spark: SparkSession) -> int:
     """Delete what this program has written to the shared folder, once no result that reads it is needed; how many folders."""
     n = 0

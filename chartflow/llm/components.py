@@ -3,7 +3,8 @@
 Alternating large-star and small-star steps: each step hangs the neighbours of
 a node on the least of them.  The number of rounds grows with the logarithm of
 the longest chain.  Each round is written to the shared folder, so the plan
-stays short and a lost executor costs one round; nothing is collected.
+stays short and a lost executor costs one round; nothing is collected.  A node that many
+links share meets its least neighbour by common.meet, so it is not one task.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ from . import common
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = common.written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+    return common.meet(both, least, ["u"]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    down = common.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "down")
+    least = common.written(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    hung = common.meet(down, least, ["u"]).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return hung.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 

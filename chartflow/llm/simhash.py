@@ -31,8 +31,6 @@ from .components import components
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints in a bucket whose pairs are compared one by one.
 BUCKET = 64
-#: Parts that a bucket is dealt to when its rows meet its size.
-SALTS = 16
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -90,10 +88,8 @@ def link(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     tables = masks()
     buckets = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(tables))))
     sigs = prints.select("fp", buckets.alias("s")).select("fp", "s.t", "s.key")
-    sizes = sigs.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = sigs.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(sizes, ["t", "key", "salt"])
-    met = common.written(met.select("t", "key", "fp", "n"), "buckets")
+    sizes = common.written(sigs.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    met = common.written(common.meet(sigs, sizes, ["t", "key"]).select("t", "key", "fp", "n"), "buckets")
 
     few = met.where(F.col("n") <= bucket).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
     few = few.select(F.explode("fps").alias("x"), "fps").select("x", F.explode(F.filter("fps", lambda y: (y > F.col("x")) & (F.bit_count(y.bitwiseXOR(F.col("x"))) <= RADIUS))).alias("y"))
@@ -106,10 +102,10 @@ def link(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def _components(prints: DataFrame) -> DataFrame:
-    """(fp, rep, component): each distinct fingerprint, the least id that has it, and the component that links put it in."""
-    reps = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
+    """(fp, rep, rows, component): each distinct fingerprint, the least id and the number of rows that have it, and the component that links put it in."""
+    reps = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "representatives")
     groups = components(link(reps).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    return reps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    return reps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "rows", F.coalesce("component", "fp").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, **columns) -> DataFrame:
@@ -119,10 +115,10 @@ def near_duplicates(docs: DataFrame, **columns) -> DataFrame:
     counts as larger than any id of its group; a group of null ids alone has none.
     """
     prints = common.written(fingerprints(docs, **columns), "fingerprints")
-    named = _components(prints)
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = named.join(least, "component").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = common.written(_components(prints), "named")
+    least = common.written(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")), "least")
+    ids = common.written(common.meet(named, least, ["component"]).select("fp", "component_id", "rows"), "ids")
+    return common.meet(prints, ids, ["fp"], "rows").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **columns) -> DataFrame:
@@ -135,4 +131,4 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **columns) -> DataFrame
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
     of_print = prints.groupBy("fp").agg(first.alias("first"))
     kept = _components(prints).join(of_print, "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return rows.join(kept.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
