@@ -54,6 +54,8 @@ REACH, TRIED = 0.99, 256
 GROUP_BYTES, CHUNK = 16 << 20, 1 << 16
 #: Vectors and queries that are compared at once.
 BLOCK, QUERIES = 4096, 128
+#: What single precision may add to an estimate's error.
+SINGLE = 1e-5
 #: Pairs that are scored exactly at once.
 PAIRS = 1 << 16
 #: Tasks of the search at most.
@@ -141,14 +143,23 @@ def visits(unit: np.ndarray, middle: np.ndarray, k: int) -> int:
 
 
 class Layout:
-    """Centres of the lists and the number of lists to visit, for each dimension; one list without a centre for others."""
+    """Centres of the lists, the number of lists to visit, and the sample (ids, scaled vectors), for each dimension; one list without a centre for others."""
 
-    def __init__(self, middle: dict[int, np.ndarray], visit: dict[int, int]):
-        self.middle, self.visit = middle, visit
+    def __init__(self, middle: dict[int, np.ndarray], visit: dict[int, int], known: dict[int, tuple[np.ndarray, np.ndarray]] | None = None):
+        self.middle, self.visit, self.known = middle, visit, known or {}
 
     def centres(self, dim: int) -> np.ndarray:
         return self.middle[dim] if dim in self.middle else np.zeros((1, dim))
 
+    def bar(self, ids: np.ndarray, unit: np.ndarray, k: int) -> np.ndarray:
+        """A score that k rows other than the query's own reach: the k-th best in the sample."""
+        names, known = self.known.get(unit.shape[1], (np.zeros(0, np.int64), np.zeros((0, unit.shape[1]))))
+        if len(names) <= k:
+            return np.full(len(unit), -np.inf)
+        s = unit @ known.T
+        s[ids[:, None] == names] = -np.inf
+        return np.partition(s, -k, axis=1)[:, -k] - 1e-9
+
     @classmethod
     def fit(cls, rows: DataFrame, k: int) -> Layout:
         n, figures = rows.agg(F.count("*"), F.sum(F.size("vector").cast("long"))).first()
@@ -160,15 +171,18 @@ class Layout:
         found: dict[int, list] = {}
         for r in low.select("vector", place.alias("h"), "id").toLocalIterator():
             found.setdefault(len(r.vector), []).append((r.h, r.id, r.vector))
-        middle, visit = {}, {}
+        middle, visit, known = {}, {}, {}
         total = sum(map(len, found.values()))
         for dim, sample in found.items():
-            unit = np.unique(_unit(np.array([v for _, _, v in sorted(sample)])), axis=0)
+            every = _unit(np.array([v for _, _, v in sorted(sample)]))
+            names, once = np.unique([i for _, i, _ in sorted(sample)], return_index=True)
+            known[dim] = names, every[once]
+            unit = np.unique(every, axis=0)
             unit = unit[np.random.default_rng(dim).permutation(len(unit))]
             lists = max(1, min(MOST_LISTS, len(sample) * n // total // LIST_ROWS, len(unit) // 16))
             middle[dim] = centres(unit, lists)
             visit[dim] = visits(unit, middle[dim], k)
-        return cls(middle, visit)
+        return cls(middle, visit, known)
 
 
 def build_index(rows: DataFrame, layout: Layout) -> DataFrame:
@@ -194,8 +208,8 @@ def build_index(rows: DataFrame, layout: Layout) -> DataFrame:
     return rows.mapInArrow(run, INDEX)
 
 
-def visited(asked: DataFrame, layout: Layout) -> DataFrame:
-    """(id, dim, vector, list): a row for each list that a query visits."""
+def visited(asked: DataFrame, layout: Layout, k: int) -> DataFrame:
+    """(id, dim, vector, list, bar): a row for each list that a query visits, with a score that its k-th best reaches at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,11 +219,12 @@ def visited(asked: DataFrame, layout: Layout) -> DataFrame:
                 n = layout.visit.get(dim, 1)
                 for i in range(0, all_.num_rows, QUERIES):
                     part = all_.slice(i, QUERIES)
-                    lists = nearest_lists(_unit(_matrix(part.column("vector"), dim)), layout.centres(dim), n)
+                    unit = _unit(_matrix(part.column("vector"), dim))
+                    lists, bar = nearest_lists(unit, layout.centres(dim), n), layout.bar(part.column("id").to_numpy(), unit, k)
                     again = part.take(pa.array(np.repeat(np.arange(part.num_rows), n)))
-                    yield pa.record_batch([again.column("id"), pa.array(np.full(again.num_rows, dim, np.int32)), again.column("vector"), pa.array(lists.ravel().astype(np.int32))], ["id", "dim", "vector", "list"])
+                    yield pa.record_batch([again.column("id"), pa.array(np.full(again.num_rows, dim, np.int32)), again.column("vector"), pa.array(lists.ravel().astype(np.int32)), pa.array(np.repeat(bar, n))], ["id", "dim", "vector", "list", "bar"])
 
-    return asked.mapInArrow(run, "id long, dim int, vector array<double>, list int")
+    return asked.mapInArrow(run, "id long, dim int, vector array<double>, list int, bar double")
 
 
 def _words(bits: np.ndarray) -> np.ndarray:
@@ -231,7 +246,7 @@ class Group:
         self.distinct = len(np.unique(ids)) == len(ids)
         dim = x.shape[1]
         self.aside = (self.x * middle).sum(axis=1) / self.length - (middle * middle).sum()
-        self.gain = rest / (fit * np.sqrt(dim))
+        self.gain = (rest / (fit * np.sqrt(dim))).astype(np.float32)
         self.error = rest * np.sqrt(np.maximum(1 - fit**2, 0)) / fit * EPSILON / np.sqrt(max(dim - 1, 1))
         self.rounding = rest / fit * EPSILON / np.sqrt(12)
 
@@ -248,8 +263,8 @@ class Group:
                 out += count.astype(kind) << kind(j)
         return out
 
-    def search(self, qid: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number of the query, id, score) of the k best for each query that bounds and scores have found."""
+    def search(self, qid: np.ndarray, q: np.ndarray, k: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the query, id, score) of the k best for each query that bounds and scores have found; those surely under its bar are left out."""
         dim = q.shape[1]
         q = scaled(q)
         q_length = _length(q)
@@ -264,19 +279,21 @@ class Group:
         whole = dim * low + step * level.sum(axis=1, dtype=np.int64)
         q_aside = (unit * self.middle).sum(axis=1)
         best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        bar = np.full(len(q), -np.inf)
+        bar = bar.copy()
         for i in range(0, len(self.ids), BLOCK):
             s = slice(i, i + BLOCK)
-            got = self.products(planes, s, np.uint16 if dim <= 4096 else np.uint32)
-            inner = 2 * (low[:, None] * self.ones[s] + step[:, None] * got) - whole[:, None]
-            guess = q_rest[:, None] * inner * self.gain[s] + self.aside[s] + q_aside[:, None]
-            error = q_rest[:, None] * (self.error[s] + step[:, None] * self.rounding[s]) + 1e-9
-            own = qid[:, None] == self.ids[s]
-            if self.distinct and guess.shape[1] >= k:
-                least = np.where(own, -np.inf, guess - error)
-                bar = np.maximum(bar, np.partition(least, -k, axis=1)[:, -k])
-            a, b = np.nonzero((guess + error >= bar[:, None]) & ~own)
+            got = self.products(planes, s, np.uint16 if dim <= 4096 else np.uint32).astype(np.float32)
+            got *= self.gain[s]
+            got *= (2 * q_rest * step)[:, None]
+            got += np.stack([2 * q_rest * low, -q_rest * whole, np.ones(len(q)), q_aside], axis=1, dtype=np.float32) @ np.stack([self.gain[s] * self.ones[s], self.gain[s], self.aside[s], np.ones(got.shape[1])], dtype=np.float32)
+            error = np.stack([q_rest, q_rest * step, np.full(len(q), SINGLE)], axis=1, dtype=np.float32) @ np.stack([self.error[s], self.rounding[s], np.ones(got.shape[1])], dtype=np.float32)
+            if self.distinct and got.shape[1] > k:  # one of the k + 1 best may be the query's own row
+                bar = np.maximum(bar, np.partition(got - error, -k - 1, axis=1)[:, -k - 1])
+            got += error
+            a, b = np.nonzero(got >= bar.astype(np.float32)[:, None])
             b += i
+            other = qid[a] != self.ids[b]
+            a, b = a[other], b[other]
             scores = np.concatenate([np.zeros(0), *((q[a[j : j + PAIRS]] * self.x[b[j : j + PAIRS]]).sum(axis=1) / (q_length[a[j : j + PAIRS]] * self.length[b[j : j + PAIRS]]) for j in range(0, len(a), PAIRS))])
             best = top(*(np.concatenate(c) for c in zip(best, (a, self.ids[b], scores), strict=True)), k)
             count = np.bincount(best[0], minlength=len(q))
@@ -310,7 +327,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "
     asked = clean(vectors.where(is_query), id_col, vector_col).dropDuplicates(["id", "vector"])
     layout = Layout.fit(clean(vectors, id_col, vector_col), k)
     index = common.written(build_index(rows, layout), "index")
-    visit = visited(asked, layout)
+    visit = visited(asked, layout, k)
 
     # Parts and chunks of each list; of lists there are at most MOST_LISTS for a dimension.
     size = index.groupBy("dim", "list").agg(F.count("*").alias("rows"))
@@ -348,7 +365,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "
                 for at in range(0, some.num_rows if group else 0, QUERIES):
                     few = some.slice(at, QUERIES)
                     qid = few.column("id").to_numpy()
-                    a, ids, score = group.search(qid, _matrix(few.column("vector"), dim), k)
+                    a, ids, score = group.search(qid, _matrix(few.column("vector"), dim), k, few.column("bar").to_numpy())
                     yield pa.record_batch([pa.array(qid[a]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
 
     found = both.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -762,7 +762,7 @@ def test_packed_estimates(spark):
     g = ann.Group(index.id.to_numpy(), x, np.stack([np.frombuffer(c, np.uint8) for c in index.code]), index.rest.to_numpy(), index.fit.to_numpy(), np.zeros(128))
     unit = lambda v: v / np.sqrt((v * v).sum(axis=1))[:, None]
     true = unit(q) @ unit(x).T
-    a, ids, score = g.search(np.full(40, -1), q, 5)
+    a, ids, score = g.search(np.full(40, -1), q, 5, np.full(40, -np.inf))
     assert np.allclose(score, true[a, ids]) and sum(len(set(ids[a == i]) & set(np.argsort(-true[i])[:5])) for i in range(40)) >= 195
     assert [c.tolist() for c in ann.top(np.array([0, 0, 0]), np.array([4, 4, 2]), np.array([0.1, 0.5, 0.2]), 2)] == [[0, 0], [4, 2], [0.5, 0.2]]
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (1, [-1.0, 0.0])], "vec_id long, embedding array<double>")
