@@ -10,10 +10,14 @@ Numbers are proposed as every stretch of whole runs of digits that has a right
 count of digits, so one beside other numbers is found too.
 
 Labels are not at hand, so the trees learn from the text itself: base spans with
-their marks taken away or spelt out are examples, what generators propose apart
-from base spans is not.  Trees are fitted on the driver on at most ``ROWS``
-examples of one half, by hash; thresholds are set by counts over all examples of
-the other half, in all documents, by one rule at every size (see ``train``).
+their marks taken away or spelt out are examples of personal data, where they
+stand.  What generators propose apart from base spans may be personal data that
+the base patterns miss, so it is no example of the contrary; those are planted:
+into each document's own words one look-alike for each kind, a date, a list of
+years, an order number, a number that fails its check, and so on.  Trees are
+fitted on the driver on at most ``ROWS`` examples of one half, by hash;
+thresholds are set by counts over all examples of the other half, in all
+documents, by one rule at every size (see ``train``).
 
 Places are counted in code points.  A pattern cuts a text into gaps and matches
 (``split`` and ``regexp_extract_all`` find the same matches), whose lengths are
@@ -66,7 +70,7 @@ CONTEXT = 24
 #: Matches whose lengths are summed up together.
 STRIDE = 1024
 
-FEATURES = ["kind", "chars", "digits", "marks", "groups", "longest_group", "letters", "glued_before", "glued_after", "cue", "at_sign", "luhn"]
+FEATURES = ["kind", "chars", "digits", "marks", "groups", "longest_group", "letters", "glued_before", "glued_after", "cue", "at_sign", "luhn", "dots"]
 
 
 def digits(x: Column) -> Column:
@@ -122,6 +126,7 @@ def features(kind: int, match: Column, before: Column, after: Column) -> dict[st
         "groups": number(F.size(groups)), "longest_group": number(F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0))), "letters": number(F.length(F.regexp_replace(match, "[^A-Za-z]", ""))),
         "glued_before": number(before.rlike(r"[\p{L}\p{N}\x22'#$_=/.+-]\z")), "glued_after": number(after.rlike(r"\A[\p{L}\p{N}\x22'_/%-]")), "cue": number(F.lower(before).rlike(rf"\b{CUES[kind]}\b[^\n]{{0,12}}\z")),
         "at_sign": number(match.contains("@")), "luhn": number(F.when(F.length(d).between(12, 19), luhn(d)).otherwise(False)),
+        "dots": number(F.regexp_count(F.lower(match), F.lit(r"\.|\bdot\b"))),
     }
 
 
@@ -129,8 +134,9 @@ def blurred(kind: int, x: Column, way: Column) -> Column:
     """A base span as it might be written to be overlooked."""
     if kind == 0:
         at, dot = F.when(way % 2 == 0, F.lit(" at ")).otherwise(F.lit(" [at] ")), F.when(way % 2 == 0, F.lit(" dot ")).otherwise(F.lit(" [dot] "))
-        domain = F.substring_index(x, "@", -1)
-        return F.concat(F.substring_index(x, "@", 1), at, F.replace(domain, F.lit("."), dot))
+        # Half of them without their digits, as an address needs none.
+        few = lambda c: F.when(F.shiftright(way, 1) % 2 == 0, c).otherwise(F.coalesce(F.nullif(F.regexp_replace(c, "[0-9]", ""), F.lit("")), c))
+        return F.concat(few(F.substring_index(x, "@", 1)), at, F.replace(few(F.substring_index(x, "@", -1)), F.lit("."), dot))
     if kind == 1:
         return F.when(way % 2 == 0, F.replace(x, F.lit("."), F.lit(" . "))).otherwise(F.replace(x, F.lit("."), F.lit(":")))
     if kind == 2:
@@ -145,8 +151,14 @@ class Model:
         self.trees, self.least = trees, least
 
 
-def _apart(c: Column, base: Column) -> Column:
-    return ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+def _touch(a: Column, b: Column) -> Column:
+    return (b["start"] < a["end"]) & (a["start"] < b["end"])
+
+
+def _apart(c: Column) -> Column:
+    """Whether a span touches no base span: runs of STRIDE base spans are passed over by their ends, and looked into where these touch."""
+    inside = lambda r: F.exists(F.slice("base", r["at"], F.lit(STRIDE)), lambda b: _touch(c, b))
+    return ~F.exists("_runs", lambda r: _touch(c, r) & inside(r))
 
 
 def _numbers(kind: int, runs: Column) -> Column:
@@ -192,26 +204,58 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, keep: list[Column] | Non
     for k in range(len(KINDS)):
         df = df.withColumn(f"base{k}", F.filter(f"base{k}", lambda m: valid(k, m["match"])))
     df = df.withColumn("base", F.array_sort(F.concat(*(F.transform(f"base{k}", lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("ord"), m["end"].alias("end"))) for k in range(len(KINDS))))))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("base") - 1) / STRIDE).cast("int")), lambda b: F.slice("base", b * STRIDE + 1, F.lit(STRIDE)))
+    runs = F.transform(runs, lambda r, i: F.struct(F.array_min(F.transform(r, lambda x: x["start"])).alias("start"), F.array_max(F.transform(r, lambda x: x["end"])).alias("end"), (i * STRIDE + 1).alias("at")))
+    df = df.withColumn("_runs", F.when(F.size("base") > 0, runs).otherwise(F.array().cast("array<struct<start: int, end: int, at: int>>")))
     many = t.rlike("[0-9][^0-9]{0,3}[0-9][^0-9]{0,3}[0-9][^0-9]{0,3}[0-9]")
     df = matches(df, "_text", WIDE, "_any", [t.contains("@") | t.rlike(r"[\x20\[(]dot[\x20\])]"), many])
-    df = df.withColumn("wide0", F.filter("_any0", lambda m: _apart(m, F.col("base"))))
+    df = df.withColumn("wide0", F.filter("_any0", _apart))
     for k in BETWEEN:
-        df = df.withColumn(f"wide{k}", F.filter(_numbers(k, F.col("_any1")), lambda m: _apart(m, F.col("base"))))
-    return df.drop("_any0", "_any1")
+        df = df.withColumn(f"wide{k}", F.filter(_numbers(k, F.col("_any1")), _apart))
+    return df.drop("_any0", "_any1", "_runs")
+
+
+def planted(kind: int) -> Column:
+    """A look-alike of the kind that is no personal data, between the document's own words: (h, y, match, before, after)."""
+    seed = lambda n: F.xxhash64("doc_id", F.length("_text"), F.lit(kind), F.lit(n))
+    part = lambda n, low, high: (low + F.pmod(seed(n), F.lit(high - low + 1))).cast("string")
+    two = lambda n, low, high: F.lpad(part(n, low, high), 2, "0")
+    long = lambda n, size: F.lpad(F.pmod(seed(n), F.lit(10**size)).cast("string"), size, "0")
+    year = F.pmod(seed(1), F.lit(120)) + 1900
+    way = F.pmod(seed(0), F.lit(4))
+    if kind == 0:
+        word = lambda n: F.element_at(F.array(*map(F.lit, ["a", "look", "home", "gate7", "everything", "headquarters", "room12", "yesterdayevening"])), (F.pmod(seed(n), F.lit(8)) + 1).cast("int"))
+        match = F.concat(word(1), F.lit(" at "), word(2), F.lit(" dot "), word(3))
+    elif kind == 1:
+        match = F.when(way == 0, F.concat_ws(":", two(1, 0, 23), two(2, 0, 59), two(3, 0, 59), part(4, 0, 999))).when(way == 1, F.concat_ws(", ", part(1, 1, 999), part(2, 1, 999), part(3, 1, 999), part(4, 1, 999)))
+        match = match.otherwise(F.concat_ws(".", part(1, 256, 999), part(2, 0, 99), part(3, 0, 9999), part(4, 0, 9)))
+    elif kind == 2:
+        wrong = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.concat(long(1, 15), c.cast("string"))), lambda n: ~luhn(n))
+        number = wrong[F.pmod(seed(2), F.lit(9)).cast("int")]
+        match = F.when(way < 2, number).when(way == 2, F.regexp_replace(number, "([0-9]{4})(?=[0-9])", "$1.")).otherwise(F.concat(year.cast("string"), two(3, 1, 12), two(4, 1, 28), F.lit("."), two(5, 0, 23), two(6, 0, 59)))
+    else:
+        match = F.when(way == 0, F.concat_ws(" ", year, year + 1, year + 2)).when(way == 1, F.concat(year.cast("string"), F.lit("-"), two(2, 1, 12), F.lit("-"), two(3, 1, 28), F.lit(" "), two(4, 0, 23)))
+        match = match.when(way == 2, long(2, 10)).otherwise(F.concat(long(3, 4), F.lit("/"), long(4, 6)))
+    at = F.pmod(seed(7), F.greatest(F.length("_text"), F.lit(1))).cast("int")
+    lead = F.element_at(F.array(*map(F.lit, [" ", " ", "#", "no. ", "=", "x"])), (F.pmod(seed(8), F.lit(6)) + 1).cast("int"))
+    # The words before are those of the document up to the end of one; what cues personal data may stand among them by chance alone.
+    before = F.concat(F.regexp_replace(F.substring(F.col("_text"), F.greatest(at - CONTEXT, F.lit(0)) + 1, F.lit(CONTEXT)), r"[^\x20]*\z", ""), lead)
+    after = F.element_at(F.array(*map(F.lit, [" ", " ", ",", ".", "x", "/"])), (F.pmod(seed(9), F.lit(6)) + 1).cast("int"))
+    return F.struct(F.xxhash64(seed(10)).alias("h"), F.lit(0.0).alias("y"), match.alias("match"), F.right(before, F.lit(CONTEXT)).alias("before"), after.alias("after"))
 
 
 def _examples(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """h, y and the features of all examples of all documents, a row each: blurred base spans (y = 1) and what generators propose apart from them (0)."""
+    """h, y and the features of all examples of all documents, a row each: blurred base spans (y = 1) and planted look-alikes (0)."""
     df = _spans(docs, id_col, text_col)
-    names = [*(f"base{k}" for k in range(len(KINDS))), *(f"wide{k}" for k in range(len(KINDS)))]
-    for n in names:
-        k, good = int(n[-1]), n.startswith("base")
+    names = []
+    for k in range(len(KINDS)):
 
         def example(m: Column) -> Column:
-            match = blurred(k, m["match"], F.xxhash64("doc_id", m["start"])) if good else m["match"]
-            return F.struct(F.xxhash64("doc_id", m["start"], F.lit(k)).alias("h"), F.lit(float(good)).alias("y"), match.alias("match"), m["before"].alias("before"), m["after"].alias("after"))
+            match = blurred(k, m["match"], F.xxhash64("doc_id", m["start"]))
+            return F.struct(F.xxhash64("doc_id", m["start"], F.lit(k)).alias("h"), F.lit(1.0).alias("y"), match.alias("match"), m["before"].alias("before"), m["after"].alias("after"))
 
-        df = df.withColumn(n, F.transform(n, example))
+        df = df.withColumns({f"_good{k}": F.transform(f"base{k}", example), f"_bad{k}": F.array(planted(k))})
+        names += [f"_good{k}", f"_bad{k}"]
     for n in names:
         df = df.withColumn(n, F.transform(n, lambda m: F.struct(m["h"], m["y"], *(c.alias(f) for f, c in features(int(n[-1]), m["match"], m["before"], m["after"]).items()))))
     return df.select(F.inline(F.concat(*names)))
@@ -230,6 +274,9 @@ def threshold(bins: dict[int, tuple[int, int]]) -> float | None:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit trees on a sample of one half of the examples, and set thresholds by the scores of all of the other half."""
     rows = common.written(_examples(docs, id_col, text_col), "examples")
+    # Kinds that the documents have no base span of can't be learned, and add nothing.
+    have = [r[0] for r in rows.groupBy("kind").agg(F.sum("y").alias("right")).where("right > 0").collect()]
+    rows = rows.where(F.col("kind").isin(have))
     held = F.pmod("h", F.lit(2)) == 1
     got = np.array(rows.where(~held).orderBy(*rows.columns).limit(ROWS).collect(), dtype=np.float64).reshape(-1, 2 + len(FEATURES))
     trees = fit(got[:, 2:], got[:, 1], FEATURES, {"cue": 1, "glued_before": -1, "glued_after": -1}, trees=24)
