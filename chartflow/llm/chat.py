@@ -101,6 +101,8 @@ def assemble(rows: pa.RecordBatch, template: Template, trained: str) -> pa.Recor
     text_len = np.diff(text_at)
     ends = np.cumsum(head_len + text_len + len(tail))
     starts = np.concatenate([[0], ends[:-1]])
+    if ends[-1] >= 2**31:
+        raise ValueError("conversations of 2 GB and more have no room in a string column")
     out = np.empty(int(ends[-1]), dtype=np.uint8)
     for k, h in enumerate(heads):
         out[starts[which == k][:, None] + np.arange(len(h))] = h
@@ -111,12 +113,10 @@ def assemble(rows: pa.RecordBatch, template: Template, trained: str) -> pa.Recor
     points = np.zeros(len(out) + 1, dtype=np.int64)
     np.cumsum((out & 0xC0) != 0x80, out=points[1:])
     conv_at = starts[first]
-    conv_end = np.append(conv_at[1:], len(out))
     of = np.cumsum(new) - 1
     learn = np.flatnonzero((which == names.index(trained)) & (text_len > 0)) if trained in names else np.zeros(0, int)
     lists = np.concatenate([[0], np.cumsum(np.bincount(of[learn], minlength=len(first)))]).astype(np.int32)
     strings = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.append(conv_at, len(out)).astype(np.int32)), pa.py_buffer(out))
-    assert conv_end[-1] < 2**31, "a conversation is longer than a string can be"
     return pa.record_batch(
         [
             ids.take(pa.array(first)), strings,
@@ -133,6 +133,7 @@ def format_chats(turns: DataFrame, template: Template = Template(), *, trained:
     turns has conv_id, turn, role, text.  Rows go by turn, null first; rows of
     the same turn by role and text, repeated rows stay.  A null text or role is
     empty.  Rows with a null conv_id make one conversation.  Other columns are ignored.
+    A conversation of 2 GB or more, which no string column can hold, is an error.
     """
     source = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     source = source.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

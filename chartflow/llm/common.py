@@ -169,11 +169,13 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is read from spark.checkpoint.dir of the session; only where that is
-    unset, as in tests, a folder under the warehouse is used, and taken away
-    when the program ends.
+    unset and all runs on one machine, as in tests, a folder under the warehouse
+    is used, and taken away when the program ends.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         house = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         if house not in _own:
             _own[house] = f"{house}/_shared-{uuid.uuid4().hex}"
@@ -225,10 +227,15 @@ def meet(rows: DataFrame, groups: DataFrame, on: list[str], size: str = "n", lea
     return near.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on))
 
 
-def remove_written(spark: SparkSession) -> int:
-    """Delete what this program has written to the shared folder, once no result that reads it is needed; how many folders."""
+def mark() -> int:
+    """How many folders this program has made so far."""
+    return len(_made)
+
+
+def remove_written(spark: SparkSession, since: int = 0) -> int:
+    """Delete what this program has written to the shared folder (since mark() gave that number), once no result that reads it is needed; how many folders."""
     n = 0
-    while _made:
+    while len(_made) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
         n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return n

@@ -116,7 +116,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             _, x = statistics(b.column("text"))
             yield pa.record_batch([b.column("y").cast(pa.float64()), *map(pa.array, x.T.copy())], ["y", *FEATURES])
 
-    rows = np.array(chosen.mapInArrow(matrix, ", ".join(f"{c} double" for c in ["y", *FEATURES])).limit(max_labels).collect(), dtype=np.float64).reshape(-1, 1 + len(FEATURES))
+    figures = chosen.mapInArrow(matrix, ", ".join(f"{c} double" for c in ["y", *FEATURES]))
+    figures = figures.orderBy(F.xxhash64("y", *FEATURES)).limit(max_labels)  # ids may repeat; the same rows are taken on every run
+    rows = np.array(figures.collect(), dtype=np.float64).reshape(-1, 1 + len(FEATURES))
     rows = rows[np.lexsort(rows.T)]  # the same order on every run
     y = rows[:, 0]
     if len(np.unique(y)) < 2:

@@ -12,10 +12,11 @@ to about 2 / (length - k + 2) of the places without losing any repeat.
 
 Documents that are equal to an earlier one are settled first: all their windows
 start there.  Texts are dealt by id once, and every level and the result read
-that same shuffle again.  Level rows are (hash, document); one hash occurs once
-a document at most, so even a passage in every third document is a small share
-of all rows, and is summed in a stream: no group is collected but the list of
-one document.
+that same shuffle again.  Level rows are (hash, document), one for a hash and
+document.  Hashes that very many documents have, such as those of a passage in
+every third one, are found in a sample of documents and dealt to ``SALTS`` tasks
+each; the sample decides where rows go, never which are looked at.  No group is
+collected but the list of one document.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from . import common
 LENGTH = 13
 #: No level is shorter than this by half.
 FIRST = 7
+#: One document in so many is looked at for hashes that are dealt to SALTS tasks: those in the most of these documents, COMMON at least, HOT at most.
+SAMPLED, COMMON, HOT, SALTS = 64, 16, 2000, 32
 
 
 def levels(length: int = LENGTH) -> list[int]:
@@ -74,11 +77,40 @@ def _among(batch: pa.RecordBatch, doc: np.ndarray, keys: np.ndarray, n: int) ->
     return have[k] == mine
 
 
-def _parts(base: DataFrame, k: int, before: int | None, length: int) -> DataFrame:
+def _some(batches: Iterator[pa.RecordBatch], one_in: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one document in so many, by a hash of its id."""
+    for b in batches:
+        ids = b.column("doc_id").to_numpy().view(np.uint64)
+        yield b if one_in == 1 else b.filter(pa.array(common.mix(ids) % np.uint64(one_in) == 0))
+
+
+def _dealt(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """rows dealt by h and salt; salt is -1 but for hashes that are common in some, which are dealt to SALTS tasks each by document."""
+    hot = some.groupBy("h").agg(F.count("*").alias("_n")).where(F.col("_n") >= COMMON).orderBy(F.col("_n").desc(), "h").limit(HOT).select("h", F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(-1)
+    salted = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", salt).drop("_hot")
+    return salted.select(*(_never_null(c, "int") if c == "salt" else F.col(c) for c in salted.columns)).repartition("h", "salt")
+
+
+def _least(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, salt, lo: for the keys that two documents or more have the least of them, once for each salt.
+
+    The least is taken of whole rows: were columns left out, Spark would work
+    out and shuffle the rows a second time for this.
+    """
+    whole = F.struct("doc_id", *(c for c in rows.columns if c not in (*keys, "salt", "doc_id")))
+    part = rows.groupBy(*keys, "salt").agg(F.min(whole)["doc_id"].alias("lo"), F.max("doc_id").alias("hi"), F.max("salt").alias("s"))
+    alone = part.where("s < 0 AND lo < hi").select(*keys, "salt", "lo")
+    met = part.where("s >= 0").groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    met = met.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "lo")
+    return alone.union(met)
+
+
+def _parts(base: DataFrame, k: int, before: int | None, length: int, one_in: int = 1) -> DataFrame:
     """(h, doc_id): the distinct parts of k words that stand for windows which the level before left over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.chunks(batches, "text"):
+        for b in common.chunks(_some(batches, one_in), "text"):
             w, words = _chunk(b)
             h, full = least_parts(words, w.count, k, length)
             doc = w.doc[full]
@@ -102,15 +134,15 @@ def _never_null(name: str, kind: str = "long") -> Column:
     return F.coalesce(name, F.lit(0).cast(kind)).alias(name)
 
 
-def _windows(base: DataFrame, before: int, length: int) -> DataFrame:
-    """(h, check, doc_id, at, more): the distinct full windows that are left over, by a hash of 96 bits.
+def _windows(base: DataFrame, before: int, length: int, one_in: int = 1) -> DataFrame:
+    """(h, check, doc_id, at, more): the distinct full windows that are left over, by two hashes of 96 bits in all over 64-bit hashes of their words.
 
     at is the first word of the first one in its document; more has those of
     all others, null if there are none, so a line that fills a document is a row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.chunks(batches, "text"):
+        for b in common.chunks(_some(batches, one_in), "text"):
             w, words = _chunk(b)
             old, full = least_parts(words, w.count, before, length)
             live = _among(b, w.doc[full], old, b.num_rows)
@@ -168,25 +200,27 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found in either, so ids should be distinct.  Other columns are ignored.
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sums = source.where("text IS NOT NULL").select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("sum"))
-    first = sums.groupBy("sum").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    copies = common.written(sums.join(first, "sum").where("doc_id > first").select("doc_id").distinct(), "copies")
+    sums = common.written(source.where("text IS NOT NULL").select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("sum")), "sums")
+    first = sums.groupBy("sum").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    copies = common.meet(sums, common.written(first, "first"), ["sum"]).where("doc_id > first").select("doc_id").distinct()
+    copies = common.written(copies, "copies")
 
     dealt = source.repartition("doc_id")
-    base = dealt.join(copies.withColumn("copy", F.lit(True)).hint("shuffle_hash"), "doc_id", "left")
+    base = dealt.join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
     fresh = base.where("copy IS NULL").select("doc_id", "text")
 
     before, hits = None, None
     for k in levels(length)[:-1]:
-        todo = fresh if hits is None else fresh.join(hits.hint("shuffle_hash"), "doc_id")
-        rows = _parts(todo, k, before, length).repartition("h")
-        again = rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-        hits = rows.join(again.hint("shuffle_hash"), "h").groupBy("doc_id").agg(F.collect_list("h").alias("hits"))
+        if hits is not None:  # each level's plan holds that before it several times, so of many levels all but the last are written
+            hits = common.written(hits, "hits")
+        todo = fresh if hits is None else fresh.join(hits, "doc_id")
+        rows = _dealt(_parts(todo, k, before, length), _parts(todo, k, before, length, SAMPLED))
+        hits = rows.join(_least(rows, ["h"]), ["h", "salt"]).groupBy("doc_id").agg(F.collect_list("h").alias("hits"))
         before = k
     if hits is None:  # a length so short that there is one level
         raise ValueError(f"length must be more than {FIRST}")
-    rows = _windows(fresh.join(hits.hint("shuffle_hash"), "doc_id"), before, length).repartition("h", "check")
-    again = rows.groupBy("h", "check").agg(F.min(F.struct("doc_id", "at", "more")).alias("lo"), F.max("doc_id").alias("hi")).select("h", "check", F.col("lo.doc_id").alias("lo"), "hi").where("lo < hi")
-    gone = rows.join(again.hint("shuffle_hash"), ["h", "check"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("at").alias("hits"), F.flatten(F.collect_list("more")).alias("more"))
-    out = _result(base.join(gone.hint("shuffle_hash"), "doc_id", "left"), length)
+    todo = fresh.join(hits, "doc_id")
+    rows = _dealt(_windows(todo, before, length), _windows(todo, before, length, SAMPLED))
+    gone = rows.join(_least(rows, ["h", "check"]), ["h", "check", "salt"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("at").alias("hits"), F.flatten(F.collect_list("more")).alias("more"))
+    out = _result(base.join(gone, "doc_id", "left"), length)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
