@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns rows with the columns of
 documents; the last returns pieces of sequences.  Between stages the rows are
 written as Parquet in the shared folder and read again, so a lost executor
-never costs more than the stage that is under way.
+never costs more than the stage that is under way; what a stage wrote besides is then
+taken away.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chartflow.llm import mixing, packing, pii, quality_rules, simhash
-from chartflow.llm.common import fresh_folder, table
+from chartflow.llm.common import fresh_folder, mark, remove_written, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = fresh_folder(spark, "pipeline")
     for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}-{name}"
+        path, since = f"{folder}/{number}-{name}", mark()
         stage(spark, docs, sf_dir).write.parquet(path)
+        remove_written(spark, since)
         docs = spark.read.parquet(path)
     return docs
 
