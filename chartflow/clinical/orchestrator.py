@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reshape, units
+from ..quality import checks
+from ..quality.schema import Schema
 from ..sources import config, io
-from . import sofa, stitching
+from . import comorbidity, sofa, stitching
 
 # Times, categories and values of long tables.
 LONG = {
@@ -70,6 +72,30 @@ class Orchestrator:
         w = windows.select(H, "start_time", "end_time") if windows is not None else None
         return reshape.wide_from_long(cohort, longs, [H], zone=zone, windows=w, wides=wides)
 
+    def hourly(self, wide: DataFrame, config: dict[str, list[str]], *, hours: int = 1, keys: list[str] | None = None, gaps: bool = False) -> DataFrame:
+        """Windows of so many hours of a wide table; config maps max, min, mean and so on to columns.  gaps adds the windows without rows."""
+        keys = keys or [H]
+        out = reshape.aggregate_windows(wide, keys, "event_time", hours, config)
+        return reshape.fill_windows(out, keys, hours) if gaps else out
+
+    def cci(self, **options) -> DataFrame:
+        return comorbidity.charlson(self.table("hospital_diagnosis"), **options)
+
+    def elixhauser(self, definition: comorbidity.Index = comorbidity.ELIXHAUSER, **options) -> DataFrame:
+        return comorbidity.elixhauser(self.table("hospital_diagnosis"), definition, **options)
+
+    def validate_all(self, schemas: dict[str, Schema], **options) -> dict[str, dict]:
+        """Findings, status and score of each table that has a schema; of one that is not there just that."""
+        out = {}
+        for name, schema in schemas.items():
+            try:
+                parts = checks.full(self.table(name), schema, **options)
+            except FileNotFoundError:
+                parts = checks.absent(schema)
+            every = [f for part in parts.values() for f in part]
+            out[name] = {"findings": parts, "status": checks.status(every), "score": checks.score(every)}
+        return out
+
     def sofa(self, *, id_col: str = H, cohort: DataFrame | None = None, **options) -> DataFrame:
         """Scores from the wide table; doses must have been converted to mcg/kg/min before."""
         drugs = [f"{d}_mcg_kg_min" for d in sofa.REQUIRED["medication_admin_continuous"]]

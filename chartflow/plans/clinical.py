@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..clinical import comorbidity, resistance, sofa, tables
-from ..operators import aggregates, reshape, sequences
+from ..functions import scalars
+from ..operators import aggregates, predicates, ranges, reshape, sequences, units
 from ..quality import checks
 from ..quality.schema import ColumnRule, Schema
-from .queries import _CODE, _CODES, _holes, _HOLES, index_sql, query, table
+from ..sources import io
+from .queries import _CODE, _CODES, _HOLES, _RAW_UNIT, _doses, _holes, index_sql, query, table
 
 # Tables of the clinical shape: stays, diagnoses, segments of stays, cultures, laboratory values.
 _STAYS = """(SELECT o_orderkey AS hospitalization_id, o_custkey AS patient_id, o_orderdate AS admission_dttm, o_orderdate + INTERVAL 1 HOUR * (o_orderkey % 90) AS discharge_dttm,
@@ -287,3 +291,97 @@ def organ_scores_other(spark, d):
         F.when(t == "purchase", F.least(0.21 + v / 200, F.lit(1.0))).alias("fio2_set"), F.when(t == "signup", F.when(i % 2 == 0, "IMV").otherwise("Nasal Cannula")).alias("device_category"),
     )
     return sofa.from_wide(wide, id_col="user_id", remove_outliers=False).select("user_id", F.round("p_f", 6).alias("p_f"), "sofa_liver", "sofa_cns", "sofa_resp", "sofa_total")
+
+
+# Generic operators that no query above runs.
+
+
+@query("SELECT event_id, CASE WHEN value BETWEEN 20 AND 70 THEN value END AS value FROM events")
+def clamp_columns(spark, d):
+    return ranges.clamp_columns(table(spark, d, "events").select("event_id", "value"), {"value": (20.0, 70.0)}).select("event_id", "value")
+
+
+_DOSE_RULES = [("click", "mg", 5.0, 60.0), ("click", "g", 1.0, 20.0), ("view", "mg", 30.0, 90.0)]
+
+
+@query("SELECT event_id, " + "CASE " + " ".join(f"WHEN event_type = '{c}' AND unit = '{u}' AND (value < {a} OR value > {b}) THEN NULL" for c, u, a, b in _DOSE_RULES) + " ELSE value END AS value FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'mg' ELSE 'g' END AS unit FROM events)")
+def outlier_null_by_unit(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type", "value", F.when(F.col("event_id") % 2 == 0, "mg").otherwise("g").alias("unit"))
+    return ranges.clamp_by_rule(e, "value", ["event_type", "unit"], _DOSE_RULES).select("event_id", "value")
+
+
+@query(f"SELECT event_id FROM (SELECT *, CASE WHEN event_type = 'click' THEN user_id END AS u FROM {_HOLES}) WHERE v IS NOT NULL OR u IS NOT NULL")
+def any_present(spark, d):
+    h = _holes(spark, d).withColumn("u", F.when(F.col("event_type") == "click", F.col("user_id")))
+    return predicates.present(h, ["v", "u"]).select("event_id")
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def entity_filter(spark, d):
+    rich = table(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("user_id"))
+    return predicates.of_entities(table(spark, d, "events").select("event_id", "user_id"), rich, "user_id")
+
+
+@query("SELECT CAST(least(20, count(DISTINCT user_id)) AS INTEGER) AS users, count(*) > 0 AS some FROM events")
+def entity_sample(spark, d):
+    e = table(spark, d, "events")
+    return predicates.sample_entities(e, "user_id", 20).agg(F.count_distinct("user_id").cast("int").alias("users"), (F.count("*") > 0).alias("some"))
+
+
+@query("SELECT user_id, " + ", ".join(f"max(CASE WHEN event_type = '{t}' THEN 1 ELSE 0 END) AS {t}" for t in ("click", "view")) + " FROM events GROUP BY user_id")
+def long_to_wide(spark, d):
+    return reshape.long_to_wide(table(spark, d, "events"), ["user_id"], "event_type", F.lit(1), ["click", "view"], 0).select("user_id", "click", "view")
+
+
+@query("SELECT event_id, value, CAST(NULL AS DOUBLE) AS map, CAST(NULL AS DOUBLE) AS spo2 FROM events")
+def missing_columns(spark, d):
+    return reshape.with_columns(table(spark, d, "events").select("event_id", "value"), ["value", "map", "spo2"])
+
+
+@query("SELECT event_id, CAST(v AS DOUBLE) AS v, t FROM (SELECT event_id, CASE WHEN event_id % 50 > 0 THEN CAST(event_id AS VARCHAR) END AS v, CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) ELSE 'x' END AS t FROM events)")
+def numeric_columns(spark, d):
+    i = F.col("event_id")
+    e = table(spark, d, "events").select("event_id", F.when(i % 50 > 0, i.cast("string")).alias("v"), F.when(i % 2 == 0, i.cast("string")).otherwise("x").alias("t"))
+    return reshape.numeric_columns(e, ["v", "t"])
+
+
+@query(f"""SELECT med_dose_unit, "_convert_status" AS status, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT {_RAW_UNIT} AS med_dose_unit, CASE WHEN l_linenumber % 6 IN (0) OR l_linenumber % 6 IN (1, 4) AND l_linenumber < 5 THEN 'success' WHEN l_linenumber % 6 = 2 THEN 'cannot convert unit to mass' WHEN l_linenumber % 6 = 3 THEN 'cannot convert amount to rate'
+        WHEN l_linenumber % 6 = 5 THEN 'original unit puffs is not recognized' ELSE 'cannot convert mass by weight' END AS "_convert_status", count(*) AS n FROM lineitem WHERE l_linenumber < 6 GROUP BY ALL) GROUP BY ALL""")
+def conversion_counts(spark, d):
+    _, counts = units.convert_doses(_doses(spark, d).where("l_linenumber < 6"), None, {"x": "mg/hr"})
+    return counts.groupBy("med_dose_unit", F.col("_convert_status").alias("status")).agg(F.sum("count").alias("n"))
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(CASE l_linenumber % 4 WHEN 0 THEN l_quantity * 1000 / 60 / w WHEN 1 THEN l_quantity WHEN 2 THEN l_quantity / 1000 / w ELSE l_quantity * 2.20462 END, 3) AS dose
+    FROM (SELECT *, 50 + l_discount * 100 AS w FROM lineitem)""")
+def direct_dose(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", (50 + F.col("l_discount") * 100).alias("w"))
+    k = F.col("l_linenumber") % 4
+    unit = F.when(k == 0, "mg / hr").when(k == 1, "mcg/kg/min").when(k == 2, "ng/min").otherwise("mcg/lb/min")
+    dose = sofa.dose_per_kg_minute(F.col("l_quantity"), unit, F.col("w"))
+    return lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(dose, 3).alias("dose"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 7 WHEN 2 THEN 9 ELSE 0 END AS rank FROM events")
+def device_rank(spark, d):
+    k = F.col("event_id") % 4
+    device = F.when(k == 0, "IMV").when(k == 1, "Nasal Cannula").when(k == 2, "Room Air").otherwise("imv")
+    return table(spark, d, "events").select("event_id", F.coalesce(sofa.device_rank(device), F.lit(0)).alias("rank"))
+
+
+@query("""SELECT event_id, datediff('day', TIMESTAMP '2024-01-01', ts) AS days, try_cast(CASE WHEN event_id % 3 = 0 THEN 'x' ELSE CAST(event_id AS VARCHAR) END AS DOUBLE) AS n, strftime(ts, '%Y%m%d%H%M') AS minute, CAST(event_id AS VARCHAR) AS id, lower(trim(' ' || upper(event_type) || ' ')) AS t FROM events""")
+def scalar_forms(spark, d):
+    e, i = table(spark, d, "events"), F.col("event_id")
+    return e.select(
+        "event_id", scalars.day_difference(F.col("ts"), F.lit("2024-01-01").cast("timestamp")).alias("days"), scalars.number(F.when(i % 3 == 0, "x").otherwise(i.cast("string"))).alias("n"), scalars.minute_key(F.col("ts")).alias("minute"),
+        scalars.id_string(i.cast("double"), "double").alias("id"), scalars.for_validation(F.concat(F.lit(" "), F.upper("event_type"), F.lit(" "))).alias("t"),
+    )
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, value FROM events WHERE value > 90")
+def file_round_trip(spark, d):
+    """Written by the rule of names and read back with the columns asked for."""
+    place = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/round-trip-{uuid.uuid4().hex}"
+    io.save(table(spark, d, "events").where("value > 90"), io.table_path(place, "events"))
+    return io.read_table(spark, place, "events").select("event_id", "user_id", "value")

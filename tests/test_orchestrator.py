@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from chartflow.clinical.orchestrator import Orchestrator
+from chartflow.quality.schema import ColumnRule, Schema
 from chartflow.sources import io
 
 
@@ -24,3 +25,9 @@ def test_from_files_to_scores(spark, tmp_path):
     assert blocks == 6
     wide = o.wide({"vitals": ["map", "spo2"]}, ids=t["hospitalization"].where("hospitalization_id = 'h001'"))
     assert wide.count() == 49 and wide.agg(F.max("day_number")).first()[0] == 3
+    windows = o.hourly(wide, {"max": ["map"], "mean": ["spo2"]}, gaps=True)
+    assert windows.count() == 49 and {"map_max", "spo2_mean"} <= set(windows.columns)
+    io.save(spark.createDataFrame([("h001", "I50.1", "ICD10CM")], "hospitalization_id string, diagnosis_code string, diagnosis_code_format string"), io.table_path(str(tmp_path), "hospital_diagnosis"))
+    assert (o.cci().first()["cci_score"], o.elixhauser().first()["elix_score"]) == (2, 7)
+    found = o.validate_all({"vitals": Schema("vitals", [ColumnRule("vital_value", "DOUBLE", True)]), "position": Schema("position", [])})
+    assert (found["vitals"]["status"], found["position"]["status"], found["position"]["score"]) == ("complete", "incomplete", 0.0)
