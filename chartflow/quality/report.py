@@ -78,6 +78,11 @@ def as_json(results: dict[str, list[Finding]]) -> str:
     return json.dumps({part: [f.record() for f in fs] for part, fs in results.items()}, default=str, indent=2)
 
 
+def from_json(content: str) -> dict[str, list[Finding]]:
+    """What as_json() wrote, so reports of several tables can be made from saved ones: as_html({table: from_json(...)})."""
+    return {part: [Finding(**r) for r in found] for part, found in json.loads(content).items()}
+
+
 def save(path: str, content: str) -> None:
     with open(path, "w", newline="") as f:
         f.write(content)
