@@ -77,12 +77,15 @@ def digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
-def luhn(d: Column) -> Column:
-    """Whether a string of digits passes the Luhn check."""
+def luhn_sum(d: Column) -> Column:
     n = F.length(d)
     one = lambda i: F.substring(d, F.cast("int", n) - i, F.lit(1)).cast("int")
-    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda a, i: a + F.when(i % 2 == 0, one(i)).otherwise((one(i) * 2) % 10 + (one(i) * 2 / 10).cast("int")))
-    return total % 10 == 0
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda a, i: a + F.when(i % 2 == 0, one(i)).otherwise((one(i) * 2) % 10 + (one(i) * 2 / 10).cast("int")))
+
+
+def luhn(d: Column) -> Column:
+    """Whether a string of digits passes the Luhn check."""
+    return luhn_sum(d) % 10 == 0
 
 
 def valid(kind: int, x: Column) -> Column:
@@ -216,7 +219,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, keep: list[Column] | Non
 
 
 def planted(kind: int) -> Column:
-    """A look-alike of the kind that is no personal data, between the document's own words: (h, y, match, before, after)."""
+    """A look-alike of the kind that is no personal data, between the document's own words: (h, y, k, match, before, after)."""
     seed = lambda n: F.xxhash64("doc_id", F.length("_text"), F.lit(kind), F.lit(n))
     part = lambda n, low, high: (low + F.pmod(seed(n), F.lit(high - low + 1))).cast("string")
     two = lambda n, low, high: F.lpad(part(n, low, high), 2, "0")
@@ -230,8 +233,8 @@ def planted(kind: int) -> Column:
         match = F.when(way == 0, F.concat_ws(":", two(1, 0, 23), two(2, 0, 59), two(3, 0, 59), part(4, 0, 999))).when(way == 1, F.concat_ws(", ", part(1, 1, 999), part(2, 1, 999), part(3, 1, 999), part(4, 1, 999)))
         match = match.otherwise(F.concat_ws(".", part(1, 256, 999), part(2, 0, 99), part(3, 0, 9999), part(4, 0, 9)))
     elif kind == 2:
-        wrong = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.concat(long(1, 15), c.cast("string"))), lambda n: ~luhn(n))
-        number = wrong[F.pmod(seed(2), F.lit(9)).cast("int")]
+        # The last digit is any but the one that would pass the check.
+        number = F.concat(long(1, 15), F.pmod(1 + F.pmod(seed(2), F.lit(9)) - luhn_sum(F.concat(long(1, 15), F.lit("0"))), F.lit(10)).cast("string"))
         match = F.when(way < 2, number).when(way == 2, F.regexp_replace(number, "([0-9]{4})(?=[0-9])", "$1.")).otherwise(F.concat(year.cast("string"), two(3, 1, 12), two(4, 1, 28), F.lit("."), two(5, 0, 23), two(6, 0, 59)))
     else:
         match = F.when(way == 0, F.concat_ws(" ", year, year + 1, year + 2)).when(way == 1, F.concat(year.cast("string"), F.lit("-"), two(2, 1, 12), F.lit("-"), two(3, 1, 28), F.lit(" "), two(4, 0, 23)))
@@ -241,24 +244,28 @@ def planted(kind: int) -> Column:
     # The words before are those of the document up to the end of one; what cues personal data may stand among them by chance alone.
     before = F.concat(F.regexp_replace(F.substring(F.col("_text"), F.greatest(at - CONTEXT, F.lit(0)) + 1, F.lit(CONTEXT)), r"[^\x20]*\z", ""), lead)
     after = F.element_at(F.array(*map(F.lit, [" ", " ", ",", ".", "x", "/"])), (F.pmod(seed(9), F.lit(6)) + 1).cast("int"))
-    return F.struct(F.xxhash64(seed(10)).alias("h"), F.lit(0.0).alias("y"), match.alias("match"), F.right(before, F.lit(CONTEXT)).alias("before"), after.alias("after"))
+    return F.struct(F.xxhash64(seed(10)).alias("h"), F.lit(0.0).alias("y"), F.lit(kind).alias("k"), match.alias("match"), F.right(before, F.lit(CONTEXT)).alias("before"), after.alias("after"))
 
 
 def _examples(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """h, y and the features of all examples of all documents, a row each: blurred base spans (y = 1) and planted look-alikes (0)."""
     df = _spans(docs, id_col, text_col)
-    names = []
+    every = []
     for k in range(len(KINDS)):
 
         def example(m: Column) -> Column:
             match = blurred(k, m["match"], F.xxhash64("doc_id", m["start"]))
-            return F.struct(F.xxhash64("doc_id", m["start"], F.lit(k)).alias("h"), F.lit(1.0).alias("y"), match.alias("match"), m["before"].alias("before"), m["after"].alias("after"))
+            return F.struct(F.xxhash64("doc_id", m["start"], F.lit(k)).alias("h"), F.lit(1.0).alias("y"), F.lit(k).alias("k"), match.alias("match"), m["before"].alias("before"), m["after"].alias("after"))
 
-        df = df.withColumns({f"_good{k}": F.transform(f"base{k}", example), f"_bad{k}": F.array(planted(k))})
-        names += [f"_good{k}", f"_bad{k}"]
-    for n in names:
-        df = df.withColumn(n, F.transform(n, lambda m: F.struct(m["h"], m["y"], *(c.alias(f) for f, c in features(int(n[-1]), m["match"], m["before"], m["after"]).items()))))
-    return df.select(F.inline(F.concat(*names)))
+        every += [F.transform(f"base{k}", example), F.array(planted(k))]
+    rows = df.select(F.inline(F.concat(*every)))
+    # Outside of arrays features are compiled; those of the kind are chosen by row.
+    each = [features(k, F.col("match"), F.col("before"), F.col("after")) for k in range(len(KINDS))]
+    mine = {f: c for f, c in each[0].items()}
+    for f in ("kind", "cue"):
+        for k in range(1, len(KINDS)):
+            mine[f] = F.when(F.col("k") == k, each[k][f]).otherwise(mine[f])
+    return rows.select("h", "y", *(mine[f].alias(f) for f in FEATURES))
 
 
 def threshold(bins: dict[int, tuple[int, int]]) -> float | None:
@@ -278,7 +285,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     have = [r[0] for r in rows.groupBy("kind").agg(F.sum("y").alias("right")).where("right > 0").collect()]
     rows = rows.where(F.col("kind").isin(have))
     held = F.pmod("h", F.lit(2)) == 1
-    got = np.array(rows.where(~held).orderBy(*rows.columns).limit(ROWS).collect(), dtype=np.float64).reshape(-1, 2 + len(FEATURES))
+    # Only about ROWS rows are sorted, however many there are: those whose hash is low.
+    share = min(1.0, ROWS / max(1, rows.where(~held).count()))
+    low = F.shiftrightunsigned(F.xxhash64("h"), 12) <= int(share * 2**52)
+    got = np.array(rows.where(~held & low).orderBy(*rows.columns).limit(ROWS).collect(), dtype=np.float64).reshape(-1, 2 + len(FEATURES))
     trees = fit(got[:, 2:], got[:, 1], FEATURES, {"cue": 1, "glued_before": -1, "glued_after": -1}, trees=24)
 
     score = trees.column({f: F.col(f) for f in FEATURES})

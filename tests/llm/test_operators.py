@@ -782,7 +782,38 @@ def test_shared_folder_is_that_of_the_session(spark):
     assert common.fresh_folder(Session("hdfs:///some/place/"), "x").startswith("hdfs:///some/place/x-")
 
 
+def test_hot_keys_meet_their_groups(spark):
+    """Keys above the bound and below it, keys without a group, null keys: the same rows as a plain join."""
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2] * 7 + [3, 4, 4, None])], "k long, i long")
+    groups = spark.createDataFrame([(1, 50, "a"), (2, 7, "b"), (4, 2, "c"), (9, 1, "d")], "k long, n long, name string")
+    for least in (1, 5, 1000):
+        got = common.meet(rows, groups, ["k"], least=least).select("k", "i", "name").collect()
+        assert sorted(got) == sorted(rows.join(groups, "k").select("k", "i", "name").collect()) and len(got) == 59
+    assert common.meet(rows.where("k > 99"), groups.where("k > 99"), ["k"]).count() == 0
+
+
+def test_common_windows_are_dealt_to_many_tasks(spark, monkeypatch):
+    """With every hash that repeats in the sample taken as common, nothing changes."""
+    passage = prose(40, 700)
+    texts = [prose(20, 701 + k) + " " + passage + " " + prose(15, 800 + k) for k in range(12)] + [passage, None, prose(50, 900)]
+    for name, value in {"SAMPLED": 1, "COMMON": 2, "SALTS": 3}.items():
+        monkeypatch.setattr(substring, name, value)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.deduplicate(frame(spark, texts)).collect()}
+    assert got == plain_dedup(dict(enumerate(texts)), 13)
+
+
+def test_spans_beside_very_many_base_spans(spark, monkeypatch):
+    monkeypatch.setattr(pii, "STRIDE", 4)
+    text = " ".join(f"10.0.0.{i} user{i} at host dot example dot org" for i in range(40))
+    r = pii._spans(frame(spark, [text, "no data"]), "doc_id", "text").orderBy("doc_id").collect()
+    assert len(r[0]["base"]) == 40 and len(r[0]["wide0"]) == 40 and r[1]["wide0"] == []
+    assert all(b["end"] <= m["start"] or m["end"] <= b["start"] for k in range(4) for m in r[0][f"wide{k}"] for b in r[0]["base"])
+
+
 def test_written_tables_can_be_removed(spark):
     common._made.clear()
     df = common.written(spark.range(3).toDF("id"), "three")
-    assert df.count() == 3 and common.remove_written(spark) == 1 and common.remove_written(spark) == 0
+    since = common.mark()
+    common.written(spark.range(2).toDF("id"), "two")
+    assert common.remove_written(spark, since) == 1 and df.count() == 3
+    assert common.remove_written(spark) == 1 and common.remove_written(spark) == 0
