@@ -84,12 +84,15 @@ def _some(batches: Iterator[pa.RecordBatch], one_in: int) -> Iterator[pa.RecordB
         yield b if one_in == 1 else b.filter(pa.array(common.mix(ids) % np.uint64(one_in) == 0))
 
 
-def _dealt(rows: DataFrame, some: DataFrame) -> DataFrame:
-    """rows dealt by h and salt; salt is -1 but for hashes that are common in some, which are dealt to SALTS tasks each by document."""
+def _dealt(rows: DataFrame, some: DataFrame, keys: list[str]) -> DataFrame:
+    """rows dealt by keys and salt; salt is -1 but for hashes that are common in some, which are dealt to SALTS tasks each by document.
+
+    They are dealt by just the columns that they are joined by, or the join would deal them again.
+    """
     hot = some.groupBy("h").agg(F.count("*").alias("_n")).where(F.col("_n") >= COMMON).orderBy(F.col("_n").desc(), "h").limit(HOT).select("h", F.lit(True).alias("_hot"))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(-1)
     salted = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", salt).drop("_hot")
-    return salted.select(*(_never_null(c, "int") if c == "salt" else F.col(c) for c in salted.columns)).repartition("h", "salt")
+    return salted.select(*(_never_null(c, "int") if c == "salt" else F.col(c) for c in salted.columns)).repartition(*keys, "salt")
 
 
 def _least(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,8 +101,9 @@ def _least(rows: DataFrame, keys: list[str]) -> DataFrame:
     The least is taken of whole rows: were columns left out, Spark would work
     out and shuffle the rows a second time for this.
     """
-    whole = F.struct("doc_id", *(c for c in rows.columns if c not in (*keys, "salt", "doc_id")))
-    part = rows.groupBy(*keys, "salt").agg(F.min(whole)["doc_id"].alias("lo"), F.max("doc_id").alias("hi"), F.max("salt").alias("s"))
+    more = [c for c in rows.columns if c not in (*keys, "salt", "doc_id")]
+    least = F.min(F.struct("doc_id", *more))["doc_id"] if more else F.min("doc_id")
+    part = rows.groupBy(*keys, "salt").agg(least.alias("lo"), F.max("doc_id").alias("hi"), F.max("salt").alias("s"))
     alone = part.where("s < 0 AND lo < hi").select(*keys, "salt", "lo")
     met = part.where("s >= 0").groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
     met = met.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "lo")
@@ -205,22 +209,23 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     copies = common.meet(sums, common.written(first, "first"), ["sum"]).where("doc_id > first").select("doc_id").distinct()
     copies = common.written(copies, "copies")
 
+    # Merge joins are asked for throughout: were Spark to change its mind for one use of a shuffle, it would not find it again for the next.
     dealt = source.repartition("doc_id")
-    base = dealt.join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
+    base = dealt.join(copies.withColumn("copy", F.lit(True)).hint("merge"), "doc_id", "left")
     fresh = base.where("copy IS NULL").select("doc_id", "text")
 
     before, hits = None, None
     for k in levels(length)[:-1]:
         if hits is not None:  # each level's plan holds that before it several times, so of many levels all but the last are written
             hits = common.written(hits, "hits")
-        todo = fresh if hits is None else fresh.join(hits, "doc_id")
-        rows = _dealt(_parts(todo, k, before, length), _parts(todo, k, before, length, SAMPLED))
-        hits = rows.join(_least(rows, ["h"]), ["h", "salt"]).groupBy("doc_id").agg(F.collect_list("h").alias("hits"))
+        todo = fresh if hits is None else fresh.join(hits.hint("merge"), "doc_id")
+        rows = _dealt(_parts(todo, k, before, length), _parts(todo, k, before, length, SAMPLED), ["h"])
+        hits = rows.join(_least(rows, ["h"]).hint("merge"), ["h", "salt"]).groupBy("doc_id").agg(F.collect_list("h").alias("hits"))
         before = k
     if hits is None:  # a length so short that there is one level
         raise ValueError(f"length must be more than {FIRST}")
-    todo = fresh.join(hits, "doc_id")
-    rows = _dealt(_windows(todo, before, length), _windows(todo, before, length, SAMPLED))
-    gone = rows.join(_least(rows, ["h", "check"]), ["h", "check", "salt"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("at").alias("hits"), F.flatten(F.collect_list("more")).alias("more"))
-    out = _result(base.join(gone, "doc_id", "left"), length)
+    todo = fresh.join(hits.hint("merge"), "doc_id")
+    rows = _dealt(_windows(todo, before, length), _windows(todo, before, length, SAMPLED), ["h", "check"])
+    gone = rows.join(_least(rows, ["h", "check"]).hint("merge"), ["h", "check", "salt"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("at").alias("hits"), F.flatten(F.collect_list("more")).alias("more"))
+    out = _result(base.join(gone.hint("merge"), "doc_id", "left"), length)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
