@@ -27,21 +27,6 @@ CHUNK_BYTES = 1 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; kept and grown as needed."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        out[0] = 1
-        have = _powers[base] = np.multiply.accumulate(out)
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -115,20 +100,72 @@ class Words:
         return piece_hashes(self.body, self.start if start is None else start, self.end if end is None else end)
 
 
+def ragged(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start[i] .. start[i] + size[i] - 1 of all i in one array, the place of each inside its i, and where each i begins."""
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    return np.repeat(start, size) + place, place, first
+
+
 def piece_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each body[start:end].
 
-    Prefix sums of byte * base ** position give the sum over any piece;
-    dividing by base ** start makes it the same wherever the piece lies.
+    Blocks of eight bytes are mixed with their place before they are summed, so
+    the sum of a piece is not a linear form of its bytes.  Where equality of
+    bytes matters it is still checked on bytes (same_bytes, numbers).
     """
-    n = len(body)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=total[1:])
-    return mix((total[end] - total[start]) * powers(_BASE_INVERSE, n + 1)[start] + (end - start).astype(np.uint64))
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64)
+    padded = np.zeros(len(body) + 8, dtype=np.uint8)
+    padded[: len(body)] = body
+    wide = np.ndarray(len(body) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each byte on
+    size = end - start
+    blocks = np.maximum((size + 7) >> 3, 1)
+    _, place, first = ragged(start, blocks)
+    at = np.repeat(start, blocks) + 8 * place
+    spare = 8 * (8 - np.clip(np.repeat(end, blocks) - at, 0, 8))  # bits of a block beyond the end of its piece
+    value = np.where(spare == 64, 0, wide[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> np.minimum(spare, 63).astype(np.uint64)))
+    keys = mix(np.arange(1, int(blocks.max()) + 1, dtype=np.uint64))
+    total = np.add.reduceat(mix(value ^ keys[place]), first)
+    return mix(total ^ mix(size.astype(np.uint64)))
+
+
+def same_bytes(body: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, start2: np.ndarray, end2: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """Whether body[start:end] is other[start2:end2], pair by pair, about ``most`` bytes at a time."""
+    same = (end - start) == (end2 - start2)
+    todo = np.flatnonzero(same & (end > start))
+    size = (end - start)[todo]
+    total = np.cumsum(size)
+    i = 0
+    while i < len(todo):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
+        k, n = todo[i:j], size[i:j]
+        left, place, first = ragged(start[k], n)
+        same[k] = np.logical_and.reduceat(body[left] == other[np.repeat(start2[k], n) + place], first)
+        i = j
+    return same
+
+
+def numbers(body: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each body[start:end]; two are equal exactly if their bytes are, whatever the hashes say."""
+    order = np.argsort(hashes, kind="stable")
+    h = hashes[order]
+    twin = np.zeros(len(h), dtype=bool)
+    twin[1:] = h[1:] == h[:-1]
+    i = np.flatnonzero(twin)
+    a, b = order[i], order[i - 1]
+    wrong = i[~same_bytes(body, start[a], end[a], body, start[b], end[b])]
+    out = np.empty(len(h), dtype=np.int64)
+    out[order] = np.cumsum(~twin)
+    if len(wrong):  # different bytes under one hash: those hashes are numbered by their bytes
+        known: dict[bytes, int] = {}
+        for k in np.flatnonzero(np.isin(hashes, h[wrong])).tolist():
+            out[k] = -1 - known.setdefault(bytes(body[start[k] : end[k]]), len(known))
+    return out
 
 
 def windows(words: np.ndarray, count: np.ndarray, length: int, factor: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``length`` words inside one document, and the index of their first words."""
+    """Hashes of all runs of ``length`` words inside one document, and the index of their first words; words are hashes or numbers of words."""
     n = len(words) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -141,17 +178,6 @@ def windows(words: np.ndarray, count: np.ndarray, length: int, factor: int = 0xD
     return mix(out[inside]), inside
 
 
-def twice(keys: np.ndarray) -> np.ndarray:
-    """Whether each key occurs twice or more."""
-    s = np.sort(keys)
-    again = np.unique(s[1:][s[1:] == s[:-1]])
-    if not len(again):
-        return np.zeros(len(keys), dtype=bool)
-    k = np.searchsorted(again, keys)
-    k[k == len(again)] = 0
-    return again[k] == keys
-
-
 def covered(n: int, first: np.ndarray, length: int) -> np.ndarray:
     """Which of n words lie in a run of ``length`` words that starts at one of ``first``."""
     step = np.zeros(n + 1, dtype=np.int64)

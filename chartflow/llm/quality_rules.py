@@ -52,18 +52,44 @@ _IS_END, _IS_COMMA = _lut(b".!?"), _lut(b",;:")
 _IS_OTHER = _lut(bytes(range(33, 127))) & ~(_IS_LETTER | _IS_DIGIT | _IS_END | _IS_COMMA)
 
 
+def twice(keys: np.ndarray, words: np.ndarray, first: np.ndarray, doc: np.ndarray, length: int = REPEAT_WINDOW) -> np.ndarray:
+    """Which runs of ``length`` words from first on occur twice or more in their document; equal runs have equal keys."""
+    order = np.argsort(keys, kind="stable")
+    i = np.flatnonzero(keys[order][1:] == keys[order][:-1]) + 1
+    a, b = order[i], order[i - 1]
+    equal = doc[a] == doc[b]
+    for k in range(length):
+        equal &= words[first[a] + k] == words[first[b] + k]
+    out = np.zeros(len(keys), dtype=bool)
+    out[a] = out[b] = True
+    for key in np.unique(keys[a[~equal]]).tolist():  # different runs under one key: settled run by run
+        mine = np.flatnonzero(keys == key)
+        runs = np.stack([doc[mine], *(words[first[mine] + k] for k in range(length))], axis=1)
+        _, which, count = np.unique(runs, axis=0, return_inverse=True, return_counts=True)
+        out[mine] = count[which.ravel()] > 1
+    return out
+
+
+def distinct_words(w: common.Words, words: np.ndarray) -> np.ndarray:
+    """How many different numbers of words each document has."""
+    order = np.lexsort((words, w.doc))
+    one = np.ones(len(words), dtype=bool)
+    one[1:] = (words[order][1:] != words[order][:-1]) | (w.doc[order][1:] != w.doc[order][:-1])
+    return np.bincount(w.doc[order][one], minlength=len(w.count))
+
+
 def statistics(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The base counts of each text, and the matrix of FEATURES."""
     body, at = common.text_bytes(texts)
     w = common.Words(body, at)
     n = len(at) - 1
     char = (body & 0xC0) != 0x80
-    words = w.hashes()
-    salt = common.mix(np.arange(1, n + 1, dtype=np.uint64))  # keeps documents apart when keys are sorted together
+    words = common.numbers(body, w.start, w.end, w.hashes())
+    doc_salt = common.mix(np.arange(1, n + 1, dtype=np.uint64))  # keeps documents apart when keys are sorted together
 
     # Words inside windows that the same document holds twice.
-    runs, first = common.windows(words, w.count, REPEAT_WINDOW)
-    again = common.twice(runs ^ salt[w.doc[first]]) if len(runs) else np.zeros(0, bool)
+    runs, first = common.windows(words.view(np.uint64), w.count, REPEAT_WINDOW)
+    again = twice(runs ^ doc_salt[w.doc[first]], words, first, w.doc[first])
     repeat = np.bincount(w.doc[common.covered(len(words), first[again], REPEAT_WINDOW)], minlength=n) if again.any() else np.zeros(n, int)
 
     # Lines: pieces between \n and document edges.
@@ -76,9 +102,9 @@ def statistics(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     np.cumsum(w.solid, out=solid[1:])
     full = np.flatnonzero(solid[line_end] > solid[line_start])
     line_start, line_end, line_doc = line_start[full], line_end[full], line_doc[full]
-    keys = w.hashes(line_start, line_end) ^ salt[line_doc]
-    order = np.argsort(keys, kind="stable")
-    dup = order[1:][keys[order][1:] == keys[order][:-1]]
+    lines_ = common.numbers(body, line_start, line_end, w.hashes(line_start, line_end))
+    order = np.lexsort((lines_, line_doc))
+    dup = order[1:][(lines_[order][1:] == lines_[order][:-1]) & (line_doc[order][1:] == line_doc[order][:-1])]
     dup_lines = np.bincount(line_doc[dup], minlength=n)
     lines = np.bincount(line_doc, minlength=n)
     closed = np.bincount(line_doc, _IS_END[body[np.maximum(line_end - 1, 0)]] if len(line_end) else None, minlength=n)
@@ -86,9 +112,7 @@ def statistics(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     word_chars = w.per_doc(char & w.solid)
     base = {"n_words": w.count, "word_chars": word_chars, "n_symbols": w.per_doc(_IS_SYMBOL[body]), "n_dup_lines": dup_lines, "n_repeat_words": repeat}
 
-    key = words ^ salt[w.doc]
-    sort = np.argsort(key)
-    distinct = np.bincount(w.doc[sort][np.append(True, key[sort][1:] != key[sort][:-1])], minlength=n) if len(key) else np.zeros(n)
+    distinct = distinct_words(w, words)
     nw, nc, nl = np.maximum(w.count, 1), np.maximum(word_chars, 1), np.maximum(lines, 1)
     letters = np.maximum(w.per_doc(_IS_LETTER[body]), 1)
     x = np.stack(

@@ -17,6 +17,10 @@ document.  Hashes that very many documents have, such as those of a passage in
 every third one, are found in a sample of documents and dealt to ``SALTS`` tasks
 each; the sample decides where rows go, never which are looked at.  No group is
 collected but the list of one document.
+
+Hashes of words and parts only choose what is looked at further.  What decides
+is a digest of 128 bits of each full window's own bytes (BLAKE2b of its words,
+joined by spaces), and SHA-256 for whole texts.
 """
 
 from __future__ import annotations
@@ -63,6 +67,19 @@ def least_parts(words: np.ndarray, count: np.ndarray, k: int, length: int) -> tu
     return out, full
 
 
+def _digests(w: common.Words, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a digest of the length words from each first one on, joined by spaces."""
+    size = w.end - w.start
+    where, _, at = common.ragged(w.start, size + 1)  # each word, and the byte after it
+    joined = w.body[np.minimum(where, len(w.body) - 1)]
+    joined[at + size] = 32
+    raw = memoryview(joined.tobytes())
+    begin, finish = at[first].tolist(), (at + size)[first + length - 1].tolist()
+    digest = hashlib.blake2b
+    out = np.frombuffer(b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(begin, finish, strict=True)]), dtype="<i8").reshape(-1, 2)
+    return out[:, 0], out[:, 1]
+
+
 def _among(batch: pa.RecordBatch, doc: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
     """Whether each key is in the list of its document (column hits)."""
     salt = common.mix(np.arange(1, n + 1, dtype=np.uint64))
@@ -139,7 +156,7 @@ def _never_null(name: str, kind: str = "long") -> Column:
 
 
 def _windows(base: DataFrame, before: int, length: int, one_in: int = 1) -> DataFrame:
-    """(h, check, doc_id, at, more): the distinct full windows that are left over, by two hashes of 96 bits in all over 64-bit hashes of their words.
+    """(h, check, doc_id, at, more): the distinct full windows that are left over, by the two halves of a digest of their words.
 
     at is the first word of the first one in its document; more has those of
     all others, null if there are none, so a line that fills a document is a row.
@@ -150,8 +167,7 @@ def _windows(base: DataFrame, before: int, length: int, one_in: int = 1) -> Data
             w, words = _chunk(b)
             old, full = least_parts(words, w.count, before, length)
             live = _among(b, w.doc[full], old, b.num_rows)
-            h = common.windows(words, w.count, length)[0][live]
-            check = (common.windows(words, w.count, length, 0xA24BAED4963EE407)[0][live] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            h, check = _digests(w, full[live], length)
             doc = w.doc[full[live]]
             at = (full[live] - w.word_at[doc]).astype(np.int32)
             order = np.lexsort((at, check, h, doc))
@@ -161,11 +177,11 @@ def _windows(base: DataFrame, before: int, length: int, one_in: int = 1) -> Data
             size = np.diff(np.append(np.flatnonzero(one), len(h)))
             more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size - 1)]).astype(np.int32)), pa.array(at[~one]), mask=pa.array(size == 1))
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc[one], minlength=b.num_rows))]).astype(np.int32)
-            rows = pa.StructArray.from_arrays([pa.array(h[one].view(np.int64)), pa.array(check[one]), pa.array(at[one]), more], ["h", "check", "at", "more"])
+            rows = pa.StructArray.from_arrays([pa.array(h[one]), pa.array(check[one]), pa.array(at[one]), more], ["h", "check", "at", "more"])
             yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(ends, rows)], ["doc_id", "rows"])
 
-    found = base.mapInArrow(run, "doc_id long, rows array<struct<h: bigint, check: int, at: int, more: array<int>>>").select("doc_id", F.inline("rows"))
-    return found.select(_never_null("h"), _never_null("check", "int"), _never_null("doc_id"), "at", "more")
+    found = base.mapInArrow(run, "doc_id long, rows array<struct<h: bigint, check: bigint, at: int, more: array<int>>>").select("doc_id", F.inline("rows"))
+    return found.select(_never_null("h"), _never_null("check"), _never_null("doc_id"), "at", "more")
 
 
 def _result(base: DataFrame, length: int) -> DataFrame:
@@ -204,7 +220,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found in either, so ids should be distinct.  Other columns are ignored.
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sums = common.written(source.where("text IS NOT NULL").select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("sum")), "sums")
+    sums = common.written(source.where("text IS NOT NULL").select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sum")), "sums")
     first = sums.groupBy("sum").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
     copies = common.meet(sums, common.written(first, "first"), ["sum"]).where("doc_id > first").select("doc_id").distinct()
     copies = common.written(copies, "copies")

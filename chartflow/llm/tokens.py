@@ -5,7 +5,9 @@ other characters, around each such line feed, and before a mark that follows a
 letter or digit, whatever else the text holds.  Pieces between these places are
 encoded independently, so a piece that was met before needs no second encoding:
 its ids are copied from a pool.  Pieces are found and looked up in numpy, by a
-64-bit hash of their bytes, for a chunk of documents at once.
+64-bit hash of their bytes, for a chunk of documents at once; the bytes of an
+entry are kept and compared, and a piece that only shares a hash with another
+is not looked up: its text is encoded whole.
 Texts with other white space, with white space that touches white space or an
 end, or with the string of a special or added token, are encoded whole.
 """
@@ -55,6 +57,10 @@ class Memo:
         self.keys = np.zeros(self.mask + 1, dtype=np.uint64)
         self.start = np.zeros(self.mask + 1, dtype=np.int64)
         self.size = np.zeros(self.mask + 1, dtype=np.int32)
+        self.word = np.zeros(self.mask + 1, dtype=np.int64)  # where the bytes of an entry begin in letters
+        self.letters_of = np.zeros(self.mask + 1, dtype=np.int32)
+        self.letters = np.zeros(1 << 16, dtype=np.uint8)
+        self.written = 0
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
         self.used = self.filled = 0
 
@@ -80,9 +86,21 @@ class Memo:
         self.used = need
         return need - len(ids)
 
-    def put(self, h: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        """Enter distinct hashes that are not there yet."""
+    def holds(self, slot: np.ndarray, body: np.ndarray, begin: np.ndarray, finish: np.ndarray) -> np.ndarray:
+        """Whether the entries are of just these bytes."""
+        at = self.word[slot]
+        return common.same_bytes(body, begin, finish, self.letters, at, at + self.letters_of[slot])
+
+    def put(self, h: np.ndarray, start: np.ndarray, size: np.ndarray, body: np.ndarray, begin: np.ndarray, finish: np.ndarray) -> None:
+        """Enter distinct hashes that are not there yet, with the bytes body[begin:finish] of each."""
         self.filled += len(h)
+        letters_of = finish - begin
+        where, _, word = common.ragged(begin, letters_of)
+        need = self.written + len(where)
+        if need > len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros(max(need, len(self.letters)), dtype=np.uint8)])
+        self.letters[self.written : need] = body[where]
+        word, self.written = word + self.written, need
         slot = (h & np.uint64(self.mask)).astype(np.int64)
         left = np.arange(len(h))
         while len(left):
@@ -90,7 +108,7 @@ class Memo:
             _, one = np.unique(slot[free], return_index=True)  # one newcomer for each slot
             take = np.flatnonzero(free)[one]
             at, who = slot[take], left[take]
-            self.keys[at], self.start[at], self.size[at] = h[who], start[who], size[who]
+            self.keys[at], self.start[at], self.size[at], self.word[at], self.letters_of[at] = h[who], start[who], size[who], word[who], letters_of[who]
             stay = np.ones(len(left), dtype=bool)
             stay[take] = False
             left, slot = left[stay], (slot[stay] + 1) & self.mask
@@ -176,6 +194,17 @@ class Encoder:
         each = self._plain(lines)
         return np.concatenate(each), np.array([len(x) for x in each])
 
+    def _strangers(self, body: np.ndarray, begin: np.ndarray, finish: np.ndarray, h: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Pieces that share a hash with other bytes, in the memo or in an earlier piece of this chunk (an earlier one in order of hash)."""
+        known, new = np.flatnonzero(slot >= 0), np.flatnonzero(slot < 0)
+        order = new[np.argsort(h[new], kind="stable")]
+        i = np.flatnonzero(h[order][1:] == h[order][:-1]) + 1
+        a, b = order[i], order[i - 1]
+        wrong = a[~common.same_bytes(body, begin[a], finish[a], body, begin[b], finish[b])]
+        if len(wrong):  # all pieces with such a hash
+            wrong = new[np.isin(h[new], h[wrong])]
+        return np.concatenate([known[~self.memo.holds(slot[known], body, begin[known], finish[known])], wrong])
+
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all(pa.array([text], pa.string()))[0]
 
@@ -192,6 +221,11 @@ class Encoder:
         h = common.piece_hashes(body, begin, finish)
         h[h == 0] = 1  # 0 marks a free slot
         slot = memo.find(h)
+        alike = self._strangers(body, begin, finish, h, slot)
+        if len(alike):
+            whole[doc[alike]] = True
+            keep = ~whole[doc]
+            begin, finish, doc, h, slot = begin[keep], finish[keep], doc[keep], h[keep], slot[keep]
         miss = np.flatnonzero(slot < 0)
         if len(miss):
             new, one = np.unique(h[miss], return_index=True)
@@ -215,7 +249,7 @@ class Encoder:
                     got[group] = memo.add_ids(ids) + np.cumsum(many) - many
                     size_[group] = many
             short = e - b <= MEMO_BYTES
-            memo.put(new[short], got[short], size_[short])
+            memo.put(new[short], got[short], size_[short], body, b[short], e[short])
             kept = memo.used
             k = np.searchsorted(new, h[miss])
             start[miss], size[miss] = got[k], size_[k]

@@ -55,6 +55,53 @@ def labels(spark, ids, quality):
     return spark.createDataFrame([*((i, q, 0) for i, q in zip(ids, quality, strict=True)), (None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
 
 
+def thue_morse(n: int = 1024) -> tuple[str, str]:
+    """Two texts that every polynomial hash modulo 2 ** 64 with an odd base takes for one."""
+    bits = [k.bit_count() & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+S, T = thue_morse()
+
+
+def one_hash(monkeypatch):
+    """All pieces get one of two hashes, so that whatever trusts hashes is wrong."""
+    monkeypatch.setattr(common, "piece_hashes", lambda body, start, end: 1 + ((end - start) & 1).astype(np.uint64))
+
+
+def test_hashes_tell_the_pair_apart():
+    body, at = common.text_bytes(pa.array([S, T, S, "", "a", "a\x00", "ab" * 9]))
+    h = common.piece_hashes(body, at[:-1], at[1:])
+    assert h[0] == h[2] and len(set(h.tolist())) == 6
+    assert len(set(common.numbers(body, at[:-1], at[1:], np.zeros(7, np.uint64)).tolist())) == 6
+    assert common.same_bytes(body, at[[0, 0]], at[[1, 1]], body, at[[2, 1]], at[[3, 2]], most=10).tolist() == [True, False]
+
+
+def test_equal_hashes_are_not_equal_bytes(monkeypatch):
+    texts = [t for t in TEXTS if t is None or len(t) < 5000] + [f"{S}\n{T}\n{S}", "ab ac ad ae af ag ah ai " * 2 + "ba ca da ea fa ga ha ia " * 2, "a b c d e f g h a b c d e f g i"]
+    one_hash(monkeypatch)
+    base, _ = quality_rules.statistics(pa.array(texts, pa.string()))
+    assert list(zip(*(base[c].tolist() for c in quality_rules.BASE), strict=True)) == [base_counts(t) for t in texts]
+    e = tokens.Encoder(bits=10)
+    for _ in range(2):
+        ids, size = e.encode_all(pa.array([*texts, f"q {S} {T} z", f"q {T} z"], pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [plain_ids(t) for t in [*texts, f"q {S} {T} z", f"q {T} z"]]
+
+
+def test_colliding_pair(spark):
+    """Words that a polynomial hash confuses are told apart by operators 1, 2, 5 and 6."""
+    words = " ".join(f"w{k}" for k in range(12))
+    texts = [f"{words} {S}", f"{words} {T}", f"{words} {S}", f"{S}\n{T}\n{S}", f"q {S} {T} z"]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.deduplicate(frame(spark, texts)).collect()}
+    assert got == plain_dedup(dict(enumerate(texts)), 13) and (got[1][1], got[2][1]) == (0, 13)
+    model = quality_rules.train(frame(spark, texts), labels(spark, [], []))
+    assert {r["doc_id"]: r["n_dup_lines"] for r in quality_rules.score(frame(spark, texts), model).collect()}[3] == 1
+    ids = [np.array(plain_ids(t), "<u4") for t in texts]
+    assert [r["ids_crc32"] for r in token_codes.encode_and_read(frame(spark, texts)).orderBy("doc_id").collect()] == [zlib.crc32(np.append(x, 2).astype("<u4").tobytes()) for x in ids]
+    packed = packing.pack(frame(spark, texts)).toPandas().sort_values(["doc_id", "start"]).groupby("doc_id").ids.agg(lambda x: b"".join(map(bytes, x)))
+    assert packed.tolist() == [np.append(x, 1).astype("<u4").tobytes() for x in ids]
+
+
 # 1
 
 
