@@ -69,11 +69,11 @@ def give_back() -> None:
 
 
 class Words:
-    """The words of a chunk: where they start and end in ``body``, and how many each document has."""
+    """The words of a chunk: where they start and end in ``body``, and how many each document has.  between: the bytes that are part of no word."""
 
-    def __init__(self, body: np.ndarray, at: np.ndarray):
+    def __init__(self, body: np.ndarray, at: np.ndarray, between: np.ndarray = SPACE):
         self.body, self.at = body, at
-        self.solid = solid = ~SPACE[body]
+        self.solid = solid = ~between[body]
         first = np.empty(len(body), dtype=bool)
         last = np.empty(len(body), dtype=bool)
         if len(body):

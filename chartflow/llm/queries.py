@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, kneser_ney, mixing, packing, pii, quality_rules, simhash, substring, token_codes
+from . import ann, audit, chat, decontamination, fim, kneser_ney, mixing, packing, pii, quality_rules, simhash, substring, token_codes
 from .common import table
 
 
@@ -82,7 +82,23 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(table(spark, sf_dir, "documents")))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.report(decontamination.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_token_codes, op3_simhash_near_dedup, op4_chat_formatting, op5_packing, op6_substring_dedup, op7_kneser_ney, op8_source_mixing, op9_personal_data, op10_nearest_vectors)
-}
-SQL: dict[str, str] = {"op4_chat_formatting": _op4_sql(), "op8_source_mixing": mixing.sql()}
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_token_codes, op3_simhash_near_dedup, op4_chat_formatting, op5_packing, op6_substring_dedup, op7_kneser_ney, op8_source_mixing, op9_personal_data,
+        op10_nearest_vectors, op11_fill_in_middle, op12_decontamination, op13_filter_audit,
+    )
+}
+SQL: dict[str, str] = {"op4_chat_formatting": _op4_sql(), "op8_source_mixing": mixing.sql(), "op11_fill_in_middle": fim.sql(), "op12_decontamination": decontamination.sql(), "op13_filter_audit": audit.sql()}
