@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import ranks
+
 
 def stitch(hospitalization: DataFrame, adt: DataFrame, hours: float = 6, *, exact_ids: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """hospitalization and adt with encounter_block, and the mapping.
@@ -13,8 +15,8 @@ def stitch(hospitalization: DataFrame, adt: DataFrame, hours: float = 6, *, exac
     A stay links to the next of its patient if that begins at most so many
     hours after its discharge; overlapping stays link.  A block's name is the id
     of its last stay, and nothing leaves the patient.  With exact_ids it is
-    numbered by the place of its last stay among all, by patient and admission:
-    one sort of ids alone, on one task, so only for tables that one task can sort.
+    numbered by the place of its last stay among all, by patient and admission;
+    stays are numbered by ranges, in many tasks (ranks.number_rows).
     """
     stays = hospitalization.select("patient_id", "hospitalization_id", "admission_dttm", "discharge_dttm").distinct()
     w = Window.partitionBy("patient_id").orderBy(F.col("admission_dttm").asc_nulls_last(), "hospitalization_id")
@@ -25,8 +27,7 @@ def stitch(hospitalization: DataFrame, adt: DataFrame, hours: float = 6, *, exac
     stays = stays.withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     chain = Window.partitionBy("patient_id", "_chain")
     if exact_ids:
-        place = F.row_number().over(Window.orderBy(F.col("patient_id").asc_nulls_last(), F.col("admission_dttm").asc_nulls_last(), "hospitalization_id"))
-        mapping = stays.withColumn("_n", place).withColumn("encounter_block", F.max("_n").over(chain))
+        mapping = ranks.number_rows(stays, ["patient_id", "admission_dttm", "hospitalization_id"], "_n").withColumn("encounter_block", F.max("_n").over(chain))
     else:
         mapping = stays.withColumn("encounter_block", F.max_by("hospitalization_id", F.struct("admission_dttm", "hospitalization_id")).over(chain))
     mapping = mapping.select("hospitalization_id", "encounter_block")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from . import ranks
 
 
 def worst_values(df: DataFrame, keys: list[str], highest: list[str], lowest: list[str]) -> DataFrame:
@@ -13,15 +14,22 @@ def worst_values(df: DataFrame, keys: list[str], highest: list[str], lowest: lis
     return df.groupBy(*keys).agg(*(F.max(have(c)).alias(c) for c in highest), *(F.min(have(c)).alias(c) for c in lowest))
 
 
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
 def describe(df: DataFrame, keys: list[str], value: str, digits: int | None = 2) -> DataFrame:
     """count, missing share, mean, sample deviation, minimum, quartiles by linear interpolation, maximum (A4, A5).
 
-    Rounds half to even, as statistics packages do; None leaves figures as they are.
+    Rounds half to even, as statistics packages do; None leaves figures as they
+    are.  Quartiles are exact, by ranks.quantiles: no task holds the values of a
+    group, and jobs run while this is called.
     """
     v = F.col(value).cast("double")
-    out = {"mean": F.mean(v), "sd": F.stddev_samp(v), "min": F.min(v), "q1": F.percentile(v, F.lit(0.25)), "median": F.percentile(v, F.lit(0.5)), "q3": F.percentile(v, F.lit(0.75)), "max": F.max(v)}
-    out["missing_pct"] = F.avg(v.isNull().cast("double")) * 100
-    return df.groupBy(*keys).agg(F.count(v).alias("count"), *((F.bround(c, digits) if digits is not None else c).alias(n) for n, c in out.items()))
+    out = {"mean": F.mean(v), "sd": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)}
+    plain = df.groupBy(*keys).agg(F.count(v).alias("count"), *(c.alias(n) for n, c in out.items()), (F.avg(v.isNull().cast("double")) * 100).alias("missing_pct"))
+    parts = ranks.quantiles(df.where(v.isNotNull()), keys, value, QUARTILES)
+    shown = lambda c: (F.bround(c, digits) if digits is not None else F.col(c)).alias(c)
+    return ranks.attach(plain, parts, keys, "left").select(*keys, "count", *map(shown, ("mean", "sd", "min", "q1", "median", "q3", "max", "missing_pct")))
 
 
 def distinct_with_null(column: str) -> Column:
@@ -68,10 +76,10 @@ def contingency_residuals(df: DataFrame, row: str, column: str, most: int = 10_0
 
 
 def step_curve(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Sorted values with k / n for each row, so ties get rising shares."""
-    w = Window.partitionBy(*keys)
+    """Sorted values with k / n for each row, so ties get rising shares (A20).  Values of a key are numbered by ranges, in many tasks."""
     known = df.where(F.col(value).isNotNull()).select(*keys, value)
-    return known.withColumn("share", F.row_number().over(w.orderBy(value)) / F.count("*").over(w))
+    numbered = ranks.number_rows(known, [value], "__n", keys=keys, total="__all")
+    return numbered.select(*keys, value, (F.col("__n") / F.col("__all")).alias("share"))
 
 
 def one_hot(df: DataFrame, keys: list[str], column: str, most: int = 100) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..clinical import comorbidity, resistance, sofa, tables
@@ -11,7 +9,7 @@ from ..functions import scalars
 from ..operators import aggregates, predicates, ranges, reshape, sequences, units
 from ..quality import checks
 from ..quality.schema import ColumnRule, Schema
-from ..sources import io
+from ..sources import io, shared
 from .queries import _CODE, _CODES, _HOLES, _RAW_UNIT, _doses, _holes, index_sql, query, table
 
 # Tables of the clinical shape: stays, diagnoses, segments of stays, cultures, laboratory values.
@@ -382,6 +380,6 @@ def scalar_forms(spark, d):
 @query("SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, value FROM events WHERE value > 90")
 def file_round_trip(spark, d):
     """Written by the rule of names and read back with the columns asked for."""
-    place = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/round-trip-{uuid.uuid4().hex}"
+    place = shared.fresh_folder(spark, "round-trip")
     io.save(table(spark, d, "events").where("value > 90"), io.table_path(place, "events"))
     return io.read_table(spark, place, "events").select("event_id", "user_id", "value")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..clinical import comorbidity, sofa, stitching
 from ..functions import scalars
-from ..operators import aggregates, asof, extremal, intervals, prefix, ranges, reshape, sequences, units
+from ..operators import aggregates, asof, extremal, intervals, prefix, ranges, ranks, reshape, sequences, units
 from ..quality import checks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -486,14 +486,38 @@ def organ_scores(spark, d):
     return sofa.from_wide(wide, id_col="user_id").select("user_id", "sofa_cv_97", "sofa_coag", "sofa_renal", "sofa_total")
 
 
-@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate AS a, o_orderdate + INTERVAL 20 DAY AS b FROM orders),
+_STITCHED = """WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate AS a, o_orderdate + INTERVAL 20 DAY AS b, row_number() OVER (ORDER BY o_custkey, o_orderdate, o_orderkey) AS place FROM orders),
     l AS (SELECT *, coalesce(lead(a) OVER w - b <= INTERVAL 240 HOUR, FALSE) AS linked FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY a, o_orderkey)),
     c AS (SELECT *, sum(CASE WHEN p THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY a, o_orderkey) AS chain FROM (SELECT *, coalesce(lag(linked) OVER (PARTITION BY o_custkey ORDER BY a, o_orderkey), FALSE) AS p FROM l))
-    SELECT CAST(o_orderkey AS VARCHAR) AS hospitalization_id, last_value(CAST(o_orderkey AS VARCHAR)) OVER (PARTITION BY o_custkey, chain ORDER BY a, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS encounter_block FROM c""")
-def encounter_stitching(spark, d):
+    SELECT CAST(o_orderkey AS VARCHAR) AS hospitalization_id, {block} AS encounter_block FROM c"""
+
+
+def _stitched(spark, d, exact_ids):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("patient_id"), F.format_string("%012d", "o_orderkey").alias("hospitalization_id"), F.col("o_orderdate").alias("admission_dttm"), (F.col("o_orderdate") + F.expr("INTERVAL 20 DAYS")).alias("discharge_dttm"))
-    _, _, mapping = stitching.stitch(o, o.select("hospitalization_id"), 240, exact_ids=False)
-    return mapping.select(*(F.regexp_replace(c, "^0+(?=.)", "").alias(c) for c in mapping.columns))
+    _, _, mapping = stitching.stitch(o, o.select("hospitalization_id"), 240, exact_ids=exact_ids)
+    return mapping.withColumn("hospitalization_id", F.regexp_replace("hospitalization_id", "^0+(?=.)", ""))
+
+
+@query(_STITCHED.format(block="last_value(CAST(o_orderkey AS VARCHAR)) OVER (PARTITION BY o_custkey, chain ORDER BY a, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"))
+def encounter_stitching(spark, d):
+    return _stitched(spark, d, False).withColumn("encounter_block", F.regexp_replace("encounter_block", "^0+(?=.)", ""))
+
+
+@query(_STITCHED.format(block="max(place) OVER (PARTITION BY o_custkey, chain)"))
+def encounter_stitching_numbers(spark, d):
+    return _stitched(spark, d, True)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem")
+def global_row_numbers(spark, d):
+    ids = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return ranks.number_rows(table(spark, d, "lineitem").select(*ids, "l_extendedprice"), [F.col("l_extendedprice").desc(), *ids], "place").drop("l_extendedprice")
+
+
+@query("SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice, 0.01) AS p1, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.999) AS p999 FROM lineitem GROUP BY ALL")
+def exact_quantiles(spark, d):
+    lines = table(spark, d, "lineitem").withColumn("l_extendedprice", F.col("l_extendedprice").cast("double"))
+    return ranks.quantiles(lines, ["l_returnflag", "l_linestatus"], "l_extendedprice", {"p1": 0.01, "p50": 0.5, "p999": 0.999}, whole=1000)
 
 
 _CODES = ["I21.4", "E11.9", "E11.22", "C50.9", "C78.0", "K70.3", "K72.9", "N18.6", "B20", "J44.1", "Z00.0", "i50.2"]
