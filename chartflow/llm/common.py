@@ -107,6 +107,20 @@ def ragged(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.repeat(start, size) + place, place, first
 
 
+def _wide(body: np.ndarray, last: int) -> np.ndarray:
+    """The eight bytes from each byte on, as numbers; body has eight more behind the last one that is asked for, or is copied."""
+    if len(body) < last + 8:
+        body = np.concatenate([body[:last], np.zeros(8, dtype=np.uint8)])
+    return np.ndarray(last + 1, dtype="<u8", buffer=np.ascontiguousarray(body), strides=(1,))
+
+
+def _blocks(wide: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """The blocks of eight bytes of all pieces, zero beyond their ends."""
+    left = np.repeat(size, blocks) - 8 * place
+    mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * (8 - np.clip(left, 1, 8))).astype(np.uint64)
+    return np.where(left > 0, wide[np.repeat(start, blocks) + 8 * place] & mask, 0)
+
+
 def piece_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each body[start:end].
 
@@ -116,32 +130,31 @@ def piece_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     """
     if not len(start):
         return np.zeros(0, dtype=np.uint64)
-    padded = np.zeros(len(body) + 8, dtype=np.uint8)
-    padded[: len(body)] = body
-    wide = np.ndarray(len(body) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each byte on
     size = end - start
     blocks = np.maximum((size + 7) >> 3, 1)
     _, place, first = ragged(start, blocks)
-    at = np.repeat(start, blocks) + 8 * place
-    spare = 8 * (8 - np.clip(np.repeat(end, blocks) - at, 0, 8))  # bits of a block beyond the end of its piece
-    value = np.where(spare == 64, 0, wide[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> np.minimum(spare, 63).astype(np.uint64)))
+    value = _blocks(_wide(body, len(body)), start, size, place, blocks)
     keys = mix(np.arange(1, int(blocks.max()) + 1, dtype=np.uint64))
     total = np.add.reduceat(mix(value ^ keys[place]), first)
     return mix(total ^ mix(size.astype(np.uint64)))
 
 
 def same_bytes(body: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, start2: np.ndarray, end2: np.ndarray, most: int = 1 << 22) -> np.ndarray:
-    """Whether body[start:end] is other[start2:end2], pair by pair, about ``most`` bytes at a time."""
-    same = (end - start) == (end2 - start2)
-    todo = np.flatnonzero(same & (end > start))
-    size = (end - start)[todo]
-    total = np.cumsum(size)
+    """Whether body[start:end] is other[start2:end2], pair by pair, eight bytes at a time and about ``most`` bytes together."""
+    size = end - start
+    same = size == end2 - start2
+    todo = np.flatnonzero(same & (size > 0))
+    if not len(todo):
+        return same
+    left, right = _wide(body, int(end[todo].max())), _wide(other, int(end2[todo].max()))
+    blocks = (size[todo] + 7) >> 3
+    total = np.cumsum(8 * blocks)
     i = 0
     while i < len(todo):
         j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
-        k, n = todo[i:j], size[i:j]
-        left, place, first = ragged(start[k], n)
-        same[k] = np.logical_and.reduceat(body[left] == other[np.repeat(start2[k], n) + place], first)
+        k, n = todo[i:j], blocks[i:j]
+        _, place, first = ragged(start[k], n)
+        same[k] = np.logical_and.reduceat(_blocks(left, start[k], size[k], place, n) == _blocks(right, start2[k], size[k], place, n), first)
         i = j
     return same
 

@@ -97,7 +97,7 @@ class Memo:
         letters_of = finish - begin
         where, _, word = common.ragged(begin, letters_of)
         need = self.written + len(where)
-        if need > len(self.letters):
+        if need + 8 > len(self.letters):  # with room to read eight bytes from any letter on
             self.letters = np.concatenate([self.letters, np.zeros(max(need, len(self.letters)), dtype=np.uint8)])
         self.letters[self.written : need] = body[where]
         word, self.written = word + self.written, need
