@@ -63,34 +63,10 @@ def chain(df: DataFrame, keys: list[str], start: str, end: str, within_seconds:
 
 
 def suppress_repeats(df: DataFrame, keys: list[str], time: str, days: int, subject: Column, tiebreak: str) -> DataFrame:
-    """Drop rows of which fewer than days + 1 whole days have passed since the last row kept.
-
-    Only rows that meet subject can be dropped; others are kept and set the
-    clock.  Rows without a time are kept and do not set it.  What is kept last
-    decides, so no plain window can say it: the times of an entity are folded.
-    A row that comes so much later than the one before it is kept whatever was
-    kept before, so an entity is cut there first and each piece is folded for
-    itself; only rows that follow one another more closely share a piece.
-    """
-    rows = df.withColumn("_subject", F.coalesce(subject, F.lit(False)))
-    item = F.struct(F.col(time).alias("t"), F.col(tiebreak).alias("id"), F.col("_subject").alias("s"))
-    order = [time, tiebreak]
-    gap = F.floor((F.unix_micros(F.col(time)) - F.unix_micros(F.lag(time).over(ordered(keys, order)))) / F.lit(86_400_000_000)) > days
-    pieces = gap_island(rows.where(F.col(time).isNotNull()), keys, order, gap, "_piece")
-    listed = pieces.groupBy(*keys, "_piece").agg(F.array_sort(F.collect_list(item)).alias("_all"))
-    kind = dict(df.dtypes)
-    zero = F.struct(F.lit(None).cast(kind[time]).alias("last"), F.array().cast(f"array<{kind[tiebreak]}>").alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        passed = F.floor((F.unix_micros(x["t"]) - F.unix_micros(acc["last"])) / F.lit(86_400_000_000))
-        keep = ~x["s"] | acc["last"].isNull() | (passed > days)
-        return F.struct(F.when(keep, x["t"]).otherwise(acc["last"]).alias("last"), F.when(keep & x["s"], F.array_append(acc["kept"], x["id"])).otherwise(acc["kept"]).alias("kept"))
-
-    names = [*keys, tiebreak]
-    stay = listed.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), F.explode(F.aggregate("_all", zero, step, lambda a: a["kept"])).alias(f"_{len(keys)}"))
-    open_ = F.col("_subject") & F.col(time).isNotNull()
-    same = [F.col(n).eqNullSafe(F.col(f"_{i}")) for i, n in enumerate(names)]
-    return rows.where(open_).join(stay, same, "left_semi").unionByName(rows.where(~open_)).select(*df.columns)
+    """Drop rows of which fewer than days + 1 whole days have passed since the last row kept (W11): suppression.suppress_repeats."""
+    from .suppression import suppress_repeats as by_links  # which builds on this module
+
+    return by_links(df, keys, time, days, subject, tiebreak)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:

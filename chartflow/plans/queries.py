@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..clinical import comorbidity, sofa, stitching
 from ..functions import scalars
-from ..operators import aggregates, asof, extremal, intervals, prefix, ranges, ranks, reshape, sequences, units
+from ..operators import aggregates, asof, extremal, intervals, prefix, ranges, ranks, reshape, segments, sequences, units
 from ..quality import checks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,6 +242,38 @@ def hierarchical_fill(spark, d):
     return sequences.fill_forward(df, ["user_id", "island"], ["ts", "event_id"], ["v"]).select("user_id", "event_id", "island", "v")
 
 
+_CUT = 6 * 3600
+
+
+@query(SQL["locf_fill"])
+def locf_fill_split(spark, d):
+    return segments.fill_forward(_holes(spark, d), ["user_id"], ["ts", "event_id"], ["v"], bucket_seconds=_CUT).select("user_id", "event_id", "v")
+
+
+@query(SQL["bfill"])
+def bfill_split(spark, d):
+    return segments.fill_both(_holes(spark, d), ["user_id"], ["ts", "event_id"], ["v"], bucket_seconds=_CUT).select("user_id", "event_id", "v")
+
+
+@query(SQL["change_point_islands"])
+def change_point_islands_split(spark, d):
+    return segments.change_island(_holes(spark, d), ["user_id"], ["ts", "event_id"], "event_type", "island", bucket_seconds=_CUT).select("user_id", "event_id", "island")
+
+
+@query("SELECT user_id, event_id, count(v) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS seen FROM " + _HOLES)
+def running_count_split(spark, d):
+    known = F.col("v").isNotNull().cast("int")
+    return segments.running_sum(_holes(spark, d), ["user_id"], ["ts", "event_id"], known, "seen", bucket_seconds=_CUT).select("user_id", "event_id", "seen")
+
+
+@query("""SELECT user_id, event_id, CAST(sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 8 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session
+    FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)""")
+def sessions_split(spark, d):
+    apart = lambda now, before: F.unix_micros(now) - F.unix_micros(before) > 8 * 3_600_000_000
+    e = table(spark, d, "events").select("user_id", "event_id", "ts")
+    return segments.gap_island(e, ["user_id"], ["ts", "event_id"], F.col("ts"), apart, "session", bucket_seconds=_CUT).drop("ts")
+
+
 _DAYS = "(SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase')"
 
 
