@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..sources import shared
 from . import ranks
 
 
@@ -37,6 +39,22 @@ def distinct_with_null(column: str) -> Column:
     return F.count_distinct(F.col(column)) + F.max(F.col(column).isNull().cast("long"))
 
 
+def column_figures(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column, n_rows, nulls and distinct of each column: every (column, value) pair is counted, then every column.
+
+    Pairs are counted where they are before anything is shuffled, so a column
+    of few values costs next to nothing, and no row is copied for each distinct count that it takes part in.
+    An empty table has a row of zeros for each column.
+    """
+    cs = columns if columns is not None else [c for c, k in df.dtypes if not k.startswith(("array", "map", "struct", "variant"))]
+    pairs = F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(cs))))
+    values = df.select(pairs).groupBy("i", "value").agg(F.count("*").alias("n"))
+    found = values.groupBy("i").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.count("value").alias("distinct"))
+    names = df.sparkSession.createDataFrame(list(enumerate(cs)), "i int, column string")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return F.broadcast(names).join(found, "i", "left").select("i", "column", zero("n_rows"), zero("nulls"), zero("distinct"))
+
+
 def category_distribution(df: DataFrame, category: str, entity: str) -> DataFrame:
     """Entities of each category with their share of all entities; null is a category (A3)."""
     total = df.agg(distinct_with_null(entity).alias("_all"))
@@ -57,22 +75,65 @@ def most_common(df: DataFrame, column: str, default: str) -> str:
     return row[0] if row else default
 
 
-def contingency_residuals(df: DataFrame, row: str, column: str, most: int = 10_000) -> DataFrame:
+def _cells(df: DataFrame, row: str, column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: the cells that occur (__row, __column, __o), the levels of rows (with how many columns they occur with) and of columns, each with its sum."""
+    seen = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(row).alias("__row"), F.col(column).alias("__column")).agg(F.count("*").alias("__o"))
+    seen = shared.written(seen, "cells")
+    rows = shared.written(seen.groupBy("__row").agg(F.sum("__o").alias("__r"), F.count("*").alias("__met")), "rows")
+    return seen, rows, shared.written(seen.groupBy("__column").agg(F.sum("__o").alias("__c")), "columns")
+
+
+def _unseen(seen: DataFrame, rows: DataFrame, columns: DataFrame, k: int | None, rising: bool) -> DataFrame:
+    """Cells that do not occur, __o being 0: of each row the first k in order of the columns' sums (all, if k is None).
+
+    A row that occurs with m columns has its first k others among the first
+    m + k, so what is looked at grows with the cells that occur and with k for
+    each row, not with the product of levels.
+    """
+    order = F.col("__c").asc() if rising else F.col("__c").desc()
+    placed = ranks.number_rows(columns, [order, "__column"], "__place")
+    many = columns.count()
+    most = F.least(F.lit(many), F.col("__met") + k) if k is not None else F.lit(many)
+    tried = rows.where(F.lit(many) > 0).withColumn("__place", F.explode(F.sequence(F.lit(1).cast("long"), most.cast("long"))))
+    return tried.join(placed, "__place").join(seen.select("__row", "__column"), ["__row", "__column"], "left_anti").select("__row", "__column", F.lit(0).cast("long").alias("__o"), "__r", "__c")
+
+
+def _residuals(cells: DataFrame, total: int, row: str, column: str) -> DataFrame:
+    expected = F.col("__r") * F.col("__c") / F.lit(total)
+    return cells.select(F.col("__row").alias(row), F.col("__column").alias(column), F.col("__o").alias("observed"), expected.alias("expected"), ((F.col("__o") - expected) / F.sqrt(expected)).alias("residual"))
+
+
+def contingency_residuals(df: DataFrame, row: str, column: str) -> DataFrame:
     """observed, expected and (observed - expected) / sqrt(expected) of every pair of levels, those never seen included.
 
-    The levels of both sides are few by nature (they are categories); their
-    product, not that of rows, is what comes out.  A column with more than
-    ``most`` levels is no category, and an error.
+    What comes out is the product of both sides' levels; extreme_residuals()
+    gives its ends without it.  Rows with a null in either column are left out.
+    """
+    seen, rows, columns = _cells(df, row, column)
+    total = rows.agg(F.sum("__r")).first()[0] or 0
+    known = seen.join(rows.drop("__met"), "__row").join(columns, "__column").select("__row", "__column", "__o", "__r", "__c")
+    return _residuals(known.union(_unseen(seen, rows, columns, None, True)), total, row, column)
+
+
+def extreme_residuals(df: DataFrame, row: str, column: str, k: int = 10, least: int = 0) -> DataFrame:
+    """The k cells with the greatest residuals and the k with the least ones: side (positive, negative), place, both levels, observed, expected, residual.
+
+    Cells that never occur count, unless least asks for a count.  Of equal
+    residuals the first by row and column comes first.  Their residual is
+    -sqrt(expected), so those of a row are in order of the columns' sums, and
+    _unseen() finds what can be among the first k.
     """
-    seen = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count("*").alias("observed"))
-    rows, columns = seen.groupBy(row).agg(F.sum("observed").alias("_r")), seen.groupBy(column).agg(F.sum("observed").alias("_c"))
-    if columns.limit(most + 1).count() > most:
-        raise ValueError(f"{column} has more than {most} levels")
-    total = seen.agg(F.sum("observed").alias("_n"))
-    cells = rows.crossJoin(F.broadcast(columns)).crossJoin(F.broadcast(total)).join(seen, [row, column], "left")
-    expected = F.col("_r") * F.col("_c") / F.col("_n")
-    observed = F.coalesce("observed", F.lit(0))
-    return cells.select(row, column, observed.alias("observed"), expected.alias("expected"), ((observed - expected) / F.sqrt(expected)).alias("residual"))
+    seen, rows, columns = _cells(df, row, column)
+    total = rows.agg(F.sum("__r")).first()[0] or 0
+    known = seen.where(F.col("__o") >= least).join(rows.drop("__met"), "__row").join(columns, "__column").select("__row", "__column", "__o", "__r", "__c")
+    out = None
+    for side, order in (("positive", F.col("residual").desc()), ("negative", F.col("residual").asc())):
+        cells = known if least > 0 else known.union(_unseen(seen, rows, columns, k, side == "positive"))
+        top = _residuals(cells, total, row, column).orderBy(order, row, column).limit(k)
+        place = F.row_number().over(Window.partitionBy("side").orderBy(order, row, column))  # of k rows
+        top = top.withColumn("side", F.lit(side)).withColumn("place", place).select("side", "place", row, column, "observed", "expected", "residual")
+        out = top if out is None else out.union(top)
+    return out
 
 
 def step_curve(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..clinical import comorbidity, resistance, sofa, tables
 from ..functions import scalars
 from ..operators import aggregates, predicates, ranges, reshape, sequences, units
-from ..quality import checks
+from ..quality import checks, report
 from ..quality.schema import ColumnRule, Schema
 from ..sources import io, shared
 from .queries import _CODE, _CODES, _HOLES, _RAW_UNIT, _doses, _holes, index_sql, query, table
@@ -137,7 +137,7 @@ def culture_times(spark, d):
 _AGENTS = {"a": ["a1", "a2"], "b": ["b1", "b2"], "c": ["c1", "c2"]}
 _AGENT = "CASE l_partkey % 6 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(x for g in _AGENTS.values() for x in g)) + " END"
 _RESULT = "CASE l_returnflag WHEN 'R' THEN 'non_susceptible' WHEN 'A' THEN 'intermediate' ELSE 'susceptible' END"
-_RESISTANCE = f"""WITH t AS (SELECT o_custkey AS hospitalization_id, o_orderkey AS organism_id, {_AGENT} AS agent, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS place FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'),
+_RESISTANCE = f"""WITH t AS (SELECT o_custkey AS hospitalization_id, o_orderkey AS organism_id, {_AGENT} AS agent, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS place FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey),
     w AS (SELECT hospitalization_id, organism_id, agent, min(place) AS place FROM t GROUP BY ALL),
     g AS (SELECT hospitalization_id, organism_id,
         {", ".join(f"coalesce(max(CASE WHEN agent = '{x}' THEN CASE place WHEN 1 THEN 'non_susceptible' WHEN 2 THEN 'intermediate' ELSE 'susceptible' END END), 'not_tested') AS {x}" for g in _AGENTS.values() for x in g)},
@@ -149,7 +149,7 @@ _RESISTANCE = f"""WITH t AS (SELECT o_custkey AS hospitalization_id, o_orderkey
 @query(_RESISTANCE)
 def resistance_flags(spark, d):
     o = resistance.Organism(_AGENTS, ["a1", "b1"], min_groups=2, max_susceptible=1)
-    cultures = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("hospitalization_id"), F.col("o_orderkey").alias("organism_id"), F.lit("x").alias("organism_category"))
+    cultures = table(spark, d, "orders").select(F.col("o_custkey").alias("hospitalization_id"), F.col("o_orderkey").alias("organism_id"), F.lit("x").alias("organism_category"))
     tests = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("organism_id"), F.expr(_AGENT).alias("antimicrobial_category"), F.expr(_RESULT).alias("susceptibility_category"))
     return resistance.flags(cultures, tests, "x", organisms={"x": o})
 
@@ -199,8 +199,18 @@ def _level(bad: str, of: str, warning: float, error: float, over: str = ">") ->
 _EVENTS = Schema("events", [ColumnRule("event_id", "INTEGER", True), ColumnRule("user_id", "INTEGER", True), ColumnRule("v", "DOUBLE"), ColumnRule("ts", "DATETIME", True), ColumnRule("place", "VARCHAR", True), ColumnRule("event_type", "INTEGER")])
 
 
-@query("""SELECT * FROM (VALUES ('C.1', '', 'pass'), ('C.2', 'event_id', 'pass'), ('C.3', 'event_id', 'pass'), ('C.2', 'user_id', 'pass'), ('C.3', 'user_id', 'pass'), ('C.3', 'v', 'pass'), ('C.2', 'ts', 'pass'), ('C.3', 'ts', 'pass'), ('C.4', 'ts', 'pass'),
-    ('C.2', 'place', 'error'), ('C.3', 'event_type', 'error')) t(code, "column", severity)""")
+# What the columns are is read from the table; so is whether values of another type can be converted.
+_CONFORMANCE = f"""WITH rules(i, name, kind, required) AS (VALUES (1, 'event_id', 'INTEGER', TRUE), (2, 'user_id', 'INTEGER', TRUE), (3, 'v', 'DOUBLE', FALSE), (4, 'ts', 'DATETIME', TRUE), (5, 'place', 'VARCHAR', TRUE), (6, 'event_type', 'INTEGER', FALSE)),
+    have AS (SELECT column_name AS name, column_type AS type FROM (DESCRIBE SELECT * FROM {_HOLES})),
+    judged AS (SELECT r.*, h.type, CASE kind WHEN 'INTEGER' THEN type IN ('INTEGER', 'BIGINT', 'SMALLINT', 'TINYINT') WHEN 'DOUBLE' THEN type IN ('DOUBLE', 'FLOAT') OR type LIKE 'DECIMAL%' WHEN 'DATETIME' THEN type LIKE 'TIMESTAMP%' ELSE type = 'VARCHAR' END AS fits FROM rules r LEFT JOIN have h USING (name)),
+    texts AS (SELECT count(event_type) AS n, count(try_cast(event_type AS BIGINT)) AS whole FROM {_HOLES})
+    SELECT 'C.1' AS code, '' AS "column", CASE WHEN count(*) = 0 THEN 'error' ELSE 'pass' END AS severity FROM {_HOLES}
+    UNION ALL SELECT 'C.2', name, CASE WHEN type IS NULL THEN 'error' ELSE 'pass' END FROM judged WHERE required
+    UNION ALL SELECT 'C.3', name, CASE WHEN fits OR n = 0 THEN 'pass' WHEN n = whole THEN 'warning' ELSE 'error' END FROM judged, texts WHERE type IS NOT NULL
+    UNION ALL SELECT 'C.4', name, CASE WHEN fits THEN 'pass' ELSE 'warning' END FROM judged WHERE type IS NOT NULL AND kind = 'DATETIME'"""
+
+
+@query(_CONFORMANCE)
 def dqa_conformance(spark, d):
     return _found(spark, checks.conformance(_holes(spark, d), _EVENTS)).select("code", "column", "severity")
 
@@ -247,7 +257,10 @@ def dqa_units(spark, d):
     return out
 
 
-@query("""SELECT code, "column", severity, total, passed FROM (VALUES ('C.5', 'event_type', 'warning', 1, 0), ('K.3', 'event_type', 'error', 4, 3)) t(code, "column", severity, total, passed)""")
+@query("""WITH words(w) AS (VALUES ('click'), ('error'), ('view'), ('refund')), seen AS (SELECT DISTINCT lower(trim(event_type)) AS w FROM events WHERE event_type IS NOT NULL),
+    u AS (SELECT count(*) AS n FROM seen WHERE w NOT IN (SELECT w FROM words)), m AS (SELECT count(*) AS n, (SELECT count(*) FROM words) AS total FROM words WHERE w NOT IN (SELECT w FROM seen))
+    SELECT 'C.5' AS code, 'event_type' AS "column", CASE WHEN n > 0 THEN 'warning' ELSE 'pass' END AS severity, 1 AS total, CAST(n = 0 AS INTEGER) AS passed FROM u
+    UNION ALL SELECT 'K.3', 'event_type', CASE WHEN n > 0 THEN 'error' ELSE 'pass' END, CAST(total AS INTEGER), CAST(total - n AS INTEGER) FROM m""")
 def dqa_vocabulary(spark, d):
     s = Schema("events", [ColumnRule("event_type", "VARCHAR", category=True, values=["click", "error", "view", "refund"])])
     return spark.createDataFrame([(f.code, f.column, f.severity, f.total, f.passed) for f in checks.vocabulary(table(spark, d, "events"), s)], "code string, column string, severity string, total int, passed int")
@@ -291,6 +304,48 @@ def organ_scores_other(spark, d):
     return sofa.from_wide(wide, id_col="user_id", remove_outliers=False).select("user_id", F.round("p_f", 6).alias("p_f"), "sofa_liver", "sofa_cns", "sofa_resp", "sofa_total")
 
 
+_IDS = {
+    "customer": {"customer_id": "c_custkey"}, "orders": {"order_id": "o_orderkey", "customer_id": "o_custkey"}, "events": {"customer_id": "user_id"}, "part": {"part_id": "p_partkey"}, "supplier": {"supplier_id": "s_suppkey"},
+    "lineitem": {"order_id": "l_orderkey", "part_id": "l_partkey", "supplier_id": "l_suppkey"},
+}
+_LINKS = [("orders", "customer", "customer_id"), ("events", "customer", "customer_id"), ("events", "orders", "customer_id"), ("lineitem", "orders", "order_id"), ("lineitem", "part", "part_id"), ("lineitem", "supplier", "supplier_id")]
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS child, '{p}' AS parent, '{k}' AS key, count(c) AS child_ids, count(*) FILTER (p IS NULL) AS orphans, count(p) AS parent_ids, count(*) FILTER (c IS NULL) AS unused
+    FROM (SELECT DISTINCT {_IDS[c][k]} AS c FROM {c}) FULL JOIN (SELECT DISTINCT {_IDS[p][k]} AS p FROM {p}) ON c = p""" for c, p, k in _LINKS))
+def dqa_all_links(spark, d):
+    tables_ = {t: table(spark, d, t).select(*(F.col(c).alias(k) for k, c in ids.items())) for t, ids in _IDS.items()}
+    return checks.links_between(tables_, _LINKS)
+
+
+_CELLS = """WITH e AS (SELECT user_id, strftime(ts, '%H:%M') AS minute FROM events), s AS (SELECT user_id, minute, count(*) AS o FROM e GROUP BY ALL), r AS (SELECT user_id, sum(o) AS r FROM s GROUP BY ALL), c AS (SELECT minute, sum(o) AS c FROM s GROUP BY ALL), n AS (SELECT sum(o) AS n FROM s),
+    x AS (SELECT user_id, minute, CAST(coalesce(o, 0) AS BIGINT) AS observed, CAST(r AS BIGINT) * CAST(c AS BIGINT) / CAST(n AS BIGINT) AS expected FROM r CROSS JOIN c CROSS JOIN n LEFT JOIN s USING (user_id, minute)),
+    y AS (SELECT *, (observed - expected) / sqrt(expected) AS residual FROM x),
+    z AS (SELECT 'positive' AS side, row_number() OVER (ORDER BY residual DESC, user_id, minute) AS place, * FROM y UNION ALL SELECT 'negative', row_number() OVER (ORDER BY residual, user_id, minute), * FROM y)
+    SELECT side, CAST(place AS INTEGER) AS place, user_id, minute, observed, round(expected, 6) AS expected, round(residual, 6) AS residual FROM z WHERE place <= 25"""
+
+
+@query(_CELLS)
+def residual_extremes(spark, d):
+    e = table(spark, d, "events").select("user_id", F.date_format("ts", "HH:mm").alias("minute"))
+    return aggregates.extreme_residuals(e, "user_id", "minute", 25).withColumns({c: F.round(c, 6) for c in ("expected", "residual")})
+
+
+_STATED = [("event_id", "INT"), ("user_id", "INTEGER"), ("ts", "DATETIME"), ("event_type", "VARCHAR"), ("value", "DOUBLE")]
+_SHOWN = {"INT": "CAST({f}({c}) AS VARCHAR)", "INTEGER": "CAST({f}({c}) AS VARCHAR)", "DATETIME": "strftime({f}({c}), '%Y-%m-%d %H:%M')", "VARCHAR": "CAST(NULL AS VARCHAR)", "DOUBLE": "CAST({f}({c}) AS VARCHAR)"}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", '{k}' AS dtype, count(*) FILTER ({c} IS NULL) AS null_count, round_even(count(*) FILTER ({c} IS NULL) * 100.0 / count(*), 1) AS null_pct, count(DISTINCT {c}) AS "unique",
+    {_SHOWN[k].format(f="min", c=c)} AS min, {_SHOWN[k].format(f="max", c=c)} AS max FROM events HAVING count(*) > 0""" for c, k in _STATED))
+def table_statistics(spark, d):
+    return report.table_statistics(table(spark, d, "events"), Schema("events", [ColumnRule(c, k) for c, k in [*_STATED, ("absent", "DOUBLE")]]))
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS nulls, count(DISTINCT {c}) AS "distinct" FROM lineitem""" for c in ("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate")))
+def column_figures(spark, d):
+    return aggregates.column_figures(table(spark, d, "lineitem"), ["l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate"]).drop("i")
+
+
 # Generic operators that no query above runs.
 
 
@@ -343,11 +398,11 @@ def numeric_columns(spark, d):
     return reshape.numeric_columns(e, ["v", "t"])
 
 
-@query(f"""SELECT med_dose_unit, "_convert_status" AS status, CAST(sum(n) AS BIGINT) AS n FROM (
-    SELECT {_RAW_UNIT} AS med_dose_unit, CASE WHEN l_linenumber % 6 IN (0) OR l_linenumber % 6 IN (1, 4) AND l_linenumber < 5 THEN 'success' WHEN l_linenumber % 6 = 2 THEN 'cannot convert unit to mass' WHEN l_linenumber % 6 = 3 THEN 'cannot convert amount to rate'
-        WHEN l_linenumber % 6 = 5 THEN 'original unit puffs is not recognized' ELSE 'cannot convert mass by weight' END AS "_convert_status", count(*) AS n FROM lineitem WHERE l_linenumber < 6 GROUP BY ALL) GROUP BY ALL""")
+# A dose by weight without a weight keeps its number, and its unit is still one of mass and time.
+@query(f"""SELECT {_RAW_UNIT} AS med_dose_unit, CASE l_linenumber % 6 WHEN 2 THEN 'cannot convert unit to mass' WHEN 3 THEN 'cannot convert amount to rate' WHEN 5 THEN 'original unit puffs is not recognized' ELSE 'success' END AS status, count(*) AS n
+    FROM lineitem GROUP BY ALL""")
 def conversion_counts(spark, d):
-    _, counts = units.convert_doses(_doses(spark, d).where("l_linenumber < 6"), None, {"x": "mg/hr"})
+    _, counts = units.convert_doses(_doses(spark, d), None, {"x": "mg/hr"})
     return counts.groupBy("med_dose_unit", F.col("_convert_status").alias("status")).agg(F.sum("count").alias("n"))
 
 

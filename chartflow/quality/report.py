@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import aggregates
 from .checks import Finding, score, status
+from .schema import Schema
 
 COLUMNS = ["id", "table", "part", "code", "check", "column", "severity", "message", "metrics", "total", "passed", "score"]
 
@@ -36,13 +38,51 @@ def issues(results: dict[str, list[Finding]], *, passing: bool = False) -> list[
 
 
 def table_figures(df: DataFrame) -> list[dict]:
-    """Nulls, distinct values, least and greatest of each column: one aggregation."""
-    cs = [c for c, k in df.dtypes if not k.startswith(("array", "map", "struct"))]
-    parts = [F.count("*").alias("rows")]
-    for i, c in enumerate(cs):
-        parts += [F.count(c).alias(f"n{i}"), F.count_distinct(c).alias(f"u{i}"), F.min(c).cast("string").alias(f"a{i}"), F.max(c).cast("string").alias(f"b{i}")]
-    r = df.agg(*parts).first()
-    return [{"column": c, "rows": r["rows"], "nulls": r["rows"] - r[f"n{i}"], "distinct": r[f"u{i}"], "min": r[f"a{i}"], "max": r[f"b{i}"]} for i, c in enumerate(cs)]
+    """Nulls, distinct values, least and greatest of each column."""
+    cs = [c for c, k in df.dtypes if not k.startswith(("array", "map", "struct", "variant"))]
+    if not cs:
+        return []
+    counts = aggregates.column_figures(df, cs).orderBy("i").collect()
+    r = df.agg(*(f(f"`{c}`").cast("string").alias(f"{k}{i}") for i, c in enumerate(cs) for k, f in (("a", F.min), ("b", F.max)))).first()
+    return [{"column": x["column"], "rows": x["n_rows"], "nulls": x["nulls"], "distinct": x["distinct"], "min": r[f"a{x['i']}"], "max": r[f"b{x['i']}"]} for x in counts]
+
+
+def shortest(x: Column) -> Column:
+    """A double in the fewest digits that give it back, with a point or an exponent, as reports print it."""
+    plain = x.cast("string")
+    whole = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
+    mantissa, exponent = F.regexp_replace(F.substring_index(plain, "E", 1), r"\.0$", ""), F.substring_index(plain, "E", -1).cast("int")
+    scientific = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.when(F.abs(exponent) < 10, "0").otherwise(""), F.abs(exponent).cast("string"))
+    far = (F.abs(x) >= 1e16) | ((F.abs(x) < 1e-4) & (x != 0))
+    return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(far, scientific).when(plain.contains("E"), whole).otherwise(plain)
+
+
+def table_statistics(df: DataFrame, s: Schema) -> DataFrame:
+    """column, dtype, null_count, null_pct, unique, min and max, as text, of every column of the schema that is there.
+
+    Least and greatest are of numbers, days and times alone, as reports print
+    them.  The share of nulls has one digit, half to even.  An empty table has no rows.
+    """
+    rules = [c for c in s.columns if c.name in df.columns]
+    spark = df.sparkSession
+    counted = aggregates.column_figures(df, [c.name for c in rules]).where("n_rows > 0")
+    parts = []
+    for i, c in enumerate(rules):
+        kind = c.kind.upper()
+        if kind in ("DATETIME", "DATE"):
+            shown = lambda x, form="yyyy-MM-dd HH:mm" if kind == "DATETIME" else "yyyy-MM-dd": F.date_format(x, form)
+        elif kind in ("INT", "INTEGER"):
+            shown = lambda x: F.bround(x.cast("double"), 0).cast("decimal(38,0)").cast("string")
+        elif kind in ("DOUBLE", "FLOAT"):
+            shown = lambda x: shortest(x.cast("double"))
+        else:
+            shown = lambda x: F.lit(None).cast("string")
+        parts.append(F.struct(F.lit(i).alias("i"), F.lit(c.kind).alias("dtype"), shown(F.min(f"`{c.name}`")).alias("min"), shown(F.max(f"`{c.name}`")).alias("max")))
+    if not parts:
+        return spark.createDataFrame([], "column string, dtype string, null_count long, null_pct double, unique long, min string, max string")
+    ends = df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+    pct = F.bround(F.col("nulls") * 100.0 / F.col("n_rows"), 1)
+    return counted.join(F.broadcast(ends), "i").select("column", "dtype", F.col("nulls").alias("null_count"), pct.alias("null_pct"), F.col("distinct").alias("unique"), "min", "max")
 
 
 def as_text(table: str, results: dict[str, list[Finding]]) -> str:

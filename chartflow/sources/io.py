@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..operators import aggregates
 
 KINDS = ("csv", "parquet", "json", "orc")
 
@@ -97,10 +98,16 @@ def rewrite(spark: SparkSession, source: str, target: str, change, kind: str = "
 
 
 def summary(df: DataFrame, ids: tuple[str, ...] = ("hospitalization_id", "patient_id")) -> dict:
-    """Rows, columns, zones of timestamp columns, distinct ids."""
+    """Rows, columns, zones of timestamp columns, distinct ids.
+
+    A timestamp without a zone has none; one with a zone is an instant, shown in
+    the session's zone.  Rows come from a count that reads no column, ids from
+    one count of (column, value) pairs.
+    """
     have = [c for c in ids if c in df.columns]
-    row = df.agg(F.count("*").alias("rows"), *(F.count_distinct(c).alias(c) for c in have)).first()
-    return {"rows": row["rows"], "columns": sorted(df.columns), "zones": {c: "UTC" if k == "timestamp" else None for c, k in df.dtypes if k.startswith("timestamp")}, "ids": {c: row[c] for c in have}}
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    distinct = {r["column"]: r["distinct"] for r in aggregates.column_figures(df, have).collect()} if have else {}
+    return {"rows": df.count(), "columns": sorted(df.columns), "zones": {c: zone if k == "timestamp" else None for c, k in df.dtypes if k.startswith("timestamp")}, "ids": {c: distinct[c] for c in have}}
 
 
 def to_json(value, path: str | None = None) -> str:
