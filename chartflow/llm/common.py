@@ -266,6 +266,14 @@ def meet(rows: DataFrame, groups: DataFrame, on: list[str], size: str = "n", lea
     return near.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet: name, with as many underscores behind it as are needed."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def mark() -> int:
     """How many folders this program has made so far."""
     return len(_made)

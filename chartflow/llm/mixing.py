@@ -8,10 +8,12 @@ falls into.  How many a shard gets of each source is so a multinomial draw on
 condition of the sources' totals; no source can pass three times its size by
 chance, and every shard has its fixed size.
 
-These counts are the table that ``draw`` makes.  The slots of a source are then
-numbered through all shards, a permutation of the source's block numbers maps
-slot to block (going round again when all blocks are used), and slots and blocks
-are joined by number.
+These counts are the table that ``draw`` makes.  A shard takes so many of each
+source's slots, which are numbered shard after shard; a permutation of the
+source's block numbers maps slot to block (going round again when all blocks are
+used), and slots and blocks are joined by number.  So the counts say which words
+go to which shard.  ``mixed`` arranges its rows by shard, and what reads them in
+order, as packing does, finds in every stretch the sources in their shares.
 
 Running sums go by runs of bounded length and then over the runs, so not even a
 source with a third of all rows is summed in one task.
@@ -178,40 +180,61 @@ def mix(placed: DataFrame, *, block: int = BLOCK_WORDS, shard_slots: int = SHARD
 
 
 def taken(docs: DataFrame, *, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, **columns) -> DataFrame:
-    """Of each document: doc_id, size, source_size, target and taken, the words that the mix takes of it.
+    """Of each document: doc_id, size, source_size, target, taken (words that the mix takes of it), n_shards that take some, and the first_shard of these (-1 if none).
 
     A null or wordless text has size 0 and is never taken.  Repeated rows are
     documents of their own.  A null id counts as 0 in the order of its stream.
     """
     placed = common.written(place(docs, block=block, **columns), "placed")
-    used = mix(placed, block=block, shard_slots=shard_slots).groupBy("rank", "start").agg(F.sum("n").alias("taken"))
-    full = placed.where("size > 0").join(used.hint("merge"), ["rank", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
-    return full.union(placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long")))
+    pieces = mix(placed, block=block, shard_slots=shard_slots).select("rank", "start", "shard", "n").repartition("rank", "start")
+    used = pieces.groupBy("rank", "start", "shard").agg(F.sum("n").alias("n")).groupBy("rank", "start").agg(F.sum("n").alias("taken"), F.count("*").alias("n_shards"), F.min("shard").alias("first_shard"))
+    none = F.lit(0).cast("long")
+    figures = ["doc_id", "size", "source_size", "target"]
+    full = placed.where("size > 0").join(used.hint("merge"), ["rank", "start"], "left").select(*figures, F.coalesce("taken", none).alias("taken"), F.coalesce("n_shards", none).alias("n_shards"), F.coalesce("first_shard", F.lit(-1)).cast("long").alias("first_shard"))
+    return full.union(placed.where("size = 0").select(*figures, none, none, F.lit(-1).cast("long")))
 
 
-def mixed(docs: DataFrame, *, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
-    """The rows of docs as the mix takes them, one for each round that takes some of their words.
+def mixed(docs: DataFrame, *, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", shard_col: str | None = None) -> DataFrame:
+    """The rows of docs as the mix takes them, one for each round that takes some of their words, arranged by shard.
 
     A round that takes all words of a document repeats its text; otherwise the
-    text is the words taken, each with the white space after it, in order.
+    text is the words taken, each with the white space after it, in order.  A
+    row belongs to the shard that takes the first of its words.  Each partition
+    holds whole shards, one after another, and inside a shard rows go by a hash;
+    shard_col names a column for the shard.
     Rows are numbered once, as they are written, so ids may be null or repeated.
+    Names of columns that are needed on the way are such as docs does not have.
     """
-    rows = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    placed = common.written(place(rows, block=block, id_col=id_col, text_col=text_col, source_col=source_col, row_col="_row"), "placed")
-    rounds = mix(placed, block=block, shard_slots=shard_slots).groupBy("row", "size", "round").agg(F.array_sort(F.collect_list(F.struct("from", "n"))).alias("_parts"), F.sum("n").alias("_n"))
-    rounds = rounds.select(F.col("row").alias("_row"), F.col("size").alias("_size"), "_parts", "_n")
-    both = rows.join(rounds.hint("merge"), "_row")
+    row, size, n, parts, words_, shard = (common.free(docs, c) for c in ("_row", "_size", "_n", "_parts", "_words", "_shard"))
+    rows = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    placed = common.written(place(rows, block=block, id_col=id_col, text_col=text_col, source_col=source_col, row_col=row), "placed")
+    rounds = mix(placed, block=block, shard_slots=shard_slots).groupBy("row", "size", "round").agg(F.array_sort(F.collect_list(F.struct("from", "n"))).alias("parts"), F.sum("n").alias("n"), F.min_by("shard", "from").alias("shard"))
+    rounds = rounds.select(F.col("row").alias(row), F.col("size").alias(size), F.col("parts").alias(parts), F.col("n").alias(n), F.col("shard").alias(shard))
+    both = rows.join(rounds.hint("merge"), row)
+    both = both.repartition(shard).sortWithinPartitions(shard, F.xxhash64(row, n), row)
     tokens = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    piece = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_words"), (p["from"] + 1).cast("int"), p["n"].cast("int")))), "")
-    both = both.withColumn("_words", F.when(F.col("_n") < F.col("_size"), tokens))
-    both = both.withColumn(text_col, F.when(F.col("_n") < F.col("_size"), piece).otherwise(F.col(text_col)))
+    piece = F.array_join(F.flatten(F.transform(parts, lambda p: F.slice(F.col(words_), (p["from"] + 1).cast("int"), p["n"].cast("int")))), "")
+    both = both.withColumn(words_, F.when(F.col(n) < F.col(size), tokens))
+    both = both.withColumn(text_col, F.when(F.col(n) < F.col(size), piece).otherwise(F.col(text_col)))
     if length_col in docs.columns:
         both = both.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return both.select(*docs.columns)
+    return both.select(*docs.columns, *([] if shard_col is None else [F.col(shard).alias(shard_col)]))
+
+
+def _permuted(name: str, start: str, n: str, key: str, rounds: int) -> str:
+    """SQL: the tables of a permutation; start is the one that has k, and the last one has its place as x."""
+    spread = lambda x: f"((abs(({x}) % 2147483647) * 48271 + 11) % 2147483647)"
+    out = [f"{name}0 AS (SELECT *, (k * (CASE WHEN {n} % 16777213 = 0 THEN 8388593 ELSE 16777213 END) + {key}) % {n} AS x FROM {start})"]
+    for i in range(rounds):
+        wide = f"({spread(f'{key} * 31 + {i}')} * 131071 + {spread(f'{key} * 37 + {i} + 5')})"
+        out.append(f"{name}q{i} AS (SELECT *, ({wide} % {n} - x + {n}) % {n} AS y FROM {name}{i})")
+        out.append(f"{name}r{i} AS (SELECT *, {spread(f'greatest(x, y) + {key} * 7919 + {i} * 104729')} AS z FROM {name}q{i})")
+        out.append(f"{name}{i + 1} AS (SELECT * EXCLUDE (x, y, z), CASE WHEN (z * z + z) % 2147483647 % 2 = 1 THEN y ELSE x END AS x FROM {name}r{i})")
+    return ",\n    ".join(out)
 
 
 def sql(documents: str = "documents") -> str:
-    """What taken() gives, for DuckDB: the places of a source's blocks are worked out for every block, and used once more where slots go round."""
+    """What taken() gives, for DuckDB: all slots are dealt to places, those of a source take its blocks in order of these, and both permutations are written out."""
     return f"""
     WITH base AS (
         SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, (abs(coalesce(doc_id, 0) % 2147483647) * 48271 + 11) % 2147483647 AS spread
@@ -225,19 +248,20 @@ def sql(documents: str = "documents") -> str:
     water AS (SELECT min_by(level, turn) AS level FROM levels WHERE level * weight <= most),
     goal AS (SELECT source, rank, words, least(CAST(3 * words AS DOUBLE), coalesce(level * weight, CAST(3 * words AS DOUBLE))) AS target, CAST(ceil(words / 64.0) AS BIGINT) AS n FROM ranked, water),
     dealt AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE CAST(floor(target * n / words + 0.5) AS BIGINT) END AS slots FROM goal),
-    p0 AS (SELECT rank, n, slots, k, (k * (CASE WHEN n % 16777213 = 0 THEN 8388593 ELSE 16777213 END) + rank) % n AS x FROM (SELECT *, unnest(range(n)) AS k FROM dealt)),
-    {"".join(f"""
-    q{i} AS (
-        SELECT *, (((abs((rank * 31 + {i}) % 2147483647) * 48271 + 11) % 2147483647 * 131071 + (abs((rank * 37 + {i} + 5) % 2147483647) * 48271 + 11) % 2147483647) % n - x + n) % n AS y FROM p{i}),
-    r{i} AS (SELECT *, (abs((greatest(x, y) + rank * 7919 + {i} * 104729) % 2147483647) * 48271 + 11) % 2147483647 AS z FROM q{i}),
-    p{i + 1} AS (SELECT rank, n, slots, k, CASE WHEN (z * z + z) % 2147483647 % 2 = 1 THEN y ELSE x END AS x FROM r{i}),""" for i in range(4))}
-    uses AS (SELECT rank, x AS block, slots // n + CASE WHEN k < slots % n THEN 1 ELSE 0 END AS times FROM p4),
+    blocks AS (SELECT rank, n, unnest(range(n)) AS k FROM dealt),
+    {_permuted("p", "blocks", "n", "rank", ROUNDS)},
+    lead AS (SELECT rank, n, slots, CAST(sum(slots) OVER () AS BIGINT) AS every, CAST(coalesce(sum(slots) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM dealt),
+    urn AS (SELECT rank, n, every, before + i AS k FROM (SELECT *, unnest(range(slots)) AS i FROM lead)),
+    {_permuted("u", "urn", "every", "CAST(7 AS BIGINT)", DRAW_ROUNDS)},
+    slots AS (SELECT rank, n, x // {SHARD_SLOTS} AS shard, row_number() OVER (PARTITION BY rank ORDER BY x) - 1 AS slot FROM u{DRAW_ROUNDS}),
+    uses AS (SELECT s.rank, p.x AS block, s.shard FROM slots s JOIN p{ROUNDS} p ON s.rank = p.rank AND s.slot % s.n = p.k),
     placed AS (
         SELECT b.doc_id, b.size, d.rank, d.words, d.target, coalesce(sum(b.size) OVER (PARTITION BY d.rank ORDER BY b.spread, b.doc_id NULLS FIRST, b.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
         FROM base b JOIN dealt d ON b.source IS NOT DISTINCT FROM d.source),
     pieces AS (SELECT rank, start, size, unnest(range(CAST(start // 64 AS BIGINT), CAST((start + size - 1) // 64 + 1 AS BIGINT))) AS block FROM placed WHERE size > 0),
     took AS (
-        SELECT p.rank, p.start, sum(u.times * (least(64 * (p.block + 1), p.start + p.size) - greatest(64 * p.block, p.start))) AS taken
+        SELECT p.rank, p.start, sum(least(64 * (p.block + 1), p.start + p.size) - greatest(64 * p.block, p.start)) AS taken, count(DISTINCT u.shard) AS n_shards, min(u.shard) AS first_shard
         FROM pieces p JOIN uses u ON p.rank = u.rank AND p.block = u.block GROUP BY p.rank, p.start)
-    SELECT p.doc_id, CAST(p.size AS BIGINT) AS size, p.words AS source_size, p.target, CAST(CASE WHEN p.size > 0 THEN coalesce(t.taken, 0) ELSE 0 END AS BIGINT) AS taken
+    SELECT p.doc_id, CAST(p.size AS BIGINT) AS size, p.words AS source_size, p.target, CAST(CASE WHEN p.size > 0 THEN coalesce(t.taken, 0) ELSE 0 END AS BIGINT) AS taken,
+        CASE WHEN p.size > 0 THEN coalesce(t.n_shards, 0) ELSE 0 END AS n_shards, CAST(CASE WHEN p.size > 0 THEN coalesce(t.first_shard, -1) ELSE -1 END AS BIGINT) AS first_shard
     FROM placed p LEFT JOIN took t ON p.rank = t.rank AND p.start = t.start"""

@@ -124,11 +124,13 @@ def near_duplicates(docs: DataFrame, **columns) -> DataFrame:
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **columns) -> DataFrame:
     """One row of each group: that with the least id, null ids last; of rows that share it the one with the least number.
 
-    Rows are numbered once, as they are written.
+    Rows are numbered once, as they are written, so null and repeated ids stay
+    apart; the number has a name that no column of docs has.  Empty tables stay empty.
     """
-    rows = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    prints = common.written(fingerprints(rows, id_col=id_col, row_col="_row", **columns), "fingerprints")
+    number = common.free(docs, "_row")
+    rows = common.written(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    prints = common.written(fingerprints(rows, id_col=id_col, row_col=number, **columns), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
     of_print = prints.groupBy("fp").agg(first.alias("first"))
-    kept = _components(prints).join(of_print, "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = _components(prints).join(of_print, "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(number))
+    return rows.join(kept, number, "left_semi").select(*docs.columns)

@@ -592,6 +592,42 @@ def test_shards_are_draws_of_fixed_size(spark):
         assert set(of[of["round"] == 0].block) == {plain_place(k, blocks, rank, mixing.ROUNDS) for k in range(min(n, blocks))}
 
 
+def test_shards_hold_what_was_drawn(spark):
+    """Each shard of the mix has as many blocks of each source as the draw gave it; other shards are another arrangement of the same words."""
+    texts = [prose(RANDOM.randint(0, 300), 3000 + k) for k in range(120)]
+    df = frame(spark, texts).drop("size")
+    placed = common.written(mixing.place(df, block=16), "placed")
+    goal = placed.where("size > 0").groupBy("rank").agg(F.max("blocks").alias("blocks"), F.max("slots").alias("slots"))
+    drawn = {(r["shard"], r["rank"]): r["n"] for r in mixing.draw(goal, 50).collect()}
+    assert len({s for s, _ in drawn}) > 5
+    blocks = mixing.mix(placed, block=16, shard_slots=50).select("shard", "rank", "block", "round").distinct()
+    assert {(r["shard"], r["rank"]): r["count"] for r in blocks.groupBy("shard", "rank").count().collect()} == drawn
+    few, many = (mixing.taken(df, block=16, shard_slots=k).toPandas().set_index("doc_id") for k in (50, 4096))
+    assert few.taken.to_dict() == many.taken.to_dict() and few.n_shards.sum() > many.n_shards.sum() and set(many.first_shard) <= {0, -1}
+    per_doc = {}
+    for r in mixing.mix(placed, block=16, shard_slots=50).select("doc_id", "shard").collect():
+        per_doc.setdefault(r["doc_id"], set()).add(r["shard"])
+    assert {i: (r.n_shards, r.first_shard) for i, r in few.iterrows() if r.taken} == {i: (len(s), min(s)) for i, s in per_doc.items()}
+
+
+def test_mix_is_arranged_by_shard(spark):
+    texts = [prose(RANDOM.randint(1, 300), 4000 + k) for k in range(120)]
+    df = frame(spark, texts)
+    out = mixing.mixed(df, block=16, shard_slots=50, shard_col="shard").withColumn("part", F.spark_partition_id()).toPandas()
+    assert out.groupby("shard").part.nunique().max() == 1 and all(g.shard.is_monotonic_increasing for _, g in out.groupby("part"))
+    other = mixing.mixed(df, block=16, shard_slots=4096).toPandas()
+    assert sorted(out.text) == sorted(other.text) and out.text.tolist() != other.text.tolist()
+
+
+def test_clashing_names_stay_as_they_are(spark):
+    """Columns named like those that keep_one and mixed need on their way come back unchanged."""
+    names = ["_row", "_size", "_n", "_parts", "_words", "_shard", "_ROW_"]
+    df = frame(spark).withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for c in names})
+    for out in (simhash.keep_one(df), mixing.mixed(df, block=16)):
+        rows = out.collect()
+        assert out.columns == df.columns and rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names)
+
+
 def test_running_sums(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RUN", 3)
     rows = [(s, k, k % 5 + 1) for s in ("a", None) for k in range(0, 60, 2)]
