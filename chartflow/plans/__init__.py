@@ -1,3 +1,3 @@
 """Queries of the repository: generic operators, and the clinical layer with its checks."""
 
-from . import clinical, queries  # noqa: F401  clinical adds its queries to those of queries
+from . import clinical, pipelines, queries  # noqa: F401  the first two add their queries to those of queries

@@ -24,7 +24,7 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list:
     def plain(x):
-        if x is None or x is pd.NaT or x != x:
+        if x is None or x is pd.NaT or x is pd.NA or x != x:
             return "null"
         if isinstance(x, (pd.Timestamp, datetime.datetime)):
             return str(pd.Timestamp(x).tz_localize(None))
