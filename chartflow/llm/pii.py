@@ -9,15 +9,18 @@ overlap the best is taken first, and none that touches a base span is taken.
 Numbers are proposed as every stretch of whole runs of digits that has a right
 count of digits, so one beside other numbers is found too.
 
-Labels are not at hand, so the trees learn from the text itself: base spans with
-their marks taken away or spelt out are examples of personal data, where they
-stand.  What generators propose apart from base spans may be personal data that
-the base patterns miss, so it is no example of the contrary; those are planted:
-into each document's own words one look-alike for each kind, a date, a list of
-years, an order number, a number that fails its check, and so on.  Trees are
-fitted on the driver on at most ``ROWS`` examples of one half, by hash;
-thresholds are set by counts over all examples of the other half, in all
-documents, by one rule at every size (see ``train``).
+Labels are not at hand, so the trees learn by agreement of form and context.
+Right is what both speak for: base spans with their marks taken away or spelt
+out, behind a word that announces their kind (a check digit that fits speaks for
+a card as well).  Wrong is what one of them speaks against: the same spans where
+they stand, with nothing that announces them; proposals of the text itself of
+which that is true; and look-alikes (dates, lists of years, order numbers),
+half of them announced, planted into a bounded number of documents.
+Trees are fitted on the driver on a bounded sample of one half of the examples,
+by hash.  The threshold of a kind is calibrated on the text's own proposals of
+the other half, in all documents, that nothing speaks for: ``ALLOWED`` of them
+may lie above it, and it is never below even odds (see ``threshold``).  Planted
+look-alikes have no part in that.
 
 Places are counted in code points.  A pattern cuts a text into gaps and matches
 (``split`` and ``regexp_extract_all`` find the same matches), whose lengths are
@@ -57,20 +60,22 @@ BETWEEN = {1: r"\A\x20?[.:,]\x20?\z", 2: r"\A[\x20./_-]{1,2}\z", 3: r"\A[\x20().
 RUNS = {1: (4, 4), 2: (1, 19), 3: (1, 15)}
 DIGITS = {1: (4, 1 << 30), 2: (12, 19), 3: (9, 15)}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-CUES = ["(?:e-?mail|contact|write|courriel|correo)", "(?:ip|host|server|address|adresse)", "(?:card|visa|credit|carte|tarjeta|karte)", "(?:tel|phone|call|mobile|fax|t[eé]l[eé]phone|tel[eé]fono)"]
-#: Examples that the trees are fitted on at most, those with the least hashes.
+CUES = ["(?:(?:e-?)?mail|contact|write|courriel|correo)", "(?:ip|host|server|address|adresse)", "(?:card|visa|credit|carte|tarjeta|karte)", "(?:tel|phone|call|mobile|fax|t[eé]l[eé]phone|tel[eé]fono)"]
+#: Examples that the trees are fitted on at most, half of them right and half wrong, those with the least hashes.
 ROWS = 20_000
-#: Share of right ones among the held-out candidates above a threshold.
-PRECISION = 0.995
-#: Share of wrong ones among a kind's held-out candidates up to which the threshold of all kinds is taken.
-FEW_WRONG = 0.02
+#: Documents into which look-alikes are planted, about; those with the least hashes.
+LOOK_ALIKES = 5_000
+#: Share of a kind's wrong held-out proposals that its threshold lets pass.
+ALLOWED = 0.005
+#: Words that announce a kind.
+ANNOUNCED = ["email", "ip", "card", "phone"]
 #: Bins of a score for each unit of log odds, in which held-out candidates are counted.
 BINS = 128
 CONTEXT = 24
 #: Matches whose lengths are summed up together.
 STRIDE = 1024
 
-FEATURES = ["kind", "chars", "digits", "marks", "groups", "longest_group", "letters", "glued_before", "glued_after", "cue", "at_sign", "luhn", "dots"]
+FEATURES = ["kind", "chars", "digits", "marks", "groups", "longest_group", "letters", "glued_before", "glued_after", "cue", "at_sign", "luhn", "dots", "greatest_group", "tail"]
 
 
 def digits(x: Column) -> Column:
@@ -98,6 +103,11 @@ def valid(kind: int, x: Column) -> Column:
     return F.length(d).between(9, 15) if kind == 3 else F.lit(True)
 
 
+def plausible(kind: int, x: Column) -> Column:
+    """What a proposal of the kind must be, whatever its score: the parts of an ip are at most 255."""
+    return x.rlike(rf"\A{_PART}(?:\x20?[.:,]\x20?{_PART}){{3}}\z") if kind == 1 else F.lit(True)
+
+
 def matches(df: DataFrame, text: str, patterns: list[str], name: str, has: list[Column]) -> DataFrame:
     """Add columns name0, name1, ...: arrays of (start, end, match, before, after) of all matches of each pattern."""
     empty = F.array().cast("array<string>")
@@ -128,8 +138,9 @@ def features(kind: int, match: Column, before: Column, after: Column) -> dict[st
         "kind": F.lit(float(kind)), "chars": number(F.length(match)), "digits": number(F.length(d)), "marks": number(F.length(F.regexp_replace(match, r"[A-Za-z0-9\x20]", ""))),
         "groups": number(F.size(groups)), "longest_group": number(F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0))), "letters": number(F.length(F.regexp_replace(match, "[^A-Za-z]", ""))),
         "glued_before": number(before.rlike(r"[\p{L}\p{N}\x22'#$_=/.+-]\z")), "glued_after": number(after.rlike(r"\A[\p{L}\p{N}\x22'_/%-]")), "cue": number(F.lower(before).rlike(rf"\b{CUES[kind]}\b[^\n]{{0,12}}\z")),
-        "at_sign": number(match.contains("@")), "luhn": number(F.when(F.length(d).between(12, 19), luhn(d)).otherwise(False)),
+        "at_sign": number(match.contains("@")), "luhn": number(F.when(F.length(d).between(12, 19), luhn(d)).otherwise(False)) if kind == 2 else F.lit(0.0),
         "dots": number(F.regexp_count(F.lower(match), F.lit(r"\.|\bdot\b"))),
+        "greatest_group": number(F.coalesce(F.array_max(F.transform(groups, lambda g: F.left(g, F.lit(6)).cast("int"))), F.lit(0))), "tail": number(F.length(F.regexp_extract(match, r"[A-Za-z]*\z", 0))),
     }
 
 
@@ -137,14 +148,24 @@ def blurred(kind: int, x: Column, way: Column) -> Column:
     """A base span as it might be written to be overlooked."""
     if kind == 0:
         at, dot = F.when(way % 2 == 0, F.lit(" at ")).otherwise(F.lit(" [at] ")), F.when(way % 2 == 0, F.lit(" dot ")).otherwise(F.lit(" [dot] "))
-        # Half of them without their digits, as an address needs none.
+        # Half of them without their digits, as an address needs none, half by the first part of their name, half by the last two of a long host.
         few = lambda c: F.when(F.shiftright(way, 1) % 2 == 0, c).otherwise(F.coalesce(F.nullif(F.regexp_replace(c, "[0-9]", ""), F.lit("")), c))
-        return F.concat(few(F.substring_index(x, "@", 1)), at, F.replace(few(F.substring_index(x, "@", -1)), F.lit("."), dot))
+        local, host = F.substring_index(x, "@", 1), F.substring_index(x, "@", -1)
+        local = F.when(F.shiftright(way, 3) % 2 == 0, F.substring_index(local, ".", 1)).otherwise(local)
+        host = F.when(F.shiftright(way, 2) % 2 == 0, F.substring_index(host, ".", -2)).otherwise(host)
+        return F.concat(few(local), at, F.replace(few(host), F.lit("."), dot))
     if kind == 1:
         return F.when(way % 2 == 0, F.replace(x, F.lit("."), F.lit(" . "))).otherwise(F.replace(x, F.lit("."), F.lit(":")))
     if kind == 2:
         return F.when(way % 2 == 0, F.regexp_replace(digits(x), "([0-9]{4})(?=[0-9])", "$1.")).otherwise(F.regexp_replace(digits(x), "([0-9]{4})(?=[0-9])", "$1/"))
-    return F.when(way % 2 == 0, F.replace(x, F.lit("+"), F.lit(""))).otherwise(F.regexp_replace(x, r"^\+[0-9]+\x20?", ""))
+    # Without the plus, without the country, with the call prefix, and in groups as they are usual.
+    d = digits(x)
+    local = lambda mark: F.regexp_replace(F.right(d, F.lit(10)), "^([0-9]{3})([0-9]{3})([0-9]+)$", f"$1{mark}$2{mark}$3")
+    forms = [
+        F.replace(x, F.lit("+"), F.lit("")), F.regexp_replace(x, r"^\+[0-9]+\x20?", ""), F.concat(F.lit("00"), F.regexp_replace(d, "([0-9]{2})(?=[0-9])", "$1 ")), F.regexp_replace(d, "([0-9]{3})(?=[0-9]{3})", "$1 "),
+        local(" "), local("."), local("-"), F.concat(F.lit("0"), F.regexp_replace(F.right(d, F.lit(10)), "^([0-9]{2})([0-9]{4})([0-9]+)$", "$1 $2 $3")),
+    ]
+    return F.element_at(F.array(*forms), (F.pmod(way, F.lit(len(forms))) + 1).cast("int"))
 
 
 class Model:
@@ -247,63 +268,81 @@ def planted(kind: int) -> Column:
     return F.struct(F.xxhash64(seed(10)).alias("h"), F.lit(0.0).alias("y"), F.lit(kind).alias("k"), match.alias("match"), F.right(before, F.lit(CONTEXT)).alias("before"), after.alias("after"))
 
 
-def _examples(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """h, y and the features of all examples of all documents, a row each: blurred base spans (y = 1) and planted look-alikes (0)."""
+def _examples(docs: DataFrame, id_col: str, text_col: str, look_alikes: int) -> DataFrame:
+    """h, y, real and the features of all examples of all documents, a row each, from one pass; real: the text itself holds it."""
     df = _spans(docs, id_col, text_col)
+    share = min(1.0, look_alikes / max(1, docs.count()))
+    low = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 12) <= int(share * 2**52)
     every = []
     for k in range(len(KINDS)):
-
-        def example(m: Column) -> Column:
-            match = blurred(k, m["match"], F.xxhash64("doc_id", m["start"]))
-            return F.struct(F.xxhash64("doc_id", m["start"], F.lit(k)).alias("h"), F.lit(1.0).alias("y"), F.lit(k).alias("k"), match.alias("match"), m["before"].alias("before"), m["after"].alias("after"))
-
-        every += [F.transform(f"base{k}", example), F.array(planted(k))]
+        row = lambda h, y, real, match, before, after: F.struct(h.alias("h"), F.lit(y).cast("double").alias("y"), F.lit(real).alias("real"), F.lit(k).alias("k"), match.alias("match"), before.alias("before"), after.alias("after"))  # noqa: B023, E731
+
+        announce = lambda before: F.right(F.concat(before, F.lit(f" {ANNOUNCED[k]} ")), F.lit(CONTEXT))  # noqa: B023, E731
+
+        def span(m: Column, announced: bool) -> Column:
+            h = F.xxhash64("doc_id", m["start"], F.lit(k), F.lit(announced))
+            before = announce(m["before"]) if announced else m["before"]
+            return row(h, None, False, blurred(k, m["match"], h), before, m["after"])
+
+        every += [F.transform(f"base{k}", lambda m: span(m, False)), F.transform(f"base{k}", lambda m: span(m, True))]
+        proposed = F.filter(f"wide{k}", lambda m: plausible(k, m["match"]))
+        every.append(F.transform(proposed, lambda m: row(F.xxhash64("doc_id", m["start"], m["end"], F.lit(k)), 0.0, True, m["match"], m["before"], m["after"])))
+        fake = planted(k)
+        # A bare number that is announced is no look-alike any more.
+        told = (F.shiftright(fake["h"], 3) % 2 == 0) & ~fake["match"].rlike("^[0-9]+$")
+        fake = row(fake["h"], 0.0, False, fake["match"], F.when(told, announce(fake["before"])).otherwise(fake["before"]), fake["after"])
+        every.append(F.when(low, F.array(fake)).otherwise(F.array().cast("array<struct<h: bigint, y: double, real: boolean, k: int, match: string, before: string, after: string>>")))
     rows = df.select(F.inline(F.concat(*every)))
     # Outside of arrays features are compiled; those of the kind are chosen by row.
     each = [features(k, F.col("match"), F.col("before"), F.col("after")) for k in range(len(KINDS))]
     mine = {f: c for f, c in each[0].items()}
-    for f in ("kind", "cue"):
+    for f in ("kind", "cue", "luhn"):
         for k in range(1, len(KINDS)):
             mine[f] = F.when(F.col("k") == k, each[k][f]).otherwise(mine[f])
-    return rows.select("h", "y", *(mine[f].alias(f) for f in FEATURES))
+    rows = rows.select("h", "y", "real", *(mine[f].alias(f) for f in FEATURES))
+    # A base span is right where something announces it, be it the text's own word; a card always.
+    rows = rows.withColumn("y", F.coalesce("y", ((F.col("cue") == 1) | (F.col("kind") == 2)).cast("double")))
+    spoken_for = (F.col("cue") == 1) | ((F.col("kind") == 2) & (F.col("luhn") == 1))
+    return rows.where(~F.col("real") | ~spoken_for)
 
 
-def threshold(bins: dict[int, tuple[int, int]]) -> float | None:
-    """The least score at or above which PRECISION of the rows are right, from the right ones and the rows of each bin; None if there is none."""
-    least, right, rows = None, 0, 0
-    for at in sorted(bins, reverse=True):
-        right, rows = right + bins[at][0], rows + bins[at][1]
-        if right >= PRECISION * rows:
-            least = at / BINS
-    return least
+def threshold(wrong: dict[int, int]) -> float:
+    """The least score, from even odds on, that at most ALLOWED of a kind's wrong rows reach; wrong: how many lie in each bin."""
+    least, above, every = None, 0, sum(wrong.values())
+    for at in sorted(wrong, reverse=True):
+        above += wrong[at]
+        if above > ALLOWED * every:
+            least = (at + 1) / BINS
+            break
+    return max(0.0, least) if least is not None else 0.0
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit trees on a sample of one half of the examples, and set thresholds by the scores of all of the other half."""
-    rows = common.written(_examples(docs, id_col, text_col), "examples")
-    # Kinds that the documents have no base span of can't be learned, and add nothing.
-    have = [r[0] for r in rows.groupBy("kind").agg(F.sum("y").alias("right")).where("right > 0").collect()]
-    rows = rows.where(F.col("kind").isin(have))
-    held = F.pmod("h", F.lit(2)) == 1
-    # Only about ROWS rows are sorted, however many there are: those whose hash is low.
-    share = min(1.0, ROWS / max(1, rows.where(~held).count()))
-    low = F.shiftrightunsigned(F.xxhash64("h"), 12) <= int(share * 2**52)
-    got = np.array(rows.where(~held & low).orderBy(*rows.columns).limit(ROWS).collect(), dtype=np.float64).reshape(-1, 2 + len(FEATURES))
-    trees = fit(got[:, 2:], got[:, 1], FEATURES, {"cue": 1, "glued_before": -1, "glued_after": -1}, trees=24)
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, look_alikes: int = LOOK_ALIKES) -> Model:
+    """Fit trees on at most ``rows`` examples of one half, and set thresholds by the scores of all real proposals of the other half that nothing speaks for.
 
+    Null ids, repeated rows and null texts may be there; an empty table, or one
+    without base spans, gives a model that adds nothing.
+    """
+    examples = common.written(_examples(docs, id_col, text_col, look_alikes), "examples")
+    held = F.pmod("h", F.lit(2)) == 1
+    parts = []
+    for y in (1.0, 0.0):
+        part = examples.where(~held & (F.col("y") == y)).drop("real")
+        # Only about so many rows are sorted, however many there are: those whose hash is low.
+        most = rows // 2 if not parts else len(parts[0])  # as many wrong ones as right ones
+        share = min(1.0, 1.1 * most / max(1, part.count()))
+        low = F.shiftrightunsigned(F.xxhash64("h"), 12) <= int(share * 2**52)
+        parts.append(np.array(part.where(low).orderBy(F.xxhash64("h"), *part.columns).limit(most).collect(), dtype=np.float64).reshape(-1, 2 + len(FEATURES)))
+    if not len(parts[0]):
+        return Model(fit(np.zeros((0, len(FEATURES))), np.zeros(0), FEATURES), [None] * len(KINDS))
+    got = np.concatenate(parts)
+    trees = fit(got[:, 2:], got[:, 1], FEATURES, {"cue": 1, "luhn": 1, "glued_before": -1, "glued_after": -1}, trees=40, depth=4)
     score = trees.column({f: F.col(f) for f in FEATURES})
-    counts = rows.where(held).groupBy(F.col("kind").cast("int").alias("k"), F.floor(score * BINS).alias("bin")).agg(F.sum("y").cast("long").alias("right"), F.count("*").alias("n"))
-    kinds: list[dict[int, tuple[int, int]]] = [{} for _ in KINDS]
-    every: dict[int, tuple[int, int]] = {}
-    for k, at, right, n in counts.collect():
-        kinds[k][at] = (right, n)
-        every[at] = (every.get(at, (0, 0))[0] + right, every.get(at, (0, 0))[1] + n)
-    least: list[float | None] = []
-    for bins in kinds:
-        right, n = (sum(x[i] for x in bins.values()) for i in (0, 1))
-        # With next to no wrong ones nothing of the kind itself says where to stop, so it takes the threshold of all kinds.
-        least.append(None if right == 0 else threshold(every if n - right <= FEW_WRONG * n else bins))
-    return Model(trees, least)
+    counts = examples.where(held & F.col("real")).groupBy(F.col("kind").cast("int").alias("k"), F.floor(score * BINS).alias("bin")).agg(F.count("*").alias("n"))
+    wrong: list[dict[int, int]] = [{} for _ in KINDS]
+    for k, at, n in counts.collect():
+        wrong[k][at] = n
+    return Model(trees, [threshold(w) for w in wrong])
 
 
 def _with_all(df: DataFrame, model: Model) -> DataFrame:
@@ -315,7 +354,7 @@ def _with_all(df: DataFrame, model: Model) -> DataFrame:
     if not used:
         return df.withColumn("all", F.col("base"))
     for k in used:
-        df = df.withColumn(f"_seen{k}", F.transform(f"wide{k}", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), *(c.alias(n) for n, c in features(k, m["match"], m["before"], m["after"]).items()))))
+        df = df.withColumn(f"_seen{k}", F.transform(F.filter(f"wide{k}", lambda m: plausible(k, m["match"])), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), *(c.alias(n) for n, c in features(k, m["match"], m["before"], m["after"]).items()))))
     for k in used:
         df = df.withColumn(f"_score{k}", F.transform(f"_seen{k}", lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("ord"), m["end"].alias("end"), model.trees.column({n: m[n] for n in FEATURES}).alias("score"))))
     df = df.withColumn("_every", F.concat(*(F.filter(f"_score{k}", lambda m: m["score"] >= model.least[k]) for k in used)))
@@ -332,13 +371,21 @@ def written_out(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each document: doc_id, counts and digest of base spans, and all spans.  A null text has none."""
+    """Of each document: doc_id, counts and digest of base spans, and all spans.
+
+    A null text has none; a null id stays null.  Repeated rows are looked at each,
+    and an empty table gives an empty one.  Other columns are ignored.
+    """
     df = _with_all(_spans(docs, id_col, text_col), model)
     return df.select("doc_id", *(F.size(f"base{k}").cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)), F.sha2(written_out(F.col("base")), 256).alias("base_sha256"), written_out(F.col("all")).alias("spans"))
 
 
 def redact(docs: DataFrame, model: Model, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with every span replaced by its kind in brackets; spans that overlap become one, of the first kind."""
+    """docs with every span replaced by its kind in brackets; spans that overlap become one, of the first kind.
+
+    Every row stays, repeated ones and those with a null id or text too, with
+    all its columns, whatever their names; an empty table stays empty.
+    """
     columns = docs.columns
     df = _spans(docs.withColumn("_whole", F.struct(*columns)), "", text_col, [F.col("_whole")])
     df = _with_all(df, model)
