@@ -12,6 +12,7 @@ from ..clinical import comorbidity, sofa, stitching
 from ..functions import scalars
 from ..operators import aggregates, asof, extremal, intervals, prefix, ranges, ranks, reshape, segments, sequences, units
 from ..quality import checks
+from ..sources import bucketed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -274,6 +275,18 @@ def sessions_split(spark, d):
     return segments.gap_island(e, ["user_id"], ["ts", "event_id"], F.col("ts"), apart, "session", bucket_seconds=_CUT).drop("ts")
 
 
+@query(f"""SELECT h.user_id, event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY h.user_id ORDER BY ts, event_id) AS v, count(*) OVER (PARTITION BY h.user_id) AS n_events, coalesce(orders, 0) AS orders
+    FROM {_HOLES} h LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey) o ON h.user_id = o_custkey""")
+def bucketed_windows(spark, d):
+    """Events and orders stored by user: fills, counts and their join run on the buckets, without a shuffle."""
+    events = bucketed.store(_holes(spark, d), ["user_id"], ["ts", "event_id"])
+    orders = bucketed.store(table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey"), ["user_id"])
+    filled = sequences.fill_forward(bucketed.read(spark, events), ["user_id"], ["ts", "event_id"], ["v"])
+    filled = filled.withColumn("n_events", F.count(F.lit(1)).over(Window.partitionBy("user_id")))
+    counted = bucketed.read(spark, orders).groupBy("user_id").agg(F.count("*").alias("orders"))
+    return filled.join(counted.hint("merge"), "user_id", "left").select("user_id", "event_id", "v", "n_events", F.coalesce("orders", F.lit(0)).alias("orders"))
+
+
 _DAYS = "(SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase')"
 
 
