@@ -97,7 +97,7 @@ def figures(counts: DataFrame) -> DataFrame:
     """The figures of every part, order and step, from counted(): at most 32 rows a part, so one row for each part and step is all that grows."""
     every = [F.sum(F.when(F.col("mask") == m, F.col(c)).otherwise(0)) for c in ("docs", "good", "toxic") for m in range(32)]
     parts = counts.groupBy("part").agg(*(F.array(*every[32 * k : 32 * k + 32]).alias(c) for k, c in enumerate(("docs", "good", "toxic"))))
-    steps = F.array(*(F.struct(F.lit(o).alias("filter_order"), F.lit(s).alias("step"), F.lit(bit).alias("bit"), F.lit(before).alias("before")) for o, s, bit, before in orders()))
+    steps = F.expr("array(" + ", ".join(f"named_struct('filter_order', '{o}', 'step', {s}, 'bit', {bit}, 'before', {before})" for o, s, bit, before in orders()) + ")")
     rows = parts.select("*", F.inline(steps))
     all_masks = F.array(*map(F.lit, range(32)))
 

@@ -10,8 +10,8 @@ n-grams, which are far fewer than its characters; their probabilities come back
 as the block's lexicon, and both meet again by block (the same shuffle of texts
 serves both ways).  A document's perplexity is that of all its characters and
 an end mark.  One in ``HELD_OUT`` trusted documents is kept from the counts, by
-a hash of its id; the threshold of a language is a quantile over these (over
-its other trusted documents where it has none of these).
+a hash of its id; the threshold of a language is a quantile over these.  A
+language that has none of these has no threshold, and keeps all.
 
 A character is its one or two 16-bit units of UTF-16, and an n-gram a number of
 ``ORDER`` units, so no two characters count as one.  The marks are the units
@@ -155,15 +155,17 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """Of each document: doc_id, lang, n_chars, perplexity, threshold of its language, and kept.
 
     A null language is the language "".  A null or empty text is its end mark.
-    Repeated rows are scored each; a label counts for all rows of its id.
-    A language without trusted text has no threshold, and keeps all.
+    Repeated rows are scored each; a label counts for all rows of its id, and
+    rows without an id have none.  Rows are dealt to blocks by id, those without
+    one by their text.  A language without held-out trusted text has no threshold, and keeps all.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     blocks = max(1, -(-int(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
+    of_row = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).alias("block")  # that of the id, where there is one
     trusted = common.written(labels.select(F.col(id_col).cast("long").alias("doc_id"), "quality", "toxic").where("doc_id IS NOT NULL AND quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id").distinct(), "trusted")
-    dealt = source.select(block, "doc_id", "lang", "text").groupBy("block")
+    dealt = source.select(of_row, "doc_id", "lang", "text").groupBy("block")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     found = dealt.cogroup(trusted.where(~held).select(block, "doc_id").groupBy("block")).applyInArrow(_found, "block long, lang string, g long, c long")
     found = common.written(found, "grams")
@@ -171,6 +173,6 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     scored = dealt.cogroup(lexicon.groupBy("block")).applyInArrow(_scored, "doc_id long, lang string, chars long, n long, logp double")
     scored = common.written(scored.select("doc_id", "lang", F.col("chars").alias("n_chars"), F.exp(-F.col("logp") / F.col("n")).alias("perplexity")), "scored")
     place = lambda x: F.percentile_approx(x, quantile, 10_000)
-    limits = scored.join(trusted, "doc_id", "left_semi").groupBy("lang").agg(F.coalesce(place(F.when(held, F.col("perplexity"))), place(F.col("perplexity"))).alias("threshold"))
+    limits = scored.join(trusted, "doc_id", "left_semi").groupBy("lang").agg(place(F.when(held, F.col("perplexity"))).alias("threshold"))
     limits = common.small(common.written(limits, "limits"))
     return scored.join(limits, "lang", "left").select("doc_id", "lang", "n_chars", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))

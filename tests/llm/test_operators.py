@@ -487,12 +487,22 @@ def check_kneser_ney(spark, got, texts, langs, trusted):
             each = [math.log(p(tuple(u[k : k + 4]))) for k in range(len(u) - 3)]
             want[i] = math.exp(-sum(each) / len(each))
             assert got[i]["perplexity"] == pytest.approx(want[i], rel=1e-5) and got[i]["n_chars"] == len(texts[i] or "")
-        scores = sorted(want[i] for i in mine if i in trusted and i in held) or sorted(want[i] for i in mine if i in trusted)
+        scores = sorted(want[i] for i in mine if i in trusted and i in held)
         limit = scores[math.ceil(kneser_ney.QUANTILE * len(scores)) - 1] if scores else None
         assert all(got[i]["threshold"] == pytest.approx(limit, rel=1e-5) if scores else got[i]["threshold"] is None for i in mine)
         assert all(got[i]["kept"] == (not scores or got[i]["perplexity"] <= got[i]["threshold"]) for i in mine)
 
 
+def test_rows_without_an_id_are_dealt_to_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 2000)
+    texts = [prose(30, 6000 + k) for k in range(60)]
+    docs = frame(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") < 20, F.col("doc_id")))
+    rows = kneser_ney.classify(docs, labels(spark, range(20), [1] * 20)).collect()
+    assert len(rows) == 60 and sum(r["doc_id"] is None for r in rows) == 40
+    whole = kneser_ney.classify(frame(spark, texts), labels(spark, range(20), [1] * 20)).collect()
+    assert sorted(round(r["perplexity"], 6) for r in rows) == sorted(round(r["perplexity"], 6) for r in whole)
+
+
 def test_every_perplexity(spark):
     """Characters beyond 16 bits, and those that share a number with the marks, are told apart."""
     texts = [t for t in TEXTS if len(t or "") < 4000] + ["a\ufffe\uffffb", "\ufffe\ufffe\ufffe", "\x02\x03", "😀😁😂", "😀", "\ufffd", "𐀀"]
