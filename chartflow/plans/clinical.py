@@ -245,6 +245,16 @@ def dqa_plausible(spark, d):
     return _found(spark, checks.one_pass(table(spark, d, "lineitem"), Schema("lines", [], plausible=[("new lines are open", "l_returnflag = 'N'", "l_linestatus = 'O'")])), "P.3")
 
 
+_RATE = f"regexp_matches(lower({_RAW_UNIT}), '/(sec|min|hr|hour|day)')"
+
+
+@query(" UNION ALL ".join(f"""SELECT '{t}' AS kind, 'P.4' AS code, 'med_dose_unit' AS "column", {_level("bad", "n", 0, 101)} AS severity, bad, n FROM (SELECT count(*) FILTER ({wrong}) AS bad, count(*) AS n FROM lineitem)""" for t, wrong in (("medication_admin_continuous", f"NOT {_RATE}"), ("medication_admin_intermittent", _RATE))))
+def dqa_dose_units(spark, d):
+    """Continuous doses need a unit of time, others must not have one."""
+    parts = [_found(spark, checks.one_pass(_doses(spark, d), Schema(t, [])), "P.4").withColumn("kind", F.lit(t)) for t in ("medication_admin_continuous", "medication_admin_intermittent")]
+    return parts[0].unionByName(parts[1])
+
+
 @query("SELECT lower(l_returnflag) AS category, lower(l_linestatus) AS grp, count(*) AS n FROM lineitem WHERE (l_returnflag = 'N' AND l_linestatus <> 'O') OR (l_returnflag <> 'N' AND l_linestatus <> 'F') GROUP BY ALL")
 def dqa_group_mapping(spark, d):
     return checks.group_faults(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", {"N": "O", "R": "F", "A": "F"}).withColumnRenamed("group", "grp")
@@ -304,6 +314,17 @@ def organ_scores_other(spark, d):
     return sofa.from_wide(wide, id_col="user_id", remove_outliers=False).select("user_id", F.round("p_f", 6).alias("p_f"), "sofa_liver", "sofa_cns", "sofa_resp", "sofa_total")
 
 
+_ZONE = "America/New_York"
+_LOCAL = f"timezone('{_ZONE}', timezone('UTC', ts))"
+
+
+@query(f"""SELECT event_id, {_LOCAL} AS local_ts, strftime({_LOCAL}, '%Y%m%d%H%M') AS minute, dense_rank() OVER (PARTITION BY user_id ORDER BY CAST({_LOCAL} AS DATE)) AS day_number FROM events""")
+def local_times(spark, d):
+    """The wall clock of a site that is not in the session's zone, its minutes and its days."""
+    e = sequences.day_number(table(spark, d, "events").select("event_id", "user_id", "ts"), ["user_id"], "ts", _ZONE)
+    return e.select("event_id", scalars.site_local(F.col("ts"), _ZONE).alias("local_ts"), scalars.minute_key(F.col("ts"), _ZONE).alias("minute"), F.col("day_number").cast("long").alias("day_number"))
+
+
 _IDS = {
     "customer": {"customer_id": "c_custkey"}, "orders": {"order_id": "o_orderkey", "customer_id": "o_custkey"}, "events": {"customer_id": "user_id"}, "part": {"part_id": "p_partkey"}, "supplier": {"supplier_id": "s_suppkey"},
     "lineitem": {"order_id": "l_orderkey", "part_id": "l_partkey", "supplier_id": "l_suppkey"},
