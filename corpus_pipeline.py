@@ -5,6 +5,10 @@ documents; the last returns pieces of sequences.  Between stages the rows are
 written as Parquet in the shared folder and read again, so a lost executor
 never costs more than the stage that is under way; what a stage wrote besides is then
 taken away.
+
+Every stage takes rows with null or repeated ids and with null texts, and
+further columns of any name, which all but the last give back as they are; an
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -16,27 +20,27 @@ from chartflow.llm.common import fresh_folder, mark, remove_written, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: those with a null or empty text too.  Repeated rows are judged each; without labels the base rule decides."""
     return quality_rules.keep(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the least id."""
+    """One row of each group of near-duplicates stays, that with the least id, null ids last; of rows that share it one.  Texts without words are one group."""
     return simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; every document stays."""
+    """Personal data is replaced by its kind; every row stays."""
     return pii.redact(docs, pii.train(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources take their target shares: a row for each round in which words of a document are taken."""
+    """Sources take their target shares: a row for each round in which words of a document are taken, arranged by output shard.  Texts without words are not taken; a null source is one."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens, with their ids."""
+    """Pieces of sequences of at most 2048 tokens, with their ids.  Rows are packed in the order of their shards; a null text is an end mark alone."""
     return packing.pack(docs)
 
 
