@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import uuid
+from datetime import datetime, timezone
+
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,13 +93,42 @@ def report(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return counted.withColumn("new", new).withColumn("how", F.coalesce(how, F.when(F.col("old") == F.col("new"), "unchanged").otherwise("normalised")))
 
 
-def migrate(spark: SparkSession, source: str, target: str, tables: list[str], vocabulary: Vocabulary | None = None, *, kind: str = "parquet", prefix: str = "", skip_existing: bool = True) -> list[dict]:
-    """Crosswalk every table of a folder into another; one record each with counts before and after.
+def zone_status(before: dict[str, str | None], after: dict[str, str | None]) -> tuple[str, bool]:
+    """What became of the zones of timestamp columns, and whether that is a concern.
+
+    A zone that becomes UTC keeps its instants; anything else that changes,
+    such as an instant that loses its zone, a column without one that gets one,
+    or a column that is gone, is a concern.
+    """
+    changed = {c: (before.get(c), after.get(c)) for c in [*before, *(c for c in after if c not in before)] if before.get(c) != after.get(c) or (c in before) != (c in after)}
+    if not changed:
+        return "match", False
+    if all(new == "UTC" and old is not None for old, new in changed.values()):
+        return "relabel->UTC (instants preserved)", False
+    return "CHANGED {" + ", ".join(f"{c}: {old or 'naive'}->{new or 'naive'}" for c, (old, new) in changed.items()) + "}", True
+
 
-    Rows, columns and distinct ids must stay the same; where they do not, what
-    was written is taken away again and the record says so.
+#: What the log of a run holds of each table.
+LOG = "run string, started timestamp, table string, status string, rows_before long, rows_after long, zones string, message string"
+
+
+def run_log(spark: SparkSession, target: str) -> DataFrame:
+    """All runs that wrote to a folder, a row for each table of each run."""
+    return spark.read.schema(LOG).json(f"{target.rstrip('/')}/_runs")
+
+
+def migrate(spark: SparkSession, source: str, target: str, tables: list[str], vocabulary: Vocabulary | None = None, *, kind: str = "parquet", prefix: str = "", skip_existing: bool = True) -> list[dict]:
+    """Crosswalk every table of a folder into another; one record each, with figures before and after.
+
+    A table is written to a staging folder, audited there and published by a
+    rename, so nobody ever reads half of one or a wrong one: rows, columns,
+    types, zones of timestamps and distinct ids must stay the same (a zone may
+    become UTC).  Where they do not, what was written is taken away and the
+    record says so.  Rows, types and zones are those of the files' footers.
+    Each run adds its records to the log (run_log).
     """
-    records = []
+    run, started, records = uuid.uuid4().hex, datetime.now(timezone.utc).replace(tzinfo=None), []
+    staging = f"{target.rstrip('/')}/_staging-{run}"
     for name in tables:
         old, new = io.table_path(source, name, kind, prefix), io.table_path(target, name, kind, prefix)
         if not io.exists(spark, old):
@@ -104,10 +136,20 @@ def migrate(spark: SparkSession, source: str, target: str, tables: list[str], vo
         elif skip_existing and io.exists(spark, new):
             records.append({"table": name, "status": "exists"})
         else:
-            df = io.read(spark, old, kind)
-            io.save(crosswalk(df, vocabulary or vocabulary_of(name)), new, kind, overwrite=True)
-            before, after = io.summary(df), io.summary(io.read(spark, new, kind))
-            if before != after:
+            draft = io.table_path(staging, name, kind, prefix)
+            df = io.raw(spark, old, kind)
+            io.save(crosswalk(df, vocabulary or vocabulary_of(name)), draft, kind)
+            before, after = (io.footers(spark, p, kind) | {"ids": io.summary(io.raw(spark, p, kind))["ids"]} for p in (old, draft))
+            zones, concern = zone_status(before.pop("zones"), after.pop("zones"))
+            wrong = [k for k in before if k != "types" and before[k] != after[k]]
+            kinds = lambda t: {c: k for c, k in t["types"].items() if not k.startswith("timestamp")}
+            wrong += ["types"] * (kinds(before) != kinds(after)) + ["zones"] * concern
+            if not wrong:
                 io.remove(spark, new)
-            records.append({"table": name, "status": "done" if before == after else "failed", "before": before, "after": after})
+                io.rename(spark, draft, new)
+            records.append({"table": name, "status": "failed" if wrong else "done", "before": before, "after": after, "zones": zones, "message": ", ".join(wrong)})
+    io.remove(spark, staging)
+    rows = [(run, started, r["table"], r["status"], r.get("before", {}).get("rows"), r.get("after", {}).get("rows"), r.get("zones"), r.get("message")) for r in records]
+    if rows:
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").json(f"{target.rstrip('/')}/_runs")
     return records

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..clinical import comorbidity, resistance, sofa, tables
+from ..clinical import comorbidity, crosswalk, resistance, sofa, tables
 from ..functions import scalars
 from ..operators import aggregates, predicates, ranges, reshape, sequences, units
 from ..quality import checks, report
@@ -314,6 +314,21 @@ def organ_scores_other(spark, d):
     return sofa.from_wide(wide, id_col="user_id", remove_outliers=False).select("user_id", F.round("p_f", 6).alias("p_f"), "sofa_liver", "sofa_cns", "sofa_resp", "sofa_total")
 
 
+_EVENT_CATEGORY = "lower(trim(CASE event_type WHEN 'click' THEN 'Click / Tap' WHEN 'view' THEN 'page-view' ELSE upper(event_type) END))"
+
+
+@query(f"""SELECT event_id, ts, CASE event_type WHEN 'error' THEN 'fault' ELSE trim(regexp_replace(regexp_replace(replace(replace({_EVENT_CATEGORY}, '&', '_and_'), '/', '_or_'), '[ \\-,()]', '_', 'g'), '_+', '_', 'g'), '_') END AS event_category FROM events""")
+def migrated_table(spark, d):
+    """Events written as a table of a folder, migrated to another folder through a vocabulary, audited, published and read back."""
+    folder = shared.fresh_folder(spark, "migration")
+    category = F.when(F.col("event_type") == "click", "Click / Tap").when(F.col("event_type") == "view", "page-view").otherwise(F.upper("event_type"))
+    io.save(table(spark, d, "events").select("event_id", "ts", category.alias("event_category")), io.table_path(f"{folder}/old", "events"))
+    done = crosswalk.migrate(spark, f"{folder}/old", f"{folder}/new", ["events"], crosswalk.Vocabulary({"event_category": {"ERROR": "fault"}}, {}))
+    if [r["status"] for r in done] != ["done"]:
+        raise RuntimeError(f"the audit failed: {done}")
+    return io.raw(spark, io.table_path(f"{folder}/new", "events"))
+
+
 _ZONE = "America/New_York"
 _LOCAL = f"timezone('{_ZONE}', timezone('UTC', ts))"
 

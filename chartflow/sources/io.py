@@ -34,6 +34,15 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Move a file or folder inside one store; what is at new must be gone before."""
+    fs, a = _hadoop(spark, old)
+    _, b = _hadoop(spark, new)
+    fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"{old} cannot be moved to {new}")
+
+
 def size(spark: SparkSession, path: str) -> int:
     """Bytes of a file or folder."""
     fs, p = _hadoop(spark, path)
@@ -110,6 +119,22 @@ def summary(df: DataFrame, ids: tuple[str, ...] = ("hospitalization_id", "patien
     return {"rows": df.count(), "columns": sorted(df.columns), "zones": {c: zone if k == "timestamp" else None for c, k in df.dtypes if k.startswith("timestamp")}, "ids": {c: distinct[c] for c in have}}
 
 
+def raw(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """A table as it is stored, without typing of ids and times."""
+    reader = spark.read.option("header", True).option("inferSchema", True) if kind == "csv" else spark.read
+    return reader.format(kind).load(path)
+
+
+def footers(spark: SparkSession, path: str, kind: str = "parquet") -> dict:
+    """Rows, types, and zones of timestamps (UTC for instants, None for those without a zone) as files state them.
+
+    Types come from the schema that files hold, and rows from a count that asks
+    for no column, which Parquet answers from its footers, task by task.
+    """
+    df = raw(spark, path, kind)
+    return {"rows": df.count(), "types": dict(df.dtypes), "zones": {c: "UTC" if k == "timestamp" else None for c, k in df.dtypes if k.startswith("timestamp")}}
+
+
 def to_json(value, path: str | None = None) -> str:
     """JSON with ISO times (S11); written to a driver-side file if a path is given."""
     plain = lambda x: x.isoformat() if isinstance(x, (date, datetime)) else str(x)

@@ -206,6 +206,32 @@ def test_crosswalk_and_migration(spark, tmp_path):
     assert [r["status"] for r in crosswalk.migrate(spark, str(tmp_path / "in"), str(tmp_path / "out"), ["adt"], v)] == ["exists"]
 
 
+def test_migration_is_audited_before_it_is_published(spark, tmp_path, monkeypatch):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    df = spark.createDataFrame([("1", "ICU", at()), ("2", None, None)], "hospitalization_id string, location_category string, in_dttm timestamp")
+    io.save(df.withColumn("plain", F.col("in_dttm").cast("timestamp_ntz")), io.table_path(source, "adt"))
+    assert io.footers(spark, io.table_path(source, "adt"))["zones"] == {"in_dttm": "UTC", "plain": None}
+    v, true = crosswalk.Vocabulary({}, {}), crosswalk.crosswalk
+    faults = {
+        "zones": lambda d, v: true(d, v).withColumn("in_dttm", F.col("in_dttm").cast("timestamp_ntz")), "rows, ids": lambda d, v: true(d, v).where("hospitalization_id = '1'"), "types": lambda d, v: true(d, v).withColumn("hospitalization_id", F.col("hospitalization_id").cast("int")),
+    }
+    for message, fault in faults.items():
+        monkeypatch.setattr(crosswalk, "crosswalk", fault)
+        (r,) = crosswalk.migrate(spark, source, target, ["adt"], v)
+        assert (r["status"], r["message"]) == ("failed", message) and not io.exists(spark, io.table_path(target, "adt"))
+    monkeypatch.setattr(crosswalk, "crosswalk", true)
+    (r,) = crosswalk.migrate(spark, source, target, ["adt"], v)
+    assert r["status"] == "done" and r["zones"] == "match" and io.raw(spark, io.table_path(target, "adt")).count() == 2
+    log = crosswalk.run_log(spark, target).collect()
+    assert sorted(x["status"] for x in log) == ["done", "failed", "failed", "failed"] and len({x["run"] for x in log}) == 4
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_staging")]
+
+
+def test_zone_status():
+    assert crosswalk.zone_status({"a": "UTC"}, {"a": "UTC"}) == ("match", False) and crosswalk.zone_status({"a": "US/Eastern", "b": None}, {"a": "UTC", "b": None}) == ("relabel->UTC (instants preserved)", False)
+    assert crosswalk.zone_status({"a": None}, {"a": "UTC"}) == ("CHANGED {a: naive->UTC}", True) and crosswalk.zone_status({"a": "UTC"}, {"a": None})[1] and crosswalk.zone_status({"a": "UTC"}, {})[1]
+
+
 def test_tables(spark):
     demo = io.demo(spark, 10)
     assert one(tables.stay_summary(demo["hospitalization"]))["mean_days"] == 4.0
