@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars
-from ..operators import aggregates
+from ..operators import aggregates, ranks
 
 H = "hospitalization_id"
 
@@ -62,15 +62,17 @@ def position_stats(p: DataFrame) -> DataFrame:
 
 
 def category_names(df: DataFrame, category: str, name: str, *, by: str = "count", most: int | None = None) -> DataFrame:
-    """Of each category its names with counts, by count or by name."""
+    """Of each category its names with counts, by count or by name (A24); most: so many of them."""
     if by not in ("count", "name"):
         raise ValueError("by is count or name")
     n = df.groupBy(category, name).agg(F.count("*").alias("n"))
-    order = F.struct((-F.col("n")).alias("k"), F.col(name).alias("name"), F.col("n").alias("n")) if by == "count" else F.struct(F.col(name).alias("name"), F.col("n").alias("n"))
-    names = F.array_sort(F.collect_list(order))
-    if most is not None:
-        names = F.slice(names, 1, most)
-    return n.groupBy(category).agg(F.transform(names, lambda x: F.struct(x["name"].alias("name"), x["n"].alias("n"))).alias("names"))
+    order = [F.col("n").desc(), F.col(name).asc_nulls_first()] if by == "count" else [F.col(name).asc_nulls_first()]
+    if most is None:
+        placed = n.withColumn("__place", F.row_number().over(Window.partitionBy(category).orderBy(*order)))
+    else:  # of a category with very many names only the first few are brought together
+        placed = ranks.number_rows(n, order, "__place", keys=[category]).where(F.col("__place") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("__place", F.col(name).alias("name"), "n")))
+    return placed.groupBy(category).agg(F.transform(listed, lambda x: F.struct(x["name"].alias("name"), x["n"].alias("n"))).alias("names"))
 
 
 def reference_units(labs: DataFrame) -> DataFrame:

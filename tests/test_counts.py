@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartflow.clinical import comorbidity
+from chartflow.functions import scalars
 from chartflow.operators import aggregates, prefix
 from chartflow.quality import checks, report
 from chartflow.quality.schema import ColumnRule, Schema
@@ -31,13 +32,18 @@ def test_prefix_index_is_the_patterns(spark):
 #: Cases written out, by condition of each index; not read from the library's lists.
 CASES = {
     "charlson": [("I21.4", "myocardial_infarction"), ("I50.2", "congestive_heart_failure"), ("N18.6", "renal_disease"), ("B20", "aids"), ("J44.1", "chronic_pulmonary_disease"), ("Z00.0", None)],
-    "elixhauser": [("I50.2", None), ("Z00.0", None)],
+    "elixhauser": [
+        ("I50.2", ["congestive_heart_failure"]), ("E11.9", ["diabetes_uncomplicated"]), ("E11.22", ["diabetes_complicated"]), ("C50.9", ["solid_tumor_without_metastasis"]), ("C78.0", ["metastatic_cancer"]), ("K70.3", ["alcohol_abuse", "liver_disease"]),
+        ("N18.6", ["renal_failure"]), ("B20", ["aids_hiv"]), ("J44.1", ["chronic_pulmonary_disease"]), ("Z00.0", []),
+    ],
 }
 
 
 def test_indices_flag_known_codes(spark):
-    rows = [(c, c, "ICD10CM") for c, _ in CASES["charlson"]]
-    got = {r["hospitalization_id"]: r.asDict() for r in comorbidity.charlson(spark.createDataFrame(rows, "hospitalization_id string, diagnosis_code string, diagnosis_code_format string")).collect()}
+    of = lambda name: spark.createDataFrame([(c, c, "ICD10CM") for c, _ in CASES[name]], "hospitalization_id string, diagnosis_code string, diagnosis_code_format string")
+    other = {r["hospitalization_id"]: r.asDict() for r in comorbidity.elixhauser(of("elixhauser"), hierarchy=False).collect()}
+    assert {c: sorted(n for n in comorbidity.ELIXHAUSER.conditions if other[c][n]) for c, _ in CASES["elixhauser"]} == dict(CASES["elixhauser"])
+    got = {r["hospitalization_id"]: r.asDict() for r in comorbidity.charlson(of("charlson")).collect()}
     for code, condition in CASES["charlson"]:
         on = [n for n in comorbidity.CHARLSON.conditions if got[code][n]]
         assert on == ([condition] if condition else [])
@@ -103,3 +109,10 @@ def test_table_statistics(spark):
     got = {r["column"]: tuple(r)[1:] for r in report.table_statistics(df, s).collect()}
     assert got == {"t": ("VARCHAR", 1, 33.3, 1, None, None), "x": ("DOUBLE", 1, 33.3, 2, "-1e+17", "2.5"), "i": ("INT", 1, 33.3, 2, "1", "7")}
     assert report.table_statistics(df.where("false"), s).count() == 0
+
+
+def test_units_as_they_are_spelt(spark):
+    """Spellings and what they become, written out."""
+    cases = {"MG / hour": "mg/hr", "mcg/kg/min": "mcg/kg/min", "Units/hr": "u/hr", "milliliters": "ml", "grams/kg/h": "g/kg/hr", "puffs": "puffs", "milli-units / minute": "mu/min", "UG/KG/HR": "mcg/kg/hr", " ": None, "liters": "l"}
+    df = spark.createDataFrame([(c,) for c in cases], "unit string").withColumn("clean", scalars.clean_unit_name(scalars.clean_unit_format(F.col("unit"))))
+    assert {r["unit"]: r["clean"] for r in df.collect()} == cases
