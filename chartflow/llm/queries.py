@@ -101,4 +101,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_nearest_vectors, op11_fill_in_middle, op12_decontamination, op13_filter_audit,
     )
 }
-SQL: dict[str, str] = {"op4_chat_formatting": _op4_sql(), "op8_source_mixing": mixing.sql(), "op11_fill_in_middle": fim.sql(), "op12_decontamination": decontamination.sql(), "op13_filter_audit": audit.sql()}
+SQL: dict[str, str] = {"op4_chat_formatting": _op4_sql(), "op6_substring_dedup": substring.sql(), "op8_source_mixing": mixing.sql(), "op11_fill_in_middle": fim.sql(), "op12_decontamination": decontamination.sql(), "op13_filter_audit": audit.sql()}

@@ -245,3 +245,15 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gone = rows.join(_least(rows, ["h", "check"]).hint("merge"), ["h", "check", "salt"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("at").alias("hits"), F.flatten(F.collect_list("more")).alias("more"))
     out = _result(base.join(gone.hint("merge"), "doc_id", "left"), length)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
+
+
+def sql(documents: str = "documents", length: int = LENGTH) -> str:
+    """What deduplicate() gives (but for the kept text itself), for DuckDB: every window of every document, and the least id that has it."""
+    return f"""
+    WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {documents}),
+    windows AS (SELECT doc_id, k, array_to_string(w[k:k + {length - 1}], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - {length - 2})) AS k FROM docs WHERE len(w) >= {length})),
+    first AS (SELECT phrase, min(doc_id) AS lo FROM windows GROUP BY phrase),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + {length})) AS place, TRUE AS gone FROM windows JOIN first USING (phrase) WHERE lo < doc_id),
+    words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM docs),
+    kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (gone IS NULL) AS text FROM words LEFT JOIN gone USING (doc_id, place) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM docs LEFT JOIN kept k USING (doc_id)"""
