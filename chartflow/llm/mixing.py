@@ -12,7 +12,7 @@ These counts are the table that ``draw`` makes.  A shard takes so many of each
 source's slots, which are numbered shard after shard; a permutation of the
 source's block numbers maps slot to block (going round again when all blocks are
 used), and slots and blocks are joined by number.  So the counts say which words
-go to which shard.  ``mixed`` arranges its rows by shard, and what reads them in
+go to which shard.  ``mixed`` arranges the rows of each partition by shard, and what reads them in
 order, as packing does, finds in every stretch the sources in their shares.
 
 Running sums go by runs of bounded length and then over the runs, so not even a
@@ -200,8 +200,9 @@ def mixed(docs: DataFrame, *, block: int = BLOCK_WORDS, shard_slots: int = SHARD
     A round that takes all words of a document repeats its text; otherwise the
     text is the words taken, each with the white space after it, in order.  A
     row belongs to the shard that takes the first of its words.  Each partition
-    holds whole shards, one after another, and inside a shard rows go by a hash;
-    shard_col names a column for the shard.
+    has its part of every shard, one shard after another, and inside a shard
+    rows go by a hash; shard_col names a column for the shard, so that whoever
+    wants whole shards can repartition by it, which moves all texts once more.
     Rows are numbered once, as they are written, so ids may be null or repeated.
     Names of columns that are needed on the way are such as docs does not have.
     """
@@ -211,7 +212,7 @@ def mixed(docs: DataFrame, *, block: int = BLOCK_WORDS, shard_slots: int = SHARD
     rounds = mix(placed, block=block, shard_slots=shard_slots).groupBy("row", "size", "round").agg(F.array_sort(F.collect_list(F.struct("from", "n"))).alias("parts"), F.sum("n").alias("n"), F.min_by("shard", "from").alias("shard"))
     rounds = rounds.select(F.col("row").alias(row), F.col("size").alias(size), F.col("parts").alias(parts), F.col("n").alias(n), F.col("shard").alias(shard))
     both = rows.join(rounds.hint("merge"), row)
-    both = both.repartition(shard).sortWithinPartitions(shard, F.xxhash64(row, n), row)
+    both = both.sortWithinPartitions(shard, F.xxhash64(row, n), row)  # texts are moved once, by the join
     tokens = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     piece = F.array_join(F.flatten(F.transform(parts, lambda p: F.slice(F.col(words_), (p["from"] + 1).cast("int"), p["n"].cast("int")))), "")
     both = both.withColumn(words_, F.when(F.col(n) < F.col(size), tokens))
