@@ -83,6 +83,15 @@ def _cells(df: DataFrame, row: str, column: str) -> tuple[DataFrame, DataFrame,
     return seen, rows, shared.written(seen.groupBy("__column").agg(F.sum("__o").alias("__c")), "columns")
 
 
+def _levels(df: DataFrame) -> DataFrame:
+    """Levels that are written, to be met with cells: broadcast if their rows, which are counted, are few.
+
+    Spark would go by the size of the files, in which a few MB may stand for
+    millions of rows, and these would pass through the driver.
+    """
+    return F.broadcast(df) if df.limit(shared.SMALL + 1).count() <= shared.SMALL else df.hint("merge")
+
+
 def _unseen(seen: DataFrame, rows: DataFrame, columns: DataFrame, k: int | None, rising: bool) -> DataFrame:
     """Cells that do not occur, __o being 0: of each row the first k in order of the columns' sums (all, if k is None).
 
@@ -95,7 +104,8 @@ def _unseen(seen: DataFrame, rows: DataFrame, columns: DataFrame, k: int | None,
     many = columns.count()
     most = F.least(F.lit(many), F.col("__met") + k) if k is not None else F.lit(many)
     tried = rows.where(F.lit(many) > 0).withColumn("__place", F.explode(F.sequence(F.lit(1).cast("long"), most.cast("long"))))
-    return tried.join(placed, "__place").join(seen.select("__row", "__column"), ["__row", "__column"], "left_anti").select("__row", "__column", F.lit(0).cast("long").alias("__o"), "__r", "__c")
+    placed = F.broadcast(placed) if many <= shared.SMALL else placed.hint("merge")
+    return tried.join(placed, "__place").join(seen.select("__row", "__column").hint("merge"), ["__row", "__column"], "left_anti").select("__row", "__column", F.lit(0).cast("long").alias("__o"), "__r", "__c")
 
 
 def _residuals(cells: DataFrame, total: int, row: str, column: str) -> DataFrame:
@@ -111,7 +121,7 @@ def contingency_residuals(df: DataFrame, row: str, column: str) -> DataFrame:
     """
     seen, rows, columns = _cells(df, row, column)
     total = rows.agg(F.sum("__r")).first()[0] or 0
-    known = seen.join(rows.drop("__met"), "__row").join(columns, "__column").select("__row", "__column", "__o", "__r", "__c")
+    known = seen.join(_levels(rows).drop("__met"), "__row").join(_levels(columns), "__column").select("__row", "__column", "__o", "__r", "__c")
     return _residuals(known.union(_unseen(seen, rows, columns, None, True)), total, row, column)
 
 
@@ -125,7 +135,7 @@ def extreme_residuals(df: DataFrame, row: str, column: str, k: int = 10, least:
     """
     seen, rows, columns = _cells(df, row, column)
     total = rows.agg(F.sum("__r")).first()[0] or 0
-    known = seen.where(F.col("__o") >= least).join(rows.drop("__met"), "__row").join(columns, "__column").select("__row", "__column", "__o", "__r", "__c")
+    known = seen.where(F.col("__o") >= least).join(_levels(rows).drop("__met"), "__row").join(_levels(columns), "__column").select("__row", "__column", "__o", "__r", "__c")
     out = None
     for side, order in (("positive", F.col("residual").desc()), ("negative", F.col("residual").asc())):
         cells = known if least > 0 else known.union(_unseen(seen, rows, columns, k, side == "positive"))

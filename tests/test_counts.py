@@ -87,6 +87,19 @@ def test_extreme_residuals(spark, k, least):
     assert aggregates.extreme_residuals(df.where("false"), "a", "b").count() == 0 == aggregates.contingency_residuals(df.where("false"), "a", "b").count()
 
 
+def test_cells_of_residuals_are_never_broadcast(spark, monkeypatch):
+    """However small their files are; levels are broadcast only if they were counted."""
+    df = spark.createDataFrame([(f"r{i % 40}", f"c{i % 23}") for i in range(300)], "a string, b string")
+    joins = lambda out: [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    for out in (aggregates.extreme_residuals(df, "a", "b", 5), aggregates.contingency_residuals(df, "a", "b")):
+        anti = [line for line in joins(out) if "LeftAnti" in line]
+        assert anti and all("SortMergeJoin" in line for line in anti)
+    want = aggregates.extreme_residuals(df, "a", "b", 5).collect()
+    monkeypatch.setattr(aggregates.shared, "SMALL", 10)
+    out = aggregates.extreme_residuals(df, "a", "b", 5)
+    assert all("SortMergeJoin" in line for line in joins(out) if "__row" in line) and out.collect() == want
+
+
 def test_column_figures(spark):
     df = spark.createDataFrame([(1, "a", None, 0.5), (1, None, None, 1e20), (2, "a", None, float("nan"))], "i int, `odd.name` string, n string, x double")
     got = {r["column"]: (r["n_rows"], r["nulls"], r["distinct"]) for r in aggregates.column_figures(df).collect()}
