@@ -46,6 +46,11 @@ _LOWER[65:91] += 32
 _BETWEEN = np.zeros(256, dtype=bool)
 _BETWEEN[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
+#: Bytes of a row group of the index, about.  Rows are large, and the writer by itself looks at sizes first
+#: after 100 rows, which would hold, and have each reader hold, hundreds of MB a task; so it looks at every row.
+GROUP_BYTES = 16 << 20
+_FILES = {"compression": "zstd", "parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+
 INDEX = "ids array<bigint>, sizes array<int>, terms array<string>, counts array<int>, gaps array<int>"
 
 
@@ -95,7 +100,7 @@ def index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     spark = docs.sparkSession
     path = common.fresh_folder(spark, "index")
     rows = source.mapInArrow(run, INDEX).withColumn("shard", F.monotonically_increasing_id())
-    rows.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    rows.write.options(**_FILES).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 

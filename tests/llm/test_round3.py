@@ -4,9 +4,11 @@ import hashlib
 import re
 from collections import Counter
 from itertools import permutations
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +236,17 @@ def test_filter_audit(spark, monkeypatch):
 
 def test_every_order_and_step():
     assert len(audit.orders()) == 600 and len({(o, s) for o, s, _, _ in audit.orders()}) == 600
+
+
+def test_row_groups_of_an_index_are_bounded(spark):
+    """An index of fewer than 100 large rows is still read a few MB at a time, and its rows come back whole."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(49_999)), lambda x: F.lower(F.hex(F.xxhash64(x, F.col("doc_id")))))
+    docs = spark.range(0, 60, 1, 1).withColumnRenamed("id", "doc_id").select("doc_id", F.array_join(words, " ").alias("text"))
+    index = decontamination.index(docs, shard=1)
+    groups = []
+    for name in index.inputFiles():
+        meta = pq.ParquetFile(urlparse(name).path).metadata
+        groups += [(meta.row_group(i).num_rows, meta.row_group(i).total_byte_size) for i in range(meta.num_row_groups)]
+    assert sum(n for n, _ in groups) == 60 and sum(size for _, size in groups) > 32 << 20
+    assert max(size for _, size in groups) <= 32 << 20
+    assert index.select(F.sum(F.element_at("sizes", 1)), F.sum(F.size("terms"))).first() == (3_000_000, 3_000_000)
