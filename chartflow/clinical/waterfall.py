@@ -64,14 +64,14 @@ def waterfall(support: DataFrame, *, key: str = "hospitalization_id", time: str
     df = sequences.first_per_key(df, [key, time], [*TEXTS, *NUMBERS]).withColumn("is_scaffold", F.lit(False))
     df = df.unionByName(scaffold, allowMissingColumns=True)
 
-    # Runs of device and mode, each inside the one above.
+    # Runs of device and mode, each inside the one above; their numbers rise with time, so all windows forward share one order.
     order = [time, F.col("is_scaffold").asc()]
     fill = sequences.fill_both if backward else sequences.fill_forward
-    df = sequences.fill_forward(df, [key], order, ["device_category"])
+    df = sequences.fill_forward(df, [key], order, ["device_category", "tracheostomy"])
     above = []
     for column, number in (("device_category", "device_cat_id"), ("device_name", "device_id"), ("mode_category", "mode_cat_id"), ("mode_name", "mode_name_id")):
         if above:
-            df = fill(df, [key, above[-1]], order, [column])
+            df = sequences.fill_both(df, [key, above[-1]], order, [column]) if backward else sequences.fill_in_runs(df, [key], order, above[-1], [column])
         df = sequences.change_island(df, [key], order, column, number)
         above.append(number)
 
@@ -84,11 +84,11 @@ def waterfall(support: DataFrame, *, key: str = "hospitalization_id", time: str
     collar = scalars.true(device == "trach collar")
     settings = NUMBERS[1:]
     if strict:
+        df = fill(df, [key, "mode_name_id"], order, settings)  # leaves rows in the order of runs, which the next window needs
         df = df.withColumn("_collar", F.max(collar.cast("int")).over(Window.partitionBy(key, "mode_name_id")))
-        df = fill(df, [key, "mode_name_id"], order, settings)
         df = df.withColumns({c: F.when(F.col("_collar") == 0, F.col(c)) for c in settings}).drop("_collar")
     else:
         df = df.withColumn("_part", F.sum(collar.cast("int")).over(sequences.ordered([key, "mode_name_id"], order).rowsBetween(Window.unboundedPreceding, 0)))
         df = fill(df, [key, "mode_name_id", "_part"], order, settings).drop("_part")
-    df = df.withColumn("mode_category", F.when(F.col("mode_category").isNull() & scalars.contains(name, "t-piece"), "blow by").otherwise(F.col("mode_category")))
-    return sequences.fill_forward(df, [key], order, ["tracheostomy"]).distinct()
+    # A key and a time have one record and one scaffold row at most, so no two rows are alike.
+    return df.withColumn("mode_category", F.when(F.col("mode_category").isNull() & scalars.contains(name, "t-piece"), "blow by").otherwise(F.col("mode_category")))

@@ -40,6 +40,17 @@ def fill_forward(df: DataFrame, keys: list[str], order: list, columns: list[str]
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
 
+def fill_in_runs(df: DataFrame, keys: list[str], order: list, run: str, columns: list[str]) -> DataFrame:
+    """fill_forward() inside each run, the numbers of which rise with the order, as change_island() gives them.
+
+    The window is that of the keys, so rows that are in their order are not
+    sorted by the run again.
+    """
+    w = ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    where = {c: F.last(F.when(F.col(c).isNotNull(), F.col(run)), ignorenulls=True).over(w) for c in columns}
+    return df.withColumns({c: F.when(at == F.col(run), F.last(c, ignorenulls=True).over(w)) for c, at in where.items()})
+
+
 def fill_both(df: DataFrame, keys: list[str], order: list, columns: list[str]) -> DataFrame:
     """Forward, and what is left at the beginning backward."""
     w = ordered(keys, order)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chartflow.clinical import comorbidity, crosswalk, resistance, sepsis, sofa, stitching, tables, waterfall
 from chartflow.functions import scalars, text
-from chartflow.operators import extremal, prefix, units
+from chartflow.operators import extremal, prefix, sequences, units
 from chartflow.sources import config, io
 
 T0 = dt.datetime(2024, 1, 10)
@@ -115,6 +115,20 @@ def test_stitching(spark):
     assert {r[0]: r[1] for r in named.collect()} == {"a": "b", "b": "b", "c": "c", "d": "e", "e": "e"}
 
 
+def test_waterfall_sorts_scaffold_rows_twice(spark):
+    """Windows of runs share the order of the key, and rows are not compared in the end; fills in runs are those of windows by run."""
+    rows = [(k, f"2024-01-01 {h:02}:00:00", d) for k in ("x", "y", None) for h, d in ((0, "IMV"), (0, "IMV"), (5, None), (9, "NIPPV"))]
+    support = spark.createDataFrame(rows, "hospitalization_id string, t string, device_category string").withColumn("recorded_dttm", F.to_timestamp("t")).drop("t")
+    out = waterfall.waterfall(support)
+    above = out._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+    assert above.count("Sort [") <= 2 and "Aggregate" not in above
+    assert out.count() == out.distinct().count() == out.select("hospitalization_id", "recorded_dttm", "is_scaffold").distinct().count() == 3 * (2 + 10)
+    runs = spark.createDataFrame([(k, i, 1 + i // 3, None if i % 4 else i) for k in (1, None) for i in range(14)], "k int, t int, run long, v int")
+    want = sequences.fill_forward(runs, ["k", "run"], ["t"], ["v"])
+    got = sequences.fill_in_runs(runs, ["k"], ["t"], "run", ["v"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.where("v IS NULL").count() > 0
+
+
 def test_waterfall(spark):
     kind = "hospitalization_id string, recorded_dttm timestamp, device_category string, device_name string, mode_category string, mode_name string, fio2_set double, peep_set double, tidal_volume_set double, resp_rate_set double"
     rows = [
