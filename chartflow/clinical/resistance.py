@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import intervals, sequences
+from ..operators import intervals
 
 
 @dataclass(frozen=True)
@@ -55,26 +57,37 @@ def flags(cultures: DataFrame, susceptibility: DataFrame, organism: str, *, orga
     rows = cultures.where(F.col("organism_category") == organism)
     if cohort is not None:
         rows = intervals.interval_join(rows, cohort.select("hospitalization_id", "start_time", "end_time"), ["hospitalization_id"], "collect_dttm", "start_time", "end_time")
-    tests = rows.select(*keys).distinct().join(susceptibility.select("organism_id", "antimicrobial_category", "susceptibility_category"), "organism_id", "left")
-    rank = F.coalesce(F.array_position(F.array(*map(F.lit, WORST_FIRST)), F.coalesce("susceptibility_category", F.lit("NA"))), F.lit(0))
-    tests = tests.withColumn("_rank", F.when(rank == 0, len(WORST_FIRST) + 1).otherwise(rank))
-    worst = sequences.first_per_key(tests, [*keys, "antimicrobial_category"], ["_rank", "susceptibility_category"])
-    bad = F.col("susceptibility_category").isin(list(o.resistant))
-    agent = F.col("antimicrobial_category")
-    out = worst.groupBy(*keys).agg(
-        *(F.coalesce(F.max(F.when(agent == a, F.col("susceptibility_category"))), F.lit("not_tested")).alias(a) for a in o.agents),
-        F.collect_set(F.when(bad, agent)).alias("_bad"),
-        F.collect_set(F.when(agent.isin(o.agents), agent)).alias("_tested"),
-    )
-    holds = lambda want, have: F.size(F.array_except(F.array(*map(F.lit, want)), have)) == 0
-    hit = {g: F.arrays_overlap(F.array(*map(F.lit, a)), F.col("_bad")) for g, a in o.groups.items()}
-    out = out.withColumns({g: F.coalesce(c, F.lit(False)).cast("int") for g, c in hit.items()})
+    # Results of an organism are one bit for each agent and category, so tests are reduced to a few numbers before
+    # they meet cultures: nothing sorts them, and a task keeps no lists.
+    agents = list(dict.fromkeys([*o.agents, *o.required]))
+    agent, category = F.col("antimicrobial_category"), F.col("susceptibility_category")
+    bits = len(WORST_FIRST) + 2  # then null, then any other category
+    rank = F.when(category.isNull(), bits - 2).otherwise(F.coalesce(F.array_position(F.array(*map(F.lit, WORST_FIRST)), category) - 1, F.lit(-1)))
+    rank = F.when(rank < 0, bits - 1).otherwise(rank).cast("int")
+    tests = susceptibility.where(agent.isin(agents)).select("organism_id", agent, category, rank.alias("_rank"))
+    a_word = 63 // bits
+    words = [agents[i : i + a_word] for i in range(0, len(agents), a_word)]
+    bit = lambda part: F.when(agent.isin(part), F.call_function("shiftleft", F.lit(1).cast("long"), (F.coalesce(*(F.when(agent == x, bits * i) for i, x in enumerate(part))) + F.col("_rank")).cast("int")))
+    found = tests.groupBy("organism_id").agg(*(F.bit_or(bit(part)).alias(f"_found{i}") for i, part in enumerate(words)))
+    others = tests.where(F.col("_rank") == bits - 1).groupBy("organism_id").agg(*(F.min(F.when(agent == x, category)).alias(f"_other{i}") for i, x in enumerate(agents)))
+    out = rows.select(*keys).distinct().join(found, "organism_id", "left").join(others, "organism_id", "left")
+    worst = {}
+    for i, x in enumerate(agents):
+        has = lambda r, i=i: F.col(f"_found{i // a_word}").bitwiseAND(F.lit(1 << (i % a_word * bits + r))) != 0
+        named = F.when(has(0), WORST_FIRST[0])
+        for r, c in enumerate(WORST_FIRST[1:], 1):
+            named = named.when(has(r), c)
+        worst[x] = named.when(has(bits - 2), None).otherwise(F.col(f"_other{i}"))
+    out = out.select(*keys, *(F.coalesce(worst[x], F.lit("not_tested")).alias(x) for x in o.agents), *(F.coalesce(worst[x].isin(list(o.resistant)), F.lit(False)).alias(f"_bad{i}") for i, x in enumerate(agents)))
+    bad = {x: F.col(f"_bad{i}") for i, x in enumerate(agents)}
+    every = lambda want: reduce(and_, (bad[x] for x in want), F.lit(True))
+    out = out.withColumns({g: reduce(or_, (bad[x] for x in a), F.lit(False)).cast("int") for g, a in o.groups.items()})
     n = F.lit(0)
     for g in o.groups:
         n = n + F.col(g)
     out = out.withColumn("n_resistant_groups", n)
-    out = out.withColumns({"MDR": (F.col("n_resistant_groups") >= o.min_groups).cast("int"), "XDR": (F.col("n_resistant_groups") >= len(o.groups) - o.max_susceptible).cast("int"), "PDR": (holds(o.agents, F.col("_tested")) & holds(o.agents, F.col("_bad"))).cast("int"), "DTR": holds(o.required, F.col("_bad")).cast("int")})
-    return out.drop("_bad", "_tested")
+    out = out.withColumns({"MDR": (F.col("n_resistant_groups") >= o.min_groups).cast("int"), "XDR": (F.col("n_resistant_groups") >= len(o.groups) - o.max_susceptible).cast("int"), "PDR": every(o.agents).cast("int"), "DTR": every(o.required).cast("int")})
+    return out.drop(*(f"_bad{i}" for i in range(len(agents))))
 
 
 def missing_agents(susceptibility: DataFrame, organism: str, organisms: dict[str, Organism] = ORGANISMS) -> list[str]:

@@ -115,6 +115,28 @@ def test_stitching(spark):
     assert {r[0]: r[1] for r in named.collect()} == {"a": "b", "b": "b", "c": "c", "d": "e", "e": "e"}
 
 
+def test_worst_results_are_met_without_sorting_tests(spark):
+    """Every order of results, null and unknown categories, agents that only required names, organisms of two stays; the plan has no window and no lists."""
+    o = resistance.Organism({"g": ["a", "b"], "h": ["c"]}, ["a", "z"], resistant=("non_susceptible", "odd"), min_groups=1, max_susceptible=0)
+    kinds = ["non_susceptible", "intermediate", "susceptible", "NA", None, "odd", "new"]
+    tests = [(i, x, k) for i in range(40) for j, x in enumerate(["a", "b", "c", "z", "y", None]) for m, k in enumerate(kinds) if (k == "odd" if i == 39 else (i * 7 + j * 3 + m * m) % 11 < 2)]
+    pairs = [(f"h{i % 5}", i) for i in range(41)] + [("h9", 3), ("h9", 3), ("h9", None), (None, 4)]
+    cultures = spark.createDataFrame([(*p, "x") for p in pairs], "hospitalization_id string, organism_id int, organism_category string")
+    out = resistance.flags(cultures, spark.createDataFrame([*tests, (None, "a", "odd")], "organism_id int, antimicrobial_category string, susceptibility_category string"), "x", organisms={"x": o})
+    rank = lambda k: (4 if k is None else kinds.index(k) if k in kinds[:4] else 5, k or "")
+    want = set()
+    for h, i in set(pairs):
+        worst = {x: min((k for n, y, k in tests if n == i and y == x), key=rank, default="not_tested") for x in "abcz"}
+        bad = {x for x, k in worst.items() if k in o.resistant}
+        g, c = int(bool(bad & {"a", "b"})), int("c" in bad)
+        want.add((h, i, *(worst[x] or "not_tested" for x in "abc"), g, c, g + c, int(g + c >= 1), int(g + c >= 2), int(bad >= {"a", "b", "c"}), int(bad >= {"a", "z"})))
+    rows = [tuple(r) for r in out.collect()]
+    assert out.columns == ["hospitalization_id", "organism_id", "a", "b", "c", "g", "h", "n_resistant_groups", "MDR", "XDR", "PDR", "DTR"]
+    assert len(rows) == len(want) and set(rows) == want and {r[-2:] for r in rows} >= {(0, 0), (1, 1)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "collect_set" not in plan
+
+
 def test_waterfall_sorts_scaffold_rows_twice(spark):
     """Windows of runs share the order of the key, and rows are not compared in the end; fills in runs are those of windows by run."""
     rows = [(k, f"2024-01-01 {h:02}:00:00", d) for k in ("x", "y", None) for h, d in ((0, "IMV"), (0, "IMV"), (5, None), (9, "NIPPV"))]
